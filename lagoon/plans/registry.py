@@ -1,0 +1,8 @@
+"""Registered queries over the test tables and their SQL twins."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLE: dict[str, str] = {}
