@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagoon.llm.embedding_dedup import close_pairs
+from lagoon.llm.language_id import identify
 from lagoon.llm.mixing import mix_sources
 from lagoon.llm.sharding import shard_by_bytes
 from lagoon.llm.simhash import near_duplicates
 from lagoon.session import table
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return close_pairs(table(spark, sf_dir, "embeddings"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))[0]
 
@@ -27,6 +37,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources, op8_shard_by_bytes, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op4_embedding_dedup, op5_mix_sources, op7_language_id, op8_shard_by_bytes, op10_simhash)}
 
 ORACLE: dict[str, str] = {}
