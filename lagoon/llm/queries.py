@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagoon.llm.decontaminate import contaminated
 from lagoon.llm.embedding_dedup import close_pairs
 from lagoon.llm.language_id import identify
 from lagoon.llm.mixing import mix_sources
@@ -17,6 +18,11 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return close_pairs(table(spark, sf_dir, "embeddings"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and the test item it holds a copy of."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -37,6 +43,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_embedding_dedup, op5_mix_sources, op7_language_id, op8_shard_by_bytes, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op4_embedding_dedup, op5_mix_sources, op6_decontaminate, op7_language_id, op8_shard_by_bytes, op10_simhash)}
 
 ORACLE: dict[str, str] = {}
