@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagoon.llm import brown
 from lagoon.llm.decontaminate import contaminated
 from lagoon.llm.embedding_dedup import close_pairs
 from lagoon.llm.language_id import identify
@@ -14,6 +15,12 @@ from lagoon.llm.simhash import near_duplicates
 from lagoon.session import table
 
 
+def op1_brown_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = brown.score(docs, brown.fit(docs.filter(~brown.held_out())))
+    return scored.select("doc_id", brown.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return close_pairs(table(spark, sf_dir, "embeddings"))
 
@@ -43,6 +50,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_embedding_dedup, op5_mix_sources, op6_decontaminate, op7_language_id, op8_shard_by_bytes, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_brown_score, op4_embedding_dedup, op5_mix_sources, op6_decontaminate, op7_language_id, op8_shard_by_bytes, op10_simhash)}
 
 ORACLE: dict[str, str] = {}
