@@ -12,6 +12,7 @@ from lagoon.llm.language_id import identify
 from lagoon.llm.mixing import mix_sources
 from lagoon.llm.sharding import shard_by_bytes
 from lagoon.llm.simhash import near_duplicates
+from lagoon.llm.suffix_dedup import remove_repeats
 from lagoon.session import table
 
 
@@ -45,11 +46,21 @@ def op8_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_brown_score, op4_embedding_dedup, op5_mix_sources, op6_decontaminate, op7_language_id, op8_shard_by_bytes, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_brown_score, op4_embedding_dedup, op5_mix_sources, op6_decontaminate, op7_language_id, op8_shard_by_bytes, op9_suffix_dedup, op10_simhash)}
 
 ORACLE: dict[str, str] = {}
