@@ -186,3 +186,26 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, epo
         "__rank",
         F.coalesce(F.least("__limit", F.col("__w") * F.col("__fitted.__level")), F.col("__limit")).alias("target"),
     )
+
+
+def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with ``copy`` from 1.
+
+    A row is written as many times as whole sizes were taken of it; what is left of a size counts as
+    a whole with the chance that is left, by a seeded hash of the row, so each source's words stay
+    near its target and documents stay whole. Rows without words aren't taken.
+    """
+    rows, _ = mix_sources(docs, id_col=id_col, text_col=text_col, **options)
+    seed = options.get("seed", 42)
+    # one taking for each id: repeated rows of an id share what was taken of all of them
+    taken = rows.groupBy(id_col).agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size")).filter("__taken > 0")
+    chance = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__id")), F.lit(1_000_000)) / 1_000_000.0
+    times = (
+        taken.withColumnRenamed(id_col, "__id")
+        .withColumn("__whole", F.expr("__taken div __size"))
+        .withColumn("__n", F.col("__whole") + ((F.col("__taken") - F.col("__whole") * F.col("__size")) / F.col("__size") > chance).cast("int"))
+        .filter("__n > 0")
+        .select("__id", "__n")
+    )
+    joined = docs.join(times, docs[id_col].eqNullSafe(times["__id"])).drop("__id")
+    return joined.withColumn("copy", F.explode(F.expr("sequence(1, cast(__n as int))"))).drop("__n")

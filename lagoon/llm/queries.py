@@ -9,6 +9,7 @@ from lagoon.llm import brown
 from lagoon.llm.decontaminate import contaminated
 from lagoon.llm.embedding_dedup import close_pairs
 from lagoon.llm.language_id import identify
+from lagoon.llm.license_scan import scan_licenses
 from lagoon.llm.mixing import mix_sources
 from lagoon.llm.quality import quality_filter
 from lagoon.llm.sharding import shard_by_bytes
@@ -27,6 +28,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return close_pairs(table(spark, sf_dir, "embeddings"))
 
@@ -66,6 +71,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_brown_score, op2_quality, op4_embedding_dedup, op5_mix_sources, op6_decontaminate, op7_language_id, op8_shard_by_bytes, op9_suffix_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_brown_score, op2_quality, op3_license_scan, op4_embedding_dedup, op5_mix_sources, op6_decontaminate, op7_language_id, op8_shard_by_bytes, op9_suffix_dedup, op10_simhash)}
 
 ORACLE: dict[str, str] = {}
