@@ -1,8 +1,596 @@
-"""Registered queries over the test tables and their SQL twins."""
+"""Registered queries over the test tables and their SQL twins.
+
+Each query applies operators to the tables' adapters; its twin is written for DuckDB on the same
+tables, on its own, so that the two check each other.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lagoon.operators import attribution, endings, lineage, listing, pairing, pricing, shares, spans, turns, usage
+from lagoon.sources import tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+HARNESS = "CASE CAST({} % 4 AS INT) WHEN 0 THEN 'claude' WHEN 1 THEN 'codex' WHEN 2 THEN 'pi' ELSE 'opencode' END"
+TALK = f"""talk AS (SELECT {HARNESS.format('conv_id')} AS harness, conv_id AS session, CAST(turn AS BIGINT) AS ordinal, role,
+  CASE role WHEN 'user' THEN 'operator' WHEN 'assistant' THEN 'assistant' WHEN 'system' THEN 'control' ELSE 'unknown' END AS kind, text FROM conversations)"""
+TURNS = """turns AS (SELECT 'claude' AS harness, user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ordinal, ts,
+  CASE event_type WHEN 'signup' THEN 'operator' WHEN 'view' THEN 'assistant' WHEN 'click' THEN 'tool' WHEN 'purchase' THEN 'tool' WHEN 'error' THEN 'notice' ELSE 'unknown' END AS kind,
+  CASE event_type WHEN 'click' THEN 'call' WHEN 'purchase' THEN 'result' END AS direction,
+  CAST(json_extract_string(props, '$.k') AS BIGINT) % 4 AS call_id, 'tool' || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 AS VARCHAR) AS name, value, event_type AS pool FROM events)"""
+REQUESTS = """requests AS (SELECT l_orderkey AS session, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ordinal,
+  l_shipdate AS moment, l_returnflag || l_linestatus AS model, CAST(l_quantity AS BIGINT) AS input, l_partkey % 1000 AS output, (l_partkey % 1000) % 7 AS reasoning, l_suppkey % 100 AS cache_read,
+  CASE WHEN l_linenumber % 2 = 1 THEN CAST(l_linenumber AS BIGINT) * 10 END AS cache_write FROM lineitem)"""
+SESSIONS = f"""sessions AS (SELECT {HARNESS.format('o_custkey')} AS harness, o_orderkey AS session, o_orderpriority AS directory,
+  CASE o_orderstatus WHEN 'F' THEN 'headless' WHEN 'O' THEN 'interactive' END AS launch, o_orderdate AS last_activity,
+  lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent FROM orders)"""
+USED = """used AS (SELECT session, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(reasoning) AS BIGINT) AS reasoning,
+  CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write, count(*) AS requests FROM requests GROUP BY session)"""
+#: Stretches and active time use 8 hours, which splits about half of the events' gaps.
+IDLE_MS = 8 * 3_600_000
+GAPS = f"""gaps AS (SELECT *, epoch_us(ts) AS us, CAST(floor((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY harness, session ORDER BY ordinal)) / 1000) AS BIGINT) AS gap FROM turns)"""
+
+
+def register(sql: str | None = None) -> Callable:
+    """Add a query under its function's name, with its SQL twin where there is one."""
+
+    def add(query: Callable) -> Callable:
+        QUERIES[query.__name__] = query
+        if sql:
+            ORACLE[query.__name__] = sql
+        return query
+
+    return add
+
+
+def used_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions with what they used; those without requests keep nulls."""
+    return tables.order_sessions(spark, sf_dir).join(usage.session_usage(tables.line_requests(spark, sf_dir)), "session", "left")
+
+
+@register(
+    f"""WITH {REQUESTS}, {SESSIONS} SELECT harness, model, count(*) AS requests, count(DISTINCT session) AS sessions,
+  CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output, CAST(sum(cache_write) AS BIGINT) AS cache_write, count(cache_write) AS cache_write_requests
+  FROM requests JOIN sessions USING (session) GROUP BY ALL"""
+)
+def usage_by_harness_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = tables.order_sessions(spark, sf_dir).select("session", "harness")
+    return tables.line_requests(spark, sf_dir).join(sessions, "session").groupBy("harness", "model").agg(
+        F.count("*").alias("requests"), F.count_distinct("session").alias("sessions"), F.sum("input").alias("input"), F.sum("output").alias("output"),
+        F.sum("cache_write").alias("cache_write"), F.count("cache_write").alias("cache_write_requests"),
+    )
+
+
+@register(
+    f"""WITH {SESSIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY harness ORDER BY last_activity DESC NULLS LAST, session, harness) AS rank FROM sessions)
+  SELECT harness, session, directory, last_activity, rank FROM r WHERE rank <= 20"""
+)
+def list_newest_per_harness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.newest_per_harness(tables.order_sessions(spark, sf_dir), 20).select("harness", "session", "directory", "last_activity", "rank")
+
+
+@register(
+    f"""WITH {SESSIONS} SELECT harness, session, directory, launch, last_activity FROM sessions
+  WHERE starts_with(CAST(session AS VARCHAR), '1') AND launch = 'headless' AND contains(directory, 'URGENT') AND last_activity >= TIMESTAMP '1993-01-01' AND last_activity < TIMESTAMP '1997-01-01'"""
+)
+def list_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = listing.matching(tables.order_sessions(spark, sf_dir), prefix="1", launch="headless", directory="URGENT", since="1993-01-01", until="1997-01-01")
+    return found.drop("parent")
+
+
+@register(
+    f"""WITH {SESSIONS}, x AS (SELECT session FROM sessions WHERE session % 3 = 0)
+  SELECT harness, session, last_activity FROM sessions WHERE session NOT IN (SELECT session FROM x) ORDER BY last_activity DESC NULLS LAST, session, harness LIMIT 1"""
+)
+def latest_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = tables.order_sessions(spark, sf_dir)
+    return listing.latest(sessions, sessions.filter("session % 3 = 0").select("harness", "session")).select("harness", "session", "last_activity")
+
+
+@register(
+    f"""WITH {SESSIONS}, stores AS (SELECT *, 1 AS store_rank FROM sessions WHERE session % 2 = 0 UNION ALL SELECT harness, session, 'late', launch, last_activity, parent, 2 FROM sessions),
+  n AS (SELECT *, row_number() OVER (PARTITION BY harness, session ORDER BY store_rank) AS k FROM stores) SELECT harness, session, directory, store_rank FROM n WHERE k = 1"""
+)
+def store_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = tables.order_sessions(spark, sf_dir)
+    stores = sessions.filter("session % 2 = 0").withColumn("store_rank", F.lit(1)).unionByName(sessions.withColumns({"directory": F.lit("late"), "store_rank": F.lit(2)}))
+    return listing.first_store_wins(stores).select("harness", "session", "directory", "store_rank")
+
+
+@register(
+    f"""WITH {SESSIONS}, m AS (SELECT *, CASE WHEN CAST(session AS VARCHAR) = '12' THEN 0 WHEN starts_with(CAST(session AS VARCHAR), '12') THEN 1 END AS c FROM sessions),
+  f AS (SELECT * FROM m WHERE c = (SELECT min(c) FROM m)) SELECT harness, session, (SELECT count(*) FROM f) AS matches FROM f"""
+)
+def resolve_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.resolve(tables.order_sessions(spark, sf_dir), "12").select("harness", "session", "matches")
+
+
+@register(
+    f"""WITH {TALK}, r AS (SELECT *, row_number() OVER (PARTITION BY harness, session ORDER BY ordinal DESC) AS n FROM talk)
+  SELECT harness, session, coalesce(bool_or(contains(lower(text), 'the')) FILTER (WHERE n <= 3), false) AS hit, count(*) FILTER (WHERE n <= 3) AS searched, count(*) > 3 AS partial FROM r GROUP BY harness, session"""
+)
+def search_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.search_tail(tables.conversation_turns(spark, sf_dir), "The", tail=3)
+
+
+@register(
+    f"""WITH {TALK}, h AS (SELECT harness, session, ordinal, role, row_number() OVER (PARTITION BY harness, session ORDER BY ordinal) AS hit, count(*) OVER (PARTITION BY harness, session) AS n
+  FROM talk WHERE contains(lower(text), 'the')) SELECT harness, session, ordinal, role, hit, n > 2 AS truncated FROM h WHERE hit <= 2"""
+)
+def search_full_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.search_whole(tables.conversation_turns(spark, sf_dir), "the", cap=2)
+
+
+@register(f"WITH {TURNS} SELECT harness, session, ordinal, kind, ts FROM turns")
+def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.timeline(tables.event_turns(spark, sf_dir))
+
+
+@register(
+    f"WITH {TURNS} SELECT harness, session, "
+    + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in turns.KINDS)
+    + ", count(*) AS total FROM turns GROUP BY harness, session"
+)
+def turns_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.count_kinds(tables.event_turns(spark, sf_dir))
+
+
+@register(f"WITH {TURNS} SELECT harness, session, kind, count(*) AS omitted FROM turns WHERE kind NOT IN ('operator', 'assistant') GROUP BY ALL")
+def kind_projection_omitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.select_kinds(tables.event_turns(spark, sf_dir), ("operator", "assistant"))[1]
+
+
+@register(f"WITH {TURNS}, r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ordinal DESC) AS n FROM turns) SELECT harness, session, ordinal, kind FROM r WHERE n <= 5")
+def tail_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.tail(tables.event_turns(spark, sf_dir), 5).select("harness", "session", "ordinal", "kind")
+
+
+@register(f"WITH {TALK} SELECT harness, session, ordinal, substring(text, 1, 40) AS text, length(text) AS text_chars, length(text) > 40 AS text_truncated FROM talk")
+def text_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.capped(tables.conversation_turns(spark, sf_dir), 40).select("harness", "session", "ordinal", "text", "text_chars", "text_truncated")
+
+
+@register(
+    f"""WITH {TALK}, t AS (SELECT harness, session, ordinal, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS flat FROM talk WHERE kind = 'operator')
+  SELECT harness, session, arg_min(CASE WHEN length(flat) > 40 THEN substring(flat, 1, 39) || '…' ELSE flat END, ordinal) AS title FROM t WHERE length(flat) > 0 GROUP BY ALL"""
+)
+def derive_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.titles(tables.conversation_turns(spark, sf_dir), 40)
+
+
+@register(
+    f"""WITH {TURNS}, {GAPS}, s AS (SELECT *, sum(CASE WHEN gap > {IDLE_MS} THEN 1 ELSE 0 END) OVER (PARTITION BY harness, session ORDER BY ordinal) AS stretch FROM gaps)
+  SELECT harness, session, CAST(stretch AS BIGINT) AS stretch, min(ts) AS first, max(ts) AS last, count(*) AS turns FROM s GROUP BY ALL"""
+)
+def stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.stretches(tables.event_turns(spark, sf_dir), IDLE_MS)
+
+
+@register(
+    f"""WITH {TURNS}, {GAPS} SELECT harness, session, CASE WHEN count(*) >= 2 THEN coalesce(CAST(sum(gap) FILTER (WHERE gap BETWEEN 0 AND {IDLE_MS}) AS BIGINT), 0) END AS active_ms,
+  max(gap) FILTER (WHERE gap >= 0) AS max_gap_ms, CASE WHEN count(*) >= 2 THEN CAST(floor((arg_max(us, ordinal) - arg_min(us, ordinal)) / 1000) AS BIGINT) END AS span_ms FROM gaps GROUP BY ALL"""
+)
+def active_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.active_time(tables.event_turns(spark, sf_dir), IDLE_MS)
+
+
+@register(
+    f"""WITH {TURNS}, {GAPS}, d AS (SELECT harness, session, gap, row_number() OVER (PARTITION BY harness, session ORDER BY gap) AS k, count(*) OVER (PARTITION BY harness, session) AS n FROM gaps WHERE kind = 'assistant' AND gap >= 0)
+  SELECT harness, session, max(n) AS n, min(gap) FILTER (WHERE k * 100 >= n * 50) AS p50, min(gap) FILTER (WHERE k * 100 >= n * 90) AS p90, max(gap) AS max FROM d GROUP BY harness, session"""
+)
+def response_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.nearest_ranks(turns.response_times(tables.event_turns(spark, sf_dir)), ["harness", "session"], "duration_ms")
+
+
+@register(
+    f"""WITH {REQUESTS}, c AS (SELECT *, CASE WHEN lag(model) OVER w IS NOT DISTINCT FROM model OR row_number() OVER w = 1 THEN 0 ELSE 1 END AS new FROM requests WINDOW w AS (PARTITION BY session ORDER BY ordinal)),
+  s AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY ordinal) AS span FROM c) SELECT session, CAST(span AS BIGINT) AS span, arg_min(model, ordinal) AS model, min(ordinal) AS first, max(ordinal) AS last, count(*) AS size FROM s GROUP BY session, span"""
+)
+def model_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.islands(tables.line_requests(spark, sf_dir), ["session"], "model")
+
+
+@register(
+    f"""WITH {SESSIONS}, p AS (SELECT o_custkey AS customer, o_orderpriority AS place, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS ordinal FROM orders),
+  c AS (SELECT *, lag(place) OVER (PARTITION BY customer ORDER BY ordinal) AS b FROM p) SELECT customer, ordinal, place FROM c WHERE ordinal = 1 OR b IS DISTINCT FROM place"""
+)
+def location_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    placed = tables.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer"), F.row_number().over(by).cast("long").alias("ordinal"), F.col("o_orderpriority").alias("place"))
+    return turns.changes(placed, ["customer"], "place")
+
+
+#: The pairing by running sums in SQL: the open-call depth and its running minimum give orphans and levels.
+PAIRS = f"""{TURNS}, ev AS (SELECT * FROM turns WHERE direction IS NOT NULL),
+  s AS (SELECT *, sum(CASE WHEN direction = 'call' THEN 1 ELSE -1 END) OVER (PARTITION BY session, call_id ORDER BY ordinal) AS s FROM ev),
+  m AS (SELECT *, least(0, min(s) OVER (PARTITION BY session, call_id ORDER BY ordinal)) AS m FROM s),
+  o AS (SELECT *, direction = 'result' AND m < coalesce(lag(m) OVER (PARTITION BY session, call_id ORDER BY ordinal), 0) AS orphan FROM m),
+  l AS (SELECT *, CASE WHEN orphan THEN -1 ELSE s - m + CASE WHEN direction = 'result' THEN 1 ELSE 0 END END AS level FROM o),
+  p AS (SELECT *, CASE WHEN orphan THEN NULL WHEN direction = 'call' AND lead(direction) OVER w = 'result' THEN lead(ordinal) OVER w WHEN direction = 'result' AND lag(direction) OVER w = 'call' THEN lag(ordinal) OVER w END AS pair,
+    CASE WHEN NOT orphan AND direction = 'call' AND lead(direction) OVER w = 'result' THEN CAST(floor((epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1000) AS BIGINT) END AS duration_ms
+    FROM l WINDOW w AS (PARTITION BY session, call_id, level ORDER BY ordinal)),
+  pairs AS (SELECT harness, session, ordinal, call_id, name, direction, pair, duration_ms, CASE WHEN pair IS NOT NULL THEN NULL WHEN direction = 'call' THEN 'no-result' ELSE 'call-not-recorded' END AS incomplete FROM p)"""
+
+
+def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = tables.event_turns(spark, sf_dir).filter("direction IS NOT NULL")
+    return pairing.pair_events(events).select("harness", "session", "ordinal", "call_id", "name", "direction", "pair", "duration_ms", "incomplete")
+
+
+@register(f"WITH {PAIRS} SELECT * FROM pairs")
+def pair_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired(spark, sf_dir)
+
+
+@register(f"WITH {PAIRS} SELECT session, incomplete, count(*) AS events FROM pairs WHERE incomplete IS NOT NULL GROUP BY ALL")
+def incomplete_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired(spark, sf_dir).filter("incomplete IS NOT NULL").groupBy("session", "incomplete").agg(F.count("*").alias("events"))
+
+
+@register(
+    f"""WITH {PAIRS} SELECT name, count(*) FILTER (WHERE direction = 'call') AS calls, count(*) FILTER (WHERE direction = 'result') AS results,
+  count(*) FILTER (WHERE direction = 'call' AND pair IS NOT NULL) AS paired, count(incomplete) AS incomplete, CAST(sum(duration_ms) AS BIGINT) AS duration_ms FROM pairs GROUP BY name"""
+)
+def tool_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairing.tool_stats(paired(spark, sf_dir))
+
+
+@register(
+    f"""WITH {PAIRS}, c AS (SELECT * FROM pairs WHERE name = 'tool1'), w AS (SELECT session, ordinal FROM c UNION SELECT session, pair FROM c WHERE pair IS NOT NULL)
+  SELECT session, ordinal, name, direction FROM pairs WHERE (session, ordinal) IN (SELECT session, ordinal FROM w)"""
+)
+def events_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairing.filter_events(paired(spark, sf_dir), ("tool1",)).select("session", "ordinal", "name", "direction")
+
+
+@register(
+    f"""WITH {REQUESTS}, {SESSIONS}, {USED}, j AS (SELECT s.harness, s.launch, u.* FROM sessions s LEFT JOIN used u USING (session))
+  SELECT harness, launch, count(*) AS sessions, """
+    + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}, count({c}) AS {c}_sessions" for c in usage.COUNTERS)
+    + " FROM j GROUP BY harness, launch"
+)
+def usage_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.usage_by(used_sessions(spark, sf_dir), ["harness", "launch"])
+
+
+@register(
+    f"""WITH {REQUESTS}, {SESSIONS}, {USED}, j AS (SELECT s.launch, u.* FROM sessions s LEFT JOIN used u USING (session))
+  SELECT launch, GROUPING(launch) > 0 AS is_total, count(*) AS sessions, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output FROM j GROUP BY GROUPING SETS ((launch), ())"""
+)
+def usage_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.usage_with_total(used_sessions(spark, sf_dir), ["launch"])
+
+
+@register(
+    f"""WITH {REQUESTS}, {SESSIONS}, {USED}, j AS (SELECT s.harness, (input IS NOT NULL)::INT + (output IS NOT NULL)::INT + (reasoning IS NOT NULL)::INT + (cache_read IS NOT NULL)::INT + (cache_write IS NOT NULL)::INT AS have FROM sessions s LEFT JOIN used u USING (session))
+  SELECT harness, count(*) FILTER (WHERE have = 5) AS complete, count(*) FILTER (WHERE have BETWEEN 1 AND 4) AS partial, count(*) FILTER (WHERE have = 0) AS absent FROM j GROUP BY harness"""
+)
+def usage_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.coverage(used_sessions(spark, sf_dir), ["harness"])
+
+
+DISJOINT = f"""{REQUESTS}, {SESSIONS}, d AS (SELECT r.*, s.harness,
+  CASE WHEN harness = 'codex' THEN CASE WHEN cache_write = 0 AND input >= cache_read THEN input - cache_read END ELSE input END AS d_uncached,
+  CASE WHEN harness = 'opencode' THEN output + reasoning ELSE output END AS d_output FROM requests r JOIN sessions s USING (session)),
+  e AS (SELECT *, CASE WHEN reasoning <= d_output THEN reasoning END AS d_reasoning, d_uncached + cache_read + cache_write + d_output AS d_total FROM d)"""
+
+
+@register(
+    f"""WITH {DISJOINT} SELECT harness, count(*) AS requests, CAST(sum(d_uncached) AS BIGINT) AS d_uncached, CAST(sum(d_output) AS BIGINT) AS d_output, CAST(sum(d_reasoning) AS BIGINT) AS d_reasoning,
+  CAST(sum(cache_read) AS BIGINT) AS d_cache_read, CAST(sum(cache_write) AS BIGINT) AS d_cache_write, CASE WHEN bool_and(d_total IS NOT NULL) THEN CAST(sum(d_total) AS BIGINT) END AS d_total FROM e GROUP BY harness"""
+)
+def disjoint_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = tables.line_requests(spark, sf_dir).join(tables.order_sessions(spark, sf_dir).select("session", "harness"), "session")
+    return usage.disjoint_sums(usage.disjoint(requests), ["harness"])
+
+
+@register(
+    f"""WITH {REQUESTS}, {SESSIONS}, {USED}, j AS (SELECT s.directory, s.launch, s.harness, u.input FROM sessions s LEFT JOIN used u USING (session) WHERE s.launch IS NULL OR s.harness = 'pi')
+  SELECT directory, launch, count(*) AS sessions, count(DISTINCT harness) > 1 AS mixed, CASE WHEN count(DISTINCT harness) <= 1 THEN CAST(sum(input) AS BIGINT) END AS input FROM j GROUP BY directory, launch"""
+)
+def mixed_withheld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.withheld(used_sessions(spark, sf_dir).filter("launch IS NULL OR harness = 'pi'"), ["directory", "launch"])
+
+
+@register(
+    f"""WITH {REQUESTS}, {SESSIONS}, {USED}, u AS (SELECT s.harness, coalesce(s.parent, s.session) AS unit, max(input) AS m, sum(input) AS t, bool_and(input IS NOT NULL) AS a FROM sessions s LEFT JOIN used USING (session) GROUP BY 1, 2)
+  SELECT harness, CAST(sum(m) AS BIGINT) AS at_least, CASE WHEN bool_and(a) THEN CAST(sum(t) AS BIGINT) END AS at_most FROM u GROUP BY harness"""
+)
+def identity_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = used_sessions(spark, sf_dir).withColumn("unit", F.coalesce("parent", "session"))
+    return usage.identity_bounds(used, "unit", ["harness"])
+
+
+@register()
+def request_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ordered fold; pytest holds it against a loop."""
+    records = tables.line_requests(spark, sf_dir).withColumn("request", F.col("ordinal") % 3)
+    return usage.fold_requests(records, ["session", "request"])
+
+
+TOTALS = f"""{TURNS}, totals AS (SELECT session, ordinal, CAST(floor(value) AS BIGINT) AS total FROM turns)"""
+
+
+@register(
+    f"""WITH {TOTALS}, b AS (SELECT *, lag(total) OVER (PARTITION BY session ORDER BY ordinal) AS b FROM totals),
+  d AS (SELECT session, ordinal, total, coalesce(total < b, false) AS reset, CASE WHEN b IS NULL OR total < b THEN total ELSE total - b END AS delta FROM b)
+  SELECT *, CAST(sum(reset::BIGINT) OVER (PARTITION BY session ORDER BY ordinal) AS BIGINT) AS epoch FROM d"""
+)
+def cumulative_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = tables.event_turns(spark, sf_dir).select("session", "ordinal", F.floor("value").alias("total"))
+    return usage.cumulative_deltas(totals, ["session"])
+
+
+@register(
+    f"""WITH {TURNS}, t AS (SELECT session, ordinal, CASE WHEN kind = 'operator' THEN 'tool' || name END AS chosen FROM turns)
+  SELECT session, ordinal, last_value(chosen IGNORE NULLS) OVER (PARTITION BY session ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS model FROM t"""
+)
+def model_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = tables.event_turns(spark, sf_dir).withColumn("chosen", F.when(F.col("kind") == "operator", F.concat(F.lit("tool"), "name")))
+    return chosen.select("session", "ordinal", usage.as_of(chosen, ["session"], "chosen").alias("model"))
+
+
+@register(
+    f"""WITH {REQUESTS}, {USED}, a AS (SELECT session, input AS recorded FROM used WHERE session % 5 <> 0), b AS (SELECT session, CAST(sum(input) AS BIGINT) AS summed FROM requests WHERE ordinal <> 3 GROUP BY session),
+  j AS (SELECT session, recorded, summed, recorded - summed AS difference FROM a FULL JOIN b USING (session))
+  SELECT *, CASE WHEN difference IS NULL THEN 'unestablished' WHEN difference = 0 THEN 'equal' WHEN difference > 0 THEN 'total-above' ELSE 'requests-above' END AS status FROM j"""
+)
+def reconcile_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = tables.line_requests(spark, sf_dir)
+    recorded = usage.session_usage(requests).filter("session % 5 <> 0")
+    return usage.reconcile(recorded, requests.filter("ordinal <> 3").groupBy("session").agg(F.sum("input").alias("input")), ["session"])
+
+
+SPANS = "spans(span_id, a, b) AS (VALUES (1, TIMESTAMP '1993-01-01', TIMESTAMP '1994-06-01'), (2, TIMESTAMP '1994-01-01', TIMESTAMP '1995-01-01'), (3, NULL, TIMESTAMP '1992-06-01'), (4, TIMESTAMP '1998-01-01', NULL))"
+
+
+def given_spans(spark: SparkSession) -> DataFrame:
+    rows = [(1, "1993-01-01", "1994-06-01"), (2, "1994-01-01", "1995-01-01"), (3, None, "1992-06-01"), (4, "1998-01-01", None)]
+    return spark.createDataFrame(rows, "span_id int, f string, t string").select("span_id", F.col("f").cast("timestamp_ntz").alias("from"), F.col("t").cast("timestamp_ntz").alias("to"))
+
+
+@register(
+    f"""WITH {REQUESTS}, {SPANS} SELECT coalesce(span_id, CASE WHEN moment IS NULL THEN -2 ELSE -1 END) AS span_id, count(*) AS requests, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output
+  FROM requests LEFT JOIN spans ON (a IS NULL OR moment >= a) AND (b IS NULL OR moment < b) GROUP BY 1"""
+)
+def span_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.span_usage(tables.line_requests(spark, sf_dir), given_spans(spark))
+
+
+@register(
+    f"""WITH {REQUESTS}, {SESSIONS} SELECT harness, launch, count(*) AS requests, count(DISTINCT session) AS sessions, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output
+  FROM requests JOIN sessions USING (session) WHERE moment >= TIMESTAMP '1994-01-01' AND moment < TIMESTAMP '1995-07-01' GROUP BY harness, launch"""
+)
+def window_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = tables.order_sessions(spark, sf_dir).select("session", "harness", "launch")
+    return spans.window_usage(tables.line_requests(spark, sf_dir), sessions, "1994-01-01", "1995-07-01", ["harness", "launch"])
+
+
+@register(f"WITH {REQUESTS} SELECT session, count(*) AS requests, CAST(sum(input) AS BIGINT) AS input FROM requests WHERE ordinal BETWEEN 2 AND 4 GROUP BY session")
+def request_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.request_range(tables.line_requests(spark, sf_dir), 2, 4).groupBy("session").agg(F.count("*").alias("requests"), F.sum("input").alias("input"))
+
+
+
+@register(
+    f"""WITH {TURNS}, obs AS (SELECT pool, session, ordinal, ts AS observed_at, date_trunc('week', ts) + INTERVAL 7 DAY AS resets_at, value AS percent FROM turns),
+  h AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY observed_at DESC, ordinal DESC, session DESC) AS n FROM obs WHERE resets_at - INTERVAL 7 DAY <= TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-10' < resets_at)
+  SELECT pool, observed_at, resets_at, percent FROM h WHERE n = 1"""
+)
+def quota_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = tables.event_turns(spark, sf_dir).select(
+        "pool", F.col("ts").alias("observed_at"), (F.date_trunc("week", "ts").cast("timestamp_ntz") + F.expr("INTERVAL 7 DAY")).alias("resets_at"),
+        F.lit(7 * 24 * 60).alias("window_minutes"), F.col("value").alias("percent"), "event_id",
+    ).withColumnRenamed("event_id", "ordinal")
+    return spans.quota_window(seen, "2024-01-10").select("pool", "observed_at", "resets_at", "percent")
+
+
+#: Prices in millionths for a million tokens: (model, aliases, from, until, uncached input, cache read, output, write 5m, write 1h)
+PRICES = [
+    ("AF", ["A"], "1992-01-01", "1993-06-01", 3, 1, 15, 4, 6),
+    ("AF", ["A"], "1993-06-01", None, 2, 1, 10, 3, 5),
+    ("NO", None, None, None, 5, None, 25, 6, 10),
+    ("RF", None, "1994-01-01", None, 4, 1, 20, 5, None),
+]
+PRICED = """prices(model, f, u, pi, pc, po, w5, w1) AS (VALUES ('AF', TIMESTAMP '1992-01-01', TIMESTAMP '1993-06-01', 3, 1, 15, 4, 6), ('AF', TIMESTAMP '1993-06-01', NULL, 2, 1, 10, 3, 5),
+  ('NO', NULL, NULL, 5, NULL, 25, 6, 10), ('RF', TIMESTAMP '1994-01-01', NULL, 4, 1, 20, 5, NULL)),
+  pr AS (SELECT r.*, p.*, CASE WHEN r.model NOT IN (SELECT model FROM prices) THEN 'unlisted-model' WHEN p.model IS NULL THEN 'outside-validity' END AS price_reason
+  FROM requests r LEFT JOIN prices p ON r.model = p.model AND (f IS NULL OR f <= moment) AND (u IS NULL OR moment < u))"""
+
+
+def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(PRICES, "model string, aliases array<string>, f string, u string, p_uncached_input long, p_cache_read long, p_output long, p_write_5m long, p_write_1h long")
+    listed = rows.withColumns({"from": F.col("f").cast("timestamp_ntz"), "until": F.col("u").cast("timestamp_ntz")}).drop("f", "u")
+    return pricing.price_of(tables.line_requests(spark, sf_dir), listed).withColumn("uncached_input", F.col("input"))
+
+
+@register(
+    f"""WITH {REQUESTS}, {PRICED}, a AS (SELECT r_model AS model, price_reason, input, cache_read, output, pi, pc, po FROM (SELECT *, model AS r_model FROM pr))
+  SELECT model, price_reason, count(*) AS requests,
+  CAST(sum(CASE WHEN input > 0 THEN coalesce(input * pi, 0) ELSE 0 END + CASE WHEN cache_read > 0 THEN coalesce(cache_read * pc, 0) ELSE 0 END + CASE WHEN output > 0 THEN coalesce(output * po, 0) ELSE 0 END) AS BIGINT) AS amount_micro,
+  CAST(sum((input > 0 AND pi IS NULL)::INT + (cache_read > 0 AND pc IS NULL)::INT + (output > 0 AND po IS NULL)::INT) AS BIGINT) AS missing FROM a GROUP BY model, price_reason"""
+)
+def price_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pricing.price_plain(priced(spark, sf_dir)).groupBy("model", "price_reason").agg(F.count("*").alias("requests"), F.sum("amount_micro").alias("amount_micro"), F.sum("missing").cast("long").alias("missing"))
+
+
+@register(f"WITH {REQUESTS}, {PRICED} SELECT model, price_reason, year(moment) AS year, count(*) AS requests FROM (SELECT * FROM pr) GROUP BY ALL")
+def price_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return priced(spark, sf_dir).groupBy("model", "price_reason", F.year("at").cast("long").alias("year")).agg(F.count("*").alias("requests"))
+
+
+@register(
+    f"""WITH {REQUESTS}, {PRICED}, b AS (SELECT model, CASE WHEN coalesce(cache_write, 0) = 0 THEN 0 WHEN w5 IS NOT NULL AND w1 IS NOT NULL THEN cache_write * least(w5, w1) END AS low,
+  CASE WHEN coalesce(cache_write, 0) = 0 THEN 0 WHEN w5 IS NOT NULL AND w1 IS NOT NULL THEN cache_write * greatest(w5, w1) END AS high FROM pr)
+  SELECT model, CAST(sum(low) AS BIGINT) AS low, CAST(sum(high) AS BIGINT) AS high, count(*) - count(low) AS unpriced FROM b GROUP BY model"""
+)
+def price_ttl_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pricing.ttl_bounds(priced(spark, sf_dir)).groupBy("model").agg(F.sum("low").alias("low"), F.sum("high").alias("high"), (F.count("*") - F.count("low")).alias("unpriced"))
+
+
+@register(
+    f"""WITH {REQUESTS}, {PRICED} SELECT model, input + cache_read >= 60 AS is_long, count(*) AS requests, CAST(sum(output * CASE WHEN input + cache_read >= 60 THEN w1 ELSE w5 END) AS BIGINT) AS amount FROM pr GROUP BY 1, 2"""
+)
+def price_long_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = pricing.long_context(priced(spark, sf_dir), F.col("input") + F.col("cache_read"), 60, "p_write_5m", "p_write_1h")
+    return rated.groupBy("model", "is_long").agg(F.count("*").alias("requests"), F.sum(F.col("output") * F.col("rate")).alias("amount"))
+
+
+@register(
+    f"""WITH {TURNS}, m AS (SELECT *, hour(ts) * 60 + minute(ts) AS mi, isodow(ts) - 1 AS d FROM turns)
+  SELECT kind, (mi >= 1320 AND d IN (0, 1, 2)) OR (mi < 360 AND (d + 6) % 7 IN (0, 1, 2)) AS night, count(*) AS turns FROM m GROUP BY 1, 2"""
+)
+def time_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    night = pricing.in_hours(F.col("ts"), 1320, 360, (0, 1, 2)).alias("night")
+    return tables.event_turns(spark, sf_dir).groupBy("kind", night).agg(F.count("*").alias("turns"))
+
+
+@register(
+    """WITH cur AS (SELECT p_partkey AS model, CAST(p_size AS BIGINT) AS price, TIMESTAMP '2024-01-01' AS "from", CASE WHEN p_partkey % 5 = 0 THEN TIMESTAMP '2024-02-01' END AS until FROM part WHERE p_partkey % 7 <> 0),
+  fet AS (SELECT p_partkey AS model, CAST(CASE WHEN p_partkey % 3 = 0 THEN p_size + 1 ELSE p_size END AS BIGINT) AS price FROM part WHERE p_partkey % 4 <> 0),
+  kept AS (SELECT c.model, c.price, c."from", CASE WHEN c.until IS NULL AND f.model IS NOT NULL AND f.price IS DISTINCT FROM c.price THEN TIMESTAMP '2024-03-01' ELSE c.until END AS until FROM cur c LEFT JOIN fet f USING (model)),
+  opened AS (SELECT f.model, f.price, TIMESTAMP '2024-03-01' AS "from", CAST(NULL AS TIMESTAMP) AS until FROM fet f LEFT JOIN (SELECT * FROM cur WHERE until IS NULL) c USING (model) WHERE c.price IS DISTINCT FROM f.price)
+  SELECT * FROM kept UNION ALL SELECT * FROM opened"""
+)
+def scd2_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = tables.table(spark, sf_dir, "part")
+    current = part.filter("p_partkey % 7 <> 0").select(
+        F.col("p_partkey").alias("model"), F.col("p_size").cast("long").alias("price"), F.lit("2024-01-01").cast("timestamp_ntz").alias("from"),
+        F.when(F.col("p_partkey") % 5 == 0, F.lit("2024-02-01").cast("timestamp_ntz")).alias("until"),
+    )
+    fetched = part.filter("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("model"), (F.col("p_size") + F.when(F.col("p_partkey") % 3 == 0, 1).otherwise(0)).cast("long").alias("price"))
+    return pricing.scd2_merge(current, fetched, "2024-03-01")
+
+
+@register(
+    f"""WITH RECURSIVE {SESSIONS}, up(session, node, depth) AS (SELECT session, session, 0 FROM sessions UNION ALL SELECT up.session, s.parent, up.depth + 1 FROM up JOIN sessions s ON up.node = s.session WHERE s.parent IS NOT NULL AND up.depth < 32)
+  SELECT session, arg_max(node, depth) AS root, CAST(max(depth) AS INT) AS depth FROM up GROUP BY session"""
+)
+def root_of_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.roots(tables.order_sessions(spark, sf_dir).select("session", "parent"))
+
+
+@register(
+    f"""WITH RECURSIVE {SESSIONS}, fam(session, depth) AS (SELECT session, 0 FROM sessions WHERE parent IS NULL AND session % 10 = 0 UNION SELECT s.session, fam.depth + 1 FROM sessions s JOIN fam ON s.parent = fam.session)
+  SELECT session, CAST(min(depth) AS INT) AS depth FROM fam GROUP BY session"""
+)
+def family_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = tables.order_sessions(spark, sf_dir).select("session", "parent")
+    return lineage.family(sessions, sessions.filter("parent IS NULL AND session % 10 = 0"), members=1 << 40, rounds=64)
+
+
+@register(f"WITH {SESSIONS} SELECT parent, count(*) AS children, true AS resolved FROM sessions WHERE parent IS NOT NULL GROUP BY parent")
+def lineage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.lineage_counts(tables.order_sessions(spark, sf_dir))
+
+
+@register(
+    f"""WITH RECURSIVE {SESSIONS}, up(session, node, depth) AS (SELECT session, session, 0 FROM sessions UNION ALL SELECT up.session, s.parent, up.depth + 1 FROM up JOIN sessions s ON up.node = s.session WHERE s.parent IS NOT NULL),
+  r AS (SELECT session, arg_max(node, depth) AS root FROM up GROUP BY session), c AS (SELECT root, min(session) AS component FROM r GROUP BY root)
+  SELECT session, harness, component FROM sessions JOIN r USING (session) JOIN c USING (root)"""
+)
+def overlap_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' orders are tied by their parents (one harness each) and nothing else."""
+    sessions = tables.order_sessions(spark, sf_dir)
+    return lineage.overlap_groups(sessions, sessions.select("session", F.col("session").alias("id")))
+
+
+@register(
+    """WITH w AS (SELECT o_custkey AS k, o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) % 97 AS w FROM orders), s AS (SELECT *, sum(w) OVER (PARTITION BY k) AS s, row_number() OVER (PARTITION BY k ORDER BY id) AS pos FROM w),
+  f AS (SELECT *, CASE WHEN s > 0 THEN (1000 * w) // s ELSE 0 END AS fl, CASE WHEN s > 0 THEN (1000 * w) % s ELSE 0 END AS re FROM s),
+  r AS (SELECT *, 1000 - sum(fl) OVER (PARTITION BY k) AS l, row_number() OVER (PARTITION BY k ORDER BY re DESC, pos) AS rk FROM f)
+  SELECT k, id, CAST(CASE WHEN s > 0 THEN fl + (rk <= l)::BIGINT WHEN pos = 1 THEN 1000 ELSE 0 END AS BIGINT) AS share FROM r"""
+)
+def apportion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = tables.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), (F.floor("o_totalprice") % 97).alias("w"))
+    return shares.apportion(weights, ["k"], "w", 1000, "id").select("k", "id", "share")
+
+
+@register(
+    f"""WITH {REQUESTS}, n AS (SELECT session, ordinal, input, count(*) OVER (PARTITION BY session) AS n, row_number() OVER (PARTITION BY session ORDER BY ordinal) - 1 AS i, sum(input) OVER (PARTITION BY session) AS a FROM requests)
+  SELECT session, ordinal, CAST(a // n + (i < a % n)::BIGINT AS BIGINT) AS share FROM n"""
+)
+def even_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = tables.line_requests(spark, sf_dir).withColumn("a", F.sum("input").over(Window.partitionBy("session")))
+    return shares.even_split(parts, ["session"], "a", "ordinal").select("session", "ordinal", "share")
+
+
+@register(
+    f"""WITH {REQUESTS}, {USED}, p AS (SELECT session, model, CAST(sum(cache_write) AS BIGINT) AS c, count(*) AS n FROM requests GROUP BY ALL),
+  q AS (SELECT session, CASE WHEN count(*) FILTER (WHERE c IS NULL AND n > 0) = 0 THEN coalesce(CAST(sum(c) AS BIGINT), 0) END AS parts FROM p GROUP BY session)
+  SELECT session, cache_write AS whole, parts, CASE WHEN parts IS NULL OR cache_write IS NULL THEN 'unestablished' WHEN parts = cache_write THEN 'conserved' ELSE 'not-conserved' END AS status FROM used LEFT JOIN q USING (session)"""
+)
+def conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = tables.line_requests(spark, sf_dir)
+    return shares.conserved(usage.session_usage(requests, ["session", "model"]), usage.session_usage(requests), ["session"], "cache_write")
+
+
+@register(
+    f"""WITH {TURNS}, o AS (SELECT pool, session, ordinal, CAST(floor(value) AS BIGINT) AS percent FROM turns), f AS (SELECT *, coalesce((percent < lag(percent) OVER (PARTITION BY pool, session ORDER BY ordinal))::INT, 0) AS fell FROM o),
+  c AS (SELECT pool, session, ordinal, percent, CAST(sum(fell) OVER (PARTITION BY pool, session ORDER BY ordinal) AS BIGINT) AS chain FROM f)
+  SELECT *, lead(percent) OVER (PARTITION BY pool, session, chain ORDER BY ordinal) - percent AS rise FROM c"""
+)
+def quota_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = tables.event_turns(spark, sf_dir).select("pool", "session", "ordinal", F.floor("value").alias("percent"))
+    return shares.quota_chains(seen, ["pool", "session"])
+
+
+#: Evidence from orders: a customer's order covers 200 days from its date, as work named by its priority.
+SEGMENTS = """sp AS (SELECT o_custkey AS k, o_orderpriority AS work, o_orderdate AS f, o_orderdate + INTERVAL 200 DAY AS t FROM orders),
+  ed AS (SELECT k, f AS e FROM sp UNION SELECT k, t FROM sp),
+  sg AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY e) AS segment, e AS a, lead(e) OVER (PARTITION BY k ORDER BY e) AS b FROM ed UNION ALL SELECT k, 0, NULL, min(e) FROM ed GROUP BY k),
+  cv AS (SELECT sg.k, segment, a, b, list_sort(list(DISTINCT work) FILTER (WHERE work IS NOT NULL)) AS works FROM sg LEFT JOIN sp ON sg.k = sp.k AND sp.f <= sg.a AND sg.b <= sp.t GROUP BY 1, 2, 3, 4)"""
+
+
+def cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evidence = tables.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("work"), F.col("o_orderdate").alias("from"), (F.col("o_orderdate") + F.expr("INTERVAL 200 DAY")).alias("to")
+    )
+    return attribution.segments(evidence, ["k"])
+
+
+@register(f"WITH {SEGMENTS} SELECT k, segment, a AS \"from\", b AS \"to\", coalesce(array_to_string(works, ','), '') AS works FROM cv")
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(spark, sf_dir).withColumn("works", F.array_join("works", ","))
+
+
+@register(
+    f"""WITH {SEGMENTS}, x AS (SELECT *, coalesce(len(works), 0) AS n, min(segment) FILTER (WHERE len(works) > 0) OVER (PARTITION BY k) AS fi, max(segment) FILTER (WHERE len(works) > 0) OVER (PARTITION BY k) AS la FROM cv)
+  SELECT CASE WHEN n = 1 THEN NULL WHEN n > 1 THEN 'overlap' WHEN fi IS NULL OR segment < fi THEN 'before-first-item' WHEN segment > la THEN 'after-last-item' ELSE 'between-items' END AS reason, count(*) AS segments FROM x GROUP BY 1"""
+)
+def segment_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.reasons(cut(spark, sf_dir), ["k"]).groupBy("reason").agg(F.count("*").alias("segments"))
+
+
+@register(
+    f"""WITH {SEGMENTS}, r AS (SELECT works, segment * 3 + 1 AS requests, coalesce(len(works), 0) AS n FROM cv),
+  e AS (SELECT requests, n, unnest(CASE WHEN n = 0 THEN [NULL] ELSE works END) AS work, unnest(CASE WHEN n = 0 THEN [0] ELSE range(n) END) AS i FROM r)
+  SELECT work, CAST(sum(CASE WHEN n = 1 THEN requests ELSE 0 END) AS BIGINT) AS conserving, CAST(sum(CASE WHEN n > 1 THEN requests // n + (i < requests % n)::BIGINT WHEN n = 1 THEN requests ELSE 0 END) AS BIGINT) AS allocated,
+  CAST(sum(CASE WHEN n = 0 THEN requests ELSE 0 END) AS BIGINT) AS unattributed FROM e GROUP BY work"""
+)
+def attribution_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.layers(cut(spark, sf_dir).withColumn("requests", F.col("segment") * 3 + 1), ["k"])
+
+
+@register(
+    f"""WITH {PAIRS}, f AS (SELECT harness, session, count(*) AS turns, max(ordinal) AS last, arg_max(kind, ordinal) AS last_kind, max(ordinal) FILTER (WHERE kind = 'operator') AS last_operator,
+  max(ordinal) FILTER (WHERE kind = 'assistant') AS last_assistant, bool_or(kind = 'unknown') AS kind_unknown FROM turns GROUP BY harness, session),
+  oc AS (SELECT session, count(*) FILTER (WHERE direction = 'call' AND pair IS NULL) AS open_calls, max(ordinal) FILTER (WHERE direction = 'result') AS r FROM pairs GROUP BY session)
+  SELECT harness, f.session, turns, last, last_kind, last_operator, last_assistant, kind_unknown, coalesce(open_calls, 0) AS open_calls,
+  concat_ws(',', CASE WHEN last_operator > coalesce(last_assistant, -1) THEN 'operator-after-assistant' END, CASE WHEN last_kind = 'control' THEN 'control-last' END, CASE WHEN last_kind = 'notice' THEN 'notice-last' END,
+  CASE WHEN open_calls > 0 THEN 'call-without-result' END, CASE WHEN r > coalesce(last_assistant, -1) THEN 'result-without-narration' END, CASE WHEN last_kind = 'assistant' THEN 'assistant-close' END) AS facts FROM f LEFT JOIN oc USING (session)"""
+)
+def endings_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return endings.endings(tables.event_turns(spark, sf_dir), paired(spark, sf_dir))
+
+
+@register()
+def workset_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A greedy fold over turns in order; pytest holds it against a loop."""
+    return endings.lanes(tables.conversation_turns(spark, sf_dir), 600)
