@@ -57,13 +57,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def trie_links(
-    group: np.ndarray, side: np.ndarray, spent: np.ndarray, bits: np.ndarray, budget: int, width: int = 64, chunk: int = 400_000
+    group: np.ndarray, side: np.ndarray, bits: np.ndarray, budget: int, width: int = 64, chunk: int = 400_000
 ) -> np.ndarray:
     """Labels that join rows of one group whose ``bits`` differ in at most ``budget`` places.
 
     Rows are sorted by (group, side, bits). Side 2 groups are joined with themselves; in others
-    side 0 meets side 1, ``spent`` bits of the budget being used already. Each group's sorted rows
-    are a binary trie whose nodes are ranges; node pairs go down together, one bit at a time, and a
+    side 0 meets side 1. Each group's sorted rows are a binary trie whose nodes are ranges; node pairs go down together, one bit at a time, and a
     pair is dropped once its bits differ too often. A pair is also done when all leaves below it are
     known to be joined, or when the bits left can't exceed the budget. Returns, for each row, the
     first row it is joined to.
@@ -76,7 +75,7 @@ def trie_links(
     cross = np.flatnonzero((side[edge[:-1]] == 0) & (side[edge[1:]] == 1) & (group[edge[:-1]] == group[edge[1:]])) if len(edge) > 1 else np.empty(0, int)
     first = [np.concatenate((a[own], a[cross])) for a in (edge, ends)]
     second = [np.concatenate((a[own], a[cross + 1])) for a in (edge, ends)] if len(cross) else [edge[own], ends[own]]
-    start = np.stack([*first, *second, np.concatenate((spent[edge[own]], spent[edge[cross]]))]) if len(first[0]) else np.empty((5, 0), int)
+    start = np.stack([*first, *second, np.zeros(len(first[0]), dtype=np.int64)])
     ones: dict[int, np.ndarray] = {}
     stack = [(width, start)]
     while stack:
@@ -161,20 +160,19 @@ def trie_self_join(points: DataFrame, budget: int = 3, hot: int = 20_000) -> Dat
     pairs = spread.select(
         F.struct("block", "value", F.least(F.col("node"), F.col("node").bitwiseXOR(F.col("mask"))).alias("a"), F.greatest(F.col("node"), F.col("node").bitwiseXOR(F.col("mask"))).alias("b")).alias("key"),
         F.when(F.col("mask") == 0, 2).when(F.col("node") < F.col("node").bitwiseXOR(F.col("mask")), 0).otherwise(1).alias("side"),
-        F.bit_count("mask").alias("spent"),
         "turned",
         "fp",
     )
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # flipping the sign bit sorts the signed longs as unsigned
     dealt = pairs.repartition(parts, "key").sortWithinPartitions("key", "side", F.col("turned").bitwiseXOR(F.lit(-(2**63)))).select(
-        F.xxhash64("key").alias("key"), "side", "spent", "turned", "fp"
+        F.xxhash64("key").alias("key"), "side", "turned", "fp"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]))
+            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]))
             if sum(x.shape[1] for x in held) < 200_000:
                 continue
             rows = np.concatenate(held, axis=1)
@@ -195,8 +193,8 @@ def _last_start(key: np.ndarray) -> int:
 
 
 def _links(rows: np.ndarray, budget: int) -> Iterator[pa.RecordBatch]:
-    key, side, spent, turned, fp = rows
-    label = trie_links(key, side, spent, turned.view(np.uint64), budget)
+    key, side, turned, fp = rows
+    label = trie_links(key, side, turned.view(np.uint64), budget)
     found = np.flatnonzero(label != np.arange(len(label)))
     if len(found):
         yield pa.RecordBatch.from_arrays([pa.array(fp[label[found]]), pa.array(fp[found])], names=["src", "dst"])
