@@ -54,7 +54,7 @@ class BrownModel:
         totals = np.zeros(g)
         for word, i in self.ids.items():
             totals[self.assigned[i]] += self.counts[word]
-        totals[self.learned : self.learned + self.spelt] = self.spelt_tokens + 0.5 * (self.spelt_types + 1)
+        totals[self.learned : self.learned + self.spelt] = self.spelt_tokens + 0.5
         totals[-1] = max(1, self.counts.get(END, 0))
         return smooth, np.log10(np.maximum(totals, 1e-9))
 
@@ -233,27 +233,28 @@ def score(docs: DataFrame, model: BrownModel, id_col: str = "doc_id", text_col:
     """``id_col, n_tokens, n_known, train_tokens, base_score, score, perplexity`` for each row of ``docs``.
 
     A text's probability is the product, over its tokens, of the class's transition from the class
-    before (the first follows an end) and the word's emission from its class. Counts of the head come
+    before (the first follows an end) and the word's emission from its class. In a spelt class every
+    known word gives up half a count, which all together are the chance of a new word. Counts of the head come
     from the broadcast; those of all other words by a join with the table of counts, so each token of
     each text counts. Null and empty texts hold one token, their end.
     """
     shared = docs.sparkSession.sparkContext.broadcast(
-        (model.counts, model.ids, model.assigned, *model.tables(), model.learned, model.spelt, model.tokens, model.types)
+        (model.counts, model.ids, model.assigned, *model.tables(), np.log10(0.5 * (model.spelt_types + 1)), model.learned, model.spelt, model.tokens, model.types)
     )
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, ids, assigned, moves, below, learned, spelt, tokens, types = shared.value
+        counts, ids, assigned, moves, below, new, learned, spelt, tokens, types = shared.value
         size, g = len(ids), len(moves)
         place = {w: i for i, w in enumerate(counts)}  # head words to rows of the arrays below
         count = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
         cls = np.fromiter((g - 1 if w == END else assigned[ids[w]] if w in ids else learned + crc32(w[-3:]) % spelt for w in counts), dtype=np.int64, count=len(counts))
         base_below = np.log10(tokens + 0.5 * (types + 1))
         base = np.log10(count + 0.5) - base_below
-        emit = np.log10(count + 0.5 * ((cls >= learned) & (cls < g - 1))) - below[cls]
+        emit = np.log10(count - 0.5 * ((cls >= learned) & (cls < g - 1))) - below[cls]
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(8)]
             for text in batch.column(1).to_pylist():
                 toks = words_of(text)
                 at = np.array([place.get(w, -1) for w in toks], dtype=np.int64)
@@ -272,32 +273,31 @@ def score(docs: DataFrame, model: BrownModel, id_col: str = "doc_id", text_col:
                     b += np.log10(0.5) - base_below
                 e += moves[np.concatenate(([g - 1], seq[:-1])), seq].sum()
                 row += 1
-                for col, v in zip(cols, (row, len(toks), len(near), float(b), float(e), list(rest), list(rest.values()))):
+                for col, v in zip(cols, (row, len(toks), len(near), float(b), float(e), list(rest), list(rest.values()), new[[crc32(w[-3:]) % spelt for w in rest]].tolist() if rest else [])):
                     col.append(v)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))))],
-                names=[id_col, "row", "n_tokens", "near", "base", "emit", "rest", "times"],
+                [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.float64()))))],
+                names=[id_col, "row", "n_tokens", "near", "base", "emit", "rest", "times", "new"],
             )
 
     near = materialize(
         docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(
-            run, f"`{id_col}` {kind}, row long, n_tokens long, near long, base double, emit double, rest array<binary>, times array<long>"
+            run, f"`{id_col}` {kind}, row long, n_tokens long, near long, base double, emit double, rest array<binary>, times array<long>, new array<double>"
         )
     )
-    rest = near.select("row", F.explode(F.arrays_zip("rest", "times")).alias("z")).select("row", F.col("z.rest").alias("word"), F.col("z.times").alias("times"))
+    rest = near.select("row", F.explode(F.arrays_zip("rest", "times", "new")).alias("z")).select("row", F.col("z.rest").alias("word"), F.col("z.times").alias("times"), F.col("z.new").alias("new"))
     found = (
         rest.join(model.words.select("word", "n"), "word", "left")
         .groupBy("row")
-        .agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))
+        .agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("base_logs"), F.sum(F.col("times") * F.when(F.col("n") > 0, F.log10(F.col("n") - 0.5)).otherwise(F.col("new"))).alias("logs"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))
     )
-    logs = F.coalesce("logs", F.lit(0.0))
-    total = F.col("emit") + logs
-    return near.drop("rest", "times").join(found, "row", "left").select(
+    total = F.col("emit") + F.coalesce("logs", F.lit(0.0))
+    return near.drop("rest", "times", "new").join(found, "row", "left").select(
         id_col,
         "n_tokens",
         (F.col("near") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + logs).alias("base_score"),
+        (F.col("base") + F.coalesce("base_logs", F.lit(0.0))).alias("base_score"),
         total.alias("score"),
         F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
     )
