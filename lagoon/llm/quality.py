@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lagoon.llm.heads import frequent
 from lagoon.storage import materialize
 
 #: Grams are runs of this many bytes, packed into a long; a text is framed by order - 1 starts and one end.
@@ -195,8 +196,8 @@ def perplexities(docs: DataFrame, model: DataFrame, text_col: str = "text", head
     shuffle join with the model, so every gram of every text counts.
     """
     spark = docs.sparkSession
-    top = model.orderBy(F.desc("n"), "g").limit(head).select("g", "logp").toPandas()
-    shared = spark.sparkContext.broadcast((top["g"].to_numpy(), top["logp"].to_numpy(np.float64)))
+    top = frequent(model, "n", head).select("g", "logp").toArrow()
+    shared = spark.sparkContext.broadcast((top["g"].to_numpy(), top["logp"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _Lookup(*shared.value)
