@@ -72,7 +72,7 @@ def needed_words(text: str, threshold: float) -> list[str]:
     than the rest can't all be missing. Long words come first, as they are rare elsewhere.
     """
     w = words(text)
-    free, chosen, hit = (len(w) - 1) * (1 - threshold / (2 - threshold)), [], set()
+    free, chosen, hit = (len(w) - 1) * (1 - threshold / (2 - threshold)) + 1e-9, [], set()
     for word in sorted(set(w), key=lambda x: (-len(x), x)):
         if len(hit) > free:
             break
@@ -103,7 +103,8 @@ def scan_licenses(
     needed = sorted({w for _, t in templates for w in needed_words(t, threshold)})
     hint = "|".join(re.escape(w) for w in needed) or "(?!)"
     sizes = [sum(bigrams(t).values()) for _, t in templates] or [0]
-    low, high = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
+    ratio = (2 - threshold) / threshold + 1e-9  # bounds that rounding doesn't tighten
+    low, high = min(sizes) / ratio, max(sizes) * ratio
 
     text = F.lower(F.col(text_col))
     plain = docs.filter(text.rlike(hint)).select(F.col(id_col), F.regexp_replace(text, r"[^\p{L}\p{N}\n]+", " ").alias("__t"))
@@ -123,7 +124,6 @@ def scan_licenses(
     grams = sized.distinct().select(
         id_col, "unit", "a", F.explode(F.zip_with(F.slice(w, 1, F.col("a")), F.slice(w, 2, F.col("a")), lambda x, y: F.concat(x, F.lit(" "), y))).alias("gram")
     )
-    ratio = (2 - threshold) / threshold
     shared = (
         grams.join(F.broadcast(known), "gram")
         .filter((F.col("a") <= F.col("b") * ratio) & (F.col("a") * ratio >= F.col("b")))

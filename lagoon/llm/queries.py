@@ -11,6 +11,7 @@ from lagoon.llm.embedding_dedup import close_pairs
 from lagoon.llm.language_id import identify
 from lagoon.llm.license_scan import scan_licenses
 from lagoon.llm.mixing import mix_sources
+from lagoon.llm.oracles import ORACLE
 from lagoon.llm.quality import quality_filter
 from lagoon.llm.sharding import shard_by_bytes
 from lagoon.llm.simhash import near_duplicates
@@ -73,4 +74,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_brown_score, op2_quality, op3_license_scan, op4_embedding_dedup, op5_mix_sources, op6_decontaminate, op7_language_id, op8_shard_by_bytes, op9_suffix_dedup, op10_simhash)}
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
