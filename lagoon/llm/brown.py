@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lagoon.llm.heads import frequent
 from lagoon.storage import materialize
 
 #: Stands for the end of a text; no word holds white space.
@@ -199,14 +200,14 @@ def fit(
     others where they were, as distributed exchange clustering does. All other words belong to
     ``spelt`` classes by their last bytes and take part in transitions, emissions and neighbours'
     contexts as those; the end of a text has a class of its own. What is broadcast or meets on the
-    driver is bounded by these parameters: ``head`` words with counts, the class of each clustered
+    driver is bounded by these parameters: at most ``head`` words with counts, the class of each clustered
     word, and the classes' transition counts. All word counts stay a table.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = _word_counts(docs, text, spelt)
     facts = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    top = words.orderBy(F.desc("n"), "word").limit(head).select("word", "n").collect()
-    counts = {bytes(r["word"]): r["n"] for r in top}
+    top = frequent(words, "n", head).select("word", "n").toArrow()
+    counts = dict(sorted(zip(top["word"].to_pylist(), top["n"].to_pylist()), key=lambda x: (-x[1], x[0])))
     ids = {w: i for i, w in enumerate([w for w in counts if w != END][:vocabulary])}
     size = len(ids)
     contexts = _contexts(docs, text, ids, size, spelt)

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-_TUPLE = np.dtype([("at", np.int64), ("lcp", np.int16)])
+_TUPLE = np.dtype([("at", np.int32), ("lcp", np.int16)])
 
 
 class DiskQueue:
@@ -63,14 +63,15 @@ class _Shape:
 
     def __init__(self, text: np.ndarray):
         n = len(text)
-        step = np.where(text[1:] != text[:-1], np.arange(n - 1), n)
-        last = np.minimum.accumulate(step[::-1])[::-1]  # the last position of the run of equal symbols
+        here = np.arange(n - 1, dtype=np.int32)
+        last = np.where(text[1:] != text[:-1], here, np.int32(n))
+        last = np.minimum.accumulate(last[::-1])[::-1]  # the last position of the run of equal symbols
         self.text = text
         self.small = np.ones(n, dtype=bool)
-        self.small[:-1] = text[np.minimum(last + 1, n - 1)] > text[:-1]
-        self.run = np.ones(n, dtype=np.int64)
-        self.run[:-1] = last - np.arange(n - 1) + 1
-        self.lms = np.flatnonzero(self.small[1:] & ~self.small[:-1]) + 1
+        self.small[:-1] = text[np.minimum(last + np.int32(1), np.int32(n - 1))] > text[:-1]
+        self.run = np.ones(n, dtype=np.int32)
+        self.run[:-1] = last - here + 1
+        self.lms = (np.flatnonzero(self.small[1:] & ~self.small[:-1]) + 1).astype(np.int32)
 
 
 def _spread(scan: np.ndarray, lcp: np.ndarray, shape: _Shape, small: bool, carried: np.ndarray, queue: DiskQueue, cap: int) -> None:
@@ -150,13 +151,13 @@ def _induce(shape: _Shape, seeds: np.ndarray, seed_lcp: np.ndarray, symbols: int
 def _doubled(names: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes by their first ``reach`` names, and common prefixes in names: the end of the recursion."""
     n = len(names)
-    levels, width = [names.astype(np.int64)], 1
+    levels, width = [names.astype(np.int32)], 1
     while width < reach and levels[-1].max() + 1 < n:
         rank = levels[-1]
         ahead = np.zeros(n, dtype=np.int64)
         ahead[:-width or None] = rank[width:] + 1 if width < n else 0
-        _, nxt = np.unique(rank * (n + 1) + ahead, return_inverse=True)
-        levels.append(nxt.astype(np.int64))
+        _, nxt = np.unique(rank * np.int64(n + 1) + ahead, return_inverse=True)
+        levels.append(nxt.astype(np.int32))
         width *= 2
     order = np.argsort(levels[-1], kind="stable")
     i, j = order[:-1].copy(), order[1:].copy()
@@ -242,7 +243,7 @@ def suffixes(text: np.ndarray, cap: int, folder: str | None = None, memory: int
 def repeated(pieces: list[bytes], length: int, memory: int = 64 << 20) -> list[np.ndarray]:
     """For each piece, the starts of its strings of ``length`` bytes that also start elsewhere in these pieces."""
     sizes = np.array([len(p) for p in pieces])
-    text = np.zeros(int(sizes.sum()) + len(pieces) + 1, dtype=np.int32)
+    text = np.zeros(int(sizes.sum()) + len(pieces) + 1, dtype=np.int16)
     ends = np.cumsum(sizes + 1) - 1
     joined = np.frombuffer(b"\0".join(pieces) + b"\0", dtype=np.uint8)
     text[:-1] = joined

@@ -134,7 +134,7 @@ def _pieces(docs: DataFrame, text_col: str, length: int, wanted: DataFrame, most
     return texts.join(marked, "uid").select("t", "cuts").mapInArrow(take, schema)
 
 
-def repeated_starts(docs: DataFrame, text_col: str = "text", length: int = 400, shard_bytes: int = 32 << 20, hot: int = 50_000, most: int = 8_000_000) -> DataFrame:
+def repeated_starts(docs: DataFrame, text_col: str = "text", length: int = 400, shard_bytes: int = 2 << 20, hot: int = 4_000, most: int = 8_000_000) -> DataFrame:
     """``uid, spans``: for each text (by MD5) the ranges [first, last] of starts of strings that also start elsewhere.
 
     A text's strings fall into regions by their least inner hash; only regions whose hash stands at
