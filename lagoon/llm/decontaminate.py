@@ -18,8 +18,11 @@ _BLANK = bytes(32 if not (48 <= c < 58 or 97 <= c < 123 or c >= 128) else c for
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    """Lower-cased words of letters, digits and bytes beyond ASCII."""
-    return (text or b"").translate(_BLANK).split()
+    """Lower-cased (in any script) words of letters, digits and bytes beyond ASCII."""
+    text = text or b""
+    if not text.isascii():
+        text = text.decode("utf-8", "replace").lower().encode()
+    return text.translate(_BLANK).split()
 
 
 def _gram_hashes(ids: np.ndarray, n: int) -> np.ndarray:

@@ -305,6 +305,14 @@ def test_contamination(spark, edge, empty):
     assert decontaminate.drop_contaminated(frame, bench).count() == 21
 
 
+def test_contamination_in_capitals_of_any_script(spark):
+    item = "l'été où ñandú élève ça œuvre été naïve forêt über привет мир ελλάδα"
+    rows = [(1, "x " + item.upper() + " y"), (2, "été où rien d'autre ne suit ici")]
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 5)] and got[0]["score"] == 1
+
+
 # operator 1
 
 
