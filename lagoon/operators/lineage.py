@@ -62,7 +62,34 @@ def overlap_groups(sessions: DataFrame, ids: DataFrame) -> DataFrame:
 
 def bottom_k(ids: DataFrame, keys: list[str], k: int = 2048) -> DataFrame:
     """The k least hashes of each session's ids, and whether there are more: a sketch of its set."""
-    hashed = ids.select(*keys, F.xxhash64("id").alias("digest")).distinct()
+    hashed = ids.select(*keys, F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 16).alias("digest")).distinct()
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("digest"))
     size = F.count("*").over(Window.partitionBy(*keys))
     return hashed.withColumns({"__n": rank, "sampled": size > k}).filter(F.col("__n") <= k).drop("__n")
+
+
+def children_in_order(sessions: DataFrame, spawned: str) -> DataFrame:
+    """``parent, session, position``: children by when they were spawned, unknown last, then by name."""
+    by = Window.partitionBy("parent").orderBy(F.col(spawned).asc_nulls_last(), "session")
+    return sessions.filter("parent IS NOT NULL").select("parent", "session", F.row_number().over(by).cast("long").alias("position"))
+
+
+def shared_ids(ids: DataFrame, least: int = 2) -> DataFrame:
+    """Ids that at least ``least`` sessions hold, with how many do."""
+    return ids.groupBy("id").agg(F.count_distinct("session").alias("sessions")).filter(F.col("sessions") >= least)
+
+
+def inherited_owner(sessions: DataFrame, owner: str = "owner", levels: int = 32) -> DataFrame:
+    """``session, owner``: its own, or that of the nearest ancestor that has one, at most ``levels`` up; null if none has.
+
+    As in ``roots`` pointers double: a session without an owner takes what its pointer has found, or its pointer's pointer.
+    """
+    link = sessions.select("session", F.col(owner).alias("owner"), F.col("parent").alias("up"))
+    step = 1
+    while step <= levels:
+        link = materialize(link)
+        above = link.select(F.col("session").alias("__u"), F.col("owner").alias("__o"), F.col("up").alias("__p"))
+        joined = link.join(above, F.when(F.col("owner").isNull(), F.col("up")) == F.col("__u"), "left")
+        link = joined.select("session", F.coalesce("owner", "__o").alias("owner"), F.when(F.coalesce("owner", "__o").isNull(), F.col("__p")).alias("up"))
+        step *= 2
+    return link.select("session", "owner")

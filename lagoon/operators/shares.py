@@ -63,3 +63,24 @@ def allowance_shares(intervals: DataFrame, uses: DataFrame, pool: str = "pool")
     return shared.select(pool, "interval", "session", "tokens", "share").unionByName(
         unused.select(pool, "interval", F.lit(None).cast("long").alias("session"), F.lit(0).cast("long").alias("tokens"), F.col("rise").alias("share"))
     )
+
+
+def forecast(plans: DataFrame, rates: DataFrame, keys: list[str]) -> DataFrame:
+    """``need, remaining, fits``: planned lanes times the percent a lane takes against what is left of the pool.
+
+    ``plans``: keys, lanes, used (percent; whole ones may be half a point off). ``rates``: keys, low and
+    high percent of a lane. ``fits`` is yes if even the most needed fits in the least left, no if the
+    least needed is above the most left, else maybe; unmeasured where no rate is known.
+    """
+    half = F.when(F.col("used") == F.floor("used"), 0.5).otherwise(0.0)
+    met = plans.join(rates, keys, "left").withColumns({
+        "need_low": F.col("lanes") * F.col("low"), "need_high": F.col("lanes") * F.col("high"),
+        "left_low": F.greatest(F.lit(0.0), 100.0 - F.col("used") - half), "left_high": F.least(F.lit(100.0), 100.0 - F.col("used") + half),
+    })
+    fits = (
+        F.when(F.col("low").isNull() | F.col("high").isNull(), "unmeasured")
+        .when(F.col("need_high") <= F.col("left_low"), "yes")
+        .when(F.col("need_low") > F.col("left_high"), "no")
+        .otherwise("maybe")
+    )
+    return met.select(*keys, "lanes", "used", "need_low", "need_high", "left_low", "left_high", fits.alias("fits"))

@@ -118,3 +118,41 @@ def changes(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     by = recorded(*keys)
     marked = rows.withColumns({"__first": F.row_number().over(by) == 1, "__same": F.col(value).eqNullSafe(F.lag(value).over(by))})
     return marked.filter("__first OR NOT __same").drop("__first", "__same")
+
+
+def count_roles(turns: DataFrame, roles: tuple[str, ...] = ("user", "assistant", "system")) -> DataFrame:
+    """A column for each role, what has another role, and whether every turn names its role."""
+    named = [F.count_if(F.col("role") == r).alias(f"n_{r}") for r in roles]
+    other = F.count_if(F.col("role").isNotNull() & ~F.col("role").isin(*roles)).alias("n_other")
+    return turns.groupBy(*SESSION).agg(*named, other, (F.count("role") == F.count("*")).alias("complete"))
+
+
+def newest_texts(turns: DataFrame, chars: int, kinds: tuple[str, ...] = ("operator", "assistant")) -> DataFrame:
+    """The newest turn of each kind, its text cut to ``chars`` characters, in one aggregation."""
+    newest = turns.filter(F.col("kind").isin(*kinds)).groupBy(*SESSION, "kind").agg(F.max_by(F.struct("ordinal", "text"), "ordinal").alias("__t"))
+    return newest.select(*SESSION, "kind", "__t.ordinal", F.substring("__t.text", 1, chars).alias("text"), (F.char_length("__t.text") > chars).alias("cut"))
+
+
+def recent_within(turns: DataFrame, rows: int, size: int, text: str = "text") -> DataFrame:
+    """The newest turns of each session, at most ``rows``, that fit in ``size`` bytes together; ``omitted`` counts the older."""
+    by = Window.partitionBy(*SESSION).orderBy(F.desc("ordinal"))
+    sized = turns.select(*SESSION, "ordinal", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
+    counted = sized.withColumns({
+        "__n": F.row_number().over(by),
+        "__sum": F.sum("bytes").over(by.rowsBetween(Window.unboundedPreceding, 0)),
+        "__all": F.count("*").over(Window.partitionBy(*SESSION)),
+    }).filter((F.col("__n") <= rows) & (F.col("__sum") <= size))
+    kept = F.count("*").over(Window.partitionBy(*SESSION))
+    return counted.withColumn("omitted", F.col("__all") - kept).drop("__n", "__sum", "__all")
+
+
+def medians(values: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """``n, median, p90``: the mean of the two middle values, and the nearest rank at nine tenths."""
+    by = Window.partitionBy(*keys)
+    ranked = values.filter(F.col(column).isNotNull()).withColumns({"__k": F.row_number().over(by.orderBy(column)), "__n": F.count("*").over(by)})
+    middle = (2 * F.col("__k") >= F.col("__n")) & (2 * F.col("__k") <= F.col("__n") + 2) & ((F.col("__n") % 2 == 0) | (2 * F.col("__k") == F.col("__n") + 1))
+    return ranked.groupBy(*keys).agg(
+        F.max("__n").alias("n"),
+        F.avg(F.when(middle, F.col(column).cast("double"))).alias("median"),
+        F.min(F.when(10 * F.col("__k") >= 9 * F.col("__n"), F.col(column))).alias("p90"),
+    )

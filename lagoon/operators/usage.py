@@ -120,3 +120,25 @@ def reconcile(recorded: DataFrame, summed: DataFrame, keys: list[str], counter:
     both = a.join(b, keys, "full").withColumn("difference", F.col("recorded") - F.col("summed"))
     status = F.when(F.col("difference").isNull(), "unestablished").when(F.col("difference") == 0, "equal").when(F.col("difference") > 0, "total-above").otherwise("requests-above")
     return both.withColumn("status", status)
+
+
+def cache_ratios(usage: DataFrame, dims: list[str]) -> DataFrame:
+    """Cache reads and writes over all prompt tokens; null unless every request recorded all three and there are any."""
+    whole = ["input", "cache_read", "cache_write"]
+    sums = usage.groupBy(*dims).agg(*[F.sum(c).alias(c) for c in whole], F.bool_and(F.col("input").isNotNull() & F.col("cache_read").isNotNull() & F.col("cache_write").isNotNull()).alias("__all"))
+    prompt = F.col("input") + F.col("cache_read") + F.col("cache_write")
+    told = F.col("__all") & (prompt > 0)
+    return sums.select(*dims, F.when(told, F.col("cache_read") / prompt).alias("read_ratio"), F.when(told, F.col("cache_write") / prompt).alias("write_ratio"))
+
+
+def distinct_models(requests: DataFrame, keys: list[str], most: int = 32) -> DataFrame:
+    """``models`` (joined by commas, the first ``most`` by name), how many there are, and whether a session mixes them.
+
+    Models are made distinct before they are gathered; the list's length is bounded by ``most``.
+    """
+    named = requests.filter(F.col("model").isNotNull()).select(*keys, "model").distinct()
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("model"))
+    counted = named.withColumns({"__n": rank, "__all": F.count("*").over(Window.partitionBy(*keys))}).filter(F.col("__n") <= most)
+    return counted.groupBy(*keys).agg(
+        F.array_join(F.array_sort(F.collect_list("model")), ",").alias("models"), F.max("__all").alias("n_models"), (F.max("__all") > 1).alias("mixed")
+    )

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lagoon.operators import attribution, endings, lineage, listing, pairing, pricing, shares, spans, turns, usage
+from lagoon.operators import attribution, endings, evidence, lineage, listing, pairing, pricing, shares, spans, turns, usage
 from lagoon.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -594,3 +594,148 @@ def endings_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def workset_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A greedy fold over turns in order; pytest holds it against a loop."""
     return endings.lanes(tables.conversation_turns(spark, sf_dir), 600)
+
+
+@register(
+    f"""WITH {TALK} SELECT harness, session, count(*) FILTER (WHERE role = 'user') AS n_user, count(*) FILTER (WHERE role = 'assistant') AS n_assistant, count(*) FILTER (WHERE role = 'system') AS n_system,
+  count(*) FILTER (WHERE role NOT IN ('user', 'assistant', 'system')) AS n_other, count(role) = count(*) AS complete FROM talk GROUP BY harness, session"""
+)
+def turns_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.count_roles(tables.conversation_turns(spark, sf_dir))
+
+
+@register(
+    f"""WITH {TALK}, n AS (SELECT *, row_number() OVER (PARTITION BY harness, session, kind ORDER BY ordinal DESC) AS k FROM talk WHERE kind IN ('operator', 'assistant'))
+  SELECT harness, session, kind, ordinal, substring(text, 1, 60) AS text, length(text) > 60 AS cut FROM n WHERE k = 1"""
+)
+def text_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.newest_texts(tables.conversation_turns(spark, sf_dir), 60)
+
+
+@register(
+    f"""WITH {TALK}, c AS (SELECT harness, session, ordinal, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes, row_number() OVER w AS n, sum(coalesce(strlen(text), 0)) OVER w AS s, count(*) OVER (PARTITION BY harness, session) AS a
+    FROM talk WINDOW w AS (PARTITION BY harness, session ORDER BY ordinal DESC)), k AS (SELECT * FROM c WHERE n <= 4 AND s <= 600)
+  SELECT harness, session, ordinal, bytes, a - count(*) OVER (PARTITION BY harness, session) AS omitted FROM k"""
+)
+def recent_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.recent_within(tables.conversation_turns(spark, sf_dir), 4, 600)
+
+
+@register(
+    f"""WITH {TURNS}, {GAPS}, d AS (SELECT harness, session, gap FROM gaps WHERE kind = 'assistant' AND gap >= 0), r AS (SELECT *, row_number() OVER (PARTITION BY harness, session ORDER BY gap) AS k, count(*) OVER (PARTITION BY harness, session) AS n FROM d)
+  SELECT harness, session, max(n) AS n, (CAST(min(gap) FILTER (WHERE 2 * k >= n) AS DOUBLE) + min(gap) FILTER (WHERE 2 * k > n)) / 2 AS median, min(gap) FILTER (WHERE 10 * k >= 9 * n) AS p90 FROM r GROUP BY harness, session"""
+)
+def response_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.medians(turns.response_times(tables.event_turns(spark, sf_dir)), ["harness", "session"], "duration_ms")
+
+
+@register(
+    f"""WITH {REQUESTS}, s AS (SELECT session, sum(input) AS i, sum(cache_read) AS r, sum(cache_write) AS w, bool_and(input IS NOT NULL AND cache_read IS NOT NULL AND cache_write IS NOT NULL) AS a FROM requests GROUP BY session)
+  SELECT session, CASE WHEN a AND i + r + w > 0 THEN CAST(r AS DOUBLE) / CAST(i + r + w AS DOUBLE) END AS read_ratio, CASE WHEN a AND i + r + w > 0 THEN CAST(w AS DOUBLE) / CAST(i + r + w AS DOUBLE) END AS write_ratio FROM s"""
+)
+def cache_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.cache_ratios(tables.line_requests(spark, sf_dir), ["session"])
+
+
+@register(
+    f"""WITH {REQUESTS} SELECT session, array_to_string(list_sort(list(DISTINCT model)), ',') AS models, count(DISTINCT model) AS n_models, count(DISTINCT model) > 1 AS mixed FROM requests GROUP BY session"""
+)
+def distinct_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.distinct_models(tables.line_requests(spark, sf_dir), ["session"])
+
+
+@register(f"WITH {SESSIONS} SELECT parent, session, row_number() OVER (PARTITION BY parent ORDER BY last_activity NULLS LAST, session) AS position FROM sessions WHERE parent IS NOT NULL")
+def children_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.children_in_order(tables.order_sessions(spark, sf_dir), "last_activity")
+
+
+@register("SELECT l_partkey AS id, count(DISTINCT l_orderkey) AS sessions FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) >= 30")
+def shared_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session"), F.col("l_partkey").alias("id"))
+    return lineage.shared_ids(ids, 30)
+
+
+@register(
+    f"""WITH RECURSIVE {SESSIONS}, up(session, node, owner, depth) AS (SELECT s.session, s.session, CASE WHEN s.directory LIKE '1%' THEN 'k' || s.session END, 0 FROM sessions s
+    UNION ALL SELECT up.session, p.session, CASE WHEN p.directory LIKE '1%' THEN 'k' || p.session END, up.depth + 1 FROM up JOIN sessions c ON up.node = c.session JOIN sessions p ON c.parent = p.session WHERE up.owner IS NULL)
+  SELECT session, max(owner) AS owner FROM up GROUP BY session"""
+)
+def inherited_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = tables.order_sessions(spark, sf_dir).withColumn("owner", F.when(F.col("directory").startswith("1"), F.concat(F.lit("k"), F.col("session").cast("string"))))
+    return lineage.inherited_owner(sessions)
+
+
+@register(
+    """WITH d AS (SELECT DISTINCT l_suppkey AS session, substring(sha256(CAST(l_partkey AS VARCHAR)), 1, 16) AS digest FROM lineitem),
+  r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY digest) AS n, count(*) OVER (PARTITION BY session) AS a FROM d) SELECT session, digest, a > 64 AS sampled FROM r WHERE n <= 64"""
+)
+def id_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = tables.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("session"), F.col("l_partkey").alias("id"))
+    return lineage.bottom_k(ids, ["session"], 64)
+
+
+@register(
+    f"""WITH {TURNS}, {GAPS}, s AS (SELECT *, sum(CASE WHEN gap > {IDLE_MS} THEN 1 ELSE 0 END) OVER (PARTITION BY harness, session ORDER BY ordinal) AS stretch FROM gaps),
+  st AS (SELECT harness, session, CAST(stretch AS BIGINT) AS stretch, min(ts) AS first FROM s GROUP BY ALL)
+  SELECT t.harness, t.session, t.ordinal, coalesce(max(st.stretch) FILTER (WHERE st.first <= t.ts), min(st.stretch)) AS stretch FROM turns t JOIN st ON t.harness = st.harness AND t.session = st.session WHERE t.kind = 'assistant' GROUP BY 1, 2, 3"""
+)
+def stretch_of_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = tables.event_turns(spark, sf_dir)
+    asked = told.filter("kind = 'assistant'").select("harness", "session", "ordinal", F.col("ts").alias("at"))
+    return spans.stretch_of(asked, turns.stretches(told, IDLE_MS), ["harness", "session"]).drop("at")
+
+
+#: Intervals of a pool: a year of order dates each; uses are the pool's line items.
+@register(
+    """WITH iv AS (SELECT p AS pool, y AS "interval", make_timestamp(y, 1, 1, 0, 0, 0) AS s, make_timestamp(y + 1, 1, 1, 0, 0, 0) AS e, CAST(y % 5 AS DOUBLE) AS rise FROM (VALUES ('A'), ('N'), ('R')) a(p), range(1993, 1997) b(y)),
+  u AS (SELECT l_returnflag AS pool, l_orderkey AS session, l_shipdate AS at, CAST(l_quantity AS BIGINT) AS tokens FROM lineitem WHERE l_returnflag <> 'R'),
+  j AS (SELECT iv.pool, "interval", session, CAST(sum(tokens) AS BIGINT) AS tokens, max(rise) AS rise FROM iv JOIN u ON iv.pool = u.pool AND u.at > s AND u.at <= e GROUP BY 1, 2, 3)
+  SELECT pool, "interval", session, tokens, rise * tokens / CAST(sum(tokens) OVER (PARTITION BY pool, "interval") AS DOUBLE) AS share FROM j
+  UNION ALL SELECT pool, "interval", NULL, 0, rise FROM iv WHERE (pool, "interval") NOT IN (SELECT pool, "interval" FROM j)"""
+)
+def allowance_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(p, y, f"{y}-01-01", f"{y + 1}-01-01", float(y % 5)) for p in "ANR" for y in range(1993, 1997)]
+    intervals = spark.createDataFrame(rows, "pool string, interval long, s string, e string, rise double").select(
+        "pool", "interval", F.col("s").cast("timestamp_ntz").alias("start"), F.col("e").cast("timestamp_ntz").alias("end"), "rise"
+    )
+    lines = tables.table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'R'")
+    uses = lines.select(F.col("l_returnflag").alias("pool"), F.col("l_orderkey").alias("session"), F.col("l_shipdate").alias("at"), F.col("l_quantity").cast("long").alias("tokens"))
+    return shares.allowance_shares(intervals, uses)
+
+
+@register(
+    """WITH p AS (SELECT p_partkey AS pool, CAST(p_size AS BIGINT) AS lanes, p_retailprice / 20 AS used FROM part), r AS (SELECT s_suppkey AS pool, s_nationkey / 10.0::DOUBLE AS low, s_nationkey / 5.0::DOUBLE AS high FROM supplier),
+  m AS (SELECT pool, lanes, used, lanes * low AS need_low, lanes * high AS need_high, greatest(0, 100 - used - CASE WHEN used = floor(used) THEN 0.5::DOUBLE ELSE 0 END) AS left_low,
+    least(100, 100 - used + CASE WHEN used = floor(used) THEN 0.5::DOUBLE ELSE 0 END) AS left_high FROM p LEFT JOIN r USING (pool))
+  SELECT *, CASE WHEN need_low IS NULL THEN 'unmeasured' WHEN need_high <= left_low THEN 'yes' WHEN need_low > left_high THEN 'no' ELSE 'maybe' END AS fits FROM m"""
+)
+def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pool"), F.col("p_size").cast("long").alias("lanes"), (F.col("p_retailprice") / 20).alias("used"))
+    rates = tables.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pool"), (F.col("s_nationkey") / 10.0).alias("low"), (F.col("s_nationkey") / 5.0).alias("high"))
+    return shares.forecast(plans, rates, ["pool"])
+
+
+@register(
+    """WITH e AS (SELECT l_orderkey AS edit, l_partkey % 50 AS d FROM lineitem GROUP BY ALL), n AS (SELECT edit, count(*) AS n FROM e GROUP BY edit HAVING count(*) >= 2),
+  c AS (SELECT DISTINCT 'c' || (o_custkey % 40) AS sha, l_partkey % 50 AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 20 = 0),
+  m AS (SELECT e.edit, c.sha, count(*) AS common, count(*) / CAST(max(n.n) AS DOUBLE) AS overlap FROM e JOIN n USING (edit) JOIN c ON e.d = c.d GROUP BY 1, 2),
+  r AS (SELECT *, row_number() OVER (PARTITION BY edit ORDER BY overlap DESC, sha) AS k FROM m WHERE overlap >= 0.5) SELECT edit, sha, common, overlap FROM r WHERE k = 1"""
+)
+def edit_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as edits, groups of customers as commits, parts as the digests of lines."""
+    lines = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("edit"), (F.col("l_partkey") % 50).alias("d"))
+    orders = tables.table(spark, sf_dir, "orders").filter("o_orderkey % 20 = 0").select("o_orderkey", F.concat(F.lit("c"), (F.col("o_custkey") % 40).cast("string")).alias("sha"))
+    edits = lines.groupBy("edit").agg(F.collect_set("d").alias("digests"))
+    commits = lines.join(orders, F.col("edit") == F.col("o_orderkey")).groupBy("sha").agg(F.collect_set("d").alias("digests"))
+    return evidence.best_edit_commit(evidence.edit_overlap(edits, commits))
+
+
+@register(
+    f"""WITH {REQUESTS}, c AS (SELECT o_orderpriority AS directory, max(o_orderdate) AS last FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority NOT LIKE '1%' GROUP BY 1)
+  SELECT o_orderpriority AS directory, last IS NULL OR moment > last AS uncommitted, count(*) AS requests FROM requests JOIN orders ON session = o_orderkey LEFT JOIN c ON o_orderpriority = directory GROUP BY 1, 2"""
+)
+def uncommitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = tables.table(spark, sf_dir, "orders")
+    commits = orders.filter("o_orderstatus = 'F' AND o_orderpriority NOT LIKE '1%'").select(F.col("o_orderpriority").alias("directory"), F.col("o_orderdate").alias("committed_at"))
+    placed = tables.line_requests(spark, sf_dir).join(tables.order_sessions(spark, sf_dir).select("session", "directory"), "session")
+    return evidence.uncommitted(placed, commits).groupBy("directory", "uncommitted").agg(F.count("*").alias("requests"))
