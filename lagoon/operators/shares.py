@@ -48,18 +48,15 @@ def quota_chains(observations: DataFrame, pool: list[str], percent: str = "perce
 def allowance_shares(intervals: DataFrame, uses: DataFrame, pool: str = "pool") -> DataFrame:
     """Each session's part of each interval's rise, by its tokens in (start, end]; what nobody used stays without session.
 
-    Intervals of a pool follow each other, so a use belongs to the interval of the next end at or
-    after it: one ordered union instead of a range join.
+    Uses meet intervals by pool and day, so a pool that holds most of the rows is spread over its
+    days; an interval has one row for each day it touches.
     """
-    ends = intervals.select(pool, F.col("end").alias("__t"), F.lit(1).alias("__kind"), "interval", "start", "rise", F.lit(None).cast("long").alias("session"), F.lit(None).cast("long").alias("tokens"))
-    points = uses.select(pool, F.col("at").alias("__t"), F.lit(0).alias("__kind"), F.lit(None).cast("long").alias("interval"), F.lit(None).cast(intervals.schema["start"].dataType).alias("start"), F.lit(None).cast("double").alias("rise"), "session", "tokens")
-    ahead = Window.partitionBy(pool).orderBy("__t", "__kind").rowsBetween(0, Window.unboundedFollowing)
-    slot = F.first(F.when(F.col("__kind") == 1, F.struct("interval", "start", "rise")), ignorenulls=True).over(ahead)
-    placed = ends.unionByName(points).withColumn("__slot", slot).filter("__kind = 0 AND __slot IS NOT NULL AND __t > __slot.start")
-    by_session = placed.groupBy(pool, F.col("__slot.interval").alias("interval"), "session").agg(F.sum("tokens").alias("tokens"), F.max("__slot.rise").alias("rise"))
-    whole = F.sum("tokens").over(Window.partitionBy(pool, "interval"))
-    shared = by_session.withColumn("share", F.when(whole > 0, F.col("rise") * F.col("tokens") / whole))
-    unused = intervals.join(by_session.select(pool, "interval").distinct(), [pool, "interval"], "left_anti")
+    daily = intervals.select(pool, "interval", "start", "end", "rise", F.explode(F.sequence(F.to_date("start"), F.to_date("end"))).alias("__day"))
+    met = uses.withColumn("__day", F.to_date("at")).join(daily, [pool, "__day"]).filter((F.col("at") > F.col("start")) & (F.col("at") <= F.col("end")))
+    by_session = met.groupBy(pool, "interval", "session").agg(F.sum("tokens").alias("tokens"), F.max("rise").alias("rise"))
+    whole = by_session.groupBy(pool, "interval").agg(F.sum("tokens").alias("__whole"))
+    shared = by_session.join(whole, [pool, "interval"]).withColumn("share", F.when(F.col("__whole") > 0, F.col("rise") * F.col("tokens") / F.col("__whole")))
+    unused = intervals.join(whole, [pool, "interval"], "left_anti")
     return shared.select(pool, "interval", "session", "tokens", "share").unionByName(
         unused.select(pool, "interval", F.lit(None).cast("long").alias("session"), F.lit(0).cast("long").alias("tokens"), F.col("rise").alias("share"))
     )

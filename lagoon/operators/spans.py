@@ -41,8 +41,8 @@ def stretch_of(requests: DataFrame, stretches: DataFrame, keys: list[str]) -> Da
     points = requests.select(*keys, F.col("at").alias("__t"), F.lit(1).alias("__kind"), F.struct(*[F.col(c) for c in requests.columns]).alias("__row"), F.lit(None).cast("long").alias("__s"))
     starts = stretches.select(*keys, F.col("first").alias("__t"), F.lit(0).alias("__kind"), F.lit(None).cast(points.schema["__row"].dataType).alias("__row"), F.col("stretch").cast("long").alias("__s"))
     by = Window.partitionBy(*keys).orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy("__t", "__kind").rowsBetween(0, Window.unboundedFollowing)
-    seen = F.coalesce(F.last("__s", ignorenulls=True).over(by), F.first("__s", ignorenulls=True).over(after))
+    first = F.min_by("__s", F.when(F.col("__kind") == 0, F.col("__t"))).over(Window.partitionBy(*keys))
+    seen = F.coalesce(F.last("__s", ignorenulls=True).over(by), first)
     return points.unionByName(starts).withColumn("stretch", seen).filter("__kind = 1").select("__row.*", "stretch")
 
 
