@@ -175,7 +175,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, epo
     fill = one.orderBy(F.col("__limit") / F.col("__w"), "__rank")
     filled = (
         ranked.withColumn("__held", F.coalesce(F.sum("__limit").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("__free", F.sum("__w").over(fill.rowsBetween(0, Window.unboundedFollowing)))
+        .withColumn("__free", F.sum("__w").over(one) - F.coalesce(F.sum("__w").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("__level", (F.col("__total") - F.col("__held")) / F.col("__free"))
         .withColumn("__fits", F.col("__level") * F.col("__w") <= F.col("__limit"))
         .withColumn("__fitted", F.min(F.when(F.col("__fits"), F.struct(F.col("__limit") / F.col("__w"), "__rank", "__level"))).over(one))
