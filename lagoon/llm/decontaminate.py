@@ -1,4 +1,4 @@
-"""Operator 6: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment of words."""
+"""Operator 6: benchmark decontamination by seeds of word pairs, counted against what a copy keeps, and Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagoon.storage import materialize
@@ -35,68 +35,83 @@ def _gram_hashes(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 class _Seeds:
-    """Words and n-grams of the test items as sorted arrays and a fixed-size bitmap; built once in each task.
+    """N-grams of the test items as fixed-size bitmaps, one for each class of items; built once in each task.
 
-    The bitmap has 2^22 bits whatever the number of items, and word hashes are looked up in it first:
-    what passes wrongly is dropped by the exact join on the seed's hash.
+    A bitmap has 2^22 bits whatever the number of items: what passes wrongly is dropped by the exact
+    join on the seed's hash.
     """
 
-    def __init__(self, bitmap: bytes, lengths: list[int]):
-        self.bits = np.unpackbits(np.frombuffer(bitmap, dtype=np.uint8), bitorder="little").astype(bool)
-        self.lengths = lengths
+    def __init__(self, classes: list[tuple[int, int, int, int, int, bytes]]):
+        self.classes = [(*c[:-1], np.unpackbits(np.frombuffer(c[-1], dtype=np.uint8), bitorder="little").astype(bool)) for c in classes]
         self.cache: dict[bytes, int] = {}
 
-    def hits(self, tokens: list[bytes]) -> dict[int, np.ndarray]:
-        """position -> hash of every n-gram of the tokens whose bit is set, as two arrays for each length."""
+    def runs(self, tokens: list[bytes]) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """``class, start, end, hashes``: windows of the tokens in which hits lie as close as in a copy, with their hashes."""
         cache, digest = self.cache, xxhash.xxh64_intdigest
         if len(cache) > 2_000_000:
             cache.clear()
         for w in set(tokens).difference(cache):
             cache[w] = digest(w)
         ids = np.fromiter((cache[w] for w in tokens), dtype=np.uint64, count=len(tokens))
-        at, found = [], []
-        for n in self.lengths:
-            if len(ids) >= n:
-                h = _gram_hashes(ids, n)
-                where = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
-                at.append(where)
-                found.append(h[where])
-        if not at:
-            return {"at": np.empty(0, int), "hash": np.empty(0, np.uint64)}
-        at, found = np.concatenate(at), np.concatenate(found)
-        order = np.argsort(at, kind="stable")
-        return {"at": at[order], "hash": found[order]}
-
-
-def item_grams(items: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """``item, words, at, n, hash``: every n-gram of every item; an item of fewer words is one gram."""
+        made: dict[int, np.ndarray] = {}
+        for kind, n, need, near, reach, bits in self.classes:
+            if len(ids) < n:
+                continue
+            if n not in made:
+                made[n] = _gram_hashes(ids, n)
+            at = np.flatnonzero(bits[(made[n] >> np.uint64(42)).astype(np.int64)])
+            if len(at) < need:
+                continue
+            close = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] <= near)
+            if not len(close):
+                continue
+            # every hit among ``need`` close ones
+            inside = np.zeros(len(at) + 1, dtype=np.int64)
+            inside[close] += 1
+            inside[close + need] -= 1
+            at = at[np.cumsum(inside[:-1]) > 0]
+            for run in np.split(at, np.flatnonzero(np.diff(at) > reach) + 1):
+                yield kind, max(0, int(run[0]) - reach), min(len(tokens), int(run[-1]) + n + reach), np.unique(made[n][run].view(np.int64))
+
+
+def item_grams(items: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> DataFrame:
+    """``item, n, need, near, reach, class, hash``: every seed of every item, and how many of them each copy keeps.
+
+    A copy with m words matched and e edits scores m - e, at least T = threshold * words rounded up. The m
+    words stand in at most e + 1 runs, so at least m - e - 1 >= T - 1 pairs of neighbouring words
+    survive whatever the edits are, within the m + e <= 2 * words - T words that the copy covers. Where T is 1
+    the seeds are the single words. An item of fewer than ``n`` words is one gram that must stand whole.
+    """
     kind = items.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[] for _ in range(7)]
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = words_of(text)
                 if tokens:
-                    k = min(n, len(tokens))
+                    words = len(tokens)
+                    least = max(1, int(np.ceil(threshold * words - 1e-9)))
+                    k, need, reach = (words, 1, words) if words < n else (1, 1, 2 * words) if least == 1 else (2, least - 1, 2 * words - least)
                     ids = np.array([xxhash.xxh64_intdigest(w) for w in tokens], dtype=np.uint64)
-                    for at, h in enumerate(_gram_hashes(ids, k).view(np.int64).tolist()):
-                        for col, v in zip(cols, (item, len(tokens), at, k, h)):
+                    for h in _gram_hashes(ids, k).view(np.int64).tolist():
+                        # items of one gram length whose needs lie within a factor of two share a bitmap
+                        for col, v in zip(cols, (item, k, need, max(0, reach - k), reach, 64 * k + need.bit_length(), h)):
                             col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["item", "words", "at", "n", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["item", "n", "need", "near", "reach", "class", "hash"])
 
     given = items.select(F.col(id_col), F.col(text_col).cast("binary")).filter(F.col(text_col).isNotNull())
-    return given.mapInArrow(run, f"item {kind}, words long, at long, n long, hash long")
+    return given.mapInArrow(run, f"item {kind}, n long, need long, near long, reach long, class long, hash long")
 
 
-def _bitmap(grams: DataFrame) -> tuple[bytes, list[int]]:
-    """2^22 bits, set where a gram's hash begins so; made by one aggregation, at most 65 536 words of 64 bits."""
-    words = grams.select(F.expr("shiftrightunsigned(hash, 48)").alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(hash, 42) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(1 << 16, dtype=np.int64)
+def _classes(grams: DataFrame) -> list[tuple[int, int, int, int, int, bytes]]:
+    """``class, n, need, near, reach`` and 2^22 bits of each class, set where a gram's hash begins so; at most 65 536 words of 64 bits."""
+    words = grams.select("class", F.expr("shiftrightunsigned(hash, 48)").alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(hash, 42) & 63 as int))").alias("b")).groupBy("class", "w").agg(F.bit_or("b").alias("b"))
+    bounds = grams.groupBy("class", "n").agg(F.min("need"), F.max("near"), F.max("reach")).orderBy("class").collect()
+    bits = {row["class"]: np.zeros(1 << 16, dtype=np.int64) for row in bounds}
     for row in words.toLocalIterator():
-        out[row["w"]] = row["b"]
-    lengths = sorted(r["n"] for r in grams.select("n").distinct().collect())
-    return out.tobytes(), lengths
+        bits[row["class"]][row["w"]] = row["b"]
+    return [(*row, bits[row["class"]].tobytes()) for row in bounds]
 
 
 def align(window: list[bytes], item: list[bytes], match: int = 1, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int]:
@@ -134,7 +149,6 @@ def contaminated(
     items: DataFrame,
     threshold: float = 0.5,
     n: int = 3,
-    rare: float = 0.5,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
@@ -142,19 +156,18 @@ def contaminated(
 ) -> DataFrame:
     """``id_col, item_col, score, start, end``: each document that holds a copy of an item, with the best one.
 
-    Every n-gram of words of every test item is counted in all documents; the rarer ``rare`` share of
-    each item's n-grams (at least one, ties by place) are its seeds, so an item that stands in
-    many documents still has seeds. Documents are scanned for seeds, and the words around each run
-    of seed hits, the longest item's length to either side, are joined by seed hash to the items and
-    aligned word by word (Smith-Waterman: match 1, mismatch and gap -1). ``score`` is the best score over
-    the item's words: 1 for a whole copy, less for each edit; pairs from ``threshold`` on are returned,
-    ``start`` and ``end`` in words of the document. The scan's bitmap has a fixed size; the join is a
-    shuffle join. A copy is found if one of its seeds survived the edits.
+    ``score`` is the best local alignment of an item's words with the document's (Smith-Waterman: match 1,
+    mismatch and gap -1) over the item's words: 1 for a whole copy, less for each edit; pairs from
+    ``threshold`` on are returned, ``start`` and ``end`` in words of the document. Every pair of neighbouring words of
+    an item is a seed, and a document's words are aligned with an item wherever as many of its seeds lie
+    together as any copy from ``threshold`` on keeps (see ``item_grams``), so no copy is lost, however it was edited.
+    Documents are scanned once, by bitmaps of fixed size; the windows found are joined to the items by seed hash in a
+    shuffle join.
 
     Items with null or empty text match nothing, as do null and empty documents; items of fewer
-    than ``n`` words are a single seed. Repeated rows give their results once for each id.
+    than ``n`` words are a single seed that must stand whole. Repeated rows give their results once for each id.
     """
-    grams = materialize(item_grams(items, item_col, item_text, n))
+    grams = materialize(item_grams(items, item_col, item_text, n, threshold))
     if grams.isEmpty():
         return docs.select(id_col).limit(0).crossJoin(items.select(item_col).limit(0)).selectExpr(
             f"`{id_col}`", f"`{item_col}`", "cast(null as double) score", "cast(null as long) start", "cast(null as long) end"
@@ -162,55 +175,33 @@ def contaminated(
     kind = docs.schema[id_col].dataType.simpleString()
     given = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("__text")).filter(F.col(text_col).isNotNull())
 
-    every = _bitmap(grams)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, held = _Seeds(*every), []
-        for batch in batches:
-            held += [np.unique(seeds.hits(words_of(x))["hash"]) for x in batch.column(1).to_pylist()]
-            if sum(map(len, held)) > 1_000_000:
-                h, c = np.unique(np.concatenate(held), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["hash", "docs"])
-                held = []
-        if held:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["hash", "docs"])
-
-    frequency = given.mapInArrow(count, "hash long, docs long").groupBy("hash").agg(F.sum("docs").alias("docs"))
-    by_rarity = Window.partitionBy("item").orderBy("docs", "at")
-    seeds = materialize(
-        grams.join(frequency, "hash", "left")
-        .withColumn("docs", F.coalesce("docs", F.lit(0)))
-        .withColumn("rank", F.row_number().over(by_rarity))
-        .filter(F.col("rank") <= F.greatest(F.lit(1), F.ceil((F.col("words") - F.col("n") + 1) * rare)))
-        .select("hash", "item", "n", "words")
-    )
-    chosen = _bitmap(seeds)
-    reach = seeds.agg(F.max("words")).first()[0]
+    classes = _classes(grams)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _Seeds(*chosen)
+        found = _Seeds(classes)
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = words_of(text)
-                hit = found.hits(tokens)
-                at, hashes = hit["at"], hit["hash"].view(np.int64)
-                if not len(at):
-                    continue
-                for run in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > reach) + 1):
-                    a, b = max(0, int(at[run[0]]) - reach), min(len(tokens), int(at[run[-1]]) + n + reach)
-                    for col, v in zip(out, (doc, a, b" ".join(tokens[a:b]), np.unique(hashes[run]).tolist())):
+                for group, a, b, hashes in found.runs(tokens):
+                    for col, v in zip(out, (doc, group, a, b" ".join(tokens[a:b]), hashes.tolist())):
                         col.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], batch.column(0).type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64()))],
-                names=[id_col, "offset", "window", "hashes"],
+                [pa.array(out[0], batch.column(0).type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.list_(pa.int64()))],
+                names=[id_col, "class", "offset", "window", "hashes"],
             )
 
-    met = materialize(given.mapInArrow(windows, f"`{id_col}` {kind}, offset long, window binary, hashes array<long>").withColumn("w", F.monotonically_increasing_id()))
-    pairs = met.select("w", F.explode("hashes").alias("hash")).join(seeds, "hash").groupBy("w", "item").agg(F.count("*").alias("seeds"))
+    met = materialize(given.mapInArrow(windows, f"`{id_col}` {kind}, class long, offset long, window binary, hashes array<long>").withColumn("w", F.monotonically_increasing_id()))
+    pairs = (
+        met.select("w", "class", F.explode("hashes").alias("hash"))
+        .join(grams.select("class", "hash", "item", "need"), ["class", "hash"])
+        .groupBy("w", "item")
+        .agg(F.count("*").alias("seeds"), F.min("need").alias("need"))
+        .filter("seeds >= need")
+        .select("w", "item")
+    )
     texts = items.select(F.col(item_col).alias("item"), F.col(item_text).cast("binary").alias("item_text")).filter("item_text IS NOT NULL").distinct()
-    candidates = pairs.join(met.drop("hashes"), "w").join(texts, "item").select(id_col, "offset", "window", "item", "item_text")
+    candidates = pairs.join(met.select("w", id_col, "offset", "window"), "w").join(texts, "item").select(id_col, "offset", "window", "item", "item_text")
     item_kind = items.schema[item_col].dataType.simpleString()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

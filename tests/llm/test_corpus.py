@@ -305,6 +305,38 @@ def test_contamination(spark, edge, empty):
     assert decontaminate.drop_contaminated(frame, bench).count() == 21
 
 
+def test_contamination_finds_edited_copies_of_every_score(spark):
+    """Against alignment of every document with every item: copies with more and more edits of each kind."""
+    rng = random.Random(31)
+    stock = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    items = [rng.sample(stock, w) for w in (3, 4, 5, 8, 12, 20, 20, 37, 59)]
+
+    def noise(n=40):
+        return [rng.choice(stock) for _ in range(n)]
+
+    rows = []
+    for item in items:
+        for edits in range(len(item) // 2 + 1):
+            for _ in range(3):
+                copy = [[w] for w in item]
+                for at in rng.sample(range(len(item)), edits):
+                    copy[at] = rng.choice(([f"new{at}"], [], [*copy[at], f"new{at}"]))
+                rows.append(noise() + [w for part in copy for w in part] + noise())
+        # a word put in after every second one leaves no three words in a row
+        rows.append([x for k, w in enumerate(item) for x in ((w, f"odd{k}") if k % 2 else (w,))])
+    rows += [items[6]] * 5
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    frame = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(rows)], "doc_id long, text string")
+    expected = {}
+    for d, row in enumerate(rows):
+        for i, item in enumerate(items):
+            score = decontaminate.align([w.encode() for w in row], [w.encode() for w in item])[0] / len(item)
+            if score >= 0.5:
+                expected[d, i] = score
+    assert any(0.5 <= x < 0.6 for x in expected.values()) and 1 in expected.values()
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(frame, bench).collect()} == expected
+
+
 def test_contamination_in_capitals_of_any_script(spark):
     item = "l'été où ñandú élève ça œuvre été naïve forêt über привет мир ελλάδα"
     rows = [(1, "x " + item.upper() + " y"), (2, "été où rien d'autre ne suit ici")]
