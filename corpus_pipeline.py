@@ -9,6 +9,7 @@ from lagoon.llm.decontaminate import drop_contaminated
 from lagoon.llm.language_id import identify
 from lagoon.llm.mixing import mix_rows
 from lagoon.llm.sharding import shard_by_bytes
+from lagoon.llm.similar import drop_similar
 from lagoon.llm.simhash import near_duplicates
 from lagoon.session import table
 from lagoon.storage import materialize
@@ -34,6 +35,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.unionByName(docs.filter("doc_id IS NULL").dropDuplicates(["text"]))
 
 
+def similar_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the rows that ``near_dedup`` keeps, one of each group of texts whose five-word shingles have Jaccard similarity 0.8 or more.
+
+    Three bits of a fingerprint join only texts that are much closer than that.
+    """
+    return drop_similar(near_dedup(spark, docs, sf_dir))
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a copy of a test item (operator 6)."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -49,7 +58,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shard_by_bytes(docs)
 
 
-STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
+STAGES = [("language", language), ("near_dedup", similar_dedup), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
 
 #: The stages hold learned models and hash selections that SQL can't express; tests hold each against brute force.
 ORACLE_SQL = None

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lagoon.llm import brown, decontaminate, embedding_dedup, induced_sort, language_id, license_scan, mixing, quality, sharding, simhash, suffix_dedup
+from lagoon.llm import brown, decontaminate, embedding_dedup, induced_sort, language_id, license_scan, mixing, quality, sharding, similar, simhash, suffix_dedup
 from lagoon.session import table
 
 DATA = "/root/testdata/sf0.001"
@@ -468,6 +468,50 @@ def test_pipeline_stages(spark, docs, texts, edge):
     assert corpus_pipeline.STAGES[-1][1](spark, out, DATA).count() == out.count()
 
 
+def shingles(text, n=5):
+    w = words(text)
+    return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b) if a and b else False
+
+
+def test_similar_links_are_exact(spark):
+    """Against all pairs, in small groups and in ones too large for all pairs at once."""
+    rng = random.Random(17)
+    stock = [f"w{k}" for k in range(500)]
+    texts = ["", None, "one", "One", "a b c d e"]
+    for n in (7, 60, 200):
+        for _ in range(3):
+            base = [rng.choice(stock) for _ in range(n)]
+            for edits in range(13):
+                copy = list(base)
+                for at in rng.sample(range(n), edits // 3):
+                    copy[at] = rng.choice(stock)
+                texts.append(" ".join(copy))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = [shingles(t) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if alike(held[a], held[b])]
+    least = {}
+    for node, component in groups_of(links, range(len(texts))).items():
+        least[component] = min(node, least.get(component, node))
+    assert len(links) > 100 and 0 < sum(alike(a, b) != (a == b) for a in held for b in held)
+    made = frame.select(F.col("doc_id").alias("__row"), F.col("text").cast("binary").alias("__text"))
+    for small in (20, 3):
+        got = {(r["src"], r["dst"]) for r in similar.similar_links(made, small=small).collect()}
+        assert got <= {(b, a) for a, b in links}
+        assert groups_of(list(got), range(len(texts))) == groups_of(links, range(len(texts)))
+    assert {r["doc_id"] for r in similar.drop_similar(frame).collect()} == set(least.values())
+
+
+def test_pipeline_keeps_no_similar_texts(spark, docs, edge, empty):
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    kept = [shingles(r["text"]) for r in stage(spark, docs, DATA).collect()]
+    assert not any(alike(a, b) for k, a in enumerate(kept) for b in kept[:k])
+    assert stage(spark, empty, DATA).count() == 0 and stage(spark, edge, DATA).columns == edge.columns
+
+
 def test_pipeline_runs(spark):
     rows = corpus_pipeline.run(spark, DATA).collect()
     slots = Counter(r["shard"] for r in rows)
