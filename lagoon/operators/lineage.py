@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagoon.operators.components import connected_components
-from lagoon.storage import materialize
+from lagoon.storage import discard, materialize
 
 
 def roots(sessions: DataFrame, levels: int = 32) -> DataFrame:
@@ -39,6 +39,27 @@ def family(edges: DataFrame, start: DataFrame, members: int = 2000, rounds: int
     return seen
 
 
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """``session, depth``: all that descend from the ``start`` sessions, at their least depth, however deep; one parent for each session.
+
+    As in ``roots`` pointers double. An ancestor between a session and its start is found in an earlier round or
+    the same, so a round that finds nothing is the last, in circles too.
+    """
+    begun = start.select(F.col("session").alias("__b")).distinct()
+    known = edges.select("session", F.col("parent").alias("up")).join(begun, F.col("session") == F.col("__b"), "full")
+    link = materialize(known.select(F.coalesce("session", "__b").alias("session"), "up", F.when(F.col("__b").isNotNull(), F.lit(0).cast("long")).alias("depth")))
+    step, seen = 1, -1
+    while (found := link.filter("depth IS NOT NULL").count()) != seen:
+        seen = found
+        above = link.select(F.col("session").alias("__u"), F.col("depth").alias("__d"), F.col("up").alias("__p"))
+        joined = link.join(above, F.when(F.col("depth").isNull(), F.col("up")) == F.col("__u"), "left")
+        far = F.coalesce("depth", F.col("__d") + step)
+        old, link = link, materialize(joined.select("session", F.when(far.isNull(), F.col("__p")).alias("up"), far.alias("depth")))
+        discard(old)
+        step *= 2
+    return link.filter("depth IS NOT NULL").select("session", F.col("depth").cast("int").alias("depth"))
+
+
 def lineage_counts(sessions: DataFrame) -> DataFrame:
     """Children of each parent, and how many of its parents are recorded themselves."""
     known = sessions.select(F.col("session").alias("__s"))
@@ -79,17 +100,19 @@ def shared_ids(ids: DataFrame, least: int = 2) -> DataFrame:
     return ids.groupBy("id").agg(F.count_distinct("session").alias("sessions")).filter(F.col("sessions") >= least)
 
 
-def inherited_owner(sessions: DataFrame, owner: str = "owner", levels: int = 32) -> DataFrame:
-    """``session, owner``: its own, or that of the nearest ancestor that has one, at most ``levels`` up; null if none has.
+def inherited_owner(sessions: DataFrame, owner: str = "owner", levels: int | None = None) -> DataFrame:
+    """``session, owner``: its own, or that of the nearest ancestor that has one, however far or at most ``levels`` up; null if none has.
 
-    As in ``roots`` pointers double: a session without an owner takes what its pointer has found, or its pointer's pointer.
+    As in ``roots`` pointers double: a session without an owner takes what its pointer has found, or its pointer's pointer,
+    until a round finds no owner.
     """
-    link = sessions.select("session", F.col(owner).alias("owner"), F.col("parent").alias("up"))
-    step = 1
-    while step <= levels:
-        link = materialize(link)
+    link = materialize(sessions.select("session", F.col(owner).alias("owner"), F.col("parent").alias("up")))
+    step, seen = 1, -1
+    while (levels is None or step <= levels) and (found := link.filter("owner IS NOT NULL").count()) != seen:
+        seen = found
         above = link.select(F.col("session").alias("__u"), F.col("owner").alias("__o"), F.col("up").alias("__p"))
         joined = link.join(above, F.when(F.col("owner").isNull(), F.col("up")) == F.col("__u"), "left")
-        link = joined.select("session", F.coalesce("owner", "__o").alias("owner"), F.when(F.coalesce("owner", "__o").isNull(), F.col("__p")).alias("up"))
+        old, link = link, materialize(joined.select("session", F.coalesce("owner", "__o").alias("owner"), F.when(F.coalesce("owner", "__o").isNull(), F.col("__p")).alias("up")))
+        discard(old)
         step *= 2
     return link.select("session", "owner")

@@ -482,7 +482,7 @@ def root_of_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def family_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     sessions = tables.order_sessions(spark, sf_dir).select("session", "parent")
-    return lineage.family(sessions, sessions.filter("parent IS NULL AND session % 10 = 0"), members=1 << 40, rounds=64)
+    return lineage.closure(sessions, sessions.filter("parent IS NULL AND session % 10 = 0"))
 
 
 @register(f"WITH {SESSIONS} SELECT parent, count(*) AS children, true AS resolved FROM sessions WHERE parent IS NOT NULL GROUP BY parent")

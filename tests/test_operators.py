@@ -244,3 +244,15 @@ def test_hours_past_midnight(spark, start, end, minute, day, inside):
     at = T0 + timedelta(days=day, minutes=minute)  # a Monday and later
     got = spark.createDataFrame([(at,)], "t timestamp_ntz").select(pricing.in_hours(F.col("t"), start, end, (0, 1, 2, 3, 4)).alias("x")).first()["x"]
     assert got is inside
+
+
+def test_long_chains_have_no_bound(spark):
+    """A chain of 150, one that starts in its middle, and a circle."""
+    rows = [(k, k - 1 if k else None) for k in range(150)] + [(200, 201), (201, 202), (202, 200), (300, 299)]
+    sessions = frame(spark, rows, "session long, parent long")
+    start = spark.createDataFrame([(0,), (120,), (201,), (400,)], "session long")
+    got = {r["session"]: r["depth"] for r in lineage.closure(sessions, start).collect()}
+    assert got == {k: k if k < 120 else k - 120 for k in range(150)} | {201: 0, 200: 1, 202: 2, 400: 0}
+    owned = sessions.withColumn("owner", F.when(F.col("session").isin(0, 130, 202), F.concat(F.lit("k"), F.col("session").cast("string"))))
+    got = {r["session"]: r["owner"] for r in lineage.inherited_owner(owned).collect()}
+    assert got == {k: "k0" if k < 130 else "k130" for k in range(150)} | {200: "k202", 201: "k202", 202: "k202", 300: None}
