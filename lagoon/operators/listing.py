@@ -64,7 +64,7 @@ def resolve(sessions: DataFrame, query: str) -> DataFrame:
     found = sessions.withColumn("__class", exact).filter("__class IS NOT NULL")
     best = found.agg(F.min("__class").alias("__best"))
     chosen = found.join(F.broadcast(best), F.col("__class") == F.col("__best")).drop("__class", "__best")  # best is one row
-    return chosen.withColumn("matches", F.count("*").over(Window.partitionBy(F.lit(0))))
+    return chosen.crossJoin(F.broadcast(chosen.agg(F.count("*").alias("matches"))))  # the count is one row
 
 
 def search_tail(turns: DataFrame, needle: str, tail: int = 32) -> DataFrame:

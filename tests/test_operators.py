@@ -256,3 +256,11 @@ def test_long_chains_have_no_bound(spark):
     owned = sessions.withColumn("owner", F.when(F.col("session").isin(0, 130, 202), F.concat(F.lit("k"), F.col("session").cast("string"))))
     got = {r["session"]: r["owner"] for r in lineage.inherited_owner(owned).collect()}
     assert got == {k: "k0" if k < 130 else "k130" for k in range(150)} | {200: "k202", 201: "k202", 202: "k202", 300: None}
+
+
+def test_resolve_counts_without_one_task_for_all(spark):
+    data = frame(spark, [("h", k) for k in (1, 12, 120, 129, 13)], "harness string, session long")
+    found = listing.resolve(data, "12")
+    assert [(r["session"], r["matches"]) for r in found.collect()] == [(12, 1)]
+    assert {(r["session"], r["matches"]) for r in listing.resolve(data, "1").union(listing.resolve(data, "13")).collect()} == {(1, 1), (13, 1)}
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
