@@ -10,13 +10,38 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_MADE: list[str] = []
+
+
+def made_so_far() -> int:
+    """How many tables were written; ``sweep`` deletes those after such a mark."""
+    return len(_MADE)
+
+
+def sweep(spark: SparkSession, mark: int, keep: DataFrame | None = None) -> None:
+    """Delete the tables written since ``mark`` whose readers are done, but for the files of ``keep``."""
+    kept = {x.rsplit("/", 1)[0] for x in keep.inputFiles()} if keep is not None else set()
+    held = []
+    for path in _MADE[mark:]:
+        if any(k.endswith(path.rsplit("/", 1)[1]) for k in kept):
+            held.append(path)
+        else:
+            _delete(spark, path)
+    _MADE[mark:] = held
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests), one made for this process."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset and Spark is local (tests), one made for this process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="lagoon-"))
         atexit.register(shutil.rmtree, _OWN[0], True)
@@ -32,14 +57,12 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lagoon-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by ``materialize`` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        if path.getName().startswith("lagoon-"):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if f.rsplit("/", 1)[1].startswith("lagoon-"):
+            _delete(df.sparkSession, f)
