@@ -226,7 +226,8 @@ def contaminated(
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", **names: str) -> DataFrame:
-    """``docs`` without the rows that hold a copy of a test item; all columns as they were, null ids kept."""
-    bad = contaminated(docs, items, threshold, id_col=id_col, **names).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["__bad"], "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, text_col: str = "text", **names: str) -> DataFrame:
+    """``docs`` without the rows whose own text holds a copy of a test item; all columns as they were, whatever the ids are."""
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    bad = contaminated(numbered, items, threshold, id_col="__row", text_col=text_col, **names).select("__row").distinct()
+    return numbered.join(bad, "__row", "left_anti").drop("__row")

@@ -167,8 +167,9 @@ def identify(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
+    names: tuple[str, str, str] = ("held_out", "lang_pred", "score"),
 ) -> DataFrame:
-    """``docs`` with ``held_out, lang_pred, score``: the language of every whole text.
+    """``docs`` with three columns more, ``held_out, lang_pred, score`` if not named otherwise: the language of every whole text.
 
     The model learns from rows with text and language whose crc32 of the id as text leaves a
     remainder other than 0 by ``holdout``; it is fitted on a sample of about ``per_language`` of them
@@ -197,11 +198,10 @@ def identify(
             rest = [i for i in range(batch.num_columns) if batch.schema.field(i).name not in ("__text", "__letters")]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in rest), pa.array(langs, pa.string()), pa.array(scores)],
-                names=[*(batch.schema.field(i).name for i in rest), "lang_pred", "score"],
+                names=[*(batch.schema.field(i).name for i in rest), *names[1:]],
             )
 
-    new = ("held_out", "lang_pred", "score")
-    kept = docs.select(*[c for c in docs.columns if c not in new], held.alias("held_out"))
+    kept = docs.select(*[c for c in docs.columns if c not in names], held.alias(names[0]))
     given = kept.withColumns({"__text": F.col(text_col).cast("binary"), "__letters": F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))})
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*kept.schema.fields, T.StructField(names[1], T.StringType()), T.StructField(names[2], T.DoubleType())])
     return given.mapInArrow(run, schema)

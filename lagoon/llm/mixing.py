@@ -188,8 +188,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, epo
     )
 
 
-def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with ``copy`` from 1.
+def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", copy_col: str = "copy", **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with ``copy_col`` from 1 (a column of that name is replaced).
 
     A row is written as many times as whole sizes were taken of it; what is left of a size counts as
     a whole with the chance that is left, by a seeded hash of the row, so each source's words stay
@@ -208,4 +208,4 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         .select("__id", "__n")
     )
     joined = docs.join(times, docs[id_col].eqNullSafe(times["__id"])).drop("__id")
-    return joined.withColumn("copy", F.explode(F.expr("sequence(1, cast(__n as int))"))).drop("__n")
+    return joined.withColumn(copy_col, F.explode(F.expr("sequence(1, cast(__n as int))"))).drop("__n")

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagoon.llm.decontaminate import _gram_hashes
-from lagoon.llm.simhash import _last_start
+from lagoon.llm.simhash import _last_start, near_duplicates
 from lagoon.operators.components import connected_components
-from lagoon.storage import materialize
+from lagoon.storage import discard, made_so_far, materialize, sweep
 
 PARTS = "spark.sql.shuffle.partitions"
 
@@ -68,23 +68,31 @@ def similar_links(texts: DataFrame, least: float = 0.8, words: int = 5, small: i
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        begun = False  # whether the rows held go on with a group whose first row leads them
         for batch in batches:
             held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
-            if sum(x.shape[1] for x in held) >= 200_000:
-                rows = np.concatenate(held, axis=1)
-                cut = _last_start(rows[0])
-                if cut:
-                    yield from met(rows[:, :cut])
-                held = [rows[:, cut:]]
+            if sum(x.shape[1] for x in held) < 200_000:
+                continue
+            rows = np.concatenate(held, axis=1)
+            cut = _last_start(rows[0])
+            if cut:
+                yield from met(rows[:, :cut], begun)
+                held, begun = [rows[:, cut:]], False
+            else:  # one group fills the buffer: its first row is kept to meet the rest
+                yield from met(rows, True, not begun)
+                held, begun = [rows[:, :1]], True
         if held:
-            yield from met(np.concatenate(held, axis=1))
+            yield from met(np.concatenate(held, axis=1), begun)
 
-    def met(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def met(rows: np.ndarray, begun: bool, lead: bool = False) -> Iterator[pa.RecordBatch]:
+        """Candidates of whole groups; where ``begun``, the first group is a piece of a large one and its first row was given unless it is the ``lead``."""
         token, size, row = rows
         first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         count = np.diff(np.append(first, len(token)))
         group = np.repeat(first, count)
         large = np.repeat(count > small, count)
+        if begun:
+            large[: count[0]] = True
         near = []
         # rows of a group stand by size: each is met with the k-th after it
         for k in range(1, min(small, int(count.max()))):
@@ -96,6 +104,8 @@ def similar_links(texts: DataFrame, least: float = 0.8, words: int = 5, small: i
         pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1) if len(x) else np.empty((2, 0), dtype=np.int64)
         names = ["src", "dst", "token", "size"]
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(len(pairs[0]), pa.int64()), pa.nulls(len(pairs[0]), pa.int64())], names=names)
+        if begun and not lead:
+            large[0] = False
         yield pa.RecordBatch.from_arrays([pa.array(row[large]), pa.nulls(int(large.sum()), pa.int64()), pa.array(token[large]), pa.array(size[large])], names=names)
 
     keyed = texts.select("__row", "__text").mapInArrow(prefixes, "token long, size long, row long")
@@ -119,8 +129,8 @@ def similar_links(texts: DataFrame, least: float = 0.8, words: int = 5, small: i
 
 def _checked(texts: DataFrame, pairs: DataFrame, least: float, words: int) -> DataFrame:
     """The ``pairs`` whose whole shingle sets are similar enough."""
-    pairs = materialize(pairs)
-    named = pairs.select(F.col("src").alias("__row")).unionByName(pairs.select(F.col("dst").alias("__row"))).distinct()
+    near = _sketched(texts, pairs, least, words)
+    named = near.select(F.col("src").alias("__row")).unionByName(near.select(F.col("dst").alias("__row"))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,19 +147,99 @@ def _checked(texts: DataFrame, pairs: DataFrame, least: float, words: int) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
     held = materialize(texts.join(named, "__row", "left_semi").select("__row", "__text").mapInArrow(sets, "row long, held binary"))
-    both = pairs.join(held.select(F.col("row").alias("src"), F.col("held").alias("a")), "src").join(held.select(F.col("row").alias("dst"), F.col("held").alias("b")), "dst")
+    both = near.join(held.select(F.col("row").alias("src"), F.col("held").alias("a")), "src").join(held.select(F.col("row").alias("dst"), F.col("held").alias("b")), "dst")
     return both.select("src", "dst", "a", "b").mapInArrow(check, "src long, dst long")
 
 
+def parity_sketch(held: np.ndarray) -> bytes:
+    """One bit for each value of the low bits of the hashes: whether an odd number of the set has it. 4 to 8 bits a shingle, 1,024 at least."""
+    bits = max(1024, 1 << int(4 * len(held) - 1).bit_length())
+    odd = np.bincount((held & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_allows(a: bytes, b: bytes, n: int, m: int, least: float) -> bool:
+    """False only where sets of ``n`` and ``m`` shingles can't be that similar.
+
+    The sketches differ in no more bits than the sets do in shingles, and similar sets differ in at most
+    (1 - least) / (1 + least) of their sizes. The longer sketch is folded to the shorter one's width.
+    """
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    if len(x) > len(y):
+        x, y = y, x
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum()) <= (1 - least) / (1 + least) * (n + m) + 1e-9
+
+
+def _sketched(texts: DataFrame, pairs: DataFrame, least: float, words: int) -> DataFrame:
+    """The ``pairs`` whose parity sketches allow the similarity: whole sets are an order larger and few pairs need them."""
+    pairs = materialize(pairs)
+    named = pairs.select(F.col("src").alias("__row")).unionByName(pairs.select(F.col("dst").alias("__row"))).distinct()
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [shingle_set(x, words) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in held], pa.int64()), pa.array([parity_sketch(x) for x in held], pa.binary())], names=["row", "n", "bits"])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fits = [sketch_allows(*x, least) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(fits, pa.bool_()))
+
+    drawn = materialize(texts.join(named, "__row", "left_semi").select("__row", "__text").mapInArrow(draw, "row long, n long, bits binary"))
+    both = pairs.join(drawn.select(F.col("row").alias("src"), F.col("n").alias("n"), F.col("bits").alias("a")), "src").join(
+        drawn.select(F.col("row").alias("dst"), F.col("n").alias("m"), F.col("bits").alias("b")), "dst"
+    )
+    near = materialize(both.select("src", "dst", "a", "b", "n", "m").mapInArrow(keep, "src long, dst long"))
+    discard(drawn)
+    discard(pairs)
+    return near
+
+
+def similar_groups(texts: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
+    """``node, component``: the rows that similar texts connect, each with the smallest row of its group."""
+    return connected_components(similar_links(texts, least, words))
+
+
+def without_repeats(numbered: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``numbered`` (with a distinct ``__row``) less all but one row of each group of ``groups`` (``node, component``).
+
+    The row of the smallest id stays, null last; among rows of one id the one with the least hash of its columns.
+    The hot side of a join is never a group: rows to drop are found by their own number.
+    """
+    plain = [c for c in numbered.columns if c != "__row" and "map<" not in numbered.schema[c].dataType.simpleString() and "variant" not in numbered.schema[c].dataType.simpleString()]
+    who = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(*[F.col(c) for c in plain]), "__row")
+    named = groups.join(numbered.select("__row", who.alias("__who")), F.col("node") == F.col("__row"))
+    stays = named.groupBy("component").agg(F.min("__who").alias("__least")).select(F.col("__least.__row").alias("node"))
+    gone = materialize(groups.select("node").join(stays, "node", "left_anti").select(F.col("node").alias("__row")))
+    return numbered.join(gone, "__row", "left_anti")
+
+
 def drop_similar(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group that similar texts connect: that of the smallest id, null last.
 
     Texts without words are like no other and stay.
     """
     numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    return _less_similar(numbered, least, words, id_col, text_col).drop("__row")
+
+
+def _less_similar(numbered: DataFrame, least: float, words: int, id_col: str, text_col: str) -> DataFrame:
     texts = numbered.select("__row", F.col(text_col).cast("binary").alias("__text"))
-    groups = connected_components(similar_links(texts, least, words))
-    named = materialize(groups.join(numbered.select("__row", F.col(id_col).alias("__id")), F.col("node") == F.col("__row")).select("component", F.struct(F.col("__id").isNull(), "__id", "__row").alias("__who")))
-    kept = named.groupBy("component").agg(F.min("__who").alias("__least"))
-    gone = named.join(kept, "component").filter("__who != __least").select(F.col("__who.__row").alias("__row"))
-    return numbered.join(gone, "__row", "left_anti").drop("__row")
+    return without_repeats(numbered, similar_groups(texts, least, words), id_col)
+
+
+def drop_near_duplicates(docs: DataFrame, least: float = 0.8, words: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates; rows are told apart by themselves, not by their ids.
+
+    First the groups of fingerprints within ``budget`` bits (the trie self-join of operator 10, over shingles of
+    ``words`` words), then, among the rows left, those of Jaccard similarity ``least`` or more. Null and empty texts
+    share fingerprint 0: one of them stays. Of each group the row of the smallest id stays, null last.
+    """
+    mark = made_so_far()
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    alike = near_duplicates(numbered, budget, words, id_col="__row", text_col=text_col)
+    groups = materialize(alike.select(F.col("__row").alias("node"), F.col("component_id").alias("component")))
+    once = materialize(without_repeats(numbered, groups, id_col))
+    sweep(docs.sparkSession, mark, once)
+    return _less_similar(once, least, words, id_col, text_col).drop("__row")

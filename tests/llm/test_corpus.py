@@ -453,21 +453,78 @@ def test_needed_words_are_in_every_match():
 # pipeline
 
 
+def rows_of(frame):
+    return Counter(tuple(r) for r in frame.collect())
+
+
 def test_pipeline_stages(spark, docs, texts, edge):
     kept = corpus_pipeline.language(spark, docs, DATA)
     assert kept.columns == docs.columns and kept.count() == len(texts)
-    once = corpus_pipeline.near_dedup(spark, docs, DATA)
-    assert {r["doc_id"] for r in once.collect()} == {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
     clean = corpus_pipeline.decontaminate(spark, docs, DATA)
     bad = {r["doc_id"] for r in decontaminate.contaminated(docs, table(spark, DATA, "benchmark")).collect()}
     assert {r["doc_id"] for r in clean.collect()} == set(texts) - bad
-    out = edge
+    out, given = edge, {tuple(v for c, v in r.asDict().items() if c != "lang") for r in edge.collect()}
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, out, DATA)
         assert out.columns == edge.columns
+        # no column is changed but the language
+        assert {tuple(v for c, v in r.asDict().items() if c != "lang") for r in out.collect()} <= given
     assert corpus_pipeline.STAGES[-1][1](spark, out, DATA).count() == out.count()
 
 
+def test_near_dedup_goes_by_rows_not_ids(spark):
+    """Against all pairs of rows: rows that share an id or have none but hold other texts all stay."""
+    rng = random.Random(23)
+    stock = [f"w{k}" for k in range(300)]
+    rows = [(1, None), (2, ""), (None, ""), (7, "one two")]
+    for k in range(12):
+        base = [rng.choice(stock) for _ in range(80)]
+        for edits in (0, 0, 1, 2, 9):
+            copy = list(base)
+            for at in rng.sample(range(80), edits):
+                copy[at] = rng.choice(stock)
+            rows.append((rng.choice([None, 5, 6, 100 + len(rows)]), " ".join(copy)))
+    frame = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, at int")
+    held, prints = [shingles(t) for _, t in rows], [simhash.fingerprint((t or "").encode(), 5) for _, t in rows]
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3]
+
+    def first(group):
+        return min(group, key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+
+    def kept(links, nodes):
+        members = {}
+        for node, component in groups_of(links, nodes).items():
+            members.setdefault(component, []).append(node)
+        return members.values()
+
+    got = {r["at"] for r in corpus_pipeline.near_dedup(spark, frame, DATA).collect()}
+    groups = list(kept(near + [(a, b) for a in range(len(rows)) for b in range(a) if alike(held[a], held[b])], range(len(rows))))
+    assert all(len(got & set(g)) == 1 for g in groups)
+    assert all(rows[next(iter(got & set(g)))][0] == rows[first(g)][0] for g in groups)
+
+
+def test_decontamination_goes_by_rows_not_ids(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda my ny xi"
+    rows = [(None, "x " + item), (None, "clean text of none"), (3, item + " y"), (3, "another clean text")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontaminate.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert rows_of(left) == Counter([rows[1], rows[3]])
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 40, 900, 3000):
+        for share in (0.0, 0.05, 0.1, 0.2, 0.5):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            b = np.unique(np.concatenate((a[int(share * n) :], rng.integers(0, 2**64, int(share * n / 2), dtype=np.uint64))))
+            if not len(b):
+                continue
+            both = len(np.intersect1d(a, b))
+            allowed = similar.sketch_allows(similar.parity_sketch(a), similar.parity_sketch(b), len(a), len(b), 0.8)
+            assert allowed or both < 0.8 * (len(a) + len(b) - both)
+            assert not allowed or share < 0.5 or n < 40
+
+
 def shingles(text, n=5):
     w = words(text)
     return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
