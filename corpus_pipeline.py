@@ -9,38 +9,23 @@ from lagoon.llm.decontaminate import drop_contaminated
 from lagoon.llm.language_id import identify
 from lagoon.llm.mixing import mix_rows
 from lagoon.llm.sharding import shard_by_bytes
-from lagoon.llm.similar import drop_similar
-from lagoon.llm.simhash import near_duplicates
+from lagoon.llm.similar import drop_near_duplicates
 from lagoon.session import table
-from lagoon.storage import materialize
+from lagoon.storage import made_so_far, materialize, sweep
 
 #: Least score of a predicted language; texts without letters have none.
 MIN_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a language (operator 7); ``lang`` is replaced by the one predicted."""
-    found = identify(docs).filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
-    return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    """Rows whose text has a language (operator 7); ``lang`` is replaced by the one predicted, no other column changes."""
+    found = identify(docs, names=("__held", "__lang", "__score")).filter((F.col("__lang") != "und") & (F.col("__score") >= MIN_SCORE))
+    return found.withColumn("lang", F.col("__lang")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates (operator 10): the one with the smallest id.
-
-    Of rows that share that id one stays; rows without an id stay once for each different text.
-    """
-    groups = near_duplicates(docs)
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL").dropDuplicates(["text"]))
-
-
-def similar_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the rows that ``near_dedup`` keeps, one of each group of texts whose five-word shingles have Jaccard similarity 0.8 or more.
-
-    Three bits of a fingerprint join only texts that are much closer than that.
-    """
-    return drop_similar(near_dedup(spark, docs, sf_dir))
+    """One row of each group of near-duplicates (operator 10, then Jaccard similarity 0.8 of five-word shingles): that of the smallest id."""
+    return drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,15 +35,15 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it (operator 5): whole copies, the nearest number to the words taken."""
-    return mix_rows(docs).select(docs.columns)
+    return mix_rows(docs, copy_col="__copy").select(docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, size, text_crc32, shard, slot`` of each row (operator 8)."""
+    """``doc_id, size, text_crc32, shard, slot`` of each row (operator 8): the places of the corpus, without its texts."""
     return shard_by_bytes(docs)
 
 
-STAGES = [("language", language), ("near_dedup", similar_dedup), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
+STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
 
 #: The stages hold learned models and hash selections that SQL can't express; tests hold each against brute force.
 ORACLE_SQL = None
@@ -67,6 +52,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again before the next."""
     docs = table(spark, sf_dir, "documents")
+    mark = made_so_far()
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        sweep(spark, mark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
