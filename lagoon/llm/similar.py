@@ -58,7 +58,7 @@ def similar_links(texts: DataFrame, least: float = 0.8, words: int = 5, small: i
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held = shingle_set(text, words)
                 if len(held):
-                    common = np.isin(held, frequent) if len(frequent) else np.zeros(len(held), dtype=bool)
+                    common = frequent[np.minimum(np.searchsorted(frequent, held), len(frequent) - 1)] == held if len(frequent) else np.zeros(len(held), dtype=bool)
                     keys = np.concatenate((held[~common], held[common]))[: len(held) - int(np.ceil(least * len(held) - 1e-9)) + 1]
                     tokens.append(keys.view(np.int64))
                     sizes.append(np.full(len(keys), len(held)))
