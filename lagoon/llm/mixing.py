@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagoon.storage import materialize
@@ -18,24 +18,27 @@ def mix_sources(
     blocks: int = 8192,
     shards: int = 16,
     seed: int = 42,
-    buckets: int = 256,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
 ) -> tuple[DataFrame, DataFrame]:
-    """``(rows, quotas)``: how many words the mix takes of each row, and the block quotas by shard.
+    """``(rows, quotas)``: the words that the mix takes of each row, whole and by shard, and the block quotas by shard.
 
     Sizes are words. Sources in code point order (null last) weigh ``weights``, repeating; together
     they get ``share`` of all words, no source more than ``epochs`` times its size, the excess going
-    to the others by weight. ``blocks`` equal-token blocks (at least 64 for each source) go to the
-    sources by the highest quotients target/(2k-1), ties to the earlier source; seat r goes to shard
-    r * shards div blocks, which gives integer quotas by source and shard. Each source's documents lie
-    on a line in seeded hash order; whole turns of the line are taken first, and the blocks of the
-    last turn are picked by a seeded hash of their number. A row takes what the picked blocks cover.
-
-    Only one row for each source or block meets in a single task; the lines are laid by hash buckets
-    whose totals are summed first, so a source with a third of all rows is spread like any other.
-    Null texts and texts without words have size 0 and take 0; an empty table gives no rows.
+    to the others by weight. Blocks are of equal words: ``blocks`` of them in all, or as many more as give the
+    smallest target 64. They go to the sources by the highest quotients target/(2k-1), ties to the earlier source,
+    none to a source beyond ``epochs`` times its own blocks. The seats of each prefix of ``shards`` equal shards
+    are apportioned so; as a larger house only adds seats, the differences are integer quotas by source and shard.
+
+    Each source's documents lie on a line in seeded hash order. Its blocks are taken in turns from a seeded block on
+    (the line is shuffled already), and each shard's quota is filled by the blocks that come next: ``parts``
+    has the words of the row in each shard that takes some, ``taken`` is their sum. No block is a row: a row's
+    words follow from where it lies on the line and from its source's quotas by arithmetic, whatever the size of a block.
+
+    One row for each source and shard meets in a single task, and a few candidate seats for each source;
+    lines are laid by hash buckets of about 20,000 rows whose totals are summed first, so a source with a third of all
+    rows is spread like any other. Null texts and texts without words have size 0 and take 0; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = materialize(
@@ -44,60 +47,37 @@ def mix_sources(
             F.col(source_col).alias("__source"),
             F.regexp_count(text, F.lit(WORDS)).cast("long").alias("size"),
             F.xxhash64(F.lit(seed), F.col(id_col), text).alias("__h"),
-        ).withColumn("__bucket", F.pmod("__h", F.lit(buckets)).cast("int"))
+        )
     )
-    cells = materialize(sized.groupBy("__source", "__bucket").agg(F.sum("size").alias("__cell")))
-    targets = source_targets(
-        cells.groupBy("__source").agg(F.sum("__cell").alias("source_size")), weights, share, epochs
+    buckets = max(16, -(-sized.count() // 20_000))
+    laid_by = sized.withColumn("__bucket", F.pmod("__h", F.lit(buckets)).cast("int"))
+    cells = materialize(laid_by.groupBy("__source", "__bucket").agg(F.sum("size").alias("__cell")))
+    targets = materialize(
+        source_targets(cells.groupBy("__source").agg(F.sum("__cell").alias("source_size")), weights, share, epochs)
     )
-    count = targets.agg(F.count("*").alias("n"), F.sum("source_size").alias("total")).first()
-    house = max(blocks, 64 * count["n"])
-    per_block = max(1, -(-int((count["total"] or 0) * share) // house))
-    house = max(1, -(-int((count["total"] or 0) * share) // per_block))
+    least = targets.filter("target > 0").agg(F.sum("target").alias("all"), F.min("target").alias("least")).first()
+    per_block = max(1, int(min((least["all"] or 0) / blocks, (least["least"] or 0) / 64)))
+    quotas = materialize(block_quotas(targets, per_block, shards, epochs))
 
-    # candidate seats: a source's share of the house, with room for the most that rounding can add
-    seats = targets.withColumn("__all", F.sum("target").over(Window.partitionBy(F.lit(0)))).select(
-        "__source",
-        "__rank",
-        "target",
-        F.explode(
-            F.sequence(F.lit(1), (F.ceil(F.col("target") * house / F.col("__all")) + 2 + F.floor(F.lit(count["n"] / 2))).cast("int"))
-        ).alias("k"),
-    )
-    ranked = (
-        seats.filter("target > 0")
-        .withColumn("__seat", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy((F.col("target") / (2 * F.col("k") - 1)).desc(), "__rank")) - 1)
-        .filter(F.col("__seat") < house)
-    )
-    quotas = ranked.groupBy(
-        "__source", F.expr(f"__seat * {shards} div {house}").cast("int").alias("shard")
-    ).agg(F.count("*").alias("quota"))
-
-    plan = targets.join(
-        ranked.groupBy("__rank").agg(F.count("*").alias("__quota")), "__rank", "left"
-    ).withColumn(
-        "__words",
-        F.least(F.coalesce("__quota", F.lit(0)) * per_block, F.lit(epochs) * F.col("source_size")),
-    ).select(
-        "__source",
-        "source_size",
-        "target",
-        F.expr("CASE WHEN source_size > 0 THEN __words div source_size ELSE 0 END").alias("__turns"),
-        F.expr("CASE WHEN source_size > 0 THEN __words % source_size ELSE 0 END").alias("__rest"),
-    )
-    plan = materialize(plan)
-    by_hash = Window.partitionBy("__source").orderBy("__key", "__block").rowsBetween(Window.unboundedPreceding, 0)
-    # the blocks of the last turn, in seeded order; the last picked one is cut to the words still missing
-    picked = (
-        plan.filter("__rest > 0")
-        .withColumn("__block", F.explode(F.expr(f"sequence(0L, (source_size - 1) div {per_block})")))
-        .withColumn("__long", F.least(F.lit(per_block), F.col("source_size") - F.col("__block") * per_block))
-        .withColumn("__key", F.xxhash64(F.lit(seed), "__source", "__block"))
-        .withColumn("__upto", F.sum("__long").over(by_hash))
-        .withColumn("__use", F.least(F.col("__long"), F.col("__rest") - (F.col("__upto") - F.col("__long"))))
-        .filter("__use > 0")
-        .select(F.col("__source").alias("__s"), "__block", "__use")
+    # for each source: where its walk starts, and how many words it has gone at the end of each shard
+    size, first = F.col("source_size"), F.col("__first")
+    part = F.lit(per_block).cast("long")
+
+    def gone(taken: Column) -> Column:
+        """Words of so many blocks from the first one on; only the line's last block is short."""
+        rest = taken % F.col("__blocks")
+        ahead = rest * part - F.when(first + rest >= F.col("__blocks"), F.col("__blocks") * part - size).otherwise(F.lit(0))
+        return F.floor(taken / F.col("__blocks")) * size + F.when(rest > 0, ahead).otherwise(F.lit(0))
+
+    plan = (
+        quotas.groupBy("__source")
+        .agg(F.sort_array(F.collect_list(F.struct("shard", "upto"))).alias("__upto"))
+        .join(targets.withColumnRenamed("__source", "__s"), F.col("__source").eqNullSafe(F.col("__s")))
+        .drop("__s")
+        .withColumn("__blocks", F.greatest(F.lit(1), F.ceil(size / F.lit(per_block))).cast("long"))
+        .withColumn("__first", F.pmod(F.xxhash64(F.lit(seed), "__source", F.lit("first")), F.col("__blocks")))
     )
+    plan = plan.select("__source", "source_size", "target", (first * part).alias("__from"), F.transform("__upto", lambda x: gone(x["upto"])).alias("__gone"))
 
     running = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select(
@@ -109,52 +89,77 @@ def mix_sources(
         Window.partitionBy("__source", "__bucket").orderBy("__h", id_col, "size").rowsBetween(Window.unboundedPreceding, 0)
     )
     laid = (
-        sized.withColumn("__sum", F.sum("size").over(inside))
+        laid_by.withColumn("__sum", F.sum("size").over(inside))
         .join(starts, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
         .withColumn("__end", F.col("__before") + F.col("__sum"))
         .withColumn("__start", F.col("__end") - F.col("size"))
         .drop("__s", "__b")
-    )
-    laid = laid.join(
         # one row for each source
-        plan.select(F.col("__source").alias("__s"), "source_size", "target", "__turns"),
-        F.col("__source").eqNullSafe(F.col("__s")),
-    ).drop("__s")
-    # a row crosses few blocks; each crossed block is looked up once and summed back where more than one is crossed
-    row = F.struct(*[F.col(c) for c in (id_col, "size", "source_size", "target", "__turns", "__start", "__end", "__h", "__source")])
-    crossed = laid.select(
-        row.alias("__row"),
-        F.col("__source"),
-        F.explode(
-            F.expr(f"sequence(__start div {per_block}, greatest(__start, __end - 1) div {per_block})")
-        ).alias("__block"),
-    )
-    met = (
-        crossed.join(
-            picked,
-            F.col("__source").eqNullSafe(F.col("__s")) & (crossed["__block"] == picked["__block"]),
-            "left",
-        )
-        .select(
-            "__row",
-            F.greatest(
-                F.lit(0),
-                F.least(F.col("__row.__end"), crossed["__block"] * per_block + F.coalesce("__use", F.lit(0)))
-                - F.greatest(F.col("__row.__start"), crossed["__block"] * per_block),
-            ).alias("__got"),
-        )
-        .withColumn("__one", F.expr(f"__row.__start div {per_block} = greatest(__row.__start, __row.__end - 1) div {per_block}"))
-    )
-    alone = met.filter("__one").select("__row", "__got")
-    several = met.filter("NOT __one").groupBy("__row").agg(F.sum("__got").alias("__got"))
-    rows = alone.unionByName(several).select(
-        F.col(f"__row.{id_col}").alias(id_col),
-        F.col("__row.size").alias("size"),
-        F.col("__row.source_size").alias("source_size"),
-        F.col("__row.target").alias("target"),
-        (F.col("__row.__turns") * F.col("__row.size") + F.col("__got")).cast("long").alias("taken"),
-    )
-    return rows, quotas.withColumnRenamed("__source", source_col)
+        .join(plan.withColumnRenamed("__source", "__s"), F.col("__source").eqNullSafe(F.col("__s")))
+    )
+
+    def covered(words: Column) -> Column:
+        """Words of the row within so many words of the walk, turn by turn."""
+        turns, rest = F.floor(words / F.greatest(size, F.lit(1))), words % F.greatest(size, F.lit(1))
+        stop = F.col("__from") + rest
+
+        def between(a: Column, b: Column) -> Column:
+            return F.greatest(F.lit(0), F.least(F.col("__end"), b) - F.greatest(F.col("__start"), a))
+
+        return turns * F.col("size") + between(F.col("__from"), F.least(stop, size)) + between(F.lit(0), stop - size)
+
+    reached = laid.withColumn("__reached", F.transform("__gone", covered))
+    parts = F.transform(
+        "__reached", lambda x, i: F.struct(i.alias("shard"), (x - F.when(i > 0, F.element_at("__reached", i)).otherwise(F.lit(0))).cast("long").alias("words"))
+    )
+    rows = reached.withColumn("parts", F.filter(parts, lambda x: x["words"] > 0)).select(
+        id_col,
+        "size",
+        "source_size",
+        "target",
+        F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("taken"),
+        "parts",
+    )
+    return rows, quotas.select(F.col("__source").alias(source_col), "shard", "quota")
+
+
+def block_quotas(targets: DataFrame, per_block: int, shards: int, epochs: int) -> DataFrame:
+    """``__source, shard, quota, upto``: the seats that each source gains with each shard, by highest quotients target/(2k-1).
+
+    With the divisor that the prefix's house suggests, rounding misplaces at most one seat for each source, so a source's seats
+    are sure but for a few around its rounded share; only those are ranked: in all about six for each source and shard.
+    """
+    one = Window.partitionBy(F.lit(0))
+    given = targets.select(
+        "__source",
+        "__rank",
+        "target",
+        (F.lit(epochs) * F.ceil(F.col("source_size") / F.lit(per_block))).cast("long").alias("__most"),
+        F.sum("target").over(one).alias("__all"),
+        F.count("*").over(one).alias("__n"),
+    )
+    houses = given.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn(
+        "__house", F.floor(F.ceil(F.col("__all") / F.lit(per_block) - 1e-9) * (F.col("shard") + 1) / F.lit(shards)).cast("long")
+    )
+    fair = F.when(F.col("__all") > 0, F.col("target") * F.col("__house") / F.col("__all")).otherwise(F.lit(0.0))
+    room = F.ceil(2.0 * F.col("__n") * F.col("target") / F.greatest(F.col("__all"), F.lit(1e-9))).cast("long") + 2
+    ranged = (
+        houses.withColumn("__sure", F.greatest(F.lit(0).cast("long"), F.least("__most", F.floor(fair + 0.5) - room)))
+        .withColumn("__last", F.greatest("__sure", F.least("__most", F.floor(fair + 0.5).cast("long") + room)))
+        .withColumn("__left", F.col("__house") - F.sum("__sure").over(Window.partitionBy("shard")))
+    )
+    by_quotient = Window.partitionBy("shard").orderBy((F.col("target") / (2 * F.col("k") - 1)).desc(), "__rank")
+    ranked = (
+        ranged.filter("target > 0 AND __last > __sure")
+        .withColumn("k", F.explode(F.expr("sequence(__sure + 1, __last)")))
+        .withColumn("__seat", F.row_number().over(by_quotient))
+        .filter("__seat <= __left")
+        .groupBy("__rank", "shard")
+        .agg(F.count("*").alias("__won"))
+    )
+    upto = ranged.join(ranked, ["__rank", "shard"], "left").withColumn("upto", F.col("__sure") + F.coalesce("__won", F.lit(0)))
+    before = F.lag("upto", 1, 0).over(Window.partitionBy("__rank").orderBy("shard"))
+    return upto.select("__source", "shard", (F.col("upto") - before).alias("quota"), "upto")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, epochs: int) -> DataFrame:

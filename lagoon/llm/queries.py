@@ -47,6 +47,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``taken`` is the sum of ``parts``, the words that fill each shard's block quotas."""
     return mix_sources(table(spark, sf_dir, "documents"))[0]
 
 

@@ -193,17 +193,41 @@ def test_mix(spark, docs):
     for r in got:
         assert r["source_size"] == sizes[r["source"]] and math.isclose(r["target"], want[r["source"]], rel_tol=1e-9)
         taken[r["source"]] += r["taken"]
-    block = -(-sum(sizes.values()) // 8192)
+    block = max(1, int(min(sum(want.values()) / 8192, min(want.values()) / 64)))
     assert all(abs(taken[s] - want[s]) <= 2 * block for s in sizes)
     again = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(docs.repartition(7))[0].collect()}
     assert again == {r["doc_id"]: r["taken"] for r in got}
-    # quotas are the seats of the highest quotients
-    total = Counter()
-    for r in quotas.collect():
-        total[r["source"]] += r["quota"]
-    house = sum(total.values())
-    best = sorted(((want[s] / (2 * k - 1), -sorted(sizes).index(s), s) for s in sizes for k in range(1, house + 1)), reverse=True)[:house]
-    assert total == Counter(s for _, _, s in best)
+    # quotas of each prefix of shards are the seats of the highest quotients, within three times a source's blocks
+    seats = quotas.collect()
+    count = math.ceil(sum(want.values()) / block - 1e-9)
+    every = sorted(((want[s] / (2 * k - 1), -sorted(sizes).index(s), s) for s in sizes for k in range(1, 3 * -(-sizes[s] // block) + 1)), reverse=True)
+    for shard in (0, 5, 15):
+        best = Counter(s for _, _, s in every[: count * (shard + 1) // 16])
+        assert best == Counter({s: n for s in sizes if (n := sum(r["quota"] for r in seats if r["source"] == s and r["shard"] <= shard))})
+    # the words taken for a shard are its quota of blocks, but for the short last one
+    words_in, quota = Counter(), Counter({(r["source"], r["shard"]): r["quota"] for r in seats})
+    for r in got:
+        assert sum(p["words"] for p in r["parts"]) == r["taken"]
+        for p in r["parts"]:
+            words_in[r["source"], p["shard"]] += p["words"]
+    assert all(0 <= quota[k] * block - words_in[k] < 4 * block for k in quota)
+
+
+def test_mix_of_many_small_sources(spark):
+    """Sources from one word to thousands each come near their target, through the same blocks."""
+    rng = random.Random(6)
+    rows = [(k, "w " * rng.choice([1, 3, 50, 400]), f"s{rng.randrange(40)}") for k in range(900)] + [(2000, "one", "tiny"), (2001, "x " * 90_000, "huge")]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"))[0].collect()
+    source = {i: s for i, _, s in rows}
+    taken, want, size = Counter(), {}, Counter()
+    for r in got:
+        taken[source[r["doc_id"]]] += r["taken"]
+        want[source[r["doc_id"]]] = r["target"]
+        size[source[r["doc_id"]]] += r["size"]
+        assert r["taken"] <= 3 * r["size"]
+    ranked = {s: k % 3 + 1 for k, s in enumerate(sorted(size))}
+    expected = filled(size, ranked)
+    assert all(math.isclose(want[s], expected[s], rel_tol=1e-9) and abs(taken[s] - want[s]) <= 2 for s in want)
 
 
 def test_mix_edges(edge, empty):
