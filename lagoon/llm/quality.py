@@ -117,12 +117,16 @@ def gram_probabilities(grams: DataFrame) -> DataFrame:
 
     Each order joins the next lower one: counts of grams, counts of their contexts and the shorter
     gram's probability are tables keyed alike, dealt by hash over all tasks. The highest order counts
-    occurrences in trusted text, lower ones count different grams that end so.
+    occurrences in trusted text, lower ones count different grams that end so, but for grams that begin with the frame:
+    nothing else stands before those, so their occurrences count.
     """
     counts = {ORDER: grams.filter("t > 0").select("g", F.col("t").alias("c"))}
     for k in range(ORDER - 1, 0, -1):
         mask = (1 << (8 * k)) - 1
-        counts[k] = counts[k + 1].groupBy((F.col("g").bitwiseAND(F.lit(mask))).alias("g")).agg(F.count("*").alias("c"))
+        gram = F.col("g").bitwiseAND(F.lit(mask))
+        framed = F.shiftright(gram, 8 * (k - 1)) == _START
+        ends = counts[k + 1].groupBy(gram.alias("g"), framed.alias("framed")).agg(F.count("*").alias("n"), F.sum("c").alias("c"))
+        counts[k] = ends.select("g", F.when(F.col("framed"), F.col("c")).otherwise(F.col("n")).alias("c"))
     counts = {k: materialize(v) for k, v in counts.items()}
     lower = None
     for k in range(1, ORDER + 1):
@@ -245,6 +249,7 @@ def quality_filter(
     labels: DataFrame,
     quantile: float = 0.99,
     slack: float = 1.25,
+    smooth: int = 4000,
     folds: int = 5,
     most: int = 4_000_000,
     id_col: str = "doc_id",
@@ -254,10 +259,11 @@ def quality_filter(
     """``id_col, lang_col, trusted, n_tokens, log10_prob, perplexity, threshold, kept`` for each row of ``docs``.
 
     Trusted texts are those labelled with quality 1 and not toxic. The model counts all of those whose
-    crc32 of the id as text isn't 0 by ``folds``; the others, which it hasn't seen, set the thresholds:
-    a language's is ``slack`` times the ``quantile`` of their perplexities (to 0.0001 in log10, from a
-    histogram, so the same in every run). A language without such texts, and a null one, takes the
-    quantile over all of them. Texts above their threshold aren't kept; with no trusted
+    crc32 of the id as text isn't 0 by ``folds``; the others, which it hasn't seen, set the thresholds. A text of n bytes
+    lies z = (log10 perplexity - m) / sqrt(1/n + 1/``smooth``) from its language's mean m: the longer it is, the
+    less chance and topic move its perplexity. A language's limit is ``slack`` times the ``quantile`` of its z (to 0.001, from a
+    histogram, so the same in every run), and ``threshold`` the perplexity that it means for the text. A language without
+    such texts, and a null one, takes mean and quantile over all of them. Texts above their threshold aren't kept; with no trusted
     text at all, all are. Null texts are empty. Up to ``most`` trusted ids are broadcast; beyond that
     the ids are joined by a shuffle.
     """
@@ -268,21 +274,26 @@ def quality_filter(
     given = docs.select(id_col, text_col, lang_col).join(good, F.col(id_col) == F.col("__good"), "left").withColumn("trusted", F.col("__good").isNotNull()).drop("__good")
     unseen = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
     model = gram_probabilities(count_grams(given, text_col, F.col("trusted") & ~unseen))
-    scored = perplexities(given.select(id_col, lang_col, "trusted", text_col), model, text_col)
-    scored = materialize(scored.withColumn("__bin", F.ceil(F.log10("perplexity") * 10_000)))
-    sure = scored.filter(F.col("trusted") & unseen).groupBy(F.col(lang_col).alias("__lang"), "__bin").agg(F.count("*").alias("n"))
-
-    def cut(by: Window) -> Column:
-        return F.sum("n").over(by.orderBy("__bin")) >= quantile * F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-
-    own = sure.filter("__lang IS NOT NULL").withColumn("hit", cut(Window.partitionBy("__lang"))).filter("hit").groupBy("__lang").agg(F.min("__bin").alias("__own"))
-    # one row for each distinct bin of a bounded scale
-    every = sure.groupBy("__bin").agg(F.sum("n").alias("n")).withColumn("hit", cut(Window.partitionBy(F.lit(0)))).filter("hit").agg(F.min("__bin").alias("__all"))
-    limit = F.coalesce("__own", "__all") + float(round(np.log10(slack) * 10_000))
+    scored = materialize(perplexities(given.select(id_col, lang_col, "trusted", text_col), model, text_col).withColumn("__lang", F.col(lang_col)))
+    sure = scored.filter(F.col("trusted") & unseen)
+    mean = -F.sum("log10_prob") / F.sum("n_tokens")
+    level = F.log10("perplexity")
+    spread = F.sqrt(1.0 / F.col("n_tokens") + 1.0 / smooth)
+
+    def limits(rows: DataFrame, means: DataFrame, keys: list[str]) -> DataFrame:
+        """``keys, m, z``: the mean and the limit of each group; histograms have one row for each bin of a bounded scale."""
+        joined = rows.join(means, keys) if keys else rows.crossJoin(F.broadcast(means))  # one row
+        bins = joined.groupBy(*keys, F.ceil((level - F.col("m")) / spread * 1000).alias("__bin")).agg(F.count("*").alias("n"), F.max("m").alias("m"))
+        by = Window.partitionBy(*(keys or [F.lit(0)]))
+        upto = F.sum("n").over(by.orderBy("__bin")) >= quantile * F.sum("n").over(by)
+        return bins.withColumn("__hit", upto).filter("__hit").groupBy(*keys).agg(F.max("m").alias("m"), (F.min("__bin") / 1000 * slack).alias("z"))
+
+    own = limits(sure, sure.filter("__lang IS NOT NULL").groupBy("__lang").agg(mean.alias("m")), ["__lang"]).withColumnsRenamed({"m": "__m", "z": "__z"})
+    every = limits(sure, sure.agg(mean.alias("m")), [])
     return (
-        scored.join(own, F.col(lang_col) == F.col("__lang"), "left")
-        .crossJoin(F.broadcast(every))
-        .withColumn("threshold", F.pow(F.lit(10.0), limit / 10_000))
-        .withColumn("kept", F.coalesce(F.col("__bin") <= limit, F.lit(True)))
+        scored.join(own, "__lang", "left")
+        .crossJoin(F.broadcast(every.agg(F.max("m").alias("__m0"), F.max("z").alias("__z0"))))  # one row
+        .withColumn("threshold", F.pow(F.lit(10.0), F.coalesce("__m", "__m0") + F.coalesce("__z", "__z0") * spread))
+        .withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
         .select(id_col, lang_col, "trusted", "n_tokens", "log10_prob", "perplexity", "threshold", "kept")
     )
