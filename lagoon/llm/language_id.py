@@ -8,10 +8,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lagoon.storage import materialize
+
 #: Language families; a language not listed is a family of its own.
 FAMILIES = {
     "romance": ("ca", "es", "fr", "gl", "it", "oc", "pt", "ro"),
@@ -124,17 +126,22 @@ def train(x: np.ndarray, langs: list[str], families: dict[str, tuple[str, ...]]
     return model
 
 
-def training_rows(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """About ``per_language`` labelled rows of each language: those whose seeded hash is below the share wanted."""
+def training_rows(docs: DataFrame, per_language: int, most: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """The labelled rows of each language with the least seeded hashes: ``per_language`` of them, fewer where languages are so many that ``most`` rows would be passed.
+
+    Rows repeated whole count once. A threshold twice as high as needed is passed by about twice as many rows as wanted, whatever
+    the size of the table; only those are ranked.
+    """
     labelled = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     hashed = labelled.select(
         F.col(lang_col).alias("lang"), F.xxhash64(F.lit(42), F.col(id_col), text_col).alias("h"), F.col(text_col).cast("binary").alias("text")
     )
-    counts = hashed.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n"))
-    return hashed.join(F.broadcast(counts.filter("n > 0")), "lang").filter(
-        F.pmod("h", F.lit(1_000_000)) < F.ceil(share * 1_000_000)
-    ).select("lang", "text")
+    counts = materialize(hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")))
+    wanted = max(1, min(per_language, most // max(1, counts.count())))
+    share = (2.0 * wanted + 100) / F.greatest(F.col("n"), F.lit(1))
+    few = hashed.join(counts, "lang").filter(F.col("h") / 2.0**64 + 0.5 < share)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return few.groupBy("lang", "h").agg(F.min("text").alias("text")).withColumn("__n", rank).filter(F.col("__n") <= wanted).select("lang", "text")
 
 
 def _collect_features(rows: DataFrame) -> tuple[np.ndarray, list[str]]:
@@ -162,6 +169,7 @@ def identify(
     docs: DataFrame,
     holdout: int = 5,
     per_language: int = 600,
+    most: int = 12_000,
     families: dict[str, tuple[str, ...]] = FAMILIES,
     seed: int = 42,
     id_col: str = "doc_id",
@@ -172,13 +180,13 @@ def identify(
     """``docs`` with three columns more, ``held_out, lang_pred, score`` if not named otherwise: the language of every whole text.
 
     The model learns from rows with text and language whose crc32 of the id as text leaves a
-    remainder other than 0 by ``holdout``; it is fitted on a sample of about ``per_language`` of them
-    in each language (the documented bound), picked by a seeded hash, whole texts each. Predictions use the text alone, whole. A null text, one without letters, and every text
+    remainder other than 0 by ``holdout``; it is fitted on a sample of at most ``per_language`` of them
+    in each language and ``most`` in all (the documented bounds), those of the least seeded hashes, whole texts each. Predictions use the text alone, whole. A null text, one without letters, and every text
     when there is nothing to learn from give ``und`` with score 0. A null id is never held out.
     Columns named like the new ones are replaced.
     """
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % holdout == 0, F.lit(False))
-    sample = training_rows(docs.filter(~held), per_language, id_col, text_col, lang_col)
+    sample = training_rows(docs.filter(~held), per_language, most, id_col, text_col, lang_col)
     model = train(*_collect_features(sample), families, seed)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
