@@ -8,8 +8,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lagoon.storage import materialize
 
@@ -37,11 +38,12 @@ def _gram_hashes(ids: np.ndarray, n: int) -> np.ndarray:
 class _Seeds:
     """N-grams of the test items as fixed-size bitmaps, one for each class of items; built once in each task.
 
-    A bitmap has 2^22 bits whatever the number of items: what passes wrongly is dropped by the exact
+    A bitmap has 16 bits for each seed, from 2^22 to 2^25 in all: what passes wrongly is dropped by the exact
     join on the seed's hash.
     """
 
-    def __init__(self, classes: list[tuple[int, int, int, int, int, bytes]]):
+    def __init__(self, width: int, classes: list[tuple[int, int, int, int, int, bytes]]):
+        self.shift = np.uint64(64 - width)
         self.classes = [(*c[:-1], np.unpackbits(np.frombuffer(c[-1], dtype=np.uint8), bitorder="little").astype(bool)) for c in classes]
         self.cache: dict[bytes, int] = {}
 
@@ -59,7 +61,7 @@ class _Seeds:
                 continue
             if n not in made:
                 made[n] = _gram_hashes(ids, n)
-            at = np.flatnonzero(bits[(made[n] >> np.uint64(42)).astype(np.int64)])
+            at = np.flatnonzero(bits[(made[n] >> self.shift).astype(np.int64)])
             if len(at) < need:
                 continue
             close = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] <= near)
@@ -104,14 +106,16 @@ def item_grams(items: DataFrame, id_col: str, text_col: str, n: int, threshold:
     return given.mapInArrow(run, f"item {kind}, n long, need long, near long, reach long, class long, hash long")
 
 
-def _classes(grams: DataFrame) -> list[tuple[int, int, int, int, int, bytes]]:
-    """``class, n, need, near, reach`` and 2^22 bits of each class, set where a gram's hash begins so; at most 65 536 words of 64 bits."""
-    words = grams.select("class", F.expr("shiftrightunsigned(hash, 48)").alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(hash, 42) & 63 as int))").alias("b")).groupBy("class", "w").agg(F.bit_or("b").alias("b"))
+def _classes(grams: DataFrame) -> tuple[int, list[tuple[int, int, int, int, int, bytes]]]:
+    """The bits' width w, and ``class, n, need, near, reach`` with 2^w bits of each class, set where a gram's hash begins so."""
+    width = min(25, max(22, int(16 * grams.count()).bit_length()))
+    at = f"shiftrightunsigned(hash, {64 - width})"
+    words = grams.select("class", F.expr(f"shiftrightunsigned({at}, 6)").alias("w"), F.expr(f"shiftleft(1L, cast({at} & 63 as int))").alias("b")).groupBy("class", "w").agg(F.bit_or("b").alias("b"))
     bounds = grams.groupBy("class", "n").agg(F.min("need"), F.max("near"), F.max("reach")).orderBy("class").collect()
-    bits = {row["class"]: np.zeros(1 << 16, dtype=np.int64) for row in bounds}
+    bits = {row["class"]: np.zeros(1 << (width - 6), dtype=np.int64) for row in bounds}
     for row in words.toLocalIterator():
         bits[row["class"]][row["w"]] = row["b"]
-    return [(*row, bits[row["class"]].tobytes()) for row in bounds]
+    return width, [(*row, bits[row["class"]].tobytes()) for row in bounds]
 
 
 def align(window: list[bytes], item: list[bytes], match: int = 1, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int]:
@@ -161,6 +165,7 @@ def contaminated(
     ``threshold`` on are returned, ``start`` and ``end`` in words of the document. Every pair of neighbouring words of
     an item is a seed, and a document's words are aligned with an item wherever as many of its seeds lie
     together as any copy from ``threshold`` on keeps (see ``item_grams``), so no copy is lost, however it was edited.
+    Windows meet items by the items' rarest seeds, of which any such copy keeps one; a pair of words that all items share joins nothing.
     Documents are scanned once, by bitmaps of fixed size; the windows found are joined to the items by seed hash in a
     shuffle join.
 
@@ -169,16 +174,15 @@ def contaminated(
     """
     grams = materialize(item_grams(items, item_col, item_text, n, threshold))
     if grams.isEmpty():
-        return docs.select(id_col).limit(0).crossJoin(items.select(item_col).limit(0)).selectExpr(
-            f"`{id_col}`", f"`{item_col}`", "cast(null as double) score", "cast(null as long) start", "cast(null as long) end"
-        )
+        named = [docs.schema[id_col], items.schema[item_col], T.StructField("score", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]
+        return docs.sparkSession.createDataFrame([], T.StructType(named))
     kind = docs.schema[id_col].dataType.simpleString()
     given = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("__text")).filter(F.col(text_col).isNotNull())
 
-    classes = _classes(grams)
+    width, classes = _classes(grams)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _Seeds(classes)
+        found = _Seeds(width, classes)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -192,12 +196,19 @@ def contaminated(
             )
 
     met = materialize(given.mapInArrow(windows, f"`{id_col}` {kind}, class long, offset long, window binary, hashes array<long>").withColumn("w", F.monotonically_increasing_id()))
+    # a window with ``need`` of an item's seeds has one of its rarest seeds, all but need - 1 of them: those alone are joined
+    often = grams.groupBy("class", "hash").agg(F.count_distinct("item").alias("items"))
+    ranked = grams.join(often, ["class", "hash"]).withColumn("rank", F.row_number().over(Window.partitionBy("item", "class").orderBy("items", "hash")))
+    lead = ranked.withColumn("seeds", F.count("*").over(Window.partitionBy("item", "class"))).filter("rank <= seeds - need + 1")
+    whole = grams.groupBy("item", "class").agg(F.collect_list("hash").alias("seeds"), F.min("need").alias("need"))
     pairs = (
         met.select("w", "class", F.explode("hashes").alias("hash"))
-        .join(grams.select("class", "hash", "item", "need"), ["class", "hash"])
-        .groupBy("w", "item")
-        .agg(F.count("*").alias("seeds"), F.min("need").alias("need"))
-        .filter("seeds >= need")
+        .join(lead.select("class", "hash", "item").distinct(), ["class", "hash"])
+        .select("w", "class", "item")
+        .distinct()
+        .join(met.select("w", "hashes"), "w")
+        .join(whole, ["item", "class"])
+        .filter("size(filter(seeds, s -> array_contains(hashes, s))) >= need")
         .select("w", "item")
     )
     texts = items.select(F.col(item_col).alias("item"), F.col(item_text).cast("binary").alias("item_text")).filter("item_text IS NOT NULL").distinct()
