@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagoon.storage import materialize
+
 #: Public licence statements and notices, by SPDX name.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -53,6 +55,30 @@ TEMPLATES = [
         "Unlicense",
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "Zlib",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
 ]
 
 
@@ -65,76 +91,88 @@ def bigrams(text: str) -> Counter:
     return Counter(f"{a} {b}" for a, b in zip(w, w[1:]))
 
 
-def needed_words(text: str, threshold: float) -> list[str]:
-    """Words of a template of which every text at or above the threshold has one.
-
-    A match shares at least b * t / (2 - t) of the template's b bigrams, so words whose bigrams are more
-    than the rest can't all be missing. Long words come first, as they are rare elsewhere.
-    """
-    w = words(text)
-    free, chosen, hit = (len(w) - 1) * (1 - threshold / (2 - threshold)) + 1e-9, [], set()
-    for word in sorted(set(w), key=lambda x: (-len(x), x)):
-        if len(hit) > free:
-            break
-        chosen.append(word)
-        hit |= {i for i in range(len(w) - 1) if word in (w[i], w[i + 1])}
-    return chosen
+def pieces_of(text: Column) -> Column:
+    """Lines and sentences of a text, lower-cased, each as words of letters and digits with a blank between; empty ones left out."""
+    lines = F.regexp_replace(F.lower(text), r"([.!?;:])[ \t]+", "$1\n")
+    plain = F.split(F.regexp_replace(lines, r"[^\p{L}\p{N}\n]+", " "), "\n")
+    return F.filter(F.transform(plain, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def scan_licenses(
     docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``id_col, license, dice, n_units``: the licences that a text states, one row for each of them.
-
-    A text's units are its lines, its paragraphs and the whole; each is lower-cased and reduced to
-    words of letters and digits. A unit states the licence of the template whose word bigrams (repeats
-    counted) have the greatest Dice coefficient with its own, from ``threshold`` on; ties go to the
-    earlier template. With a and b
-    bigrams that needs b * t / (2 - t) <= a <= b * (2 - t) / t, which prunes templates by size before bigrams
-    are joined, and one of a few of the template's words, which prunes texts and units. ``dice`` is
-    the best of the text's units, ``n_units`` how many different ones match. The templates are a
+    """``id_col, license, dice, start, words``: the licences that a text states, one row for each of them.
+
+    A text is cut at line breaks and sentence ends, and every run of consecutive pieces is compared: a line, a paragraph, part of one, or the
+    whole text. Case and punctuation don't count. A run states the licence of the template whose word bigrams (repeats
+    counted) have the greatest Dice coefficient with its own, from ``threshold`` on, and none if templates of two
+    licences share it. With a and b bigrams that needs b * t / (2 - t) <= a <= b * (2 - t) / t and as many common ones as the
+    left side, which prunes templates by size before anything is compared. The best run of a licence is returned: the earliest, then the shortest, of the greatest ``dice``;
+    ``start`` is its first word's number, ``words`` its length.
+
+    A best run begins and ends with pieces that share a bigram with the template (without a piece that shares none
+    the coefficient is higher), so only such runs are looked at. Texts and
+    templates that share too few bigrams drop out before runs are made. The templates are a
     parameter: their table is broadcast, a few rows for each.
 
     Null and empty texts state nothing; rows with the same id count as one text; a null id is an id.
     """
     spark = docs.sparkSession
-    rows = [(i, name, g, n, sum(bigrams(t).values())) for i, (name, t) in enumerate(templates) for g, n in bigrams(t).items()]
-    known = spark.createDataFrame(rows or [(0, "", "", 0, 0)], "template int, license string, gram string, there int, b int")
-    needed = sorted({w for _, t in templates for w in needed_words(t, threshold)})
-    hint = "|".join(re.escape(w) for w in needed) or "(?!)"
-    sizes = [sum(bigrams(t).values()) for _, t in templates] or [0]
+    names = sorted({g for _, t in templates for g in bigrams(t)})
+    code = {g: i for i, g in enumerate(names)}
+    made = [(i, name, sum(bigrams(t).values()), [(code[g], n) for g, n in sorted(bigrams(t).items())]) for i, (name, t) in enumerate(templates) if bigrams(t)]
+    listed = spark.createDataFrame(made or [(-1, "", 1, [(0, 0)])], "template int, license string, b int, grams array<struct<g:int,there:int>>")
+    known = listed.select("template", "b", F.explode("grams").alias("x")).select("template", "b", F.col("x.g").alias("g"))
+    codes = spark.createDataFrame(list(code.items()) or [("", 0)], "gram string, g int")
+    grams = known.join(codes, "g").select("gram", "g", "template", "b")
     ratio = (2 - threshold) / threshold + 1e-9  # bounds that rounding doesn't tighten
-    low, high = min(sizes) / ratio, max(sizes) * ratio
-
-    text = F.lower(F.col(text_col))
-    plain = docs.filter(text.rlike(hint)).select(F.col(id_col), F.regexp_replace(text, r"[^\p{L}\p{N}\n]+", " ").alias("__t"))
-    units = plain.select(
-        id_col,
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.concat(F.array("__t"), F.split("__t", "\n ?\n"), F.split("__t", "\n")),
-                    lambda u: F.trim(F.regexp_replace(u, r"[\n ]+", " ")),
-                )
-            )
-        ).alias("unit"),
-    )
-    sized = units.withColumn("a", F.size(F.split("unit", " ")) - 1).filter((F.col("a") >= F.greatest(F.lit(1), F.ceil(F.lit(low)))) & (F.col("a") <= high) & F.col("unit").rlike(hint))
-    w = F.split("unit", " ")
-    grams = sized.distinct().select(
-        id_col, "unit", "a", F.explode(F.zip_with(F.slice(w, 1, F.col("a")), F.slice(w, 2, F.col("a")), lambda x, y: F.concat(x, F.lit(" "), y))).alias("gram")
+
+    pieces = F.col("__p")
+    # each piece with the first word of the next one, so that bigrams across the border belong to the piece they begin in
+    longer = F.transform(pieces, lambda x, i: F.concat_ws(" ", x, F.substring_index(F.get(pieces, i + 1), " ", 1)))
+    key = ["__k", "__l"]
+    given = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col), F.xxhash64(id_col, text_col).alias("__k"), F.hash(text_col, id_col).alias("__l"), pieces_of(F.col(text_col)).alias("__p"))
+    cut = given.select(id_col, *key, F.posexplode(longer).alias("p", "piece"), (F.size(pieces) - 1).alias("last"))
+    w = F.split("piece", " ")
+    two = F.arrays_zip(w.alias("x"), F.slice(w, 2, F.size(w)).alias("y"))
+
+    def hits(rows: DataFrame, *kept: str) -> DataFrame:
+        each = rows.select(*kept, F.posexplode(two).alias("i", "two")).filter("two.y IS NOT NULL")
+        return each.withColumn("gram", F.concat("two.x", F.lit(" "), "two.y")).join(F.broadcast(grams), "gram")
+
+    enough = hits(cut, *key).groupBy(*key, "template").agg(F.count("*").alias("n"), F.first("b").alias("b")).filter(F.col("n") * ratio >= F.col("b"))
+    wanted = materialize(enough.groupBy(*key).agg(F.collect_set("template").alias("templates")))
+    docs_left = cut.join(wanted, key)
+    sized = docs_left.withColumn("n", F.size(w) - (F.col("p") < F.col("last")).cast("int"))
+    by = Window.partitionBy(*key).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.groupBy(id_col, *key, "p").agg(*[F.first(c).alias(c) for c in ("piece", "templates", "n")]).withColumn("off", F.coalesce(F.sum("n").over(by), F.lit(0)))
+    found = (
+        hits(placed, id_col, *key, "p", "n", "off", "templates")
+        .filter(F.array_contains("templates", F.col("template")))
+        .groupBy(id_col, *key, "template", "b", "p", "n", "off")
+        .agg(F.collect_list(F.when(F.col("i") < F.col("n") - 1, F.col("g"))).alias("inner"), F.max(F.when(F.col("i") == F.col("n") - 1, F.col("g"))).alias("across"))
     )
-    shared = (
-        grams.join(F.broadcast(known), "gram")
-        .filter((F.col("a") <= F.col("b") * ratio) & (F.col("a") * ratio >= F.col("b")))
-        .groupBy(id_col, "unit", "a", "b", "template", "license", "gram", "there")
-        .agg(F.count("*").alias("here"))
-        .groupBy(id_col, "unit", "a", "b", "template", "license")
-        .agg(F.sum(F.least("here", "there")).alias("common"))
-        .withColumn("dice", 2.0 * F.col("common") / (F.col("a") + F.col("b")))
-        .filter(F.col("dice") >= threshold)
-        .groupBy(id_col, "unit")
-        .agg(F.max(F.struct("dice", -F.col("template"), "license")).alias("best"))
-        .select(id_col, "unit", "best.dice", "best.license")
+    # from each piece on, the pieces with hits within the longest run
+    reach = int(max([b for _, _, b, _ in made] or [1]) * ratio) + 1
+    ahead = Window.partitionBy(*key, "template").orderBy("off").rangeBetween(0, reach)
+    runs = found.withColumn("ahead", F.collect_list(F.struct("off", "n", "inner", "across")).over(ahead)).join(F.broadcast(listed.select("template", "license", "grams")), "template")
+
+    def matched(j: Column) -> Column:
+        """The run up to the j-th of the pieces ahead: its bigrams, and how many it has in common with the template."""
+        end = F.get("ahead", j)
+        a = end["off"] + end["n"] - F.col("off") - 1
+        fits = (a <= F.col("b") * ratio) & (a * ratio >= F.col("b"))
+        before = F.flatten(F.transform(F.slice("ahead", 1, j), lambda x: F.concat(x["inner"], F.array_compact(F.array(x["across"])))))
+        held = F.concat(before, end["inner"])
+        common = F.aggregate("grams", F.lit(0), lambda acc, g: acc + F.least(g["there"], F.size(F.filter(held, lambda h: h == g["g"]))))
+        return F.when(fits, F.struct((a + 1).alias("words"), (2.0 * common / (a + F.col("b"))).alias("dice")))
+
+    each = runs.select(
+        id_col, *key, "template", "license", "off", F.explode(F.transform(F.sequence(F.lit(0), F.size("ahead") - 1), matched)).alias("run")
+    ).filter(F.col("run.dice") >= threshold).select(id_col, *key, "template", "license", F.col("off").alias("start"), "run.words", "run.dice")
+    best = F.max("dice").over(Window.partitionBy(*key, "start", "words"))
+    stated = each.withColumn("__best", best).filter("dice = __best").groupBy(id_col, *key, "start", "words").agg(F.max("dice").alias("dice"), F.min("license").alias("license"), F.max("license").alias("__other"))
+    clear = stated.filter("license = __other")
+    return clear.groupBy(id_col, "license").agg(F.min(F.struct((-F.col("dice")).alias("d"), F.col("start").cast("long").alias("start"), F.col("words").cast("long").alias("words"))).alias("m")).select(
+        id_col, "license", (-F.col("m.d")).alias("dice"), "m.start", "m.words"
     )
-    return shared.groupBy(id_col, "license").agg(F.max("dice").alias("dice"), F.count_distinct("unit").alias("n_units"))

@@ -36,20 +36,28 @@ degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN classes ON v = vec_id LEFT JOIN degree ON a = vec_id
 """
 
+#: Every run of consecutive pieces of the right size against every template that shares enough bigrams with the text.
 LICENSES = f"""
 WITH templates(template, license, body) AS (VALUES {", ".join(f"({i}, {_quoted(n)}, {_quoted(t)})" for i, (n, t) in enumerate(TEMPLATES))}),
 tw AS (SELECT template, license, string_split(trim(regexp_replace(lower(body), '[^\\pL\\pN]+', ' ', 'g')), ' ') AS w FROM templates),
-tg AS (SELECT template, license, gram, count(*) AS there FROM (SELECT template, license, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM tw) GROUP BY ALL),
+tg AS (SELECT template, gram, count(*) AS there FROM (SELECT template, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM tw) GROUP BY ALL),
 tb AS (SELECT template, license, len(w) - 1 AS b FROM tw),
-plain AS (SELECT doc_id, regexp_replace(lower(text), '[^\\pL\\pN\\n]+', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL),
-units AS (SELECT DISTINCT doc_id, trim(regexp_replace(u, '[\\n ]+', ' ', 'g')) AS unit FROM (SELECT doc_id, unnest([t] || regexp_split_to_array(t, '\\n ?\\n') || string_split(t, chr(10))) AS u FROM plain)),
-uw AS (SELECT doc_id, unit, string_split(unit, ' ') AS w FROM units),
-sized AS (SELECT doc_id, unit, w, len(w) - 1 AS a FROM uw WHERE len(w) >= 3),
-fits AS (SELECT s.doc_id, s.unit, s.a, s.w, template, license, b FROM sized s JOIN tb ON s.a <= b * 1.5 AND s.a * 1.5 >= b),
-ug AS (SELECT doc_id, unit, gram, count(*) AS here FROM (SELECT DISTINCT doc_id, unit, w FROM fits) f, LATERAL (SELECT unnest(list_transform(range(1, len(f.w)), lambda i: f.w[i] || ' ' || f.w[i + 1])) AS gram) GROUP BY ALL),
-dice AS (SELECT f.doc_id, f.unit, f.template, f.license, 2.0 * sum(least(here, there)) / (f.a + f.b) AS dice FROM fits f JOIN ug USING (doc_id, unit) JOIN tg ON tg.template = f.template AND tg.gram = ug.gram GROUP BY f.doc_id, f.unit, f.template, f.license, f.a, f.b),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, template) AS k FROM dice WHERE dice >= 0.8)
-SELECT doc_id, license, max(dice) AS dice, count(DISTINCT unit) AS n_units FROM best WHERE k = 1 GROUP BY doc_id, license
+plain AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(lower(text), '([.!?;:])[ \\t]+', '\\1' || chr(10), 'g'), '[^\\pL\\pN\\n]+', ' ', 'g'), chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+pieces AS (SELECT doc_id, list_filter(list_transform(lines, lambda x: trim(x)), lambda x: x <> '') AS p FROM plain),
+each AS (SELECT doc_id, unnest(p) AS piece, unnest(range(len(p))) AS k FROM pieces),
+counted AS (SELECT doc_id, k, string_split(piece, ' ') AS w FROM each),
+placed AS (SELECT doc_id, k, len(w) AS n, coalesce(sum(len(w)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM counted),
+tokens AS (SELECT doc_id, string_split(array_to_string(p, ' '), ' ') AS w FROM pieces WHERE len(p) > 0),
+grams AS (SELECT doc_id, unnest(range(len(w) - 1)) AS i, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM tokens WHERE len(w) > 1),
+hits AS (SELECT doc_id, i, template, gram, there FROM grams JOIN tg USING (gram)),
+enough AS (SELECT doc_id, template, license, b FROM hits JOIN tb USING (template) GROUP BY ALL HAVING count(*) * 1.5 >= b),
+runs AS (SELECT e.doc_id, e.template, e.license, e.b, s.off AS start, t.off + t.n - s.off AS words FROM enough e JOIN placed s ON s.doc_id = e.doc_id JOIN placed t ON t.doc_id = s.doc_id AND t.k >= s.k AND t.off + t.n - s.off - 1 <= e.b * 1.5 AND (t.off + t.n - s.off - 1) * 1.5 >= e.b),
+common AS (SELECT r.doc_id, r.template, r.license, r.b, r.start, r.words, h.gram, least(count(*), max(there)) AS c FROM runs r JOIN hits h ON h.doc_id = r.doc_id AND h.template = r.template AND h.i >= r.start AND h.i < r.start + r.words - 1 GROUP BY ALL),
+dice AS (SELECT doc_id, license, start, words, 2.0 * sum(c) / (words - 1 + b) AS dice FROM common GROUP BY doc_id, template, license, b, start, words),
+best AS (SELECT *, max(dice) OVER (PARTITION BY doc_id, start, words) AS m FROM dice WHERE dice >= 0.8),
+clear AS (SELECT doc_id, start, words, max(dice) AS dice, min(license) AS license FROM best WHERE dice = m GROUP BY doc_id, start, words HAVING min(license) = max(license)),
+first AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, start, words) AS r FROM clear)
+SELECT doc_id, license, dice, CAST(start AS BIGINT) AS start, CAST(words AS BIGINT) AS words FROM first WHERE r = 1
 """
 
 ORACLE = {"op3_license_scan": LICENSES, "op4_embedding_dedup": EMBEDDINGS, "op8_shard_by_bytes": SHARDS}
