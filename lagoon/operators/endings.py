@@ -5,38 +5,68 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SESSION = ["harness", "session"]
 
 
 def endings(turns: DataFrame, events: DataFrame | None = None) -> DataFrame:
-    """Facts about the end of each session, from the newest turn of each kind and its open calls."""
-    at = {k: F.max(F.when(F.col("kind") == k, F.col("ordinal"))) for k in ("operator", "assistant")}
+    """Facts about the end of each session, in a fixed order.
+
+    An operator turn is after the assistant's by their times where both have one, else by ordinal (``by_ordinal``).
+    A call without result counts only if no result follows it; a result is not narrated if it is the newest
+    turn and answers a call; a close by the assistant may be followed by control turns and notices.
+    """
+    if "ts" not in turns.columns:
+        turns = turns.withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+
+    def newest(kind: str) -> Column:
+        return F.max_by(F.struct("ordinal", "ts"), F.when(F.col("kind") == kind, F.col("ordinal")))
+
     facts = turns.groupBy(*SESSION).agg(
         F.count("*").alias("turns"),
         F.max("ordinal").alias("last"),
         F.max_by("kind", "ordinal").alias("last_kind"),
-        *[v.alias(f"last_{k}") for k, v in at.items()],
+        newest("operator").alias("__o"),
+        newest("assistant").alias("__a"),
+        F.max_by("kind", F.when(~F.col("kind").isin("control", "notice"), F.col("ordinal"))).alias("__close"),
         F.bool_or(F.col("kind") == "unknown").alias("kind_unknown"),
+        F.bool_and(F.col("ts").isNull()).alias("no_timestamps"),
     )
     if events is not None:
-        # events are paired already; results after the last assistant turn were never told
-        open_calls = events.groupBy(*SESSION).agg(F.count_if((F.col("direction") == "call") & F.col("pair").isNull()).alias("open_calls"), F.max(F.when(F.col("direction") == "result", F.col("ordinal"))).alias("__result"))
-        facts = facts.join(open_calls, SESSION, "left").withColumn("open_calls", F.coalesce("open_calls", F.lit(0)))
+        result, call = F.col("direction") == "result", F.col("direction") == "call"
+        told = events.groupBy(*SESSION).agg(
+            F.max(F.when(result, F.col("ordinal"))).alias("__result"),
+            F.max(F.when(result & F.col("pair").isNotNull(), F.col("ordinal"))).alias("__answer"),
+            F.max(F.when(call & F.col("pair").isNull(), F.col("ordinal"))).alias("__open"),
+        )
+        facts = facts.join(told, SESSION, "left")
     else:
-        facts = facts.withColumns({"open_calls": F.lit(0).cast("long"), "__result": F.lit(None).cast("long")})
+        facts = facts.withColumns({c: F.lit(None).cast("long") for c in ("__result", "__answer", "__open")})
+    timed = F.col("__o.ts").isNotNull() & F.col("__a.ts").isNotNull()
+    after = F.when(F.col("__a").isNull(), F.col("__o").isNotNull()).when(timed, F.col("__o.ts") > F.col("__a.ts")).otherwise(F.col("__o.ordinal") > F.col("__a.ordinal"))
     tests = [
-        ("operator-after-assistant", F.col("last_operator") > F.coalesce("last_assistant", F.lit(-1))),
-        ("control-last", F.col("last_kind") == "control"),
-        ("notice-last", F.col("last_kind") == "notice"),
-        ("call-without-result", F.col("open_calls") > 0),
-        ("result-without-narration", F.col("__result") > F.coalesce("last_assistant", F.lit(-1))),
-        ("assistant-close", F.col("last_kind") == "assistant"),
+        ("operator-turn-after-assistant", after),
+        ("control-turn-last", F.col("last_kind") == "control"),
+        ("notice-turn-last", F.col("last_kind") == "notice"),
+        ("call-without-result", F.col("__open") > F.coalesce("__result", F.lit(-1))),
+        ("results-without-narration", (F.col("last_kind") == "tool") & (F.col("__answer") == F.col("last"))),
+        ("assistant-close", F.col("__close") == "assistant"),
     ]
     named = F.array_compact(F.array(*[F.when(test, name) for name, test in tests]))
-    return facts.withColumn("facts", F.array_join(named, ",")).drop("__result")
+    return facts.select(
+        *SESSION,
+        "turns",
+        "last",
+        "last_kind",
+        F.col("__o.ordinal").alias("last_operator"),
+        F.col("__a.ordinal").alias("last_assistant"),
+        "kind_unknown",
+        "no_timestamps",
+        F.coalesce(F.col("__o").isNotNull() & F.col("__a").isNotNull() & ~timed, F.lit(False)).alias("by_ordinal"),
+        F.array_join(named, ",").alias("facts"),
+    )
 
 
 def lanes(turns: DataFrame, bound: int, text: str = "text") -> DataFrame:

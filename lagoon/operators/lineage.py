@@ -26,17 +26,23 @@ def roots(sessions: DataFrame, levels: int = 32) -> DataFrame:
     return link
 
 
-def family(edges: DataFrame, start: DataFrame, members: int = 2000, rounds: int = 32) -> DataFrame:
-    """``session, depth``: all that descend from the ``start`` sessions, each once, at its least depth; bounded by ``members``."""
-    seen = materialize(start.select("session").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
-    for depth in range(1, rounds + 1):
-        found = edges.join(frontier.select(F.col("session").alias("__p")), F.col("parent") == F.col("__p")).select("session").distinct()
-        frontier = materialize(found.join(seen, "session", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty() or seen.count() >= members:
-            break
-        seen = materialize(seen.unionByName(frontier))
-    return seen
+def root_of(sessions: DataFrame) -> DataFrame:
+    """``session, root``: the end of each session's chain of parents, however long: pointers double until none moves.
+
+    Only sessions whose pointer still moves take part in a round. Sessions of a circle keep the session their last pointer met.
+    """
+    known = sessions.select(F.col("session").alias("__s"))
+    link = materialize(sessions.join(known, F.col("parent") == F.col("__s"), "left").select("session", F.col("__s").alias("up")))
+    done = link.filter("up IS NULL").select("session", F.col("session").alias("root"))
+    left, finished = link.filter("up IS NOT NULL"), materialize(done)
+    rounds = 0
+    while not left.isEmpty() and rounds < 64:
+        ended = left.join(finished.withColumnRenamed("session", "__e"), F.col("up") == F.col("__e")).select("session", "root")
+        further = left.select(F.col("session").alias("__e"), F.col("up").alias("__up"))
+        moved = left.join(further, F.col("up") == F.col("__e")).select("session", F.col("__up").alias("up"))
+        found, rest = materialize(ended), materialize(moved)
+        finished, left, rounds = finished.unionByName(found), rest, rounds + 1
+    return finished.unionByName(left.select("session", F.col("up").alias("root")))
 
 
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -68,13 +74,14 @@ def lineage_counts(sessions: DataFrame) -> DataFrame:
 
 
 def overlap_groups(sessions: DataFrame, ids: DataFrame) -> DataFrame:
-    """``session, component``: sessions that share an id of a request, or a declared parent of their harness.
+    """``session, component``: sessions of one harness that share an id of a request, or whose parent is declared.
 
     Sessions of one id are tied to the least of them, not to each other, so an id that many share
     costs one edge for each.
     """
-    first = ids.groupBy("id").agg(F.min("session").alias("__a"))
-    shared = ids.join(first, "id").filter("session != __a").select(F.col("session").alias("src"), F.col("__a").alias("dst")).distinct()
+    known = ids.join(sessions.select("session", "harness"), "session")
+    first = known.groupBy("harness", "id").agg(F.min("session").alias("__a"))
+    shared = known.join(first, ["harness", "id"]).filter("session != __a").select(F.col("session").alias("src"), F.col("__a").alias("dst")).distinct()
     other = sessions.select(F.col("session").alias("__s"), F.col("harness").alias("__h"))
     declared = sessions.join(other, (F.col("parent") == F.col("__s")) & (F.col("harness") == F.col("__h"))).select(F.col("session").alias("src"), F.col("parent").alias("dst"))
     groups = connected_components(shared.unionByName(declared))

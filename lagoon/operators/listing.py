@@ -15,7 +15,7 @@ def matching(
     since: str | None = None,
     until: str | None = None,
 ) -> DataFrame:
-    """Sessions that meet all given conditions; a null never meets one. Times are [since, until)."""
+    """Sessions that meet all given conditions; a null never meets one. Case matters in ids alone; times are [since, until)."""
     tests: list[Column] = []
     if prefix is not None:
         tests.append(F.col("session").cast("string").startswith(prefix))
@@ -24,7 +24,7 @@ def matching(
     if launch is not None:
         tests.append(F.col("launch") == launch)
     if directory is not None:
-        tests.append(F.col("directory").contains(directory))
+        tests.append(F.lower("directory").contains(directory.lower()))
     if since is not None:
         tests.append(F.col("last_activity") >= F.lit(since).cast("timestamp_ntz"))
     if until is not None:
@@ -67,15 +67,30 @@ def resolve(sessions: DataFrame, query: str) -> DataFrame:
     return chosen.crossJoin(F.broadcast(chosen.agg(F.count("*").alias("matches"))))  # the count is one row
 
 
-def search_tail(turns: DataFrame, needle: str, tail: int = 32) -> DataFrame:
-    """``harness, session, hit, searched, partial``: does any of a session's last turns contain the needle, case aside."""
+def search_tail(turns: DataFrame, needle: str, tail: int = 32, withheld: DataFrame | None = None) -> DataFrame:
+    """``harness, session, hit, searched, partial``: does any of a session's last turns contain the needle, case aside.
+
+    ``withheld`` (harness, session) names the sessions of which the source gave only a part; a search is partial where
+    such a session has fewer turns than asked for.
+    """
     last = F.row_number().over(Window.partitionBy("harness", "session").orderBy(F.desc("ordinal")))
     ranked = turns.select("harness", "session", "text", "ordinal", last.alias("__n"))
-    return ranked.groupBy("harness", "session").agg(
+    found = ranked.groupBy("harness", "session").agg(
         F.coalesce(F.bool_or(F.when(F.col("__n") <= tail, F.lower("text").contains(needle.lower()))), F.lit(False)).alias("hit"),
         F.sum((F.col("__n") <= tail).cast("long")).alias("searched"),
-        (F.count("*") > tail).alias("partial"),
+        (F.count("*") < tail).alias("__few"),
     )
+    if withheld is None:
+        return found.select("harness", "session", "hit", "searched", F.lit(False).alias("partial"))
+    cut = withheld.select("harness", "session").distinct().withColumn("__cut", F.lit(True))
+    return found.join(cut, ["harness", "session"], "left").select("harness", "session", "hit", "searched", (F.col("__few") & F.coalesce("__cut", F.lit(False))).alias("partial"))
+
+
+def tail_read(turns: DataFrame, most: int, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(turns, withheld)``: the newest turns of each session that fit in ``most`` bytes, and the sessions of which turns were withheld."""
+    by = Window.partitionBy("harness", "session").orderBy(F.desc("ordinal")).rowsBetween(Window.unboundedPreceding, 0)
+    summed = turns.withColumn("__bytes", F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).over(by))
+    return summed.filter(F.col("__bytes") <= most).drop("__bytes"), summed.filter(F.col("__bytes") > most).select("harness", "session").distinct()
 
 
 def search_whole(turns: DataFrame, needle: str, cap: int = 100) -> DataFrame:

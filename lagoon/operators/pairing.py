@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 SESSION = ["harness", "session"]
 
 
-def pair_events(events: DataFrame) -> DataFrame:
-    """Tool events with ``pair`` (the partner's ordinal), ``incomplete`` and, on calls, ``duration_ms``.
+def pair_events(events: DataFrame, bounded: bool = False) -> DataFrame:
+    """Tool events with ``pair`` (the partner's ordinal), ``pair_name`` and ``pair_status`` (the partner's), ``incomplete`` and, on calls, ``duration_ms``.
 
     In record order a result answers the newest open call of its id. With +1 for calls and -1 for
     results, the running sum less its running minimum (0 at most) is the number of open calls; a
     result that lowers the minimum answers nothing. Among the others, call and result of one level
-    follow each other, so no stack and no self-join is needed. Events without an id never pair.
+    follow each other, so no stack and no self-join is needed. Events without an id never pair. In a ``bounded`` read
+    the call of a lone result may stand before the bound.
     """
     keys = [*SESSION, "call_id"]
     by = Window.partitionBy(*keys).orderBy("ordinal")
@@ -39,21 +40,36 @@ def pair_events(events: DataFrame) -> DataFrame:
             F.floor((F.unix_micros(F.lead("ts").over(inside).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1000),
         ),
     )
-    unnamed = events.filter("call_id IS NULL").withColumns({"pair": F.lit(None).cast("long"), "duration_ms": F.lit(None).cast("long")})
+    for c in ("name", "status"):
+        if c in events.columns:
+            paired = paired.withColumn(f"pair_{c}", F.when(F.col("pair").isNotNull(), F.when(call, F.lead(c).over(inside)).otherwise(F.lag(c).over(inside))))
+    added = {c: F.lit(None).cast(paired.schema[c].dataType) for c in ("pair", "duration_ms", "pair_name", "pair_status") if c in paired.columns}
+    unnamed = events.filter("call_id IS NULL").withColumns(added)
     both = paired.drop("__s", "__m", "__orphan", "__level").unionByName(unnamed)
-    reason = F.when(F.col("pair").isNotNull(), None).when(F.col("direction") == "call", "no-result").otherwise("call-not-recorded")
+    orphan = "call-before-read-bound" if bounded else "call-not-recorded"
+    reason = F.when(F.col("pair").isNotNull(), None).when(F.col("direction") == "call", "no-result-in-read").otherwise(orphan)
     return both.withColumn("incomplete", reason)
 
 
-def tool_stats(paired: DataFrame) -> DataFrame:
-    """Calls, results, pairs and durations by tool name."""
-    call = F.col("direction") == "call"
-    return paired.groupBy("name").agg(
+def tool_stats(paired: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Calls, results, pairs, errors, durations and what is incomplete, by tool name (null where neither half names the tool).
+
+    A result without a name takes its call's. A pair's error is counted once, at the result, whichever half carries
+    it; an unanswered call's at the call.
+    """
+    call, done = F.col("direction") == "call", F.col("pair").isNotNull()
+    failed = F.coalesce(F.col("status") == "error", F.lit(False))
+    error = F.when(call, failed & ~done).otherwise(failed | F.coalesce(F.col("pair_status") == "error", F.lit(False)))
+    named = paired.withColumns({"tool": F.when(call, F.col("name")).otherwise(F.coalesce("name", "pair_name")), "__error": error})
+    return named.groupBy(*keys, "tool").agg(
         F.count_if(call).alias("calls"),
         F.count_if(~call).alias("results"),
-        F.count_if(call & F.col("pair").isNotNull()).alias("paired"),
-        F.count_if(F.col("incomplete").isNotNull()).alias("incomplete"),
+        F.count_if(call & done).alias("paired"),
+        F.count_if("__error").alias("errors"),
+        *[F.count_if(F.coalesce(F.col("incomplete") == r, F.lit(False))).alias(r.replace("-", "_")) for r in ("no-result-in-read", "call-before-read-bound", "call-not-recorded")],
         F.sum("duration_ms").alias("duration_ms"),
+        F.max("duration_ms").alias("longest_ms"),
+        F.count("duration_ms").alias("timed"),
     )
 
 

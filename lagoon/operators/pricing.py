@@ -51,18 +51,24 @@ def ttl_bounds(priced: DataFrame, tokens: str = "cache_write", short: str = "p_w
     )
 
 
-def long_context(priced: DataFrame, counted: Column, threshold: int, price: str, dearer: str) -> DataFrame:
-    """``rate``: the dearer price from ``threshold`` counted tokens on, included."""
-    return priced.withColumns({"is_long": counted >= threshold, "rate": F.when(counted >= threshold, F.col(dearer)).otherwise(F.col(price))})
+def long_context(priced: DataFrame, counted: Column, threshold: int, price: str, dearer: str, inclusive: bool = True) -> DataFrame:
+    """``rate``: the dearer price for requests of more than ``threshold`` counted tokens, or of as many if ``inclusive``."""
+    passed = counted >= threshold if inclusive else counted > threshold
+    return priced.withColumns({"is_long": passed, "rate": F.when(passed, F.col(dearer)).otherwise(F.col(price))})
 
 
-def in_hours(at: Column, start_minute: int, end_minute: int, weekdays: tuple[int, ...]) -> Column:
-    """Whether a time is in a daily window [start, end) on given weekdays (Monday 0); past midnight the day is the start's."""
+def in_hours(at: Column, start_minute: int, end_minute: int, weekdays: tuple[int, ...] | None = None) -> Column:
+    """Whether a time is in a daily window [start, end), on given weekdays (Monday 0) or all.
+
+    An end that isn't after the start is the next day's: the window belongs to the day it opens on, and equal ends make a whole day.
+    """
     minute = F.hour(at) * 60 + F.minute(at)
     day = F.weekday(at)
-    if start_minute <= end_minute:
-        return (minute >= start_minute) & (minute < end_minute) & day.isin(*weekdays)
-    return ((minute >= start_minute) & day.isin(*weekdays)) | ((minute < end_minute) & ((day + 6) % 7).isin(*weekdays))
+    if start_minute < end_minute:
+        opened = F.when((minute >= start_minute) & (minute < end_minute), day)
+    else:
+        opened = F.when(minute >= start_minute, day).when(minute < end_minute, (day + 6) % 7)
+    return opened.isNotNull() if weekdays is None else F.coalesce(opened.isin(*weekdays), F.lit(False))
 
 
 def scd2_merge(current: DataFrame, fetched: DataFrame, now: str, key: str = "model", value: str = "price") -> DataFrame:

@@ -37,6 +37,11 @@ def tail(turns: DataFrame, n: int) -> DataFrame:
     return turns.withColumn("__n", last).filter(F.col("__n") <= n).drop("__n")
 
 
+def numbered(turns: DataFrame) -> DataFrame:
+    """Turns with ``position``: their place in the session from 0, without gaps."""
+    return turns.withColumn("position", (F.row_number().over(Window.partitionBy(*SESSION).orderBy("ordinal")) - 1).cast("long"))
+
+
 def capped(turns: DataFrame, chars: int) -> DataFrame:
     """Text cut to ``chars`` characters, with its whole length and whether it was cut."""
     n = F.length("text")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 COUNTERS = ("input", "output", "reasoning", "cache_read", "cache_write")
 
@@ -90,22 +95,83 @@ def fold_requests(records: DataFrame, keys: list[str]) -> DataFrame:
     """One figure for each request: in record order, a later one replaces the held only if it dominates it.
 
     Dominating means at least as much of each counter that the held one has. A maximum of each
-    counter would mix figures that contradict one another.
+    counter would mix figures that contradict one another. Each figure depends on all before it: requests are folded as
+    the shuffle sorted them, with one row for state, and none is ever held whole.
+    """
+    given = records.select(*keys, "ordinal", *COUNTERS)
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = given.repartition(parts, *keys).sortWithinPartitions(*keys, "ordinal")
+    schema = T.StructType([*(given.schema[k] for k in keys), T.StructField("records", T.LongType()), *(T.StructField(c, T.LongType()) for c in COUNTERS)])
+    n = len(keys)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, seen = None, (), 0
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:n] != key:
+                    if key is not None:
+                        out.append((*key, seen, *held))
+                    key, held, seen = row[:n], row[n + 1 :], 1
+                    continue
+                seen += 1
+                new = row[n + 1 :]
+                if all(a is None or (b is not None and b >= a) for a, b in zip(held, new)):
+                    held = new
+            yield made(out)
+        if key is not None:
+            yield made([(*key, seen, *held)])
+
+    fields = to_arrow_schema(schema)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[] for _ in fields], fields)], names=fields.names)
+
+    return ordered.mapInArrow(fold, schema)
+
+
+def classify_totals(records: DataFrame, keys: list[str], counters: tuple[str, ...] = COUNTERS, bounded: bool = False) -> DataFrame:
+    """Rows of running totals with ``classification``, ``counted`` and ``epoch`` (resets so far).
+
+    ``records``: keys, ordinal, the totals ``total_<counter>`` and the last request's ``last_<counter>``, null where not
+    recorded. A row without any total speaks of quota alone. Against the total before it, over the counters both have: any
+    fall is a reset, else any rise an advance, else it is unchanged, and with none in common incomplete. An advance or a
+    reset counts one request where the last usage is recorded. The first total counts only if it equals the last usage
+    in a read from the start; else requests before it are uncounted.
     """
-    held = F.array_sort(F.collect_list(F.struct("ordinal", *COUNTERS)))
-    dominates = " AND ".join(f"(acc.{c} IS NULL OR coalesce(x.{c} >= acc.{c}, false))" for c in COUNTERS)
-    folded = F.expr(f"aggregate(slice(records, 2, size(records)), records[0], (acc, x) -> CASE WHEN {dominates} THEN x ELSE acc END)")
-    grouped = records.groupBy(*keys).agg(held.alias("records"))
-    return grouped.withColumn("f", folded).selectExpr(*keys, "size(records) AS records", *[f"f.{c} AS {c}" for c in COUNTERS])
-
-
-def cumulative_deltas(totals: DataFrame, keys: list[str], counter: str = "total") -> DataFrame:
-    """Requests from running totals: the rise, or the whole total after a reset (any fall); ``epoch`` counts resets."""
-    by = Window.partitionBy(*keys).orderBy("ordinal")
-    before = F.lag(counter).over(by)
-    reset = F.coalesce(F.col(counter) < before, F.lit(False))
-    marked = totals.withColumns({"reset": reset, "delta": F.when(before.isNull() | reset, F.col(counter)).otherwise(F.col(counter) - before)})
-    return marked.withColumn("epoch", F.sum(F.col("reset").cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    totals, lasts = [f"total_{c}" for c in counters], [f"last_{c}" for c in counters]
+    recorded = F.coalesce(*[F.col(c) for c in totals]).isNotNull()
+    last = F.coalesce(*[F.col(c) for c in lasts]).isNotNull()
+    by = Window.partitionBy(*keys, "__any").orderBy("ordinal")
+    marked = records.withColumn("__any", recorded).withColumns({"__first": F.row_number().over(by) == 1, **{f"__{c}": F.lag(c).over(by) for c in totals}})
+    moves = [(F.col(c) - F.col(f"__{c}")) for c in totals]
+    alike = F.lit(True)
+    for a, b in zip(totals, lasts):
+        alike = alike & F.col(a).eqNullSafe(F.col(b))
+    alone = F.lit(not bounded) & last & alike
+    kind = (
+        F.when(~F.col("__any"), "quota-only")
+        .when(F.col("__first"), F.when(alone, "advance").otherwise("leading-uncounted"))
+        .when(F.coalesce(*moves).isNull(), "incomplete")
+        .when(F.least(F.lit(0), *moves) < 0, "reset-advance")
+        .when(F.greatest(F.lit(0), *moves) > 0, "advance")
+        .otherwise("unchanged-total")
+    )
+    judged = marked.withColumn("classification", kind).withColumn("counted", F.col("classification").isin("advance", "reset-advance") & last)
+    before = Window.partitionBy(*keys).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    return judged.withColumn("epoch", F.sum((F.col("classification") == "reset-advance").cast("long")).over(before)).drop("__any", "__first", *[f"__{c}" for c in totals])
+
+
+def totals_accounting(classified: DataFrame, keys: list[str], counters: tuple[str, ...] = COUNTERS, bounded: bool = False) -> DataFrame:
+    """The newest total of each session, its requests by class, and what it covers: since-reset, read-window or session."""
+    last = [f"last_{c}" for c in counters]
+    return classified.groupBy(*keys).agg(
+        *[F.max_by(f"total_{c}", F.when(F.col("classification") != "quota-only", F.col("ordinal"))).alias(c) for c in counters],
+        F.count_if("counted").alias("requests"),
+        *[F.sum(F.when(F.col("counted"), F.col(c))).alias(f"requests_{c[5:]}") for c in last],
+        *[F.count_if(F.col("classification") == k).alias(k.replace("-", "_")) for k in ("leading-uncounted", "reset-advance", "unchanged-total", "incomplete", "quota-only")],
+        F.when(F.bool_or(F.col("classification") == "reset-advance"), "since-reset").otherwise("read-window" if bounded else "session").alias("coverage"),
+    )
 
 
 def as_of(records: DataFrame, keys: list[str], value: str) -> Column:

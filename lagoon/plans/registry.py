@@ -23,7 +23,8 @@ TALK = f"""talk AS (SELECT {HARNESS.format('conv_id')} AS harness, conv_id AS se
 TURNS = """turns AS (SELECT 'claude' AS harness, user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ordinal, ts,
   CASE event_type WHEN 'signup' THEN 'operator' WHEN 'view' THEN 'assistant' WHEN 'click' THEN 'tool' WHEN 'purchase' THEN 'tool' WHEN 'error' THEN 'notice' ELSE 'unknown' END AS kind,
   CASE event_type WHEN 'click' THEN 'call' WHEN 'purchase' THEN 'result' END AS direction,
-  CAST(json_extract_string(props, '$.k') AS BIGINT) % 4 AS call_id, 'tool' || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 AS VARCHAR) AS name, value, event_type AS pool FROM events)"""
+  CAST(json_extract_string(props, '$.k') AS BIGINT) % 4 AS call_id, CASE WHEN event_type <> 'purchase' OR CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 1 THEN 'tool' || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 AS VARCHAR) END AS name,
+  CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 = 0 THEN 'error' END AS status, value, event_type AS pool, event_id FROM events)"""
 REQUESTS = """requests AS (SELECT l_orderkey AS session, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ordinal,
   l_shipdate AS moment, l_returnflag || l_linestatus AS model, CAST(l_quantity AS BIGINT) AS input, l_partkey % 1000 AS output, (l_partkey % 1000) % 7 AS reasoning, l_suppkey % 100 AS cache_read,
   CASE WHEN l_linenumber % 2 = 1 THEN CAST(l_linenumber AS BIGINT) * 10 END AS cache_write FROM lineitem)"""
@@ -77,10 +78,10 @@ def list_newest_per_harness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     f"""WITH {SESSIONS} SELECT harness, session, directory, launch, last_activity FROM sessions
-  WHERE starts_with(CAST(session AS VARCHAR), '1') AND launch = 'headless' AND contains(directory, 'URGENT') AND last_activity >= TIMESTAMP '1993-01-01' AND last_activity < TIMESTAMP '1997-01-01'"""
+  WHERE starts_with(CAST(session AS VARCHAR), '1') AND launch = 'headless' AND contains(lower(directory), 'urgent') AND last_activity >= TIMESTAMP '1993-01-01' AND last_activity < TIMESTAMP '1997-01-01'"""
 )
 def list_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = listing.matching(tables.order_sessions(spark, sf_dir), prefix="1", launch="headless", directory="URGENT", since="1993-01-01", until="1997-01-01")
+    found = listing.matching(tables.order_sessions(spark, sf_dir), prefix="1", launch="headless", directory="Urgent", since="1993-01-01", until="1997-01-01")
     return found.drop("parent")
 
 
@@ -112,11 +113,25 @@ def resolve_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {TALK}, r AS (SELECT *, row_number() OVER (PARTITION BY harness, session ORDER BY ordinal DESC) AS n FROM talk)
-  SELECT harness, session, coalesce(bool_or(contains(lower(text), 'the')) FILTER (WHERE n <= 3), false) AS hit, count(*) FILTER (WHERE n <= 3) AS searched, count(*) > 3 AS partial FROM r GROUP BY harness, session"""
+    f"""WITH {TALK}, b AS (SELECT *, sum(strlen(coalesce(text, ''))) OVER (PARTITION BY harness, session ORDER BY ordinal DESC) AS upto FROM talk), w AS (SELECT DISTINCT harness, session FROM b WHERE upto > 900),
+  r AS (SELECT *, row_number() OVER (PARTITION BY harness, session ORDER BY ordinal DESC) AS n FROM b WHERE upto <= 900)
+  SELECT r.harness, r.session, coalesce(bool_or(contains(lower(text), 'the')) FILTER (WHERE n <= 3), false) AS hit, count(*) FILTER (WHERE n <= 3) AS searched, count(*) < 3 AND bool_or(w.session IS NOT NULL) AS partial
+  FROM r LEFT JOIN w ON r.harness = w.harness AND r.session = w.session GROUP BY r.harness, r.session"""
 )
 def search_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.search_tail(tables.conversation_turns(spark, sf_dir), "The", tail=3)
+    """Over the last 900 bytes of each conversation: a miss is partial where fewer turns than asked for were read."""
+    read, withheld = listing.tail_read(tables.conversation_turns(spark, sf_dir), 900)
+    return listing.search_tail(read, "The", tail=3, withheld=withheld)
+
+
+@register(
+    f"""WITH {TALK}, b AS (SELECT *, CAST(sum(strlen(coalesce(text, ''))) OVER (PARTITION BY harness, session ORDER BY ordinal DESC) AS BIGINT) AS upto FROM talk)
+  SELECT harness, session, count(*) FILTER (WHERE upto <= 500) AS turns, count(*) FILTER (WHERE upto > 500) > 0 AS withheld FROM b GROUP BY harness, session HAVING count(*) FILTER (WHERE upto <= 500) > 0"""
+)
+def tail_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read, withheld = listing.tail_read(tables.conversation_turns(spark, sf_dir), 500)
+    cut = withheld.withColumn("withheld", F.lit(True))
+    return read.groupBy("harness", "session").agg(F.count("*").alias("turns")).join(cut, ["harness", "session"], "left").withColumn("withheld", F.coalesce("withheld", F.lit(False)))
 
 
 @register(
@@ -213,14 +228,16 @@ PAIRS = f"""{TURNS}, ev AS (SELECT * FROM turns WHERE direction IS NOT NULL),
   o AS (SELECT *, direction = 'result' AND m < coalesce(lag(m) OVER (PARTITION BY session, call_id ORDER BY ordinal), 0) AS orphan FROM m),
   l AS (SELECT *, CASE WHEN orphan THEN -1 ELSE s - m + CASE WHEN direction = 'result' THEN 1 ELSE 0 END END AS level FROM o),
   p AS (SELECT *, CASE WHEN orphan THEN NULL WHEN direction = 'call' AND lead(direction) OVER w = 'result' THEN lead(ordinal) OVER w WHEN direction = 'result' AND lag(direction) OVER w = 'call' THEN lag(ordinal) OVER w END AS pair,
+    CASE WHEN NOT orphan THEN CASE WHEN direction = 'call' AND lead(direction) OVER w = 'result' THEN lead(name) OVER w WHEN direction = 'result' AND lag(direction) OVER w = 'call' THEN lag(name) OVER w END END AS pair_name,
+    CASE WHEN NOT orphan THEN CASE WHEN direction = 'call' AND lead(direction) OVER w = 'result' THEN lead(status) OVER w WHEN direction = 'result' AND lag(direction) OVER w = 'call' THEN lag(status) OVER w END END AS pair_status,
     CASE WHEN NOT orphan AND direction = 'call' AND lead(direction) OVER w = 'result' THEN CAST(floor((epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1000) AS BIGINT) END AS duration_ms
     FROM l WINDOW w AS (PARTITION BY session, call_id, level ORDER BY ordinal)),
-  pairs AS (SELECT harness, session, ordinal, call_id, name, direction, pair, duration_ms, CASE WHEN pair IS NOT NULL THEN NULL WHEN direction = 'call' THEN 'no-result' ELSE 'call-not-recorded' END AS incomplete FROM p)"""
+  pairs AS (SELECT harness, session, ordinal, call_id, name, status, direction, pair, pair_name, pair_status, duration_ms, CASE WHEN pair IS NOT NULL THEN NULL WHEN direction = 'call' THEN 'no-result-in-read' ELSE 'call-not-recorded' END AS incomplete FROM p)"""
 
 
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = tables.event_turns(spark, sf_dir).filter("direction IS NOT NULL")
-    return pairing.pair_events(events).select("harness", "session", "ordinal", "call_id", "name", "direction", "pair", "duration_ms", "incomplete")
+    return pairing.pair_events(events).select("harness", "session", "ordinal", "call_id", "name", "status", "direction", "pair", "pair_name", "pair_status", "duration_ms", "incomplete")
 
 
 @register(f"WITH {PAIRS} SELECT * FROM pairs")
@@ -234,8 +251,11 @@ def incomplete_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {PAIRS} SELECT name, count(*) FILTER (WHERE direction = 'call') AS calls, count(*) FILTER (WHERE direction = 'result') AS results,
-  count(*) FILTER (WHERE direction = 'call' AND pair IS NOT NULL) AS paired, count(incomplete) AS incomplete, CAST(sum(duration_ms) AS BIGINT) AS duration_ms FROM pairs GROUP BY name"""
+    f"""WITH {PAIRS}, n AS (SELECT *, CASE direction WHEN 'call' THEN name ELSE coalesce(name, pair_name) END AS tool,
+  CASE direction WHEN 'call' THEN coalesce(status, '') = 'error' AND pair IS NULL ELSE coalesce(status, '') = 'error' OR coalesce(pair_status, '') = 'error' END AS error FROM pairs)
+  SELECT tool, count(*) FILTER (WHERE direction = 'call') AS calls, count(*) FILTER (WHERE direction = 'result') AS results, count(*) FILTER (WHERE direction = 'call' AND pair IS NOT NULL) AS paired, count(*) FILTER (WHERE error) AS errors,
+  count(*) FILTER (WHERE incomplete = 'no-result-in-read') AS no_result_in_read, count(*) FILTER (WHERE incomplete = 'call-before-read-bound') AS call_before_read_bound, count(*) FILTER (WHERE incomplete = 'call-not-recorded') AS call_not_recorded,
+  CAST(sum(duration_ms) AS BIGINT) AS duration_ms, max(duration_ms) AS longest_ms, count(duration_ms) AS timed FROM n GROUP BY tool"""
 )
 def tool_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.tool_stats(paired(spark, sf_dir))
@@ -307,24 +327,53 @@ def identity_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.identity_bounds(used, "unit", ["harness"])
 
 
-@register()
+@register(
+    f"""WITH RECURSIVE {REQUESTS}, r AS (SELECT session, ordinal % 3 AS request, input, output, reasoning, cache_read, cache_write, row_number() OVER (PARTITION BY session, ordinal % 3 ORDER BY ordinal) AS n FROM requests),
+  f AS (SELECT * FROM r WHERE n = 1 UNION ALL SELECT x.session, x.request, CASE WHEN d THEN x.input ELSE h.input END, CASE WHEN d THEN x.output ELSE h.output END, CASE WHEN d THEN x.reasoning ELSE h.reasoning END,
+    CASE WHEN d THEN x.cache_read ELSE h.cache_read END, CASE WHEN d THEN x.cache_write ELSE h.cache_write END, x.n FROM f h JOIN r x ON h.session = x.session AND h.request = x.request AND x.n = h.n + 1,
+    LATERAL (SELECT """
+    + " AND ".join(f"(h.{c} IS NULL OR coalesce(x.{c} >= h.{c}, false))" for c in usage.COUNTERS)
+    + """ AS d))
+  SELECT session, request, n AS records, input, output, reasoning, cache_read, cache_write FROM f QUALIFY row_number() OVER (PARTITION BY session, request ORDER BY n DESC) = 1"""
+)
 def request_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An ordered fold; pytest holds it against a loop."""
     records = tables.line_requests(spark, sf_dir).withColumn("request", F.col("ordinal") % 3)
     return usage.fold_requests(records, ["session", "request"])
 
 
-TOTALS = f"""{TURNS}, totals AS (SELECT session, ordinal, CAST(floor(value) AS BIGINT) AS total FROM turns)"""
+#: Running totals of a user's events: two counters, one of them not always recorded; errors speak of quota alone.
+TOTALS = f"""{TURNS}, totals AS (SELECT session, ordinal, CASE WHEN kind <> 'notice' THEN CAST(floor(value) AS BIGINT) END AS ti, CASE WHEN kind NOT IN ('notice', 'operator') THEN CAST(floor(value) AS BIGINT) % 50 END AS tu,
+  CASE WHEN direction IS NULL THEN CASE WHEN kind <> 'notice' THEN CAST(floor(value) AS BIGINT) END END AS li, CASE WHEN direction IS NULL AND kind NOT IN ('notice', 'operator') THEN CAST(floor(value) AS BIGINT) % 50 END AS lu FROM turns),
+  a AS (SELECT *, ti IS NOT NULL OR tu IS NOT NULL AS has FROM totals), b AS (SELECT *, row_number() OVER w AS n, lag(ti) OVER w AS pi, lag(tu) OVER w AS pu FROM a WINDOW w AS (PARTITION BY session, has ORDER BY ordinal)),
+  classified AS (SELECT session, ordinal, ti, tu, li, lu, CASE WHEN NOT has THEN 'quota-only' WHEN n = 1 THEN CASE WHEN (li IS NOT NULL OR lu IS NOT NULL) AND ti IS NOT DISTINCT FROM li AND tu IS NOT DISTINCT FROM lu THEN 'advance' ELSE 'leading-uncounted' END
+    WHEN ti - pi IS NULL AND tu - pu IS NULL THEN 'incomplete' WHEN coalesce(ti < pi, false) OR coalesce(tu < pu, false) THEN 'reset-advance' WHEN coalesce(ti > pi, false) OR coalesce(tu > pu, false) THEN 'advance' ELSE 'unchanged-total' END AS classification FROM b)"""
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen, kind = F.floor("value"), F.col("kind")
+    total = {"total_input": F.when(kind != "notice", seen), "total_output": F.when(~kind.isin("notice", "operator"), seen % 50)}
+    rows = tables.event_turns(spark, sf_dir).withColumns(total).withColumns({c.replace("total", "last"): F.when(F.col("direction").isNull(), F.col(c)) for c in total})
+    return usage.classify_totals(rows.select("session", "ordinal", *total, "last_input", "last_output"), ["session"], ("input", "output"))
 
 
 @register(
-    f"""WITH {TOTALS}, b AS (SELECT *, lag(total) OVER (PARTITION BY session ORDER BY ordinal) AS b FROM totals),
-  d AS (SELECT session, ordinal, total, coalesce(total < b, false) AS reset, CASE WHEN b IS NULL OR total < b THEN total ELSE total - b END AS delta FROM b)
-  SELECT *, CAST(sum(reset::BIGINT) OVER (PARTITION BY session ORDER BY ordinal) AS BIGINT) AS epoch FROM d"""
+    f"""WITH {TOTALS} SELECT session, ordinal, classification, classification IN ('advance', 'reset-advance') AND (li IS NOT NULL OR lu IS NOT NULL) AS counted,
+  CAST(count(*) FILTER (WHERE classification = 'reset-advance') OVER (PARTITION BY session ORDER BY ordinal) AS BIGINT) AS epoch FROM classified"""
 )
-def cumulative_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = tables.event_turns(spark, sf_dir).select("session", "ordinal", F.floor("value").alias("total"))
-    return usage.cumulative_deltas(totals, ["session"])
+def classified_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(spark, sf_dir).select("session", "ordinal", "classification", "counted", "epoch")
+
+
+@register(
+    f"""WITH {TOTALS}, c AS (SELECT *, classification IN ('advance', 'reset-advance') AND (li IS NOT NULL OR lu IS NOT NULL) AS counted FROM classified)
+  SELECT session, arg_max(ti, ordinal) FILTER (WHERE classification <> 'quota-only' AND ti IS NOT NULL AND ordinal = lasto) AS input, arg_max(tu, ordinal) FILTER (WHERE classification <> 'quota-only' AND tu IS NOT NULL AND ordinal = lasto) AS output, count(*) FILTER (WHERE counted) AS requests,
+  CAST(sum(li) FILTER (WHERE counted) AS BIGINT) AS requests_input, CAST(sum(lu) FILTER (WHERE counted) AS BIGINT) AS requests_output, count(*) FILTER (WHERE classification = 'leading-uncounted') AS leading_uncounted,
+  count(*) FILTER (WHERE classification = 'reset-advance') AS reset_advance, count(*) FILTER (WHERE classification = 'unchanged-total') AS unchanged_total, count(*) FILTER (WHERE classification = 'incomplete') AS incomplete, count(*) FILTER (WHERE classification = 'quota-only') AS quota_only,
+  CASE WHEN bool_or(classification = 'reset-advance') THEN 'since-reset' ELSE 'session' END AS coverage
+  FROM (SELECT *, max(ordinal) FILTER (WHERE classification <> 'quota-only') OVER (PARTITION BY session) AS lasto FROM c) GROUP BY session"""
+)
+def totals_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.totals_accounting(classified(spark, sf_dir), ["session"], ("input", "output"))
 
 
 @register(
@@ -337,14 +386,15 @@ def model_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {REQUESTS}, {USED}, a AS (SELECT session, input AS recorded FROM used WHERE session % 5 <> 0), b AS (SELECT session, CAST(sum(input) AS BIGINT) AS summed FROM requests WHERE ordinal <> 3 GROUP BY session),
+    f"""WITH {REQUESTS}, {USED}, a AS (SELECT session, CASE WHEN cache_write IS NOT NULL THEN input END AS recorded FROM used), b AS (SELECT session, CAST(sum(CASE WHEN cache_write IS NOT NULL OR ordinal > 2 THEN input END) AS BIGINT) AS summed FROM requests GROUP BY session),
   j AS (SELECT session, recorded, summed, recorded - summed AS difference FROM a FULL JOIN b USING (session))
   SELECT *, CASE WHEN difference IS NULL THEN 'unestablished' WHEN difference = 0 THEN 'equal' WHEN difference > 0 THEN 'total-above' ELSE 'requests-above' END AS status FROM j"""
 )
 def reconcile_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = tables.line_requests(spark, sf_dir)
-    recorded = usage.session_usage(requests).filter("session % 5 <> 0")
-    return usage.reconcile(recorded, requests.filter("ordinal <> 3").groupBy("session").agg(F.sum("input").alias("input")), ["session"])
+    recorded = usage.session_usage(requests).withColumn("input", F.when(F.col("cache_write").isNotNull(), F.col("input")))
+    told = F.when(F.col("cache_write").isNotNull() | (F.col("ordinal") > 2), F.col("input"))
+    return usage.reconcile(recorded, requests.groupBy("session").agg(F.sum(told).alias("input")), ["session"])
 
 
 SPANS = "spans(span_id, a, b) AS (VALUES (1, TIMESTAMP '1993-01-01', TIMESTAMP '1994-06-01'), (2, TIMESTAMP '1994-01-01', TIMESTAMP '1995-01-01'), (3, NULL, TIMESTAMP '1992-06-01'), (4, TIMESTAMP '1998-01-01', NULL))"
@@ -379,16 +429,17 @@ def request_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {TURNS}, obs AS (SELECT pool, session, ordinal, ts AS observed_at, date_trunc('week', ts) + INTERVAL 7 DAY AS resets_at, value AS percent FROM turns),
-  h AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY observed_at DESC, ordinal DESC, session DESC) AS n FROM obs WHERE resets_at - INTERVAL 7 DAY <= TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-10' < resets_at)
-  SELECT pool, observed_at, resets_at, percent FROM h WHERE n = 1"""
+    f"""WITH {TURNS}, obs AS (SELECT pool, session, event_id AS ordinal, ts AS observed_at, date_trunc('week', ts) + INTERVAL 7 DAY AS resets_at, value AS percent FROM turns),
+  f AS (SELECT *, CASE WHEN resets_at - INTERVAL 7 DAY <= t AND t < resets_at THEN 0 WHEN resets_at <= t AND t < resets_at + INTERVAL 7 DAY THEN 1 END AS follows FROM obs, (SELECT TIMESTAMP '2024-04-03' AS t)),
+  h AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY follows, observed_at DESC, resets_at DESC, ordinal DESC) AS n FROM f WHERE follows IS NOT NULL)
+  SELECT pool, observed_at, percent, CASE follows WHEN 1 THEN resets_at ELSE resets_at - INTERVAL 7 DAY END AS window_from, CASE follows WHEN 1 THEN resets_at + INTERVAL 7 DAY ELSE resets_at END AS window_to, CASE follows WHEN 1 THEN 'inferred' ELSE 'recorded' END AS boundary FROM h WHERE n = 1"""
 )
 def quota_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = tables.event_turns(spark, sf_dir).select(
         "pool", F.col("ts").alias("observed_at"), (F.date_trunc("week", "ts").cast("timestamp_ntz") + F.expr("INTERVAL 7 DAY")).alias("resets_at"),
-        F.lit(7 * 24 * 60).alias("window_minutes"), F.col("value").alias("percent"), "event_id",
-    ).withColumnRenamed("event_id", "ordinal")
-    return spans.quota_window(seen, "2024-01-10").select("pool", "observed_at", "resets_at", "percent")
+        F.lit(7 * 24 * 60).alias("window_minutes"), F.col("value").alias("percent"), F.col("event_id").alias("ordinal"),
+    )
+    return spans.quota_window(seen, "2024-04-03").select("pool", "observed_at", "percent", "window_from", "window_to", "boundary")
 
 
 #: Prices in millionths for a million tokens: (model, aliases, from, until, uncached input, cache read, output, write 5m, write 1h)
@@ -444,11 +495,13 @@ def price_long_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     f"""WITH {TURNS}, m AS (SELECT *, hour(ts) * 60 + minute(ts) AS mi, isodow(ts) - 1 AS d FROM turns)
-  SELECT kind, (mi >= 1320 AND d IN (0, 1, 2)) OR (mi < 360 AND (d + 6) % 7 IN (0, 1, 2)) AS night, count(*) AS turns FROM m GROUP BY 1, 2"""
+  SELECT kind, (mi >= 1320 AND d IN (0, 1, 2)) OR (mi < 360 AND (d + 6) % 7 IN (0, 1, 2)) AS night, mi >= 540 AND mi < 1020 AS office, (mi >= 480 AND d = 6) OR (mi < 480 AND d = 0) AS from_sunday, count(*) AS turns FROM m GROUP BY ALL"""
 )
 def time_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    night = pricing.in_hours(F.col("ts"), 1320, 360, (0, 1, 2)).alias("night")
-    return tables.event_turns(spark, sf_dir).groupBy("kind", night).agg(F.count("*").alias("turns"))
+    """A window past midnight, one on every day, and one whose ends are equal: a whole day from its start."""
+    at = F.col("ts")
+    dims = [pricing.in_hours(at, 1320, 360, (0, 1, 2)).alias("night"), pricing.in_hours(at, 540, 1020).alias("office"), pricing.in_hours(at, 480, 480, (6,)).alias("from_sunday")]
+    return tables.event_turns(spark, sf_dir).groupBy("kind", *dims).agg(F.count("*").alias("turns"))
 
 
 @register(
@@ -477,12 +530,12 @@ def root_of_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""WITH RECURSIVE {SESSIONS}, fam(session, depth) AS (SELECT session, 0 FROM sessions WHERE parent IS NULL AND session % 10 = 0 UNION SELECT s.session, fam.depth + 1 FROM sessions s JOIN fam ON s.parent = fam.session)
+    f"""WITH RECURSIVE {SESSIONS}, fam(session, depth) AS (SELECT session, 0 FROM sessions WHERE parent IS NULL UNION SELECT s.session, fam.depth + 1 FROM sessions s JOIN fam ON s.parent = fam.session)
   SELECT session, CAST(min(depth) AS INT) AS depth FROM fam GROUP BY session"""
 )
 def family_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     sessions = tables.order_sessions(spark, sf_dir).select("session", "parent")
-    return lineage.closure(sessions, sessions.filter("parent IS NULL AND session % 10 = 0"))
+    return lineage.closure(sessions, sessions.filter("parent IS NULL"))
 
 
 @register(f"WITH {SESSIONS} SELECT parent, count(*) AS children, true AS resolved FROM sessions WHERE parent IS NOT NULL GROUP BY parent")
@@ -491,14 +544,16 @@ def lineage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""WITH RECURSIVE {SESSIONS}, up(session, node, depth) AS (SELECT session, session, 0 FROM sessions UNION ALL SELECT up.session, s.parent, up.depth + 1 FROM up JOIN sessions s ON up.node = s.session WHERE s.parent IS NOT NULL),
-  r AS (SELECT session, arg_max(node, depth) AS root FROM up GROUP BY session), c AS (SELECT root, min(session) AS component FROM r GROUP BY root)
-  SELECT session, harness, component FROM sessions JOIN r USING (session) JOIN c USING (root)"""
+    f"""WITH RECURSIVE {SESSIONS}, ids AS (SELECT DISTINCT harness, session, l_partkey || '-' || l_suppkey || '-' || CAST(l_quantity AS BIGINT) || '-' || CAST(round(l_discount * 100) AS BIGINT) AS id FROM lineitem JOIN sessions ON session = l_orderkey),
+  e AS (SELECT a.session AS a, b.session AS b FROM ids a JOIN ids b ON a.harness = b.harness AND a.id = b.id AND a.session <> b.session UNION SELECT c.session, c.parent FROM sessions c JOIN sessions p ON c.parent = p.session AND c.harness = p.harness),
+  s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(v, c) AS (SELECT session, session FROM sessions UNION SELECT s.b, reach.c FROM reach JOIN s ON s.a = reach.v WHERE reach.c < s.b)
+  SELECT session, harness, min(c) AS component FROM reach JOIN sessions ON v = session GROUP BY session, harness"""
 )
 def overlap_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' orders are tied by their parents (one harness each) and nothing else."""
-    sessions = tables.order_sessions(spark, sf_dir)
-    return lineage.overlap_groups(sessions, sessions.select("session", F.col("session").alias("id")))
+    """A line's part, supplier, quantity and discount make its request id; orders that share one, or a customer, overlap."""
+    lines = tables.table(spark, sf_dir, "lineitem")
+    id = F.concat_ws("-", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long"), F.round(F.col("l_discount") * 100).cast("long"))
+    return lineage.overlap_groups(tables.order_sessions(spark, sf_dir), lines.select(F.col("l_orderkey").alias("session"), id.alias("id")))
 
 
 @register(
@@ -531,14 +586,75 @@ def conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.conserved(usage.session_usage(requests, ["session", "model"]), usage.session_usage(requests), ["session"], "cache_write")
 
 
+#: Quota observations: a user's events of one type are a pool; resets are each week's end, errors record none.
+CHAINS = f"""{TURNS}, o AS (SELECT DISTINCT pool, session, ts AS tm, CAST(floor(value) AS BIGINT) AS percent, CASE WHEN pool <> 'error' THEN date_trunc('week', ts) + INTERVAL 7 DAY END AS resets_at FROM turns),
+  n AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN false WHEN resets_at IS NULL AND lag(resets_at) OVER w IS NULL THEN percent < lag(percent) OVER w ELSE coalesce(abs(epoch_us(resets_at) - epoch_us(lag(resets_at) OVER w)) >= 61000000, true) END AS new FROM o WINDOW w AS (PARTITION BY pool, session ORDER BY tm, percent)),
+  c AS (SELECT pool, session, tm, percent, resets_at, CAST(count(*) FILTER (WHERE new) OVER (PARTITION BY pool, session ORDER BY tm, percent) AS BIGINT) AS chain FROM n),
+  j AS (SELECT *, coalesce(resets_at IS NOT NULL AND percent < max(percent) OVER (PARTITION BY pool, session, chain ORDER BY tm, percent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stale FROM c),
+  chains AS (SELECT *, CASE WHEN NOT stale THEN lead(percent) OVER (PARTITION BY pool, session, chain, stale ORDER BY tm, percent) - percent END AS rise FROM j),
+  iv AS (SELECT pool, session, chain, row_number() OVER w AS interval, tm AS s, lead(tm) OVER w AS e, rise FROM chains WHERE NOT stale WINDOW w AS (PARTITION BY pool, session, chain ORDER BY tm, percent))"""
+
+
+def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resets = F.when(F.col("pool") != "error", F.date_trunc("week", "ts").cast("timestamp_ntz") + F.expr("INTERVAL 7 DAY"))
+    seen = tables.event_turns(spark, sf_dir).select("pool", "session", F.col("ts").alias("at"), F.floor("value").alias("percent"), resets.alias("resets_at"))
+    return shares.quota_chains(seen, ["pool", "session"])
+
+
+@register(f'WITH {CHAINS} SELECT pool, session, tm AS "at", percent, resets_at, chain, stale, rise FROM chains')
+def quota_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chained(spark, sf_dir)
+
+
+@register(f"WITH {CHAINS} SELECT pool, session, chain, interval, s AS start, e AS \"end\", rise FROM iv WHERE e IS NOT NULL")
+def quota_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shares.chain_intervals(chained(spark, sf_dir), ["pool", "session"])
+
+
+#: Shares of intervals for the bounds: a fixed part by the interval's number.
 @register(
-    f"""WITH {TURNS}, o AS (SELECT pool, session, ordinal, CAST(floor(value) AS BIGINT) AS percent FROM turns), f AS (SELECT *, coalesce((percent < lag(percent) OVER (PARTITION BY pool, session ORDER BY ordinal))::INT, 0) AS fell FROM o),
-  c AS (SELECT pool, session, ordinal, percent, CAST(sum(fell) OVER (PARTITION BY pool, session ORDER BY ordinal) AS BIGINT) AS chain FROM f)
-  SELECT *, lead(percent) OVER (PARTITION BY pool, session, chain ORDER BY ordinal) - percent AS rise FROM c"""
+    f"""WITH {CHAINS}, w AS (SELECT pool, session, chain, interval, (interval % 4) / 4.0::DOUBLE AS share FROM iv WHERE e IS NOT NULL),
+  k AS (SELECT pool, session, chain, percent, rise, row_number() OVER (PARTITION BY pool, session, chain ORDER BY tm, percent) AS i FROM chains WHERE NOT stale),
+  x AS (SELECT k.*, coalesce(b.share, 0) - coalesce(a.share, 0) AS c, coalesce(a.share, 0) AS after FROM k LEFT JOIN w a ON k.pool = a.pool AND k.session = a.session AND k.chain = a.chain AND k.i = a.interval LEFT JOIN w b ON k.pool = b.pool AND k.session = b.session AND k.chain = b.chain AND k.i = b.interval + 1),
+  f AS (SELECT *, coalesce((lag(percent) OVER w <> percent)::INT, 1) AS new FROM x WINDOW w AS (PARTITION BY pool, session, chain ORDER BY i)), g AS (SELECT *, sum(new) OVER (PARTITION BY pool, session, chain ORDER BY i) AS run FROM f),
+  s AS (SELECT *, sum(c) OVER (PARTITION BY pool, session, chain, run ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tail FROM g),
+  r AS (SELECT pool, session, (min(percent) - 0.5::DOUBLE) * sum(c) AS base, least(0, min(tail)) AS lo, greatest(0, max(tail)) AS hi, sum(after * coalesce(rise, 0)) AS e FROM s GROUP BY pool, session, chain, run)
+  SELECT pool, session, round(sum(e), 6) AS estimate, round(greatest(0, sum(base + lo)), 6) AS at_least, round(sum(base + hi), 6) AS at_most FROM r GROUP BY pool, session"""
 )
-def quota_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = tables.event_turns(spark, sf_dir).select("pool", "session", "ordinal", F.floor("value").alias("percent"))
-    return shares.quota_chains(seen, ["pool", "session"])
+def plateau_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chains = chained(spark, sf_dir)
+    share = shares.chain_intervals(chains, ["pool", "session"]).select("pool", "session", "chain", "interval", ((F.col("interval") % 4) / 4.0).alias("share"))
+    bounds = shares.plateau_bounds(chains, ["pool", "session"], share)
+    return bounds.select("pool", "session", *[F.round(c, 6).alias(c) for c in ("estimate", "at_least", "at_most")])
+
+
+@register(
+    f"""WITH {CHAINS}, p AS (SELECT pool, chain, interval, session, interval % 3 * 7 + session % 5 AS tokens, max(rise) OVER (PARTITION BY pool, chain, interval) AS rise FROM iv WHERE e IS NOT NULL),
+  t AS (SELECT pool, chain, interval, sum(tokens) AS t, max(rise) AS r FROM p GROUP BY ALL), q AS (SELECT pool, chain, sum(t) AS a, sum(r) AS r FROM t WHERE t > 0 GROUP BY ALL), u AS (SELECT pool, chain, session, sum(tokens) AS s FROM p GROUP BY ALL)
+  SELECT pool, chain, session, CAST(r * s AS DOUBLE) / CAST(a AS DOUBLE) AS percent FROM u JOIN q USING (pool, chain)"""
+)
+def smoothed_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of one pool as its sessions, whose intervals of one number are one interval."""
+    steps = shares.chain_intervals(chained(spark, sf_dir), ["pool", "session"])
+    rise = F.max("rise").over(Window.partitionBy("pool", "chain", "interval"))
+    parts = steps.select("pool", "chain", "interval", "session", (F.col("interval") % 3 * 7 + F.col("session") % 5).alias("tokens"), rise.alias("rise"))
+    return shares.smoothed_shares(parts, ["pool"])
+
+
+@register(
+    """WITH l AS (SELECT p_brand AS brand, p_partkey AS session, CASE WHEN p_size % 6 > 0 THEN p_size / 2.0::DOUBLE END AS percent, CAST(p_partkey % 1000 AS BIGINT) AS tokens, CASE WHEN p_size % 10 > 0 THEN TIMESTAMP '2024-03-01' - to_minutes(CAST(p_size AS BIGINT)) END AS a FROM part),
+  j AS (SELECT *, a IS NULL OR a > TIMESTAMP '2024-03-01' - INTERVAL 15 MINUTE OR percent IS NULL AS out FROM l), k AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY percent, session) AS i, count(*) OVER (PARTITION BY brand) AS n FROM j WHERE NOT out),
+  f AS (SELECT brand, count(*) AS lanes, avg(percent) FILTER (WHERE i * 2 BETWEEN n AND n + 2) AS median, min(percent) FILTER (WHERE i * 10 >= n * 9) AS p90, max(percent) AS max, CASE WHEN sum(percent) > 0 THEN sum(tokens) / sum(percent) END AS tokens_per_percent FROM k GROUP BY brand),
+  x AS (SELECT brand, count(*) FILTER (WHERE out) AS excluded FROM j GROUP BY brand) SELECT brand, excluded, coalesce(lanes, 0) AS lanes, median, p90, max, tokens_per_percent FROM x LEFT JOIN f USING (brand)"""
+)
+def lane_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as lanes of their brand."""
+    size, now = F.col("p_size"), F.lit("2024-03-01").cast("timestamp_ntz")
+    lanes = tables.table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("brand"), F.col("p_partkey").alias("session"), F.when(size % 6 > 0, size / 2.0).alias("percent"), (F.col("p_partkey") % 1000).alias("tokens"),
+        F.when(size % 10 > 0, now - F.make_dt_interval(mins=size.cast("int"))).alias("last_activity"),
+    )
+    return shares.lane_rates(lanes, ["brand"], "2024-03-01")
 
 
 #: Evidence from orders: a customer's order covers 200 days from its date, as work named by its priority.
@@ -579,20 +695,33 @@ def attribution_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {PAIRS}, f AS (SELECT harness, session, count(*) AS turns, max(ordinal) AS last, arg_max(kind, ordinal) AS last_kind, max(ordinal) FILTER (WHERE kind = 'operator') AS last_operator,
-  max(ordinal) FILTER (WHERE kind = 'assistant') AS last_assistant, bool_or(kind = 'unknown') AS kind_unknown FROM turns GROUP BY harness, session),
-  oc AS (SELECT session, count(*) FILTER (WHERE direction = 'call' AND pair IS NULL) AS open_calls, max(ordinal) FILTER (WHERE direction = 'result') AS r FROM pairs GROUP BY session)
-  SELECT harness, f.session, turns, last, last_kind, last_operator, last_assistant, kind_unknown, coalesce(open_calls, 0) AS open_calls,
-  concat_ws(',', CASE WHEN last_operator > coalesce(last_assistant, -1) THEN 'operator-after-assistant' END, CASE WHEN last_kind = 'control' THEN 'control-last' END, CASE WHEN last_kind = 'notice' THEN 'notice-last' END,
-  CASE WHEN open_calls > 0 THEN 'call-without-result' END, CASE WHEN r > coalesce(last_assistant, -1) THEN 'result-without-narration' END, CASE WHEN last_kind = 'assistant' THEN 'assistant-close' END) AS facts FROM f LEFT JOIN oc USING (session)"""
+    f"""WITH {PAIRS}, f AS (SELECT harness, session, count(*) AS turns, max(ordinal) AS last, arg_max(kind, ordinal) AS last_kind, max(ordinal) FILTER (WHERE kind = 'operator') AS lo, max(ordinal) FILTER (WHERE kind = 'assistant') AS la,
+    arg_max(ts, ordinal) FILTER (WHERE kind = 'operator') AS to_, arg_max(ts, ordinal) FILTER (WHERE kind = 'assistant') AS ta, arg_max(kind, ordinal) FILTER (WHERE kind NOT IN ('control', 'notice')) AS closing, bool_or(kind = 'unknown') AS kind_unknown, bool_and(ts IS NULL) AS no_timestamps FROM turns GROUP BY harness, session),
+  oc AS (SELECT session, max(ordinal) FILTER (WHERE direction = 'result') AS r, max(ordinal) FILTER (WHERE direction = 'result' AND pair IS NOT NULL) AS answer, max(ordinal) FILTER (WHERE direction = 'call' AND pair IS NULL) AS open FROM pairs GROUP BY session)
+  SELECT harness, f.session, turns, last, last_kind, lo AS last_operator, la AS last_assistant, kind_unknown, no_timestamps, lo IS NOT NULL AND la IS NOT NULL AND (to_ IS NULL OR ta IS NULL) AS by_ordinal,
+  concat_ws(',', CASE WHEN lo IS NOT NULL AND (la IS NULL OR CASE WHEN to_ IS NOT NULL AND ta IS NOT NULL THEN to_ > ta ELSE lo > la END) THEN 'operator-turn-after-assistant' END, CASE WHEN last_kind = 'control' THEN 'control-turn-last' END, CASE WHEN last_kind = 'notice' THEN 'notice-turn-last' END,
+  CASE WHEN open > coalesce(r, -1) THEN 'call-without-result' END, CASE WHEN last_kind = 'tool' AND answer = last THEN 'results-without-narration' END, CASE WHEN closing = 'assistant' THEN 'assistant-close' END) AS facts FROM f LEFT JOIN oc USING (session)"""
 )
 def endings_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return endings.endings(tables.event_turns(spark, sf_dir), paired(spark, sf_dir))
 
 
-@register()
+@register(
+    f"""WITH {TALK}, f AS (SELECT harness, session, count(*) AS turns, max(ordinal) AS last, arg_max(kind, ordinal) AS last_kind, max(ordinal) FILTER (WHERE kind = 'operator') AS lo, max(ordinal) FILTER (WHERE kind = 'assistant') AS la,
+    arg_max(kind, ordinal) FILTER (WHERE kind NOT IN ('control', 'notice')) AS closing, bool_or(kind = 'unknown') AS kind_unknown FROM talk GROUP BY harness, session)
+  SELECT harness, session, turns, last, last_kind, lo AS last_operator, la AS last_assistant, kind_unknown, true AS no_timestamps, lo IS NOT NULL AND la IS NOT NULL AS by_ordinal,
+  concat_ws(',', CASE WHEN lo > coalesce(la, -1) THEN 'operator-turn-after-assistant' END, CASE WHEN last_kind = 'control' THEN 'control-turn-last' END, CASE WHEN closing = 'assistant' THEN 'assistant-close' END) AS facts FROM f"""
+)
+def endings_untimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return endings.endings(tables.conversation_turns(spark, sf_dir))
+
+
+@register(
+    f"""WITH RECURSIVE {TALK}, t AS (SELECT harness, session, ordinal, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes, row_number() OVER (PARTITION BY harness, session ORDER BY ordinal) AS n FROM talk),
+  f AS (SELECT *, CAST(0 AS BIGINT) AS lane, bytes AS filled FROM t WHERE n = 1 UNION ALL SELECT t.*, lane + (filled + t.bytes > 600)::BIGINT, CASE WHEN filled + t.bytes > 600 THEN t.bytes ELSE filled + t.bytes END
+    FROM f JOIN t ON f.harness = t.harness AND f.session = t.session AND t.n = f.n + 1) SELECT harness, session, ordinal, bytes, lane FROM f"""
+)
 def workset_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A greedy fold over turns in order; pytest holds it against a loop."""
     return endings.lanes(tables.conversation_turns(spark, sf_dir), 600)
 
 
@@ -667,11 +796,11 @@ def inherited_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     """WITH d AS (SELECT DISTINCT l_suppkey AS session, substring(sha256(CAST(l_partkey AS VARCHAR)), 1, 16) AS digest FROM lineitem),
-  r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY digest) AS n, count(*) OVER (PARTITION BY session) AS a FROM d) SELECT session, digest, a > 64 AS sampled FROM r WHERE n <= 64"""
+  r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY digest) AS n, count(*) OVER (PARTITION BY session) AS a FROM d) SELECT session, digest, a > 2048 AS sampled FROM r WHERE n <= 2048"""
 )
 def id_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = tables.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("session"), F.col("l_partkey").alias("id"))
-    return lineage.bottom_k(ids, ["session"], 64)
+    return lineage.bottom_k(ids, ["session"])
 
 
 @register(
@@ -687,18 +816,18 @@ def stretch_of_request(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Intervals of a pool: a year of order dates each; uses are the pool's line items.
 @register(
-    """WITH iv AS (SELECT p AS pool, y AS "interval", make_timestamp(y, 1, 1, 0, 0, 0) AS s, make_timestamp(y + 1, 1, 1, 0, 0, 0) AS e, CAST(y % 5 AS DOUBLE) AS rise FROM (VALUES ('A'), ('N'), ('R')) a(p), range(1993, 1997) b(y)),
-  u AS (SELECT l_returnflag AS pool, l_orderkey AS session, l_shipdate AS at, CAST(l_quantity AS BIGINT) AS tokens FROM lineitem WHERE l_returnflag <> 'R'),
+    """WITH iv AS (SELECT p AS pool, y AS "interval", make_timestamp(y, 1, 1, 0, 0, 0) AS s, make_timestamp(y + 1, 1, 1, 0, 0, 0) AS e, CAST(y % 5 AS DOUBLE) AS rise FROM (VALUES ('A'), ('N'), ('R'), ('S')) a(p), range(1993, 1997) b(y)),
+  u AS (SELECT l_returnflag AS pool, l_orderkey AS session, l_shipdate AS at, CAST(l_quantity AS BIGINT) AS tokens FROM lineitem),
   j AS (SELECT iv.pool, "interval", session, CAST(sum(tokens) AS BIGINT) AS tokens, max(rise) AS rise FROM iv JOIN u ON iv.pool = u.pool AND u.at > s AND u.at <= e GROUP BY 1, 2, 3)
   SELECT pool, "interval", session, tokens, rise * tokens / CAST(sum(tokens) OVER (PARTITION BY pool, "interval") AS DOUBLE) AS share FROM j
   UNION ALL SELECT pool, "interval", NULL, 0, rise FROM iv WHERE (pool, "interval") NOT IN (SELECT pool, "interval" FROM j)"""
 )
 def allowance_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(p, y, f"{y}-01-01", f"{y + 1}-01-01", float(y % 5)) for p in "ANR" for y in range(1993, 1997)]
+    rows = [(p, y, f"{y}-01-01", f"{y + 1}-01-01", float(y % 5)) for p in "ANRS" for y in range(1993, 1997)]
     intervals = spark.createDataFrame(rows, "pool string, interval long, s string, e string, rise double").select(
         "pool", "interval", F.col("s").cast("timestamp_ntz").alias("start"), F.col("e").cast("timestamp_ntz").alias("end"), "rise"
     )
-    lines = tables.table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'R'")
+    lines = tables.table(spark, sf_dir, "lineitem")
     uses = lines.select(F.col("l_returnflag").alias("pool"), F.col("l_orderkey").alias("session"), F.col("l_shipdate").alias("at"), F.col("l_quantity").cast("long").alias("tokens"))
     return shares.allowance_shares(intervals, uses)
 
@@ -716,15 +845,15 @@ def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    """WITH e AS (SELECT l_orderkey AS edit, l_partkey % 50 AS d FROM lineitem GROUP BY ALL), n AS (SELECT edit, count(*) AS n FROM e GROUP BY edit HAVING count(*) >= 2),
-  c AS (SELECT DISTINCT 'c' || (o_custkey % 40) AS sha, l_partkey % 50 AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 20 = 0),
+    """WITH e AS (SELECT DISTINCT l_orderkey AS edit, l_partkey AS d FROM lineitem), n AS (SELECT edit, count(*) AS n FROM e GROUP BY edit HAVING count(*) >= 2),
+  c AS (SELECT DISTINCT 'c' || o_custkey AS sha, l_partkey AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
   m AS (SELECT e.edit, c.sha, count(*) AS common, count(*) / CAST(max(n.n) AS DOUBLE) AS overlap FROM e JOIN n USING (edit) JOIN c ON e.d = c.d GROUP BY 1, 2),
   r AS (SELECT *, row_number() OVER (PARTITION BY edit ORDER BY overlap DESC, sha) AS k FROM m WHERE overlap >= 0.5) SELECT edit, sha, common, overlap FROM r WHERE k = 1"""
 )
 def edit_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as edits, groups of customers as commits, parts as the digests of lines."""
-    lines = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("edit"), (F.col("l_partkey") % 50).alias("d"))
-    orders = tables.table(spark, sf_dir, "orders").filter("o_orderkey % 20 = 0").select("o_orderkey", F.concat(F.lit("c"), (F.col("o_custkey") % 40).cast("string")).alias("sha"))
+    """Orders as edits, customers as commits, parts as the digests of lines."""
+    lines = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("edit"), F.col("l_partkey").alias("d"))
+    orders = tables.table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("sha"))
     edits = lines.groupBy("edit").agg(F.collect_set("d").alias("digests"))
     commits = lines.join(orders, F.col("edit") == F.col("o_orderkey")).groupBy("sha").agg(F.collect_set("d").alias("digests"))
     return evidence.best_edit_commit(evidence.edit_overlap(edits, commits))

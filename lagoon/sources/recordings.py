@@ -177,13 +177,16 @@ def codex_turns(records: DataFrame) -> DataFrame:
 
 
 def codex_totals(records: DataFrame) -> DataFrame:
-    """Token counts in record order: the running totals and the last request's counters; see ``usage.cumulative_deltas``."""
-    rows = codex_records(records).filter("type = 'event_msg' AND payload.type = 'token_count' AND payload.info.total_token_usage IS NOT NULL")
-    t, last = "payload.info.total_token_usage.", "payload.info.last_token_usage."
-    return rows.select(
-        F.lit("codex").alias("harness"), "session", F.col("line").alias("ordinal"), stamp(F.col("timestamp")).alias("at"), F.col(t + "total_tokens").alias("total"),
-        F.col(last + "input_tokens").alias("input"), F.col(last + "output_tokens").alias("output"), F.col(last + "reasoning_output_tokens").alias("reasoning"),
-        F.col(last + "cached_input_tokens").alias("cache_read"), F.col(last + "cache_write_input_tokens").alias("cache_write"),
+    """Token counts in record order: running totals, the last request's counters and the model as of then; see ``usage.classify_totals``."""
+    rows = codex_records(records)
+    by = Window.partitionBy("session").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = F.when(F.col("type") == "turn_context", F.col("payload.model"))
+    told = rows.withColumn("model", F.last(chosen, ignorenulls=True).over(by)).filter("type = 'event_msg' AND payload.type = 'token_count'")
+    fields = {"input": "input_tokens", "output": "output_tokens", "reasoning": "reasoning_output_tokens", "cache_read": "cached_input_tokens", "cache_write": "cache_write_input_tokens"}
+    return told.select(
+        F.lit("codex").alias("harness"), "session", F.col("line").alias("ordinal"), stamp(F.col("timestamp")).alias("at"), "model",
+        *[F.col(f"payload.info.total_token_usage.{v}").alias(f"total_{k}") for k, v in fields.items()],
+        *[F.col(f"payload.info.last_token_usage.{v}").alias(f"last_{k}") for k, v in fields.items()],
     )
 
 

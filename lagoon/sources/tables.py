@@ -27,7 +27,7 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a user's events in time order; clicks call a tool, purchases answer."""
+    """Turns of a user's events in time order; clicks call a tool, purchases answer, half of them without its name."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     kinds = {"signup": "operator", "view": "assistant", "click": "tool", "purchase": "tool", "error": "notice"}
     kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
@@ -40,7 +40,8 @@ def event_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(kind[F.col("event_type")], F.lit("unknown")).alias("kind"),
         F.when(F.col("event_type") == "click", "call").when(F.col("event_type") == "purchase", "result").alias("direction"),
         (k % 4).alias("call_id"),
-        F.concat(F.lit("tool"), (k % 3).cast("string")).alias("name"),
+        F.when((F.col("event_type") != "purchase") | (k % 2 == 1), F.concat(F.lit("tool"), (k % 3).cast("string"))).alias("name"),
+        F.when(k % 5 == 0, "error").alias("status"),
         "value",
         F.col("event_type").alias("pool"),
         "event_id",

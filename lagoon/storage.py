@@ -18,9 +18,9 @@ def made_so_far() -> int:
     return len(_MADE)
 
 
-def sweep(spark: SparkSession, mark: int, keep: DataFrame | None = None) -> None:
+def sweep(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
     """Delete the tables written since ``mark`` whose readers are done, but for the files of ``keep``."""
-    kept = {x.rsplit("/", 1)[0] for x in keep.inputFiles()} if keep is not None else set()
+    kept = {x.rsplit("/", 1)[0] for k in keep for x in k.inputFiles()}
     held = []
     for path in _MADE[mark:]:
         if any(k.endswith(path.rsplit("/", 1)[1]) for k in kept):

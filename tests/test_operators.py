@@ -1,10 +1,12 @@
 """Session operators against loops over small tables: nulls, ties, negative gaps, orphans, cycles, open spans."""
 
+import itertools
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lagoon.operators import attribution, endings, lineage, listing, pairing, pricing, shares, spans, turns, usage
@@ -146,7 +148,7 @@ def test_roots_with_cycles_dangling_parents_and_long_chains(spark):
     got = {r["session"]: (r["root"], r["depth"]) for r in lineage.roots(frame(spark, rows, "session long, parent long")).collect()}
     assert got[3] == (1, 2) and got[1] == (1, 0) and got[20] == (20, 0) and got[129] == (100, 29)
     assert set(got) == {r[0] for r in rows} and got[10][1] == 32
-    family = {r["session"]: r["depth"] for r in lineage.family(frame(spark, rows, "session long, parent long"), spark.createDataFrame([(1,), (10,)], "session long")).collect()}
+    family = {r["session"]: r["depth"] for r in lineage.closure(frame(spark, rows, "session long, parent long"), spark.createDataFrame([(1,), (10,)], "session long")).collect()}
     assert family == {1: 0, 2: 1, 3: 2, 10: 0, 11: 1}
 
 
@@ -174,6 +176,36 @@ def test_apportion_adds_up(spark):
         assert [got[k][i] for i in range(len(ws))] == want
 
 
+def test_quota_chains_follow_resets(spark):
+    """Jitter inside a period, a stale snapshot, a new period, and falls where no reset is recorded."""
+    rows = [("p", 0, 10.0, 500), ("p", 1, 12.0, 500), ("p", 2, 11.0, 500), ("p", 3, 12.0, 500), ("p", 3, 12.0, 500), ("p", 4, 30.0, 900), ("p", 5, 29.0, 900), ("q", 0, 5.0, None), ("q", 1, 4.0, None), ("q", 2, 6.5, None), ("q", 3, 6.5, 800)]
+    seen = spark.createDataFrame([(p, stamp(t), v, None if r is None else stamp(r)) for p, t, v, r in rows], "pool string, at timestamp_ntz, percent double, resets_at timestamp_ntz")
+    got = shares.quota_chains(seen, ["pool"])
+    have = [(r["pool"], r["chain"], r["stale"], r["rise"]) for r in got.orderBy("pool", "at").collect()]
+    assert have == [("p", 0, False, 2.0), ("p", 0, False, 0.0), ("p", 0, True, None), ("p", 0, False, None), ("p", 1, False, None), ("p", 1, True, None), ("q", 0, False, None), ("q", 1, False, 2.5), ("q", 1, False, None), ("q", 2, False, None)]
+    steps = shares.chain_intervals(got, ["pool"])
+    assert [(r["pool"], r["chain"], r["interval"], r["rise"]) for r in steps.orderBy("pool", "chain", "interval").collect()] == [("p", 0, 1, 2.0), ("p", 0, 2, 0.0), ("q", 1, 1, 2.5)]
+
+
+def test_plateau_bounds_against_all_roundings(spark):
+    """The extremes over every non-decreasing assignment of half points to the whole percents."""
+    rng = random.Random(12)
+    for trial in range(6):
+        values = sorted(rng.choice([0.0, 1.0, 1.0, 2.0, 3.0, 3.25]) for _ in range(5))
+        weight = [rng.choice([0.0, 0.25, 1.0]) for _ in range(4)]
+        chains = spark.createDataFrame([("p", 0, stamp(k), v, False) for k, v in enumerate(values)], "pool string, chain long, at timestamp_ntz, percent double, stale boolean")
+        chains = chains.withColumn("rise", F.lead("percent").over(Window.partitionBy("pool").orderBy("at")) - F.col("percent"))
+        shared = spark.createDataFrame([("p", 0, k + 1, w) for k, w in enumerate(weight)], "pool string, chain long, interval long, share double")
+        got = shares.plateau_bounds(chains, ["pool"], shared).first()
+        sums = []
+        for offsets in itertools.product([-0.5, 0.5], repeat=5):
+            true = [v + (o if v == int(v) else 0) for v, o in zip(values, offsets)]
+            if all(a <= b for a, b in zip(true, true[1:])):
+                sums.append(sum(w * (b - a) for w, a, b in zip(weight, true, true[1:])))
+        assert abs(got["estimate"] - sum(w * (b - a) for w, a, b in zip(weight, values, values[1:]))) < 1e-9
+        assert got["at_least"] <= max(0, min(sums)) + 1e-9 and got["at_most"] >= max(sums) - 1e-9
+
+
 def test_quota_parts_sum_to_rises(spark):
     intervals = spark.createDataFrame([("p", 1, stamp(0), stamp(10), 4.0), ("p", 2, stamp(10), stamp(20), 6.0), ("p", 3, stamp(20), stamp(30), 1.0)], "pool string, interval long, start timestamp_ntz, end timestamp_ntz, rise double")
     uses = frame(spark, [("p", 7, stamp(0), 5), ("p", 7, stamp(10), 30), ("p", 8, stamp(5), 10), ("p", 8, stamp(11), 9), ("p", 8, stamp(40), 9)], "pool string, session long, at timestamp_ntz, tokens long")
@@ -207,8 +239,31 @@ def test_endings(spark):
     kinds = {1: ["operator", "assistant"], 2: ["assistant", "operator"], 3: ["operator", "control"], 4: ["unknown"]}
     rows = [("pi", s, i, k) for s, ks in kinds.items() for i, k in enumerate(ks)]
     got = {r["session"]: r for r in endings.endings(frame(spark, rows, "harness string, session long, ordinal long, kind string")).collect()}
-    assert got[1]["facts"] == "assistant-close" and got[2]["facts"] == "operator-after-assistant"
-    assert got[3]["facts"] == "operator-after-assistant,control-last" and got[4]["kind_unknown"] and got[4]["facts"] == ""
+    assert got[1]["facts"] == "assistant-close" and got[2]["facts"] == "operator-turn-after-assistant"
+    assert got[3]["facts"] == "operator-turn-after-assistant,control-turn-last" and got[4]["kind_unknown"] and got[4]["facts"] == ""
+
+
+def test_endings_by_what_the_events_say(spark):
+    kinds = {1: ["operator", "tool", "tool"], 2: ["operator", "tool", "tool", "assistant", "notice"], 3: ["tool", "assistant", "tool"], 4: ["tool", "tool"]}
+    turns_ = [("pi", s, i, k) for s, ks in kinds.items() for i, k in enumerate(ks)]
+    paired = [("pi", 1, 1, "call", 2), ("pi", 1, 2, "result", 1), ("pi", 2, 1, "call", None), ("pi", 2, 2, "result", None), ("pi", 3, 0, "result", None), ("pi", 3, 2, "call", None), ("pi", 4, 0, "call", None), ("pi", 4, 1, "result", None)]
+    events = spark.createDataFrame(paired, "harness string, session long, ordinal long, direction string, pair long")
+    got = {r["session"]: r["facts"] for r in endings.endings(frame(spark, turns_, "harness string, session long, ordinal long, kind string"), events).collect()}
+    assert got == {1: "operator-turn-after-assistant,results-without-narration", 2: "assistant-close", 3: "call-without-result", 4: ""}
+
+
+def test_errors_are_counted_once_for_each_pair(spark):
+    rows = [(1, 0, 1, "call", "a", "error"), (1, 1, 1, "result", None, "error"), (1, 2, 2, "call", "a", "error"), (1, 3, 3, "call", "b", None), (1, 4, 3, "result", None, "error"), (1, 5, 4, "result", "c", None), (1, 6, 5, "call", "b", "error"), (1, 7, 5, "result", None, None)]
+    events = spark.createDataFrame([("pi", s, o, c, d, n, x, stamp(o)) for s, o, c, d, n, x in rows], "harness string, session long, ordinal long, call_id long, direction string, name string, status string, ts timestamp_ntz")
+    got = {r["tool"]: r.asDict() for r in pairing.tool_stats(pairing.pair_events(events)).collect()}
+    assert {t: (r["calls"], r["results"], r["paired"], r["errors"], r["no_result_in_read"], r["call_not_recorded"]) for t, r in got.items()} == {"a": (2, 1, 1, 2, 1, 0), "b": (2, 2, 2, 2, 0, 0), "c": (0, 1, 0, 0, 0, 1)}
+
+
+def test_search_is_partial_only_where_turns_were_withheld(spark):
+    rows = [("pi", 1, k, "abc " * 10) for k in range(6)] + [("pi", 2, k, "needle") for k in range(2)] + [("pi", 3, k, "x") for k in range(9)]
+    read, withheld = listing.tail_read(spark.createDataFrame(rows, "harness string, session long, ordinal long, text string"), 100)
+    got = {r["session"]: (r["hit"], r["searched"], r["partial"]) for r in listing.search_tail(read, "NEEDLE", 3, withheld).collect()}
+    assert got == {1: (False, 2, True), 2: (True, 2, False), 3: (False, 3, False)}
 
 
 def test_lanes_tile_the_turns(spark):

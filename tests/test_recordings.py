@@ -59,8 +59,9 @@ def test_codex(spark, tmp_path):
     def item(**payload):
         return {"timestamp": "2026-01-01T10:00:00Z", "type": "response_item", "payload": payload}
 
-    def count(total):
-        return {"timestamp": "2026-01-01T10:00:01Z", "type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"total_tokens": total}, "last_token_usage": {"input_tokens": 4}}, "rate_limits": {"limit_id": "codex", "primary": {"used_percent": "12.5", "window_minutes": 300, "resets_at": 1767265200}}}}
+    def count(total, last=None):
+        info = {"total_token_usage": {"input_tokens": total}, "last_token_usage": last and {"input_tokens": last}} if total else None
+        return {"timestamp": "2026-01-01T10:00:01Z", "type": "event_msg", "payload": {"type": "token_count", "info": info, "rate_limits": {"limit_id": "codex", "primary": {"used_percent": "12.5", "window_minutes": 300, "resets_at": 1767265200}}}}
 
     rows = [
         {"timestamp": "2026-01-01T10:00:00Z", "type": "session_meta", "payload": {"id": "c1", "cwd": "/w"}},
@@ -72,14 +73,20 @@ def test_codex(spark, tmp_path):
         item(type="function_call_output", call_id="k1", output="fine"),
         {"timestamp": "2026-01-01T10:00:01Z", "type": "event_msg", "payload": {"type": "item_completed", "item": {"id": "k1", "type": "CommandExecution"}}},
         {"timestamp": "2026-01-01T10:00:01Z", "type": "event_msg", "payload": {"type": "item_completed", "item": {"id": "k2", "type": "FileChange"}}},
-        count(10), count(25), count(5), count(9),
+        count(10, 10), count(25, 15), count(5, 5), count(5, 5), count(None), count(9),
     ]
     records, _ = recordings.lines(spark, write(tmp_path / "rollout.jsonl", rows))
     turns = recordings.codex_turns(records).orderBy("ordinal").collect()
     assert [(r["kind"], r["direction"]) for r in turns] == [("ambient", None), ("notice", None), ("operator", None), ("tool", "call"), ("tool", "result"), ("tool", "call")]
     assert {r["session"] for r in turns} == {"c1"} and turns[2]["model"] == "big" and turns[5]["call_id"] == "k2"
-    deltas = usage.cumulative_deltas(recordings.codex_totals(records), ["session"]).orderBy("ordinal").collect()
-    assert [(r["delta"], r["reset"], r["epoch"]) for r in deltas] == [(10, False, 0), (15, False, 0), (5, True, 1), (4, False, 1)]
+    told = usage.classify_totals(recordings.codex_totals(records), ["session"])
+    assert [(r["classification"], r["counted"], r["epoch"], r["model"]) for r in told.orderBy("ordinal").collect()] == [
+        ("advance", True, 0, "big"), ("advance", True, 0, "big"), ("reset-advance", True, 1, "big"), ("unchanged-total", False, 1, "big"), ("quota-only", False, 1, "big"), ("advance", False, 1, "big")
+    ]
+    whole = usage.totals_accounting(told, ["session"]).first()
+    assert (whole["input"], whole["requests"], whole["requests_input"], whole["coverage"]) == (9, 3, 10 + 15 + 5, "since-reset")
+    tail = usage.classify_totals(recordings.codex_totals(records), ["session"], bounded=True).orderBy("ordinal").first()
+    assert tail["classification"] == "leading-uncounted"
     assert {(r["pool"], r["percent"], r["window_minutes"]) for r in recordings.codex_quota(records).collect()} == {("codex/primary", 12.5, 300)}
 
 

@@ -7,7 +7,7 @@ import pathlib
 import duckdb
 import pytest
 
-from lagoon.plans import registry
+from lagoon.plans import queries as registry
 
 DATA = "/root/testdata/sf0.001"
 ROOT = pathlib.Path(__file__).resolve().parent.parent
