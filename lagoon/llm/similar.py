@@ -27,45 +27,69 @@ def shingle_set(text: bytes | None, words: int = 5) -> np.ndarray:
     return np.unique(_gram_hashes(ids, min(words, len(ids))))
 
 
-def _frequent(texts: DataFrame, words: int, rows: int = 5000, most: int = 1 << 18) -> np.ndarray:
-    """Shingles that many of a few sampled texts hold. They are only put last in the order, which changes no result."""
-    total = texts.count()
+#: A token's flag is the bit of this many leading bits of its hash, whatever the number of tokens: 16 MB to broadcast.
+_FLAGS = 27
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words).view(np.int64))], names=["token"])
 
-    few = texts.filter(F.pmod(F.xxhash64("__row"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / max(1, total))))
-    found = few.mapInArrow(run, "token long").groupBy("token").count().filter("count > 2").orderBy(F.desc("count"), "token").limit(most)
-    return np.sort(np.array([r["token"] for r in found.select("token").toLocalIterator()], dtype=np.int64).view(np.uint64))
+def prefix_of(held: np.ndarray, flags: np.ndarray, least: float) -> np.ndarray:
+    """The first n - ceil(least * n) + 1 of a shingle set in the order of (flag, hash)."""
+    at = held >> np.uint64(64 - _FLAGS)
+    common = (flags[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+    order = np.argsort(common, kind="stable")
+    return held[order[: len(held) - int(np.ceil(least * len(held) - 1e-9)) + 1]]
 
 
-def similar_links(texts: DataFrame, least: float = 0.8, words: int = 5, small: int = 20) -> DataFrame:
-    """``src, dst``: links that connect just the rows whose shingle sets have Jaccard similarity ``least`` or more.
-
-    ``texts`` has a distinct long ``__row`` and a binary ``__text``. With shingles in one order, two sets of
-    that similarity share one among the first n - ceil(least * n) + 1 of each: those are the keys of the join.
-    In a group of up to ``small`` rows every pair is a candidate; in larger ones each row and the group's first are,
-    and then every pair that the links found don't connect. A candidate is checked on the whole sets.
-    """
-    frequent = _frequent(texts, words)
-    parts = int(texts.sparkSession.conf.get(PARTS))
+def _prefixes(texts: DataFrame, flags: np.ndarray, least: float, words: int) -> DataFrame:
+    """``token, size, row``: the keys of each text."""
+    shared = texts.sparkSession.sparkContext.broadcast(flags)
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, sizes, rows = [], [], []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held = shingle_set(text, words)
                 if len(held):
-                    common = frequent[np.minimum(np.searchsorted(frequent, held), len(frequent) - 1)] == held if len(frequent) else np.zeros(len(held), dtype=bool)
-                    keys = np.concatenate((held[~common], held[common]))[: len(held) - int(np.ceil(least * len(held) - 1e-9)) + 1]
+                    keys = prefix_of(held, shared.value, least)
                     tokens.append(keys.view(np.int64))
                     sizes.append(np.full(len(keys), len(held)))
                     rows.append(np.full(len(keys), row))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, sizes, rows)], names=["token", "size", "row"])
 
+    return texts.select("__row", "__text").mapInArrow(run, "token long, size long, row long")
+
+
+def _crowded(texts: DataFrame, least: float, words: int, small: int, rounds: int) -> np.ndarray:
+    """Flags of the shingles that more than ``small`` texts have among their keys, so that they come last in the order.
+
+    Every text is counted; each round looks at the keys that the flags of the rounds before give. Flags only choose the
+    order, the same for all texts: what they take for crowded wrongly changes no result.
+    """
+    flags = np.zeros(1 << (_FLAGS - 3), dtype=np.uint8)
+    for _ in range(rounds):
+        often = _prefixes(texts, flags, least, words).groupBy("token").count().filter(F.col("count") > small)
+        at = F.shiftrightunsigned("token", 64 - _FLAGS)
+        bits = often.groupBy(F.shiftright(at, 3).alias("byte")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(shiftrightunsigned(token, {64 - _FLAGS}) & 7 as int))")).alias("bits")).toArrow()
+        found = bits["byte"].to_numpy()
+        flags[found] |= bits["bits"].to_numpy().astype(np.uint8)
+        if not len(found):
+            break
+    return flags
+
+
+def similar_links(texts: DataFrame, least: float = 0.8, words: int = 5, small: int = 20, rounds: int = 2) -> DataFrame:
+    """``src, dst``: links that connect just the rows whose shingle sets have Jaccard similarity ``least`` or more.
+
+    ``texts`` has a distinct long ``__row`` and a binary ``__text``. With shingles in one order, two sets of
+    that similarity share one among the first n - ceil(least * n) + 1 of each: those are the keys of the join. Crowded shingles come
+    last, so what many texts share without being alike is rarely a key.
+    In a group of up to ``small`` rows every pair is a candidate. Larger ones are near copies of one another: each row and the group's first are
+    candidates, and then rows that the links found don't connect are compared by sketches in blocks. A candidate is checked by
+    parity sketches, then on the whole sets.
+    """
+    parts = int(texts.sparkSession.conf.get(PARTS))
+    keyed = _prefixes(texts, _crowded(texts, least, words, small, rounds), least, words)
+
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         begun = False  # whether the rows held go on with a group whose first row leads them
@@ -108,25 +132,84 @@ def similar_links(texts: DataFrame, least: float = 0.8, words: int = 5, small: i
             large[0] = False
         yield pa.RecordBatch.from_arrays([pa.array(row[large]), pa.nulls(int(large.sum()), pa.int64()), pa.array(token[large]), pa.array(size[large])], names=names)
 
-    keyed = texts.select("__row", "__text").mapInArrow(prefixes, "token long, size long, row long")
     dealt = keyed.repartition(parts, "token").sortWithinPartitions("token", "size", "row")
     found = materialize(dealt.mapInArrow(candidates, "src long, dst long, token long, size long"))
     links = materialize(_checked(texts, found.filter("dst IS NOT NULL").select("src", "dst").distinct(), least, words))
     crowded = found.filter("token IS NOT NULL")
     if crowded.isEmpty():
         return links
-    groups = connected_components(links)
-    placed = materialize(crowded.join(groups, F.col("src") == F.col("node"), "left").select("token", "size", "src", F.coalesce("component", "src").alias("class")))
-    other = placed.select("token", F.col("size").alias("__size"), F.col("src").alias("dst"), F.col("class").alias("__class"))
-    apart = (
-        placed.join(other, "token")
-        .filter((F.col("class") < F.col("__class")) & (F.least("size", "__size") >= least * F.greatest("size", "__size") - 1e-9))
-        .select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-        .distinct()
-    )
+    apart = _block_candidates(texts, crowded.select("token", "src"), links, least, words)
     return links.unionByName(_checked(texts, apart, least, words))
 
 
+def _block_candidates(texts: DataFrame, crowded: DataFrame, links: DataFrame, least: float, words: int, block: int = 256) -> DataFrame:
+    """``src, dst``: the rows of large groups that no links connect and whose sketches of 1,024 bits allow the similarity.
+
+    Groups that share rows are one cluster. A cluster's rows are dealt into blocks of about ``block``, those of a class of links
+    that fills one apart from the others; two blocks are one unit of work, compared by matrices in a task, and only what
+    the sketches allow leaves it. No pair is a row before that, and no unit grows with the cluster.
+    """
+    joined = connected_components(links).select(F.col("node").alias("src"), F.col("component").alias("class"))
+    first = crowded.groupBy("token").agg(F.min("src").alias("dst"))
+    clusters = connected_components(crowded.join(first, "token").select("src", "dst")).select(F.col("node").alias("src"), F.col("component").alias("cluster"))
+    rows = materialize(clusters.join(joined, "src", "left").withColumn("class", F.coalesce("class", "src")))
+    counted = rows.groupBy("cluster", "class").agg(F.count("*").alias("c")).withColumn("own", F.col("c") >= block // 2)
+    rest = counted.filter("NOT own").groupBy("cluster").agg(F.sum("c").alias("rest"))
+    size = F.when(F.col("own"), F.col("c")).otherwise(F.col("rest"))
+    placed = rows.join(counted, ["cluster", "class"]).join(rest, "cluster", "left").select(
+        "src", "class", "cluster", F.when(F.col("own"), F.col("class")).otherwise(F.lit(-1)).alias("kind"), F.pmod(F.xxhash64("src"), F.ceil(size / block)).alias("part")
+    )
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [shingle_set(x, words) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in held], pa.int64()), pa.array([parity_sketch(x, 1024) for x in held], pa.binary())], names=["src", "n", "bits"])
+
+    drawn = texts.join(rows.select(F.col("src").alias("__row")), "__row", "left_semi").select("__row", "__text").mapInArrow(draw, "src long, n long, bits binary")
+    placed = materialize(placed.join(drawn, "src"))
+    blocks = placed.select("cluster", F.struct("kind", "part").alias("a")).distinct()
+    units = blocks.join(blocks.withColumnRenamed("a", "b"), "cluster").filter("a <= b AND NOT (a.kind = b.kind AND a.kind <> -1)")
+    at = F.struct("kind", "part")
+    one = placed.withColumn("a", at).join(units, ["cluster", "a"]).withColumn("side", F.when(F.col("a") == F.col("b"), 2).otherwise(0))
+    two = placed.withColumn("b", at).join(units.filter("a <> b"), ["cluster", "b"]).withColumn("side", F.lit(1))
+    parts = int(texts.sparkSession.conf.get(PARTS))
+    columns = [F.xxhash64("cluster", "a", "b").alias("unit"), "side", "src", "class", "n", "bits"]
+    dealt = one.select(*columns).unionByName(two.select(*columns)).repartition(parts, "unit").sortWithinPartitions("unit", "side")
+
+    def compare(held: list[tuple]) -> Iterator[tuple[int, int]]:
+        src, cls, n = (np.array(x, dtype=np.int64) for x in zip(*[h[2:5] for h in held]))
+        bits = np.frombuffer(b"".join(h[5] for h in held), dtype=np.uint64).reshape(len(held), -1)
+        left = np.array([h[1] != 1 for h in held])
+        across = not left.all()
+        i, j = (np.flatnonzero(left), np.flatnonzero(~left)) if across else (np.arange(len(held)),) * 2
+        for k in i.tolist():
+            other = j if across else j[j > k]
+            other = other[cls[other] != cls[k]]
+            if len(other):
+                differ = np.bitwise_count(bits[other] ^ bits[k]).sum(axis=1)
+                fits = (differ <= (1 - least) / (1 + least) * (n[other] + n[k]) + 1e-9) & (np.minimum(n[other], n[k]) >= least * np.maximum(n[other], n[k]) - 1e-9)
+                for o in src[other[fits]].tolist():
+                    yield (min(o, int(src[k])), max(o, int(src[k])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            found = list(compare(held))
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["src", "dst"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[0] != held[-1][0]:
+                    yield made()
+                    held = []
+                held.append(row)
+        if held:
+            yield made()
+
+    return dealt.mapInArrow(run, "src long, dst long").distinct()
+
+
 def _checked(texts: DataFrame, pairs: DataFrame, least: float, words: int) -> DataFrame:
     """The ``pairs`` whose whole shingle sets are similar enough."""
     near = _sketched(texts, pairs, least, words)
@@ -151,9 +234,9 @@ def _checked(texts: DataFrame, pairs: DataFrame, least: float, words: int) -> Da
     return both.select("src", "dst", "a", "b").mapInArrow(check, "src long, dst long")
 
 
-def parity_sketch(held: np.ndarray) -> bytes:
-    """One bit for each value of the low bits of the hashes: whether an odd number of the set has it. 4 to 8 bits a shingle, 1,024 at least."""
-    bits = max(1024, 1 << int(4 * len(held) - 1).bit_length())
+def parity_sketch(held: np.ndarray, bits: int | None = None) -> bytes:
+    """One bit for each value of the low bits of the hashes: whether an odd number of the set has it. 4 to 8 bits a shingle, 1,024 at least, if not told."""
+    bits = bits or max(1024, 1 << int(4 * len(held) - 1).bit_length())
     odd = np.bincount((held & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -221,12 +304,8 @@ def drop_similar(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: st
     Texts without words are like no other and stay.
     """
     numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
-    return _less_similar(numbered, least, words, id_col, text_col).drop("__row")
-
-
-def _less_similar(numbered: DataFrame, least: float, words: int, id_col: str, text_col: str) -> DataFrame:
     texts = numbered.select("__row", F.col(text_col).cast("binary").alias("__text"))
-    return without_repeats(numbered, similar_groups(texts, least, words), id_col)
+    return without_repeats(numbered, similar_groups(texts, least, words), id_col).drop("__row")
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = 0.8, words: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,4 +321,6 @@ def drop_near_duplicates(docs: DataFrame, least: float = 0.8, words: int = 5, bu
     groups = materialize(alike.select(F.col("__row").alias("node"), F.col("component_id").alias("component")))
     once = materialize(without_repeats(numbered, groups, id_col))
     sweep(docs.sparkSession, mark, once)
-    return _less_similar(once, least, words, id_col, text_col).drop("__row")
+    similar = materialize(similar_groups(once.select("__row", F.col(text_col).cast("binary").alias("__text")), least, words))
+    sweep(docs.sparkSession, mark, once, similar)
+    return without_repeats(once, similar, id_col).drop("__row")

@@ -280,6 +280,17 @@ def test_language(docs):
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.9 * len(held)
 
 
+def test_language_sample_is_bounded(spark):
+    """The least hashes of each language, repeated rows once, within both bounds."""
+    rows = [(k, f"text number {k}", f"l{k % 3}") for k in range(900)] + [(5000, "the same row", "l0")] * 400
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    hashed = frame.select("lang", "text", F.xxhash64(F.lit(42), "doc_id", "text").alias("h")).distinct().collect()
+    for per, most, size in ((50, 12_000, 50), (50, 90, 30)):
+        got = language_id.training_rows(frame, per, most, "doc_id", "text", "lang").collect()
+        want = [(lang, r["text"]) for lang in ("l0", "l1", "l2") for r in sorted((r for r in hashed if r["lang"] == lang), key=lambda r: r["h"])[:size]]
+        assert sorted((r["lang"], bytes(r["text"]).decode()) for r in got) == sorted(want)
+
+
 def test_language_edges(edge, empty):
     rows = language_id.identify(edge).collect()
     assert {r["lang_pred"] for r in rows if r["doc_id"] in (3, 4, 5, 6)} == {"und"}
@@ -361,6 +372,24 @@ def test_contamination_finds_edited_copies_of_every_score(spark):
     assert {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(frame, bench).collect()} == expected
 
 
+def test_contamination_by_items_that_share_most_of_their_words(spark):
+    """Every document against every item where all seeds but a few are common to all items."""
+    rng = random.Random(77)
+    common = "which of the following is the best answer to the question about".split()
+    items = [common + [f"k{i}a", f"k{i}b", f"k{i}c"] for i in range(30)] + [common, common[:6]]
+    rows = [common + ["k3a", "k3b", "k9c"], common[:7], ["x"] * 10 + items[5], items[2][:10] + ["y", "k2b"], common[3:] + common[:3], ["of", "the"] * 20]
+    rows += [[rng.choice(common) for _ in range(40)] for _ in range(10)]
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    frame = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(rows)], "doc_id long, text string")
+    expected = {}
+    for d, row in enumerate(rows):
+        for i, item in enumerate(items):
+            score = decontaminate.align([w.encode() for w in row], [w.encode() for w in item])[0] / len(item)
+            if score >= 0.5:
+                expected[d, i] = score
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(frame, bench).collect()} == expected
+
+
 def test_contamination_in_capitals_of_any_script(spark):
     item = "l'été où ñandú élève ça œuvre été naïve forêt über привет мир ελλάδα"
     rows = [(1, "x " + item.upper() + " y"), (2, "été où rien d'autre ne suit ici")]
@@ -424,6 +453,78 @@ def test_gram_probabilities_add_up(spark):
     assert len(got) == 256 and math.isclose(sum(10 ** r["logp"] for r in got), 1, rel_tol=1e-6)
 
 
+def kneser_ney(texts, asked):
+    """Interpolated modified Kneser-Ney over byte 5-grams by dictionaries: log10 of each asked gram's last byte after the others."""
+    n = quality.ORDER
+    counts = {k: Counter() for k in range(1, n + 1)}
+    for t in texts:
+        b = bytes([2]) * (n - 1) + t + bytes([3])
+        counts[n].update(b[i : i + n] for i in range(len(b) - n + 1))
+    for k in range(n - 1, 0, -1):
+        seen = Counter()
+        for g, c in counts[k + 1].items():
+            seen[g[1:]] += c if g[1] == 2 else 1
+        counts[k] = seen
+
+    def chance(g):
+        if not g:
+            return 1 / 256
+        table = counts[len(g)]
+        d = discount[len(g)]
+        after = followers[len(g)].get(g[:-1], [])
+        if not after:
+            return chance(g[1:])
+        c = table[g]
+        left = sum(d[min(x, 3) - 1] for x in after)
+        return (max(0, c - (d[min(c, 3) - 1] if c else 0)) + left * chance(g[1:])) / sum(after)
+
+    discount, followers = {}, {}
+    for k, table in counts.items():
+        of = Counter(table.values())
+        m = [of[i] for i in (1, 2, 3, 4)]
+        y = m[0] / (m[0] + 2 * m[1]) if all(m[:3]) else 0
+        discount[k] = [min(max(i - (i + 1) * y * m[i] / m[i - 1], 0.05), i - 0.05) for i in (1, 2, 3)] if all(m[:3]) else [0.5, 0.75, 0.9]
+        followers[k] = {}
+        for g, c in table.items():
+            followers[k].setdefault(g[:-1], []).append(c)
+    return {g: math.log10(chance(g)) for g in asked}
+
+
+def test_gram_probabilities_equal_brute_force(spark):
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice(["abba", "cab", "ba", "abc", "dada"]) for _ in range(rng.randint(1, 12))) for _ in range(40)]
+    frame = spark.createDataFrame([(k, t, k % 3 > 0) for k, t in enumerate(texts)], "doc_id long, text string, good boolean")
+    model = quality.gram_probabilities(quality.count_grams(frame, "text", F.col("good"))).collect()
+    asked = {int(r["g"]).to_bytes(quality.ORDER, "big"): r["logp"] for r in model}
+    want = kneser_ney([t.encode() for k, t in enumerate(texts) if k % 3], asked)
+    assert any(g[0] == 2 for g in asked) and all(math.isclose(want[g], v, rel_tol=1e-9) for g, v in asked.items())
+
+
+def test_quality_thresholds_by_hand(spark):
+    """Means, limits and thresholds of each language against a loop over the perplexities returned."""
+    rng = random.Random(15)
+    stock = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(300)] for lang, letters in (("xx", "abcdefgh"), ("yy", "mnopqrst"))}
+    rows = [(k, " ".join(rng.choice(stock[("xx", "yy")[k % 2]]) for _ in range(rng.randint(5, 90))), ("xx", "yy")[k % 2]) for k in range(400)]
+    rows += [(1001, "".join(rng.choice("zyxwvu") for _ in range(300)), "xx"), (1002, "a text of no known language", None), (1003, "another one", "zz")]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.quality_filter(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
+    unseen = [r for i, r in got.items() if i < 400 and zlib.crc32(str(i).encode()) % 5 == 0]
+
+    def spread(r):
+        return math.sqrt(1 / r["n_tokens"] + 1 / 4000)
+
+    limit = {}
+    for lang in ("xx", "yy", None):
+        sure = [r for r in unseen if lang in (None, r["lang"])]
+        m = -sum(r["log10_prob"] for r in sure) / sum(r["n_tokens"] for r in sure)
+        bins = sorted(math.ceil((math.log10(r["perplexity"]) - m) / spread(r) * 1000) for r in sure)
+        limit[lang] = m, 1.25 * bins[math.ceil(0.99 * len(bins) - 1e-9) - 1] / 1000
+    for r in got.values():
+        m, z = limit.get(r["lang"], limit[None])
+        assert math.isclose(r["threshold"], 10 ** (m + z * spread(r)), rel_tol=1e-3) and r["kept"] == (r["perplexity"] <= r["threshold"])
+    assert not got[1001]["kept"] and sum(got[k]["kept"] for k in range(400)) >= 396
+
+
 def test_perplexity_counts_every_gram(spark):
     frame = spark.createDataFrame([(1, "abcab cab"), (2, "A  b\n7"), (3, ""), (4, None)], "doc_id long, text string")
     model = quality.gram_probabilities(quality.count_grams(frame, "text", F.lit(True)))
@@ -460,18 +561,25 @@ def test_licences(spark, edge, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
-def test_needed_words_are_in_every_match():
-    rng = random.Random(1)
-    for _, text in license_scan.TEMPLATES:
-        need = license_scan.needed_words(text, 0.8)
-        b = license_scan.bigrams(text)
-        for _ in range(200):
-            w = license_scan.words(text)
-            for _ in range(rng.randint(0, 6)):
-                w[rng.randrange(len(w))] = "zz"
-            a = license_scan.bigrams(" ".join(w))
-            dice = 2 * sum(min(n, b[g]) for g, n in a.items()) / max(1, sum(a.values()) + sum(b.values()))
-            assert dice < 0.8 or set(need) & set(w)
+def test_licences_inside_prose(spark):
+    """Notices in pieces, wrapped, inline and inside paragraphs; two licences apart; a tie of two says nothing."""
+    body = dict(license_scan.TEMPLATES)
+    gpl, apache = body["GPL-3.0-or-later"], next(t for n, t in license_scan.TEMPLATES if n == "Apache-2.0" and len(t) > 200)
+    half = gpl.index("This program is distributed")
+    rows = [
+        (1, "First words of a text.\n\n" + gpl[:half] + "\n\n" + gpl[half:] + "\n\nMore prose follows. And more."),
+        (2, "Intro line\n" + apache.replace("; ", ";\n").replace(". ", ".\n") + "\nprint the rest"),
+        (3, "Some tool by the lab. Licensed under the MIT License. See docs for more."),
+        (4, "Some tool by the lab. Licensed under\nthe MIT License. See docs for more."),
+        (5, "Released under the MIT License.\n" + "filler words stand here\n" * 50 + "Licensed under CC BY 4.0."),
+        (6, "This work is licensed under the GNU General Public License"),
+        (7, "x " * 5000 + "\n" + body["MPL-2.0"] + "\n" + "y " * 5000),
+        (8, "Licensed under the MIT License.\n" * 400),
+    ]
+    got = {(r["doc_id"], r["license"]): r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {(1, "GPL-3.0-or-later"), (2, "Apache-2.0"), (3, "MIT"), (4, "MIT"), (5, "MIT"), (5, "CC-BY-4.0"), (7, "MPL-2.0"), (8, "MIT")}
+    assert got[1, "GPL-3.0-or-later"]["dice"] == got[2, "Apache-2.0"]["dice"] == got[3, "MIT"]["dice"] == got[4, "MIT"]["dice"] == got[7, "MPL-2.0"]["dice"] == 1
+    assert (got[1, "GPL-3.0-or-later"]["start"], got[3, "MIT"]["start"], got[3, "MIT"]["words"], got[8, "MIT"]["start"]) == (5, 5, 5, 0)
 
 
 # pipeline
