@@ -25,79 +25,83 @@ def words_of(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
-def spelled(word: bytes, classes: int) -> int:
-    """The class of a word outside the clustered vocabulary: by its last three bytes."""
-    return crc32(word[-3:]) % classes
+def spelled(word: bytes, groups: int) -> int:
+    """The group of a word outside the vocabulary: words that end in the same three bytes are clustered together."""
+    return crc32(word[-3:]) % groups
 
 
 @dataclass
 class BrownModel:
-    """Bounded by its parameters: ``counts`` has the most frequent words, ``assigned`` the clustered ones' classes."""
+    """Bounded by its parameters: ``counts`` has the most frequent words, ``assigned`` the class of each unit: vocabulary words, groups, the end."""
 
     counts: dict[bytes, int]
     ids: dict[bytes, int]
     assigned: np.ndarray
     transitions: np.ndarray
-    learned: int
-    spelt: int
+    groups: int
     tokens: int
     types: int
-    spelt_tokens: np.ndarray
-    spelt_types: np.ndarray
+    group_tokens: np.ndarray
+    group_types: np.ndarray
     words: DataFrame
+    likelihoods: list[float]
 
     def tables(self) -> tuple:
-        """log10 of transitions, and of what each class's counts are divided by."""
+        """log10 of transitions, of what each class's counts are divided by, and of the chance of a new word in it (times that)."""
         n = self.transitions.astype(np.float64)
         g = len(n)
         prior = (n.sum(axis=0) + 0.5) / (n.sum() + 0.5 * g)
         smooth = np.log10((n + 10 * prior) / (n.sum(axis=1, keepdims=True) + 10))
-        totals = np.zeros(g)
-        for word, i in self.ids.items():
-            totals[self.assigned[i]] += self.counts[word]
-        totals[self.learned : self.learned + self.spelt] = self.spelt_tokens + 0.5
-        totals[-1] = max(1, self.counts.get(END, 0))
-        return smooth, np.log10(np.maximum(totals, 1e-9))
+        size = len(self.ids)
+        own = np.fromiter((self.counts[w] for w in self.ids), dtype=np.float64, count=size)
+        totals = np.bincount(self.assigned[: size + self.groups], weights=np.concatenate((own, self.group_tokens)), minlength=g)
+        types = np.bincount(self.assigned[: size + self.groups], weights=np.concatenate((np.ones(size), self.group_types)), minlength=g)
+        return smooth, np.log10(totals + 0.5), np.log10(0.5 * (types + 1))
 
 
-def _word_counts(docs: DataFrame, text: Column, spelt: int) -> DataFrame:
+def _word_counts(docs: DataFrame, text: Column, groups: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         for batch in batches:
             for x in batch.column(0).to_pylist():
                 held.update(words_of(x))
                 if len(held) > 600_000:
-                    yield _counts_batch(held, spelt)
+                    yield _counts_batch(held, groups)
                     held = Counter()
         if held:
-            yield _counts_batch(held, spelt)
+            yield _counts_batch(held, groups)
 
-    made = docs.select(text.cast("binary").alias("t")).mapInArrow(run, "word binary, spelt int, n long")
-    return materialize(made.groupBy("word", "spelt").agg(F.sum("n").alias("n")))
+    made = docs.select(text.cast("binary").alias("t")).mapInArrow(run, "word binary, grouped int, n long")
+    return materialize(made.groupBy("word", "grouped").agg(F.sum("n").alias("n")))
 
 
-def _counts_batch(held: Counter, spelt: int) -> pa.RecordBatch:
+def _counts_batch(held: Counter, groups: int) -> pa.RecordBatch:
     words = list(held)
     return pa.RecordBatch.from_arrays(
-        [pa.array(words, pa.binary()), pa.array([spelled(w, spelt) for w in words], pa.int32()), pa.array(list(held.values()), pa.int64())],
-        names=["word", "spelt", "n"],
+        [pa.array(words, pa.binary()), pa.array([spelled(w, groups) for w in words], pa.int32()), pa.array(list(held.values()), pa.int64())],
+        names=["word", "grouped", "n"],
     )
 
 
-def _contexts(docs: DataFrame, text: Column, ids: dict[bytes, int], size: int, spelt: int) -> DataFrame:
-    """One row for each clustered word or other class: its neighbours (id, and size + id for left ones) and counts.
+#: The most frequent units' contexts are dealt in pieces: this many units, and pieces of each.
+_HOT, _PIECES = 256, 16
 
-    A row has at most 2 * (size + spelt + 1) neighbours, whatever the corpus.
+
+def _contexts(docs: DataFrame, text: Column, ids: dict[bytes, int], size: int, groups: int) -> DataFrame:
+    """``w, x, n``: for each unit its neighbours (id, and width + id for left ones) and counts; in pieces for the most frequent ones and the end.
+
+    Counts meet by unit and piece, so no task holds all that stands beside a frequent word. A unit has at most
+    2 * (size + groups + 1) neighbours, whatever the corpus.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ids)
-    width = size + spelt + 1
+    width = size + groups + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, count = shared.value, [], 0
         for batch in batches:
             for x in batch.column(0).to_pylist():
                 tokens = words_of(x)
-                row = [known[w] if w in known else size + crc32(w[-3:]) % spelt for w in tokens]
+                row = [known[w] if w in known else size + crc32(w[-3:]) % groups for w in tokens]
                 row[-1] = width - 1
                 seq = np.array([width - 1, *row], dtype=np.int64)
                 held.append(seq[:-1] * width + seq[1:])
@@ -111,16 +115,17 @@ def _contexts(docs: DataFrame, text: Column, ids: dict[bytes, int], size: int, s
     def emit(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         code, n = np.unique(np.concatenate(held), return_counts=True)
         a, b = code // width, code % width
-        left = b < size
+        left = b < width - 1
         w, x, n = np.concatenate((a, b[left])), np.concatenate((b, width + a[left])), np.concatenate((n, n[left]))
+        k = np.where((w < _HOT) | (w == width - 1), x % _PIECES, 0)
         for at in range(0, len(w), 500_000):
             s = slice(at, at + 500_000)
-            yield pa.RecordBatch.from_arrays([pa.array(w[s].astype(np.int32)), pa.array(x[s].astype(np.int32)), pa.array(n[s])], names=["w", "x", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(w[s].astype(np.int32)), pa.array(k[s].astype(np.int32)), pa.array(x[s].astype(np.int32)), pa.array(n[s])], names=["w", "k", "x", "n"])
 
-    pairs = docs.select(text.cast("binary").alias("t")).mapInArrow(run, "w int, x int, n long")
+    pairs = docs.select(text.cast("binary").alias("t")).mapInArrow(run, "w int, k int, x int, n long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    summed = pairs.repartition(parts, "w").groupBy("w", "x").agg(F.sum("n").alias("n"))
-    return materialize(summed.groupBy("w").agg(F.collect_list("x").alias("x"), F.collect_list("n").alias("n")))
+    summed = pairs.repartition(parts, "w", "k").groupBy("w", "k", "x").agg(F.sum("n").alias("n"))
+    return materialize(summed.groupBy("w", "k").agg(F.collect_list("x").alias("x"), F.collect_list("n").alias("n")).drop("k"))
 
 
 def _class_counts(contexts: DataFrame, classes: np.ndarray, g: int) -> np.ndarray:
@@ -149,110 +154,146 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         yield w, x[ends[k] : ends[k + 1]], n[ends[k] : ends[k + 1]]
 
 
-def _sweep(contexts: DataFrame, classes: np.ndarray, counts: np.ndarray, learned: int, size: int, turn: int) -> dict[int, int]:
-    """Moves of one sweep: each word of the turn's half goes where the log-likelihood grows most, all others held."""
+def _f(v: np.ndarray) -> np.ndarray:
+    return v * np.log(np.maximum(v, 1.0))
+
+
+def log_likelihood(counts: np.ndarray) -> float:
+    """What the classes explain: the sum over class pairs of n log n less that over their margins (the rest of the likelihood is the words' own)."""
+    n = counts.astype(np.float64)
+    return float(_f(n).sum() - _f(n.sum(axis=1)).sum() - _f(n.sum(axis=0)).sum())
+
+
+def best_class(a: int, r: np.ndarray, l: np.ndarray, n0: np.ndarray, learned: int) -> int:
+    """Where a unit of class ``a`` whose right and left neighbours have class counts ``r`` and ``l`` adds most to the log-likelihood, all others held."""
+    row, col = n0[a].copy(), n0[:, a].copy()
+    n0[a] -= r
+    n0[:, a] -= l
+    np.maximum(n0, 0, out=n0)
+    xs, ys = np.flatnonzero(r), np.flatnonzero(l)
+    here = n0[:learned]
+    gain = (_f(here[:, xs] + r[xs]) - _f(here[:, xs])).sum(axis=1)
+    there = n0[:, :learned][ys]
+    gain += (_f(there + l[ys][:, None]) - _f(there)).sum(axis=0)
+    total = r.sum()
+    out, into = here.sum(axis=1), n0[:, :learned].sum(axis=0)
+    gain -= _f(out + total) - _f(out) + _f(into + total) - _f(into)
+    n0[a], n0[:, a] = row, col
+    best = int(gain.argmax())
+    return best if gain[best] > gain[a] + 1e-9 else a
+
+
+def _sweep(contexts: DataFrame, classes: np.ndarray, counts: np.ndarray, learned: int, turn: int, of: int) -> dict[int, int]:
+    """Moves of one sweep: each unit whose number leaves ``turn`` by ``of`` goes where the log-likelihood grows most, all others held."""
     width, g = len(classes), len(counts)
 
-    def f(v: np.ndarray) -> np.ndarray:
-        return v * np.log(np.maximum(v, 1.0))
+    def sides(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        right = x < width
+        return np.bincount(classes[x[right]], weights=n[right], minlength=g), np.bincount(classes[x[~right] - width], weights=n[~right], minlength=g)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n0 = counts.astype(np.float64)
         moved, target = [], []
         for batch in batches:
             for w, x, n in _rows(batch):
-                if w >= size or w % 2 != turn:
-                    continue
-                right = x < width
-                r = np.bincount(classes[x[right]], weights=n[right], minlength=g)
-                l = np.bincount(classes[x[~right] - width], weights=n[~right], minlength=g)
-                a = classes[w]
-                row, col = n0[a].copy(), n0[:, a].copy()
-                n0[a] -= r
-                n0[:, a] -= l
-                np.maximum(n0, 0, out=n0)
-                xs, ys = np.flatnonzero(r), np.flatnonzero(l)
-                here = n0[:learned]
-                gain = (f(here[:, xs] + r[xs]) - f(here[:, xs])).sum(axis=1)
-                there = n0[:, :learned][ys]
-                gain += (f(there + l[ys][:, None]) - f(there)).sum(axis=0)
-                total = r.sum()
-                out, into = here.sum(axis=1), n0[:, :learned].sum(axis=0)
-                gain -= f(out + total) - f(out) + f(into + total) - f(into)
-                n0[a], n0[:, a] = row, col
-                best = int(gain.argmax())
-                if best != a and gain[best] > gain[a] + 1e-9:
+                c = best_class(int(classes[w]), *sides(x, n), n0, learned)
+                if c != classes[w]:
                     moved.append(w)
-                    target.append(best)
+                    target.append(c)
         yield pa.RecordBatch.from_arrays([pa.array(moved, pa.int32()), pa.array(target, pa.int32())], names=["w", "c"])
 
-    return {r["w"]: r["c"] for r in contexts.mapInArrow(run, "w int, c int").collect()}  # at most ``size`` words
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A piece's neighbours by class: the first unit of a class stands for it."""
+        for batch in batches:
+            ws, xs, ns = [], [], []
+            for w, x, n in _rows(batch):
+                r, l = sides(x, n)
+                for at, v in ((first, r), (width + first, l)):
+                    k = np.flatnonzero(v)
+                    ws.append(np.full(len(k), w))
+                    xs.append(at[k])
+                    ns.append(v[k].astype(np.int64))
+            if ws:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ws).astype(np.int32)), pa.array(np.concatenate(xs).astype(np.int32)), pa.array(np.concatenate(ns))], names=["w", "x", "n"])
+
+    first = np.zeros(g, dtype=np.int64)
+    first[classes[::-1]] = np.arange(width)[::-1]
+    due = contexts.filter((F.col("w") % of == turn) & (F.col("w") < width - 1))
+    hot = due.filter(F.col("w") < _HOT).mapInArrow(cells, "w int, x int, n long").groupBy("w", "x").agg(F.sum("n").alias("n"))
+    whole = hot.groupBy("w").agg(F.collect_list("x").alias("x"), F.collect_list("n").alias("n")).unionByName(due.filter(F.col("w") >= _HOT))
+    return {r["w"]: r["c"] for r in whole.mapInArrow(move, "w int, c int").collect()}  # at most one row a unit
 
 
 def fit(
-    docs: DataFrame, text_col: str = "text", head: int = 1 << 18, vocabulary: int = 1 << 15, learned: int = 64, spelt: int = 64, sweeps: int = 6
+    docs: DataFrame, text_col: str = "text", head: int = 1 << 18, vocabulary: int = 1 << 15, learned: int = 96, groups: int = 1 << 12, sweeps: int = 6
 ) -> BrownModel:
     """Class model of all texts of ``docs``.
 
-    Every token of every text is counted. The ``vocabulary`` most frequent words (ties by bytes) are
-    clustered by exchange into ``learned`` classes over the counts of all their neighbours: each
-    sweep moves half of the words, each to the class that gives the greatest log-likelihood with the
-    others where they were, as distributed exchange clustering does. All other words belong to
-    ``spelt`` classes by their last bytes and take part in transitions, emissions and neighbours'
-    contexts as those; the end of a text has a class of its own. What is broadcast or meets on the
-    driver is bounded by these parameters: at most ``head`` words with counts, the class of each clustered
-    word, and the classes' transition counts. All word counts stay a table.
+    Every token of every text is counted, and every word is clustered by exchange into ``learned`` classes over the counts of all its
+    neighbours: the ``vocabulary`` most frequent words (ties by bytes) each alone, all others together with those that end in the same bytes, in
+    ``groups`` groups. A sweep moves half of the units, each to the class that gives the greatest log-likelihood with the
+    others where they were, as distributed exchange clustering does. A sweep whose moves together lower the likelihood is undone, and
+    from then on half as many units move at a time, so the likelihood never falls; sweeps end when nothing moves. The end of a text has
+    a class of its own. What is broadcast or meets on the driver is bounded by these parameters: at most ``head`` words with counts, the class of each
+    unit, and the classes' transition counts. All word counts stay a table.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = _word_counts(docs, text, spelt)
+    words = _word_counts(docs, text, groups)
     facts = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     top = frequent(words, "n", head).select("word", "n").toArrow()
     counts = dict(sorted(zip(top["word"].to_pylist(), top["n"].to_pylist()), key=lambda x: (-x[1], x[0])))
     ids = {w: i for i, w in enumerate([w for w in counts if w != END][:vocabulary])}
     size = len(ids)
-    contexts = _contexts(docs, text, ids, size, spelt)
-    g = learned + spelt + 1
-    classes = np.concatenate((np.arange(size) % learned, learned + np.arange(spelt), [g - 1])).astype(np.int64)
+    contexts = _contexts(docs, text, ids, size, groups)
+    g = learned + 1
+    classes = np.concatenate((np.arange(size + groups) % learned, [learned])).astype(np.int64)
     n = _class_counts(contexts, classes, g)
+    likelihoods, of, still = [log_likelihood(n)], 2, 0
     for turn in range(sweeps):
-        moves = _sweep(contexts, classes, n, learned, size, turn % 2)
-        classes[list(moves)] = list(moves.values())
-        n = _class_counts(contexts, classes, g)
-        if not moves and turn:
+        moves = _sweep(contexts, classes, n, learned, turn % of, of)
+        still = 0 if moves else still + 1
+        if still == of:
             break
-    tokens, types = np.zeros(spelt), np.zeros(spelt)
-    for r in words.groupBy("spelt").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # ``spelt`` rows
-        tokens[r["spelt"]], types[r["spelt"]] = r["n"], r["v"]
+        moved = classes.copy()
+        moved[list(moves)] = list(moves.values())
+        after = _class_counts(contexts, moved, g)
+        if log_likelihood(after) < likelihoods[-1]:
+            of *= 2
+            continue
+        classes, n = moved, after
+        likelihoods.append(log_likelihood(n))
+    tokens, types = np.zeros(groups), np.zeros(groups)
+    for r in words.groupBy("grouped").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # ``groups`` rows
+        tokens[r["grouped"]], types[r["grouped"]] = r["n"], r["v"]
     for w in [*ids, END]:
         if w in counts:
-            tokens[spelled(w, spelt)] -= counts[w]
-            types[spelled(w, spelt)] -= 1
-    return BrownModel(counts, ids, classes, n, learned, spelt, facts["n"] or 0, facts["v"], tokens, types, words)
+            tokens[spelled(w, groups)] -= counts[w]
+            types[spelled(w, groups)] -= 1
+    return BrownModel(counts, ids, classes, n, groups, facts["n"] or 0, facts["v"], tokens, types, words, likelihoods)
 
 
 def score(docs: DataFrame, model: BrownModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_tokens, n_known, train_tokens, base_score, score, perplexity`` for each row of ``docs``.
+    """``id_col, n_tokens, n_known, train_tokens, base_score, score, unseen_score, perplexity`` for each row of ``docs``.
 
     A text's probability is the product, over its tokens, of the class's transition from the class
-    before (the first follows an end) and the word's emission from its class. In a spelt class every
-    known word gives up half a count, which all together are the chance of a new word. Counts of the head come
+    before (the first follows an end) and the word's emission from its class. Every known word gives up half a count, which
+    all together in a class are the chance of a new word there; a new word is of its group's class. ``unseen_score`` is the part of the
+    score that new words' emissions make, so score - unseen_score is that of the known ones. Counts of the head come
     from the broadcast; those of all other words by a join with the table of counts, so each token of
     each text counts. Null and empty texts hold one token, their end.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(
-        (model.counts, model.ids, model.assigned, *model.tables(), np.log10(0.5 * (model.spelt_types + 1)), model.learned, model.spelt, model.tokens, model.types)
-    )
+    shared = docs.sparkSession.sparkContext.broadcast((model.counts, model.ids, model.assigned, *model.tables(), model.groups, model.tokens, model.types))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, ids, assigned, moves, below, new, learned, spelt, tokens, types = shared.value
-        size, g = len(ids), len(moves)
+        counts, ids, assigned, moves, below, new, groups, tokens, types = shared.value
+        size, end = len(ids), len(moves) - 1
         place = {w: i for i, w in enumerate(counts)}  # head words to rows of the arrays below
         count = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
-        cls = np.fromiter((g - 1 if w == END else assigned[ids[w]] if w in ids else learned + crc32(w[-3:]) % spelt for w in counts), dtype=np.int64, count=len(counts))
+        cls = np.fromiter((end if w == END else assigned[ids[w] if w in ids else size + crc32(w[-3:]) % groups] for w in counts), dtype=np.int64, count=len(counts))
         base_below = np.log10(tokens + 0.5 * (types + 1))
         base = np.log10(count + 0.5) - base_below
-        emit = np.log10(count - 0.5 * ((cls >= learned) & (cls < g - 1))) - below[cls]
+        emit = np.where(cls == end, 0.0, np.log10(count - 0.5) - below[cls])
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             cols: list[list] = [[] for _ in range(8)]
@@ -261,20 +302,20 @@ def score(docs: DataFrame, model: BrownModel, id_col: str = "doc_id", text_col:
                 at = np.array([place.get(w, -1) for w in toks], dtype=np.int64)
                 far = at < 0
                 seq = cls[at] if len(cls) else np.zeros(len(at), np.int64)
-                seq[-1] = g - 1
-                rest = Counter(toks[i] for i in np.flatnonzero(far) if toks[i] is not END)
+                seq[-1] = end
                 away = [i for i in np.flatnonzero(far) if toks[i] is not END]
+                rest = Counter(toks[i] for i in away)
                 if away:
-                    seq[away] = [learned + crc32(toks[i][-3:]) % spelt for i in away]
+                    seq[away] = [assigned[size + crc32(toks[i][-3:]) % groups] for i in away]
                 near = at[~far]
                 b, e = base[near].sum(), emit[near].sum()
                 b -= len(away) * base_below
                 e -= below[seq[away]].sum()
                 if far[-1]:  # an end that was never seen in training
                     b += np.log10(0.5) - base_below
-                e += moves[np.concatenate(([g - 1], seq[:-1])), seq].sum()
+                e += moves[np.concatenate(([end], seq[:-1])), seq].sum()
                 row += 1
-                for col, v in zip(cols, (row, len(toks), len(near), float(b), float(e), list(rest), list(rest.values()), new[[crc32(w[-3:]) % spelt for w in rest]].tolist() if rest else [])):
+                for col, v in zip(cols, (row, len(toks), len(near), float(b), float(e), list(rest), list(rest.values()), [float(new[assigned[size + crc32(w[-3:]) % groups]]) for w in rest])):
                     col.append(v)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.float64()))))],
@@ -287,10 +328,16 @@ def score(docs: DataFrame, model: BrownModel, id_col: str = "doc_id", text_col:
         )
     )
     rest = near.select("row", F.explode(F.arrays_zip("rest", "times", "new")).alias("z")).select("row", F.col("z.rest").alias("word"), F.col("z.times").alias("times"), F.col("z.new").alias("new"))
+    seen = F.col("n") > 0
     found = (
         rest.join(model.words.select("word", "n"), "word", "left")
         .groupBy("row")
-        .agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("base_logs"), F.sum(F.col("times") * F.when(F.col("n") > 0, F.log10(F.col("n") - 0.5)).otherwise(F.col("new"))).alias("logs"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))
+        .agg(
+            F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("base_logs"),
+            F.sum(F.col("times") * F.when(seen, F.log10(F.col("n") - 0.5)).otherwise(F.col("new"))).alias("logs"),
+            F.sum(F.when(seen, 0.0).otherwise(F.col("times") * F.col("new"))).alias("unseen"),
+            F.sum(F.when(seen, F.col("times")).otherwise(0)).alias("known"),
+        )
     )
     total = F.col("emit") + F.coalesce("logs", F.lit(0.0))
     return near.drop("rest", "times", "new").join(found, "row", "left").select(
@@ -300,6 +347,7 @@ def score(docs: DataFrame, model: BrownModel, id_col: str = "doc_id", text_col:
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("base_logs", F.lit(0.0))).alias("base_score"),
         total.alias("score"),
+        F.coalesce("unseen", F.lit(0.0)).alias("unseen_score"),
         F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
     )
 

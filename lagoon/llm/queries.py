@@ -22,7 +22,7 @@ from lagoon.session import table
 def op1_brown_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = brown.score(docs, brown.fit(docs.filter(~brown.held_out())))
-    return scored.select("doc_id", brown.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+    return scored.select("doc_id", brown.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "unseen_score", "perplexity")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -414,20 +414,71 @@ def test_brown(docs, texts):
     out = [i for i in texts if held[i]]
     assert sum(got[i]["score"] for i in out) > sum(got[i]["base_score"] for i in out)
     # one text by the model's tables, word by word
-    moves, below = model.tables()
-    i = out[0]
-    before, total = len(moves) - 1, 0.0
+    moves, below, new = model.tables()
+    end, size = len(moves) - 1, len(model.ids)
+    i = next(i for i in out if any(w not in counts for w in words(texts[i])))
+    before, total, unseen = end, 0.0, 0.0
     for w in brown.words_of(texts[i].encode()):
-        c = len(moves) - 1 if w == brown.END else model.assigned[model.ids[w]] if w in model.ids else model.learned + brown.spelled(w, model.spelt)
-        half = 0.5 if model.learned <= c < len(moves) - 1 else 0
-        new = 0.5 * (model.spelt_types[c - model.learned] + 1) if half else 0
-        total += moves[before, c] + math.log10(counts[w] - half if counts[w] else new) - below[c]
+        c = end if w == brown.END else model.assigned[model.ids[w] if w in model.ids else size + brown.spelled(w, model.groups)]
+        total += moves[before, c]
+        if w != brown.END:
+            total += (math.log10(counts[w] - 0.5) if counts[w] else new[c]) - below[c]
+            unseen += 0 if counts[w] else new[c]
         before = c
-    assert math.isclose(got[i]["score"], total, rel_tol=1e-9)
+    assert math.isclose(got[i]["score"], total, rel_tol=1e-9) and math.isclose(got[i]["unseen_score"], unseen, rel_tol=1e-9)
+    # the classes' emissions are probabilities: known words and a new one
+    mass = Counter()
+    for w, n_w in counts.items():
+        if w != brown.END:
+            mass[model.assigned[model.ids[w] if w in model.ids else size + brown.spelled(w, model.groups)]] += n_w - 0.5
+    assert all(math.isclose(m + 10 ** new[c], 10 ** below[c], rel_tol=1e-9) for c, m in mass.items())
+
+
+def test_brown_exchange_equals_brute_force(spark, monkeypatch):
+    """Class counts, likelihoods and every single move against loops over the tokens."""
+    rng = random.Random(41)
+    stock = [f"{p}{k}" for p in "ab" for k in range(12)]
+    rows = [(k, " ".join(rng.choice(stock[:12] if j % 2 else stock[12:]) for j in range(rng.randint(4, 20)))) for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(brown, "_HOT", 5)
+    groups, learned, vocabulary = 4, 3, 15
+    model = brown.fit(frame, vocabulary=vocabulary, learned=learned, groups=groups, sweeps=9)
+    width = vocabulary + groups + 1
+    unit = lambda w: width - 1 if w == brown.END else model.ids[w] if w in model.ids else vocabulary + brown.spelled(w, groups)
+    pairs = Counter()
+    for _, t in rows:
+        seq = [width - 1, *map(unit, brown.words_of(t.encode()))]
+        pairs.update(zip(seq, seq[1:]))
+
+    def table(classes):
+        n = np.zeros((learned + 1, learned + 1))
+        for (a, b), c in pairs.items():
+            n[classes[a], classes[b]] += c
+        return n
+
+    assert np.array_equal(model.transitions, table(model.assigned))
+    assert model.likelihoods == sorted(model.likelihoods) and math.isclose(model.likelihoods[-1], brown.log_likelihood(table(model.assigned)))
+    start = np.concatenate((np.arange(width - 1) % learned, [learned]))
+    assert model.likelihoods[-1] > brown.log_likelihood(table(start)) + 1
+    contexts = brown._contexts(frame, F.col("text"), model.ids, vocabulary, groups)
+    for turn in (0, 1):
+        moves = brown._sweep(contexts, start, table(start), learned, turn, 2)
+        for w in range(turn, width - 1, 2):
+            if not any(w in p for p in pairs):
+                continue
+            values = []
+            for c in range(learned):
+                moved = start.copy()
+                moved[w] = c
+                values.append(table(moved))
+            if (w, w) not in pairs:
+                gains = [brown.log_likelihood(v) for v in values]
+                chosen = moves.get(w, start[w])
+                assert gains[chosen] >= max(gains) - 1e-6 and (chosen == start[w] or gains[chosen] > gains[start[w]])
 
 
 def test_brown_transitions_are_probabilities(docs):
-    moves, _ = brown.fit(docs, vocabulary=200).tables()
+    moves, _, _ = brown.fit(docs, vocabulary=200).tables()
     assert np.allclose((10**moves).sum(axis=1), 1)
 
 
