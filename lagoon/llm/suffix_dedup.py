@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagoon.llm.induced_sort import repeated
@@ -134,12 +134,13 @@ def _pieces(docs: DataFrame, text_col: str, length: int, wanted: DataFrame, most
     return texts.join(marked, "uid").select("t", "cuts").mapInArrow(take, schema)
 
 
-def repeated_starts(docs: DataFrame, text_col: str = "text", length: int = 400, shard_bytes: int = 2 << 20, hot: int = 4_000, most: int = 8_000_000) -> DataFrame:
+def repeated_starts(docs: DataFrame, text_col: str = "text", length: int = 400, shard_bytes: int = 2 << 20, hot: int = 4_000, most: int = 8_000_000, memory: int = 128 << 20) -> DataFrame:
     """``uid, spans``: for each text (by MD5) the ranges [first, last] of starts of strings that also start elsewhere.
 
     A text's strings fall into regions by their least inner hash; only regions whose hash stands at
     two places can hold repeats. Equal regions are joined first. The rest is dealt by hash into
-    shards of at most about ``shard_bytes``, whose suffixes and common prefixes are sorted by induction.
+    shards of about ``shard_bytes``, whose suffixes and common prefixes are sorted by induction; the regions of one hash are one
+    shard whatever their size, and beyond ``memory`` its sort goes on in files.
     A hash with more than ``hot`` different regions isn't sorted in one shard: its single strings are
     joined by digest, which no task needs whole. The wanted hashes are broadcast up to ``most`` of
     them (8 bytes each) and joined beyond that.
@@ -159,12 +160,12 @@ def repeated_starts(docs: DataFrame, text_col: str = "text", length: int = 400,
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if size > shard_bytes and row[0] != held[-1][0]:
-                    yield _sorted(held, length)
+                    yield _sorted(held, length, memory)
                     held, size = [], 0
                 held.append(row)
                 size += len(row[2])
         if held:
-            yield _sorted(held, length)
+            yield _sorted(held, length, memory)
 
     ranges = dealt.mapInArrow(sort, "piece binary, first long, last long")
 
@@ -179,7 +180,10 @@ def repeated_starts(docs: DataFrame, text_col: str = "text", length: int = 400,
 
     strings = distinct.join(crowded, "h").select("piece", "bytes", "many").mapInArrow(single, "string binary, piece binary, at long, many boolean")
     often = strings.groupBy("string").agg(F.count("*").alias("n"), F.max("many").alias("many")).filter("n > 1 OR many").select("string")
-    hot_ranges = strings.join(often, "string").select("piece", F.col("at").alias("first"), F.col("at").alias("last"))
+    # starts of a piece that follow each other are one range
+    by = Window.partitionBy("piece").orderBy("at")
+    runs = strings.join(often, "string").select("piece", "at").withColumn("run", F.col("at") - F.row_number().over(by))
+    hot_ranges = runs.groupBy("piece", "run").agg(F.min("at").alias("first"), F.max("at").alias("last")).drop("run")
     found = ranges.unionByName(hot_ranges)
     spans = pieces.select("piece", "uid", "start").distinct().join(found, "piece").select(
         "uid", F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last")).alias("span")
@@ -187,10 +191,10 @@ def repeated_starts(docs: DataFrame, text_col: str = "text", length: int = 400,
     return spans.groupBy("uid").agg(F.collect_list("span").alias("spans"))
 
 
-def _sorted(rows: list[tuple], length: int) -> pa.RecordBatch:
+def _sorted(rows: list[tuple], length: int, memory: int) -> pa.RecordBatch:
     """Ranges of repeated starts of the pieces of one shard."""
     out: list[tuple] = []
-    for (_, piece, text, many), at in zip(rows, repeated([r[2] for r in rows], length)):
+    for (_, piece, text, many), at in zip(rows, repeated([r[2] for r in rows], length, memory)):
         if many:
             out.append((piece, 0, len(text) - length))
         elif len(at):

@@ -105,7 +105,7 @@ def removed(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 0}, {"most": 0}, {"shard_bytes": 200}])
+@pytest.mark.parametrize("options", [{}, {"hot": 0}, {"most": 0}, {"shard_bytes": 200}, {"memory": 1000}])
 def test_repeats_equal_brute_force(spark, options):
     rng = random.Random(5)
     shared = "".join(rng.choice("abc é") for _ in range(120))
@@ -123,11 +123,13 @@ def test_repeats_in_documents(docs, texts):
     assert have == removed([(i, t.encode()) for i, t in texts.items()], 400)
 
 
-@pytest.mark.parametrize("memory", [64, 1 << 20])
+@pytest.mark.parametrize("memory", [64, 300, 1 << 20])
 def test_induced_sort_gives_suffix_order(memory):
+    """Memory far below the text makes every array and queue a file and sorts names by recursion, whatever their alphabet."""
     rng = random.Random(memory)
-    for _ in range(60):
-        text = np.array([rng.randint(1, rng.choice([1, 2, 5, 40])) for _ in range(rng.randint(1, 90))] + [0], dtype=np.int32)
+    for trial in range(60):
+        text = [rng.randint(1, rng.choice([1, 2, 5, 40, 700])) for _ in range(rng.randint(1, 200))] if trial % 4 else [rng.randint(1, 3) for _ in range(rng.randint(1, 9))] * 30
+        text = np.array([*text, 0], dtype=np.int32)
         runs = list(induced_sort.suffixes(text, 1000, memory=memory))[::-1]
         order = np.concatenate([a for a, _ in runs]).tolist()
         lists = text.tolist()
@@ -138,6 +140,16 @@ def test_induced_sort_gives_suffix_order(memory):
             assert common[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+def test_repeats_of_a_shard_larger_than_memory():
+    rng = random.Random(19)
+    stock = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))).encode() for _ in range(200)]
+    pieces = [b" ".join(rng.choice(stock) for _ in range(60)) for _ in range(40)]
+    pieces += [p[50:] + b"end" for p in pieces[:10]]
+    got = induced_sort.repeated(pieces, 100, 2000)
+    counts = Counter(p[i : i + 100] for p in pieces for i in range(len(p) - 99))
+    assert [x.tolist() for x in got] == [[i for i in range(len(p) - 99) if counts[p[i : i + 100]] > 1] for p in pieces]
+
+
 def test_repeats_edges(edge, empty):
     got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(edge).collect()}
     assert got[3]["n_bytes"] == 0 and bytes(got[11]["kept"]) == b"" and got[1]["spans"] == []
