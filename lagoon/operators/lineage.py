@@ -35,13 +35,13 @@ def root_of(sessions: DataFrame) -> DataFrame:
     link = materialize(sessions.join(known, F.col("parent") == F.col("__s"), "left").select("session", F.col("__s").alias("up")))
     done = link.filter("up IS NULL").select("session", F.col("session").alias("root"))
     left, finished = link.filter("up IS NOT NULL"), materialize(done)
-    rounds = 0
-    while not left.isEmpty() and rounds < 64:
-        ended = left.join(finished.withColumnRenamed("session", "__e"), F.col("up") == F.col("__e")).select("session", "root")
+    while not left.isEmpty():
+        found = materialize(left.join(finished.withColumnRenamed("session", "__e"), F.col("up") == F.col("__e")).select("session", "root"))
+        if found.isEmpty():
+            break  # every chain has one next to its end: those left are circles
         further = left.select(F.col("session").alias("__e"), F.col("up").alias("__up"))
-        moved = left.join(further, F.col("up") == F.col("__e")).select("session", F.col("__up").alias("up"))
-        found, rest = materialize(ended), materialize(moved)
-        finished, left, rounds = finished.unionByName(found), rest, rounds + 1
+        left = materialize(left.join(further, F.col("up") == F.col("__e")).select("session", F.col("__up").alias("up")))
+        finished = finished.unionByName(found)
     return finished.unionByName(left.select("session", F.col("up").alias("root")))
 
 

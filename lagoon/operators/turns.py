@@ -67,11 +67,15 @@ def _gap_ms(by: Window) -> Column:
     return F.floor((micros - F.lag(micros).over(by)) / 1000)
 
 
-def stretches(turns: DataFrame, idle_ms: int = 2_700_000) -> DataFrame:
-    """Working stretches: a gap above ``idle_ms`` starts a new one; equal or negative gaps don't."""
+def with_stretch(turns: DataFrame, idle_ms: int = 2_700_000) -> DataFrame:
+    """Stamped turns with the number of their working stretch: a gap above ``idle_ms`` starts a new one; equal or negative gaps don't."""
     stamped = turns.filter("ts IS NOT NULL").withColumn("__gap", _gap_ms(recorded()))
-    placed = stamped.withColumn("stretch", F.sum(F.when(F.col("__gap") > idle_ms, 1).otherwise(0)).over(recorded().rowsBetween(Window.unboundedPreceding, 0)))
-    return placed.groupBy(*SESSION, "stretch").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("turns"))
+    return stamped.withColumn("stretch", F.sum(F.when(F.col("__gap") > idle_ms, 1).otherwise(0)).over(recorded().rowsBetween(Window.unboundedPreceding, 0))).drop("__gap")
+
+
+def stretches(turns: DataFrame, idle_ms: int = 2_700_000) -> DataFrame:
+    """Working stretches with their first and last time."""
+    return with_stretch(turns, idle_ms).groupBy(*SESSION, "stretch").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("turns"))
 
 
 def active_time(turns: DataFrame, idle_ms: int = 2_700_000) -> DataFrame:
