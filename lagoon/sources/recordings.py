@@ -7,6 +7,8 @@ inside it, so no file has to be one row. Lines that aren't JSON are gaps: kept a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,18 +22,38 @@ INTERRUPTIONS = ("[Request interrupted by user]", "[Request interrupted by user
 TURN = ["harness", "session", "ordinal", "ts", "role", "kind", "model", "text", "direction", "call_id", "name", "arguments", "is_error"]
 
 
-def lines(spark: SparkSession, path: str | list[str], most: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
-    """``(records, gaps)``: file, line (from 0) and value; gaps are malformed or longer than ``most`` bytes."""
-    raw = spark.read.text(path).select(
+def lines(spark: SparkSession, path: str | list[str], most: int = 64 << 20, **options: str) -> tuple[DataFrame, DataFrame]:
+    """``(records, gaps)``: file, line (from 0) and value; gaps are malformed or longer than ``most`` bytes.
+
+    A line's number is its place in its block of the file and the lines of the blocks before, which are counted first: a
+    file's lines never meet in one task. ``options`` are the text source's, such as ``modifiedAfter`` and ``pathGlobFilter``.
+    """
+    raw = spark.read.options(**options).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"), "value"
     )
-    by = Window.partitionBy("file").orderBy("__block", "__at")
-    numbered = raw.withColumn("line", (F.row_number().over(by) - 1).cast("long")).drop("__block", "__at").filter(F.length(F.trim("value")) > 0)
+    blocks = raw.groupBy("file", "__block").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.withColumn("__before", before).drop("__n")
+    numbered = raw.join(placed, ["file", "__block"]).withColumn("line", F.col("__before") + F.col("__at") - F.col("__first")).filter(F.length(F.trim("value")) > 0).select("file", "value", "line")
     reason = F.when(F.octet_length("value") > most, "oversize").when(F.try_parse_json("value").isNull(), "malformed")
     judged = numbered.withColumn("reason", reason)
     return judged.filter("reason IS NULL").drop("reason"), judged.filter("reason IS NOT NULL").select("file", "line", "reason", F.octet_length("value").alias("bytes"))
 
 
+def catalog(spark: SparkSession, root: str, pattern: str = "*.jsonl", limit: int = 5000, modified_after: str | None = None) -> DataFrame:
+    """``file, modified, bytes, rank, scan_truncated``: the ``limit`` newest recordings below a folder, newest first, ties by name.
+
+    Only the listing is read, no content; ``modified_after`` prunes files before they are listed.
+    """
+    options = {"pathGlobFilter": pattern, "recursiveFileLookup": "true"} | ({"modifiedAfter": modified_after} if modified_after else {})
+    found = spark.read.format("binaryFile").options(**options).load(root).select(F.col("path").alias("file"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+    newest = found.orderBy(F.desc("modified"), "file").limit(limit + 1)
+    # at most limit + 1 rows
+    one = Window.partitionBy(F.lit(0))
+    ranked = newest.withColumns({"rank": F.row_number().over(one.orderBy(F.desc("modified"), "file")), "scan_truncated": F.count("*").over(one) > limit})
+    return ranked.filter(F.col("rank") <= limit)
+
+
 def stamp(text: Column) -> Column:
     """RFC 3339 or a date, in UTC; null for anything else."""
     return F.try_to_timestamp(text).cast("timestamp_ntz")
@@ -310,19 +332,52 @@ def export_format(value: Column) -> Column:
     )
 
 
+def mapping_turns(conversations: DataFrame) -> DataFrame:
+    """Turns of exported message graphs: the messages on the path from the current node up, from the root down; nodes without a message are left out."""
+    node = "struct<id string, parent string, message struct<id string, author struct<role string>, create_time double, content struct<content_type string, parts array<string>>>>"
+    c = F.from_json("value", f"struct<id string, conversation_id string, current_node string, mapping map<string, {node}>>")
+    nodes = conversations.select(c.alias("c")).filter("c.mapping IS NOT NULL").select(F.coalesce("c.conversation_id", "c.id").alias("session"), F.col("c.current_node").alias("current"), F.explode("c.mapping").alias("id", "n"))
+    nodes = materialize(nodes.select("session", "id", "current", F.col("n.parent").alias("parent"), "n.message"))
+    path = mapping_path(nodes.select("session", "id", "parent", "current"), ["session"])
+    told = path.join(nodes, ["session", "id"]).filter("message IS NOT NULL")
+    ordinal = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("depth"))) - 1
+    return told.select(
+        "session", ordinal.cast("long").alias("ordinal"), F.col("message.author.role").alias("role"), F.array_join("message.content.parts", "\n").alias("text"), F.timestamp_micros((F.col("message.create_time") * 1_000_000).cast("long")).cast("timestamp_ntz").alias("ts")
+    )
+
+
 def export_turns(conversations: DataFrame) -> DataFrame:
-    """Turns of exported conversations (``value``: one conversation's JSON): message lists and question-answer entries."""
+    """Turns of exported conversations (``value``: one conversation's JSON): message lists, question-answer entries, single pairs and message graphs."""
     shaped = conversations.withColumn("format", export_format(F.col("value")))
-    c = "struct<id string, title string, messages array<struct<id string, role string, content string>>, context_uuid string, context_title string, entries array<struct<entry_uuid string, query string, answer string, created_at string>>>"
+    c = "struct<id string, title string, prompt string, response string, answer string, messages array<struct<id string, role string, content string>>, context_uuid string, context_title string, entries array<struct<entry_uuid string, query string, answer string, created_at string>>>"
     read = shaped.withColumn("c", F.from_json("value", c))
     listed = read.filter("c.messages IS NOT NULL").select(F.col("c.id").alias("session"), F.posexplode("c.messages").alias("ordinal", "m")).select(
         "session", F.col("ordinal").cast("long").alias("ordinal"), F.col("m.role").alias("role"), F.col("m.content").alias("text"), F.lit(None).cast("timestamp_ntz").alias("ts")
     )
+
+    def both(question: Column, answer: Column) -> Column:
+        return F.array(F.struct(F.lit("user").alias("role"), question.alias("text")), F.struct(F.lit("assistant").alias("role"), answer.alias("text")))
+
     asked = read.filter("c.entries IS NOT NULL AND format = 'perplexity'").select(F.col("c.context_uuid").alias("session"), F.posexplode("c.entries").alias("i", "e"))
-    pairs = asked.select("session", "i", "e", F.posexplode(F.array(F.struct(F.lit("user").alias("role"), F.col("e.query").alias("text")), F.struct(F.lit("assistant").alias("role"), F.col("e.answer").alias("text")))).alias("j", "t"))
+    pairs = asked.select("session", "i", "e", F.posexplode(both(F.col("e.query"), F.col("e.answer"))).alias("j", "t"))
     answered = pairs.select("session", (F.col("i") * 2 + F.col("j")).cast("long").alias("ordinal"), "t.role", "t.text", stamp(F.col("e.created_at")).alias("ts"))
-    both = listed.unionByName(answered)
-    return both.withColumn("kind", F.when(F.col("role") == "user", "operator").when(F.col("role") == "assistant", "assistant").otherwise("unknown"))
+    alone = read.filter("format = 'chatgpt-exporter' AND c.messages IS NULL AND (c.prompt IS NOT NULL OR c.response IS NOT NULL OR c.answer IS NOT NULL)")
+    single = alone.select(F.col("c.id").alias("session"), F.posexplode(both(F.col("c.prompt"), F.coalesce("c.response", "c.answer"))).alias("ordinal", "t")).filter("t.text IS NOT NULL").select(
+        "session", F.col("ordinal").cast("long").alias("ordinal"), "t.role", "t.text", F.lit(None).cast("timestamp_ntz").alias("ts")
+    )
+    graphs = mapping_turns(shaped.filter("format IN ('openai', 'chatgpt-exporter')").select("value"))
+    every = listed.unionByName(answered).unionByName(single).unionByName(graphs)
+    return every.withColumn("kind", F.when(F.col("role") == "user", "operator").when(F.col("role") == "assistant", "assistant").otherwise("unknown"))
+
+
+#: What reads each harness's recordings: lines of JSON to turns.
+READERS = {"claude": lambda records: claude_turns(records), "codex": lambda records: codex_turns(records), "pi": lambda records: pi_turns(records)}
+
+
+def read_turns(spark: SparkSession, stores: dict[str, str | list[str]]) -> DataFrame:
+    """Turns of several stores, one reader for each harness (``READERS`` can be extended)."""
+    made = [READERS[harness](lines(spark, path)[0]) for harness, path in stores.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made)
 
 
 def mapping_path(nodes: DataFrame, keys: list[str], rounds: int = 13) -> DataFrame:

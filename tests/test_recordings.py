@@ -1,6 +1,7 @@
 """Readers on small recordings written here."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -121,6 +122,34 @@ def test_exports(spark):
     assert got == [("e1", 0, "operator", "q"), ("e1", 1, "assistant", "a"), ("e2", 0, "operator", "q1"), ("e2", 1, "assistant", "a1"), ("e2", 2, "operator", "q2"), ("e2", 3, "assistant", "a2")]
 
 
+def test_exported_graphs_and_pairs(spark):
+    def node(i, parent, role=None, *parts):
+        return {"id": i, "parent": parent, "message": role and {"id": i, "author": {"role": role}, "create_time": 1767261600.5, "content": {"content_type": "text", "parts": list(parts)}}}
+
+    graph = {"conversation_id": "g1", "current_node": "d", "mapping": {x["id"]: x for x in (node("r", None), node("a", "r", "user", "one", "two"), node("b", "a", "assistant", "left"), node("c", "a", "assistant", "right"), node("d", "c", "user", "more"))}}
+    pair = {"id": "g2", "prompt": "why", "answer": "so"}
+    frame = spark.createDataFrame([(json.dumps(x),) for x in (graph, pair)], "value string")
+    got = [(r["session"], r["ordinal"], r["kind"], r["text"]) for r in recordings.export_turns(frame).orderBy("session", "ordinal").collect()]
+    assert got == [("g1", 0, "operator", "one\ntwo"), ("g1", 1, "assistant", "right"), ("g1", 2, "operator", "more"), ("g2", 0, "operator", "why"), ("g2", 1, "assistant", "so")]
+
+
+def test_catalog_and_line_numbers_over_blocks(spark, tmp_path):
+    for k in range(4):
+        (tmp_path / f"s{k}.jsonl").write_text("".join(json.dumps({"n": i, "pad": "x" * 50}) + "\n" for i in range(200 + k)) + "\n{bad\n")
+        os.utime(tmp_path / f"s{k}.jsonl", (1_700_000_000 + k, 1_700_000_000 + k))
+    listed = recordings.catalog(spark, str(tmp_path), limit=3).orderBy("rank").collect()
+    assert [r["file"][-8:] for r in listed] == ["s3.jsonl", "s2.jsonl", "s1.jsonl"] and all(r["scan_truncated"] for r in listed)
+    assert recordings.catalog(spark, str(tmp_path), limit=9, modified_after="2023-11-14T22:13:21").count() == 2
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        records, gaps = recordings.lines(spark, str(tmp_path))
+        assert records.filter(F.get_json_object("value", "$.n").cast("long") != F.col("line")).count() == 0 and records.count() == 806
+        assert sorted(r["line"] for r in gaps.collect()) == [201, 202, 203, 204]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_canonical_path(spark):
     nodes = [("a", "r", None, "n6"), *[("a", f"n{k}", f"n{k - 1}" if k else "r", "n6") for k in range(7)], ("a", "side", "n2", "n6"), ("b", "x", "y", "x"), ("b", "y", "x", "x"), ("c", "z", "gone", "z")]
     frame = spark.createDataFrame(nodes, "session string, id string, parent string, current string")
