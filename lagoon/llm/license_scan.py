@@ -122,32 +122,35 @@ def scan_licenses(
     code = {g: i for i, g in enumerate(names)}
     made = [(i, name, sum(bigrams(t).values()), [(code[g], n) for g, n in sorted(bigrams(t).items())]) for i, (name, t) in enumerate(templates) if bigrams(t)]
     listed = spark.createDataFrame(made or [(-1, "", 1, [(0, 0)])], "template int, license string, b int, grams array<struct<g:int,there:int>>")
-    known = listed.select("template", "b", F.explode("grams").alias("x")).select("template", "b", F.col("x.g").alias("g"))
+    known = listed.select("template", "b", F.explode("grams").alias("x")).select("template", "b", F.col("x.g").alias("g"), F.col("x.there").alias("there"))
     codes = spark.createDataFrame(list(code.items()) or [("", 0)], "gram string, g int")
-    grams = known.join(codes, "g").select("gram", "g", "template", "b")
+    grams = materialize(known.join(codes, "g").select("gram", "g", "template", "b", "there"))
     ratio = (2 - threshold) / threshold + 1e-9  # bounds that rounding doesn't tighten
 
+    key = ["__k", "__l"]
+    given = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("__text"), F.xxhash64(id_col, text_col).alias("__k"), F.hash(text_col, id_col).alias("__l"))
+
+    # how many of each template's bigrams a text may have, by hashes of pairs of words
+    w = F.split(F.lower("__text"), r"[^\p{L}\p{N}]+")
+    two = F.explode(F.arrays_zip(w.alias("x"), F.slice(w, 2, F.size(w)).alias("y")))
+    pairs = given.select(*key, two.alias("two")).select(*key, F.xxhash64("two.x", "two.y").alias("pair"))
+    marks = grams.select(F.xxhash64(F.substring_index("gram", " ", 1), F.substring_index("gram", " ", -1)).alias("pair"), "template", "b", "there")
+    counted = pairs.join(F.broadcast(marks), "pair").groupBy(*key, "template", "b", "pair").agg(F.least(F.count("*"), F.max("there")).alias("n"))
+    enough = counted.groupBy(*key, "template", "b").agg(F.sum("n").alias("n")).filter(F.col("n") * ratio >= F.col("b"))
+    wanted = materialize(enough.groupBy(*key).agg(F.collect_set("template").alias("templates")))
+
     pieces = F.col("__p")
     # each piece with the first word of the next one, so that bigrams across the border belong to the piece they begin in
     longer = F.transform(pieces, lambda x, i: F.concat_ws(" ", x, F.substring_index(F.get(pieces, i + 1), " ", 1)))
-    key = ["__k", "__l"]
-    given = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col), F.xxhash64(id_col, text_col).alias("__k"), F.hash(text_col, id_col).alias("__l"), pieces_of(F.col(text_col)).alias("__p"))
-    cut = given.select(id_col, *key, F.posexplode(longer).alias("p", "piece"), (F.size(pieces) - 1).alias("last"))
+    left = given.join(wanted, key).dropDuplicates(key).withColumn("__p", pieces_of(F.col("__text")))
+    cut = left.select(id_col, *key, "templates", F.posexplode(longer).alias("p", "piece"), (F.size(pieces) - 1).alias("last"))
     w = F.split("piece", " ")
-    two = F.arrays_zip(w.alias("x"), F.slice(w, 2, F.size(w)).alias("y"))
-
-    def hits(rows: DataFrame, *kept: str) -> DataFrame:
-        each = rows.select(*kept, F.posexplode(two).alias("i", "two")).filter("two.y IS NOT NULL")
-        return each.withColumn("gram", F.concat("two.x", F.lit(" "), "two.y")).join(F.broadcast(grams), "gram")
-
-    enough = hits(cut, *key).groupBy(*key, "template").agg(F.count("*").alias("n"), F.first("b").alias("b")).filter(F.col("n") * ratio >= F.col("b"))
-    wanted = materialize(enough.groupBy(*key).agg(F.collect_set("template").alias("templates")))
-    docs_left = cut.join(wanted, key)
-    sized = docs_left.withColumn("n", F.size(w) - (F.col("p") < F.col("last")).cast("int"))
     by = Window.partitionBy(*key).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.groupBy(id_col, *key, "p").agg(*[F.first(c).alias(c) for c in ("piece", "templates", "n")]).withColumn("off", F.coalesce(F.sum("n").over(by), F.lit(0)))
+    sized = cut.withColumn("n", F.size(w) - (F.col("p") < F.col("last")).cast("int"))
+    placed = sized.withColumn("off", F.coalesce(F.sum("n").over(by), F.lit(0)))
+    each = placed.select(id_col, *key, "p", "n", "off", "templates", F.posexplode(F.arrays_zip(w.alias("x"), F.slice(w, 2, F.size(w)).alias("y"))).alias("i", "two")).filter("two.y IS NOT NULL")
     found = (
-        hits(placed, id_col, *key, "p", "n", "off", "templates")
+        each.withColumn("gram", F.concat("two.x", F.lit(" "), "two.y")).join(F.broadcast(grams), "gram")
         .filter(F.array_contains("templates", F.col("template")))
         .groupBy(id_col, *key, "template", "b", "p", "n", "off")
         .agg(F.collect_list(F.when(F.col("i") < F.col("n") - 1, F.col("g"))).alias("inner"), F.max(F.when(F.col("i") == F.col("n") - 1, F.col("g"))).alias("across"))
@@ -157,6 +160,9 @@ def scan_licenses(
     ahead = Window.partitionBy(*key, "template").orderBy("off").rangeBetween(0, reach)
     runs = found.withColumn("ahead", F.collect_list(F.struct("off", "n", "inner", "across")).over(ahead)).join(F.broadcast(listed.select("template", "license", "grams")), "template")
 
+    hits = F.aggregate("ahead", F.lit(0), lambda acc, x: acc + F.size(x["inner"]) + 1)
+    runs = runs.filter(hits * ratio >= F.col("b"))
+
     def matched(j: Column) -> Column:
         """The run up to the j-th of the pieces ahead: its bigrams, and how many it has in common with the template."""
         end = F.get("ahead", j)
@@ -164,6 +170,7 @@ def scan_licenses(
         fits = (a <= F.col("b") * ratio) & (a * ratio >= F.col("b"))
         before = F.flatten(F.transform(F.slice("ahead", 1, j), lambda x: F.concat(x["inner"], F.array_compact(F.array(x["across"])))))
         held = F.concat(before, end["inner"])
+        fits = fits & (F.size(held) * ratio >= F.col("b"))
         common = F.aggregate("grams", F.lit(0), lambda acc, g: acc + F.least(g["there"], F.size(F.filter(held, lambda h: h == g["g"]))))
         return F.when(fits, F.struct((a + 1).alias("words"), (2.0 * common / (a + F.col("b"))).alias("dice")))
 
