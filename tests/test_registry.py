@@ -3,6 +3,9 @@
 import ast
 import os
 import pathlib
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -46,3 +49,13 @@ def test_nothing_else_imports_the_corpus_subpackage():
                 module = getattr(node, "module", None) or ""
                 names = [a.name for a in getattr(node, "names", [])] if isinstance(node, ast.Import | ast.ImportFrom) else []
                 assert not any("llm" in x for x in [module, *names]), path
+
+
+def test_the_rest_imports_without_the_corpus_subpackage(tmp_path):
+    """On a copy without the subpackage and the pipeline the session queries are all there."""
+    for name in ("__spark_entry__.py", "lagoon"):
+        source = ROOT / name
+        shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__")) if source.is_dir() else shutil.copy(source, tmp_path / name)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(q.startswith('op') and q[2].isdigit() for q in e.queries()))"
+    told = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)}).stdout.split()
+    assert told == [str(len(registry.QUERIES)), str(len(registry.ORACLE)), "False"]
