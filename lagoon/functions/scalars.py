@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,7 +46,20 @@ def single_line(text: Column) -> Column:
 
 def escaped(text: Column) -> Column:
     """Lines that could be taken for structure, or that begin with a backslash, get a backslash in front."""
-    return F.regexp_replace(text, r"(?m)^(\\|## |=== |\[… |tool: |artifact: )", r"\\$1")
+    starts = "|".join(re.escape(x) for x in ("\\", *STRUCTURAL))
+    return F.regexp_replace(text, f"(?m)^({starts})", r"\\$1")
+
+
+def instant(text: Column) -> Column:
+    """A time written as RFC 3339, a date, or seconds or milliseconds since 1970 (from 10^11 on), in UTC; null for anything else."""
+    number = F.when(text.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), text.cast("double"))
+    seconds = F.when(F.abs(number) >= 1e11, number / 1000).otherwise(number)
+    return F.coalesce(F.timestamp_micros((seconds * 1_000_000).cast("long")), F.try_to_timestamp(text)).cast("timestamp_ntz")
+
+
+def json_shape(text: Column) -> Column:
+    """The keys and types of a JSON value, its values left out; null for what isn't JSON."""
+    return F.schema_of_variant(F.try_parse_json(text))
 
 
 def byte_capped(text: Column, most: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagoon.sources.recordings import without_envelopes
+
 SESSION = ["harness", "session"]
 
 #: The kinds of a turn, in order of output.
@@ -49,8 +51,8 @@ def capped(turns: DataFrame, chars: int) -> DataFrame:
 
 
 def title(text: Column, chars: int = 96) -> Column:
-    """Space collapsed and cut to ``chars`` with an ellipsis; null where nothing is left."""
-    flat = F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
+    """A text without the blocks a harness put around it, space collapsed and cut to ``chars`` with an ellipsis; null where nothing is left."""
+    flat = F.trim(F.regexp_replace(without_envelopes(text), r"[ \t\r\n]+", " "))
     cut = F.when(F.length(flat) > chars, F.concat(F.substring(flat, 1, chars - 1), F.lit("…"))).otherwise(flat)
     return F.when(F.length(flat) > 0, cut)
 

@@ -78,3 +78,18 @@ def test_stream_of_lines(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r["ok"] for r in spark.sql("select * from lined").collect()) == [False, True]
+
+
+def test_instants_and_shapes(spark):
+    rows = ["2024-01-02T03:04:05Z", "2024-01-02", "1704164645", "1704164645000", "1704164645.5", "soon", None]
+    got = [r[0] and r[0].isoformat() for r in spark.createDataFrame([(x,) for x in rows], "t string").select(scalars.instant(F.col("t"))).collect()]
+    assert got == ["2024-01-02T03:04:05", "2024-01-02T00:00:00", "2024-01-02T03:04:05", "2024-01-02T03:04:05", "2024-01-02T03:04:05.500000", None, None]
+    shape = spark.createDataFrame([('{"a":1,"b":["x"]}',), ("{bad",)], "t string").select(scalars.json_shape(F.col("t")).alias("s")).collect()
+    assert shape[0]["s"] == "OBJECT<a: BIGINT, b: ARRAY<STRING>>" and shape[1]["s"] is None
+
+
+def test_titles_leave_envelopes_out(spark):
+    from lagoon.operators import turns
+
+    rows = [("<environment_context>cwd</environment_context>\n fix  it",), ("<skill>only</skill>",)]
+    assert [r[0] for r in spark.createDataFrame(rows, "t string").select(turns.title(F.col("t"))).collect()] == ["fix it", None]
