@@ -249,7 +249,7 @@ def test_endings_by_what_the_events_say(spark):
     paired = [("pi", 1, 1, "call", 2), ("pi", 1, 2, "result", 1), ("pi", 2, 1, "call", None), ("pi", 2, 2, "result", None), ("pi", 3, 0, "result", None), ("pi", 3, 2, "call", None), ("pi", 4, 0, "call", None), ("pi", 4, 1, "result", None)]
     events = spark.createDataFrame(paired, "harness string, session long, ordinal long, direction string, pair long")
     got = {r["session"]: r["facts"] for r in endings.endings(frame(spark, turns_, "harness string, session long, ordinal long, kind string"), events).collect()}
-    assert got == {1: "operator-turn-after-assistant,results-without-narration", 2: "assistant-close", 3: "call-without-result", 4: ""}
+    assert got == {1: "operator-turn-after-assistant,results-without-narration", 2: "notice-turn-last,assistant-close", 3: "call-without-result", 4: ""}
 
 
 def test_errors_are_counted_once_for_each_pair(spark):
