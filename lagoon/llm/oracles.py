@@ -60,4 +60,48 @@ first AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY dic
 SELECT doc_id, license, dice, CAST(start AS BIGINT) AS start, CAST(words AS BIGINT) AS words FROM first WHERE r = 1
 """
 
-ORACLE = {"op3_license_scan": LICENSES, "op4_embedding_dedup": EMBEDDINGS, "op8_shard_by_bytes": SHARDS}
+NEGATIVES = """
+WITH e AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+def _codes(rounds: int = 4) -> str:
+    """Rounds written one after the other; |p - c|^2 less |p|^2 decides, in doubles that hold every integer here."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""m{i} AS (SELECT part, vec_id, p, parts.square, b.entry, b.square - 2 * list_inner_product(p, b.c) AS off FROM parts JOIN b{i} b USING (part)),
+a{i} AS MATERIALIZED (SELECT part, vec_id, any_value(p) AS p, min_by(entry, (off, entry)) AS entry, CAST(min(off) + any_value(square) AS BIGINT) AS error FROM m{i} GROUP BY part, vec_id)""")
+        if i < rounds:
+            steps.append(f"""u{i} AS (SELECT part, entry, k, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM (SELECT part, entry, unnest(p) AS x, unnest(range(len(p))) AS k FROM a{i}) GROUP BY ALL),
+l{i} AS (SELECT part, entry, list(CAST(floor(CAST(s - ((s % n) + n) % n AS DOUBLE) / n) AS DOUBLE) ORDER BY k) AS c FROM u{i} GROUP BY ALL),
+b{i + 1} AS MATERIALIZED (SELECT part, entry, c, list_inner_product(c, c) AS square FROM (SELECT b.part, b.entry, coalesce(l.c, b.c) AS c FROM b{i} b LEFT JOIN l{i} l ON l.part = b.part AND l.entry = b.entry))""")
+    chain = ",\n".join(steps)
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS (SELECT vec_id, unnest(range(4)) AS part, q, len(q) // 4 AS w FROM kept),
+parts AS MATERIALIZED (SELECT vec_id, part, p, list_inner_product(p, p) AS square FROM (SELECT vec_id, part, list_slice(q, part * w + 1, (part + 1) * w) AS p FROM cut)),
+least AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < 256),
+b0 AS MATERIALIZED (SELECT part, entry, p AS c, square FROM parts JOIN least USING (vec_id)),
+{chain},
+books AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}),
+coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(error) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+summed AS (SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error FROM coded JOIN kept USING (vec_id))
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM summed CROSS JOIN books
+"""
+
+
+CODES = _codes()
+
+ORACLE = {"op12_vector_codes": CODES, "op13_hard_negatives": NEGATIVES, "op3_license_scan": LICENSES, "op4_embedding_dedup": EMBEDDINGS, "op8_shard_by_bytes": SHARDS}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lagoon.llm import brown
 from lagoon.llm.decontaminate import contaminated
 from lagoon.llm.embedding_dedup import close_pairs
+from lagoon.llm.hard_negatives import hard_negatives
 from lagoon.llm.language_id import identify
 from lagoon.llm.license_scan import scan_licenses
 from lagoon.llm.mixing import mix_sources
@@ -16,6 +17,7 @@ from lagoon.llm.quality import quality_filter
 from lagoon.llm.sharding import shard_by_bytes
 from lagoon.llm.simhash import near_duplicates
 from lagoon.llm.suffix_dedup import remove_repeats
+from lagoon.llm.vector_codes import encode
 from lagoon.session import table
 
 
@@ -73,6 +75,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_brown_score, op2_quality, op3_license_scan, op4_embedding_dedup, op5_mix_sources, op6_decontaminate, op7_language_id, op8_shard_by_bytes, op9_suffix_dedup, op10_simhash)}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "embeddings"))[0].select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh id has the next label, so that labels aren't those of the clusters."""
+    rows = table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", shifted), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_brown_score, op2_quality, op3_license_scan, op4_embedding_dedup, op5_mix_sources, op6_decontaminate, op7_language_id, op8_shard_by_bytes, op9_suffix_dedup, op10_simhash, op12_vector_codes, op13_hard_negatives)}
 
 __all__ = ["ORACLE", "QUERIES"]
