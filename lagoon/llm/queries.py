@@ -14,6 +14,7 @@ from lagoon.llm.license_scan import scan_licenses
 from lagoon.llm.mixing import mix_sources
 from lagoon.llm.oracles import ORACLE
 from lagoon.llm.quality import quality_filter
+from lagoon.llm.rule_forest import judge_quality
 from lagoon.llm.sharding import shard_by_bytes
 from lagoon.llm.simhash import near_duplicates
 from lagoon.llm.suffix_dedup import remove_repeats
@@ -75,6 +76,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "threshold")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "embeddings"))[0].select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
 
@@ -86,6 +92,6 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows.withColumn("label", shifted), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_brown_score, op2_quality, op3_license_scan, op4_embedding_dedup, op5_mix_sources, op6_decontaminate, op7_language_id, op8_shard_by_bytes, op9_suffix_dedup, op10_simhash, op12_vector_codes, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_brown_score, op2_quality, op3_license_scan, op4_embedding_dedup, op5_mix_sources, op6_decontaminate, op7_language_id, op8_shard_by_bytes, op9_suffix_dedup, op10_simhash, op11_rule_forest, op12_vector_codes, op13_hard_negatives)}
 
 __all__ = ["ORACLE", "QUERIES"]
