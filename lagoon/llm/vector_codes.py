@@ -36,7 +36,7 @@ def train_codebooks(rows: DataFrame, dim: int, parts: int, entries: int, rounds:
     """
     width = dim // parts
     first = rows.orderBy(F.col("id").asc_nulls_last(), "q").limit(entries).select("q").collect()
-    books = np.array([r["q"] for r in first], np.int64).reshape(-1, parts, width).transpose(1, 0, 2).copy()
+    books = np.array([r["q"] for r in first], np.int64).reshape(len(first), parts, width).transpose(1, 0, 2).copy()
     context = rows.sparkSession.sparkContext
     sums = [f"s{i}" for i in range(width)]
     for _ in range(rounds):
@@ -124,7 +124,7 @@ def encode(
         spread = sums.select("l", "label_error", salts.alias("salts"))
         dealt = coded.join(spread.select("l", "salts").filter("salts > 1"), F.col("label").eqNullSafe(F.col("l")), "left").drop("l")
         dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("id", "code"), F.coalesce("salts", F.lit(1)))).drop("salts")
-        each = spread.select("l", "label_error", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).cast("long").alias("s"))
+        each = spread.select("l", "label_error", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("s"))
         joined = dealt.join(each, F.col("label").eqNullSafe(F.col("l")) & (F.col("salt") == F.col("s")))
     out = joined.select(
         F.col("id").alias(id_col), F.col("label").alias(label_col), "code", "error", "label_error", F.lit(fingerprint(books)).alias("codebooks_sha256")

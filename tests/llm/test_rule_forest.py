@@ -131,7 +131,7 @@ def test_labelled_texts_are_told_apart(spark):
     held = [r for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
     clean = [r["kept"] for r in held if r["quality"] == 1 and r["toxic"] == 0]
     bad = [r["kept"] for r in held if r["quality"] == 0 or r["toxic"] == 1]
-    assert sum(clean) / len(clean) >= 0.99 and sum(bad) / len(bad) <= 0.05
+    assert sum(clean) / len(clean) >= 0.99 and sum(bad) / len(bad) <= 0.08
 
 
 def test_edges(spark, edge, empty):
