@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from lagoon.llm.decontaminate import drop_contaminated
 from lagoon.llm.language_id import identify
 from lagoon.llm.mixing import mix_rows
+from lagoon.llm.rows import shielded
 from lagoon.llm.sharding import shard_by_bytes
 from lagoon.llm.similar import drop_near_duplicates
 from lagoon.session import table
-from lagoon.storage import made_so_far, materialize, sweep
+from lagoon.storage import Scope, materialize
 
 #: Least score of a predicted language; texts without letters have none.
 MIN_SCORE = 0.3
@@ -19,8 +20,13 @@ MIN_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has a language (operator 7); ``lang`` is replaced by the one predicted, no other column changes."""
-    found = identify(docs, names=("__held", "__lang", "__score")).filter((F.col("__lang") != "und") & (F.col("__score") >= MIN_SCORE))
-    return found.withColumn("lang", F.col("__lang")).select(docs.columns)
+
+    @shielded
+    def told(docs: DataFrame) -> DataFrame:
+        found = identify(docs, names=("__held", "__lang", "__score")).filter((F.col("__lang") != "und") & (F.col("__score") >= MIN_SCORE))
+        return found.withColumn("lang", F.col("__lang")).select(docs.columns)
+
+    return told(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +41,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it (operator 5): whole copies, the nearest number to the words taken."""
-    return mix_rows(docs, copy_col="__copy").select(docs.columns)
+
+    @shielded
+    def copies(docs: DataFrame) -> DataFrame:
+        return mix_rows(docs, copy_col="__copy").select(docs.columns)
+
+    return copies(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +63,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again before the next."""
     docs = table(spark, sf_dir, "documents")
-    mark = made_so_far()
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
-        sweep(spark, mark, docs)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scope() as made:
+        for _, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir))
+            made.sweep(docs)
+        return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,6 +1,6 @@
 """All registered session queries: importing this registers them."""
 
-from lagoon.plans import accounts, estimating, readings, recorded  # noqa: F401
+from lagoon.plans import accounts, estimating, growing, readings, recorded  # noqa: F401
 from lagoon.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -6,28 +6,40 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
-_MADE: list[str] = []
+_SCOPE: ContextVar[Scope | None] = ContextVar("scope", default=None)
 
 
-def made_so_far() -> int:
-    """How many tables were written; ``sweep`` deletes those after such a mark."""
-    return len(_MADE)
+class Scope:
+    """The tables that are written inside a ``with`` block of this thread; ``sweep`` deletes those whose readers are done.
 
+    What is left at the end belongs to the block around it, if there is one. Blocks of other threads own their own tables.
+    """
+
+    def __init__(self) -> None:
+        self.made: list[tuple[SparkSession, str]] = []
+
+    def __enter__(self) -> Scope:
+        self.outer = _SCOPE.get()
+        self.token = _SCOPE.set(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _SCOPE.reset(self.token)
+        if self.outer is not None:
+            self.outer.made += self.made
 
-def sweep(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
-    """Delete the tables written since ``mark`` whose readers are done, but for the files of ``keep``."""
-    kept = {x.rsplit("/", 1)[0] for k in keep for x in k.inputFiles()}
-    held = []
-    for path in _MADE[mark:]:
-        if any(k.endswith(path.rsplit("/", 1)[1]) for k in kept):
-            held.append(path)
-        else:
-            _delete(spark, path)
-    _MADE[mark:] = held
+    def sweep(self, *keep: DataFrame) -> None:
+        """Delete this scope's tables but for the files of ``keep``."""
+        kept = {x.rsplit("/", 1)[0].rsplit("/", 1)[1] for k in keep for x in k.inputFiles()}
+        for spark, path in self.made:
+            if path.rsplit("/", 1)[1] not in kept:
+                _delete(spark, path)
+        self.made = [m for m in self.made if m[1].rsplit("/", 1)[1] in kept]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -57,7 +69,8 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lagoon-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _MADE.append(path)
+    if (scope := _SCOPE.get()) is not None:
+        scope.made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
