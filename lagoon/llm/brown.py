@@ -296,7 +296,7 @@ def score(docs: DataFrame, model: BrownModel, id_col: str = "doc_id", text_col:
         emit = np.where(cls == end, 0.0, np.log10(count - 0.5) - below[cls])
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in range(9)]
             for text in batch.column(1).to_pylist():
                 toks = words_of(text)
                 at = np.array([place.get(w, -1) for w in toks], dtype=np.int64)
@@ -305,42 +305,42 @@ def score(docs: DataFrame, model: BrownModel, id_col: str = "doc_id", text_col:
                 seq[-1] = end
                 away = [i for i in np.flatnonzero(far) if toks[i] is not END]
                 rest = Counter(toks[i] for i in away)
+                homes = [assigned[size + crc32(w[-3:]) % groups] for w in rest]
                 if away:
                     seq[away] = [assigned[size + crc32(toks[i][-3:]) % groups] for i in away]
                 near = at[~far]
                 b, e = base[near].sum(), emit[near].sum()
                 b -= len(away) * base_below
-                e -= below[seq[away]].sum()
                 if far[-1]:  # an end that was never seen in training
                     b += np.log10(0.5) - base_below
                 e += moves[np.concatenate(([end], seq[:-1])), seq].sum()
                 row += 1
-                for col, v in zip(cols, (row, len(toks), len(near), float(b), float(e), list(rest), list(rest.values()), [float(new[assigned[size + crc32(w[-3:]) % groups]]) for w in rest])):
+                for col, v in zip(cols, (row, len(toks), len(near), float(b), float(e), list(rest), list(rest.values()), [float(new[c]) for c in homes], [float(below[c]) for c in homes])):
                     col.append(v)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.float64()))))],
-                names=[id_col, "row", "n_tokens", "near", "base", "emit", "rest", "times", "new"],
+                [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()))))],
+                names=[id_col, "row", "n_tokens", "near", "base", "emit", "rest", "times", "new", "below"],
             )
 
     near = materialize(
         docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(
-            run, f"`{id_col}` {kind}, row long, n_tokens long, near long, base double, emit double, rest array<binary>, times array<long>, new array<double>"
+            run, f"`{id_col}` {kind}, row long, n_tokens long, near long, base double, emit double, rest array<binary>, times array<long>, new array<double>, below array<double>"
         )
     )
-    rest = near.select("row", F.explode(F.arrays_zip("rest", "times", "new")).alias("z")).select("row", F.col("z.rest").alias("word"), F.col("z.times").alias("times"), F.col("z.new").alias("new"))
+    rest = near.select("row", F.explode(F.arrays_zip("rest", "times", "new", "below")).alias("z")).select("row", F.col("z.rest").alias("word"), "z.times", "z.new", "z.below")
     seen = F.col("n") > 0
     found = (
         rest.join(model.words.select("word", "n"), "word", "left")
         .groupBy("row")
         .agg(
             F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("base_logs"),
-            F.sum(F.col("times") * F.when(seen, F.log10(F.col("n") - 0.5)).otherwise(F.col("new"))).alias("logs"),
-            F.sum(F.when(seen, 0.0).otherwise(F.col("times") * F.col("new"))).alias("unseen"),
+            F.sum(F.col("times") * (F.when(seen, F.log10(F.col("n") - 0.5)).otherwise(F.col("new")) - F.col("below"))).alias("logs"),
+            F.sum(F.when(seen, 0.0).otherwise(F.col("times") * (F.col("new") - F.col("below")))).alias("unseen"),
             F.sum(F.when(seen, F.col("times")).otherwise(0)).alias("known"),
         )
     )
     total = F.col("emit") + F.coalesce("logs", F.lit(0.0))
-    return near.drop("rest", "times", "new").join(found, "row", "left").select(
+    return near.drop("rest", "times", "new", "below").join(found, "row", "left").select(
         id_col,
         "n_tokens",
         (F.col("near") + F.coalesce("known", F.lit(0))).alias("n_known"),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lagoon.llm.rows import shielded
 from lagoon.storage import materialize
 
 #: ASCII punctuation and controls part words, as white space does; letters beyond ASCII stay.
@@ -237,6 +238,7 @@ def contaminated(
     )
 
 
+@shielded
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, text_col: str = "text", **names: str) -> DataFrame:
     """``docs`` without the rows whose own text holds a copy of a test item; all columns as they were, whatever the ids are."""
     numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))

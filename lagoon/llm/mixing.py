@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagoon.llm.rows import occurrences, shielded
 from lagoon.storage import materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -193,24 +194,29 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, epo
     )
 
 
-def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", copy_col: str = "copy", **options) -> DataFrame:
+@shielded
+def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", copy_col: str = "copy", seed: int = 42, **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with ``copy_col`` from 1 (a column of that name is replaced).
 
     A row is written as many times as whole sizes were taken of it; what is left of a size counts as
     a whole with the chance that is left, by a seeded hash of the row, so each source's words stay
-    near its target and documents stay whole. Rows without words aren't taken.
+    near its target and documents stay whole. Rows without words aren't taken. Rows stand for themselves: null and repeated ids, and rows that are
+    equal in id, source and text, are taken apart from each other (equal ones by their number, so that they lie all over their source's line).
     """
-    rows, _ = mix_sources(docs, id_col=id_col, text_col=text_col, **options)
-    seed = options.get("seed", 42)
-    # one taking for each id: repeated rows of an id share what was taken of all of them
-    taken = rows.groupBy(id_col).agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size")).filter("__taken > 0")
-    chance = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__id")), F.lit(1_000_000)) / 1_000_000.0
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    same = F.xxhash64(F.col(id_col).isNull(), id_col, F.col(source_col).isNull(), source_col, text_col)
+    apart = occurrences(numbered.select("__row", same.alias("__same"), F.col(text_col).alias("__text"), F.col(source_col).alias("__from")), "__same", "__row", "__nth")
+    apart = materialize(apart.withColumn("__key", F.struct("__same", "__nth")))
+    rows, _ = mix_sources(apart, id_col="__key", text_col="__text", source_col="__from", seed=seed, **options)
+    chance = F.pmod(F.xxhash64(F.lit(seed + 1), "__key"), F.lit(1_000_000)) / 1_000_000.0
+    length = F.greatest("size", F.lit(1))  # of rows that are taken it is above 0
+    whole = F.floor(F.col("taken") / length)
     times = (
-        taken.withColumnRenamed(id_col, "__id")
-        .withColumn("__whole", F.expr("__taken div __size"))
-        .withColumn("__n", F.col("__whole") + ((F.col("__taken") - F.col("__whole") * F.col("__size")) / F.col("__size") > chance).cast("int"))
+        rows.filter("taken > 0")
+        .withColumn("__n", whole + ((F.col("taken") - whole * length) / length > chance).cast("int"))
         .filter("__n > 0")
-        .select("__id", "__n")
+        .select("__key", "__n")
     )
-    joined = docs.join(times, docs[id_col].eqNullSafe(times["__id"])).drop("__id")
+    wanted = apart.select("__row", "__key").join(times, "__key").select("__row", "__n")
+    joined = numbered.join(wanted, "__row").drop("__row")
     return joined.withColumn(copy_col, F.explode(F.expr("sequence(1, cast(__n as int))"))).drop("__n")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from lagoon.llm.decontaminate import _gram_hashes
 from lagoon.llm.simhash import _last_start, near_duplicates
 from lagoon.operators.components import connected_components
-from lagoon.storage import discard, made_so_far, materialize, sweep
+from lagoon.llm.rows import shielded
+from lagoon.storage import Scope, discard, materialize
 
 PARTS = "spark.sql.shuffle.partitions"
 
@@ -298,6 +299,7 @@ def without_repeats(numbered: DataFrame, groups: DataFrame, id_col: str = "doc_i
     return numbered.join(gone, "__row", "left_anti")
 
 
+@shielded
 def drop_similar(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group that similar texts connect: that of the smallest id, null last.
 
@@ -308,6 +310,7 @@ def drop_similar(docs: DataFrame, least: float = 0.8, words: int = 5, id_col: st
     return without_repeats(numbered, similar_groups(texts, least, words), id_col).drop("__row")
 
 
+@shielded
 def drop_near_duplicates(docs: DataFrame, least: float = 0.8, words: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates; rows are told apart by themselves, not by their ids.
 
@@ -315,12 +318,16 @@ def drop_near_duplicates(docs: DataFrame, least: float = 0.8, words: int = 5, bu
     ``words`` words), then, among the rows left, those of Jaccard similarity ``least`` or more. Null and empty texts
     share fingerprint 0: one of them stays. Of each group the row of the smallest id stays, null last.
     """
-    mark = made_so_far()
+    with Scope() as made:
+        return _without_near_duplicates(docs, made, least, words, budget, id_col, text_col)
+
+
+def _without_near_duplicates(docs: DataFrame, made: Scope, least: float, words: int, budget: int, id_col: str, text_col: str) -> DataFrame:
     numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
     alike = near_duplicates(numbered, budget, words, id_col="__row", text_col=text_col)
     groups = materialize(alike.select(F.col("__row").alias("node"), F.col("component_id").alias("component")))
     once = materialize(without_repeats(numbered, groups, id_col))
-    sweep(docs.sparkSession, mark, once)
+    made.sweep(once)
     similar = materialize(similar_groups(once.select("__row", F.col(text_col).cast("binary").alias("__text")), least, words))
-    sweep(docs.sparkSession, mark, once, similar)
+    made.sweep(once, similar)
     return without_repeats(once, similar, id_col).drop("__row")

@@ -435,9 +435,10 @@ def test_brown(docs, texts):
         total += moves[before, c]
         if w != brown.END:
             total += (math.log10(counts[w] - 0.5) if counts[w] else new[c]) - below[c]
-            unseen += 0 if counts[w] else new[c]
+            unseen += 0 if counts[w] else new[c] - below[c]
         before = c
     assert math.isclose(got[i]["score"], total, rel_tol=1e-9) and math.isclose(got[i]["unseen_score"], unseen, rel_tol=1e-9)
+    assert all(r["score"] <= r["unseen_score"] <= 0 for r in got.values())
     # the classes' emissions are probabilities: known words and a new one
     mass = Counter()
     for w, n_w in counts.items():
