@@ -5,26 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagoon.operators.works import evidence_edges, sweep
+
 
 def segments(spans: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, segment, from, to, works``: the timeline cut at every edge of its spans, with the work that covers each piece.
 
     The segment before the first edge (from null) and after the last (to null) are there too; the
-    first is covered by nothing. A span's running count of starts less ends would lose who covers, so
-    pieces are joined to the session's spans by key and range.
+    first is covered by nothing. Edges pass once in order, with the set of open works (see ``works.sweep``).
     """
-    edges = spans.select(*keys, F.col("from").alias("edge")).unionByName(spans.filter("to IS NOT NULL").select(*keys, F.col("to").alias("edge"))).filter("edge IS NOT NULL").distinct()
-    by = Window.partitionBy(*keys).orderBy("edge")
-    pieces = edges.select(*keys, F.row_number().over(by).cast("long").alias("segment"), F.col("edge").alias("s_from"), F.lead("edge").over(by).alias("s_to"))
-    before = edges.groupBy(*keys).agg(F.min("edge").alias("s_to")).select(*keys, F.lit(0).cast("long").alias("segment"), F.lit(None).cast(edges.schema["edge"].dataType).alias("s_from"), "s_to")
-    whole = pieces.unionByName(before)
-    covers = (F.col("from") <= F.col("s_from")) & (F.col("to").isNull() | (F.col("s_to") <= F.col("to")))
-    renamed = spans.select(*[F.col(k).alias(f"__{k}") for k in keys], "work", "from", "to")
-    same = covers
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"__{k}"))
-    joined = whole.join(renamed, same, "left")
-    return joined.groupBy(*keys, "segment", F.col("s_from").alias("from"), F.col("s_to").alias("to")).agg(F.array_sort(F.collect_set("work")).alias("works"))
+    kind = spans.schema["from"].dataType
+    edges = evidence_edges(spans.withColumn("tier", F.lit("bound")), None, keys)
+    none = spans.limit(0).select(*keys, F.col("from").alias("at"), F.lit(0).cast("bigint").alias("request"))
+    cut, _ = sweep(edges, none, keys)
+    ends = [F.timestamp_micros(c).cast(kind).alias(n) for c, n in (("from_us", "from"), ("to_us", "to"))]
+    return cut.select(*keys, "segment", *ends, F.transform("covers", lambda c: c["work"]).alias("works"))
 
 
 def reasons(pieces: DataFrame, keys: list[str]) -> DataFrame:
