@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagoon.operators.lineage import root_of
+
 
 def place_requests(requests: DataFrame, spans: DataFrame) -> DataFrame:
     """Requests with the spans [from, to) that hold them; those in none have span -1, untimed ones -2.
@@ -41,6 +43,30 @@ def window_usage(requests: DataFrame, sessions: DataFrame, start: str, end: str,
     )
 
 
+def window_families(requests: DataFrame, sessions: DataFrame, start: str, end: str) -> DataFrame:
+    """``session, share, reached, requests, sessions, input, output``: what each listed session consumed in [start, end) itself and through its subagents.
+
+    ``sessions``: session, parent, subagent (such recordings are listed by no one but their parent), carried_from (the session that a subagent was carried over from, its parent then).
+    Subagents that consumed in the window bring in their parents, those theirs if they are subagents themselves, up to a listed session; shares are ``own``, ``subagents`` and, of subagents whose chain ends at none, ``unclaimed`` (under
+    the last name of the chain). ``reached`` tells how a session comes into the view: ``window`` by its own requests, ``subagents`` only by theirs. The shares add up to the window's whole.
+    """
+    inside = requests.filter((F.col("at") >= F.lit(start).cast("timestamp_ntz")) & (F.col("at") < F.lit(end).cast("timestamp_ntz")))
+    used = inside.groupBy("session").agg(F.count("*").alias("requests"), F.sum("input").alias("input"), F.sum("output").alias("output"))
+    above = F.when(F.coalesce("subagent", F.lit(False)), F.coalesce("carried_from", "parent"))
+    chain = sessions.select("session", above.alias("parent"))
+    tops = root_of(chain).select(F.col("session").alias("s"), "root")
+    kinds = sessions.select(F.col("session").alias("k"), F.coalesce("subagent", F.lit(False)).alias("subagent"))
+    placed = used.join(tops, F.col("session") == F.col("s"), "left").withColumn("root", F.coalesce("root", "session"))
+    placed = placed.join(kinds, F.col("root") == F.col("k"), "left")
+    share = F.when(F.coalesce("subagent", F.lit(False)), "unclaimed").when(F.col("session") == F.col("root"), "own").otherwise("subagents")
+    rows = placed.withColumn("share", share).groupBy(F.col("root").alias("session"), "share").agg(
+        F.sum("requests").alias("requests"), F.count("*").alias("sessions"), F.sum("input").alias("input"), F.sum("output").alias("output")
+    )
+    own = rows.filter("share = 'own'").select(F.col("session").alias("o"))
+    told = rows.join(own, F.col("session") == F.col("o"), "left")
+    return told.select("session", "share", F.when(F.col("o").isNotNull(), "window").otherwise("subagents").alias("reached"), "requests", "sessions", "input", "output")
+
+
 def stretch_of(requests: DataFrame, stretches: DataFrame, keys: list[str]) -> DataFrame:
     """The latest stretch that began at or before each request, or the first one: an as-of join by one ordered union."""
     points = requests.select(*keys, F.col("at").alias("__t"), F.lit(1).alias("__kind"), F.struct(*[F.col(c) for c in requests.columns]).alias("__row"), F.lit(None).cast("long").alias("__s"))
