@@ -34,12 +34,13 @@ class _Pairing(StatefulProcessor):
         elif self.open.containsKey((call,)):
             self.open.removeKey((call,))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         out: list[tuple] = []
         last = self.seen.get()[0] if self.seen.exists() else -1
         batch = pd.concat(list(rows)).sort_values("ordinal", kind="stable")
         held: dict[str, list[tuple]] = {}
         for ordinal, us, direction, call, name, status in batch[["ordinal", "us", "direction", "call_id", "name", "status"]].astype(object).where(batch.notna(), None).itertuples(index=False):
+            ordinal, us = int(ordinal), None if us is None else int(us)  # pandas reads longs beside nulls as doubles
             if ordinal <= last:
                 out.append((*key, ordinal, direction, call, name, status, None, None, None, None, "out-of-order"))
                 continue
@@ -65,9 +66,9 @@ class _Pairing(StatefulProcessor):
         self.seen.update((last,))
         yield _frame(out)
 
-    def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         """Calls that have waited too long are told as unanswered and forgotten."""
-        until = expired.getExpiryTimeInMs() - self.give_up
+        until = expiredTimerInfo.getExpiryTimeInMs() - self.give_up
         out: list[tuple] = []
         for (call,), _ in list(self.open.iterator()):
             stack = self._stack(call)
