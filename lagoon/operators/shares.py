@@ -166,3 +166,25 @@ def forecast(plans: DataFrame, rates: DataFrame, keys: list[str]) -> DataFrame:
         .otherwise("maybe")
     )
     return met.select(*keys, "lanes", "used", "need_low", "need_high", "left_low", "left_high", fits.alias("fits"))
+
+
+def measured_lanes(chains: DataFrame, uses: DataFrame, sessions: DataFrame, pool: str = "pool") -> DataFrame:
+    """``pool, session, percent, tokens, last_activity``: what each session took of a pool's recorded rises, by its tokens in each of their intervals.
+
+    ``chains`` as of ``quota_chains`` by the pool alone; ``uses``: pool, session, at, tokens; ``sessions``: session, last_activity. A session without use in any interval is no lane.
+    """
+    steps = chain_intervals(chains, [pool]).select(pool, F.expr("chain * 4294967296 + interval").alias("interval"), "start", "end", "rise")
+    shared = allowance_shares(steps, uses, pool).filter("session IS NOT NULL")
+    each = shared.groupBy(pool, "session").agg(F.sum("share").alias("percent"), F.sum("tokens").alias("tokens"))
+    return each.join(sessions.select("session", "last_activity"), "session", "left").select(pool, "session", "percent", "tokens", "last_activity")
+
+
+def measured_forecast(observations: DataFrame, uses: DataFrame, sessions: DataFrame, plans: DataFrame, now: str, pool: str = "pool") -> DataFrame:
+    """``forecast`` of planned lanes (pool, lanes) from a pool's own records: chains, their intervals, what sessions took of them, the rates of finished lanes, and the newest percent.
+
+    A lane is taken to need between the median and the 90th percentile of those that have ended. A pool with no finished lane is unmeasured; one without an observation has no row.
+    """
+    chains = quota_chains(observations, [pool])
+    rates = lane_rates(measured_lanes(chains, uses, sessions, pool), [pool], now).select(pool, F.col("median").alias("low"), F.col("p90").alias("high"))
+    newest = chains.filter("NOT stale").groupBy(pool).agg(F.max_by("percent", F.struct("at", "percent")).alias("used"))
+    return forecast(plans.join(newest, pool), rates, [pool])

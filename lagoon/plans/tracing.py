@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lagoon.operators import commits, listing, prefilter, spans
+from lagoon.operators import commits, listing, prefilter, shares, spans
 from lagoon.plans import recorded
 from lagoon.plans.growing import LINES, bucket, line_rows, written
 from lagoon.plans.registry import HARNESS, REQUESTS, SESSIONS, register
@@ -119,3 +119,47 @@ def window_by_subagents(spark: SparkSession, sf_dir: str) -> DataFrame:
     sessions = tables.order_sessions(spark, sf_dir)
     kinds = sessions.select("session", "parent", (F.col("parent").isNotNull() & (F.col("session") % 3 != 0)).alias("subagent"), F.lit(None).cast("long").alias("carried_from"))
     return spans.window_families(tables.line_requests(spark, sf_dir), kinds, "1996-01-01", "1996-07-01")
+
+
+#: Events of a kind as a pool: purchases and errors observe its percent, all others use it; a kind's users are its sessions.
+MEASURED = """ob AS (SELECT DISTINCT CAST(user_id % 6 AS BIGINT) AS pool, ts AS tm, floor(value / 3) AS percent, date_trunc('week', ts) + INTERVAL 7 DAY AS resets_at FROM events WHERE event_type IN ('purchase', 'error')),
+  n AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN false ELSE coalesce(abs(epoch_us(resets_at) - epoch_us(lag(resets_at) OVER w)) >= 61000000, true) END AS new FROM ob WINDOW w AS (PARTITION BY pool ORDER BY tm, percent)),
+  c AS (SELECT *, CAST(count(*) FILTER (WHERE new) OVER (PARTITION BY pool ORDER BY tm, percent) AS BIGINT) AS chain FROM n),
+  j AS (SELECT *, coalesce(percent < max(percent) OVER (PARTITION BY pool, chain ORDER BY tm, percent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stale FROM c),
+  iv AS (SELECT pool, chain, tm AS s, lead(tm) OVER w AS e, lead(percent) OVER w - percent AS rise FROM j WHERE NOT stale WINDOW w AS (PARTITION BY pool, chain ORDER BY tm, percent)),
+  us AS (SELECT CAST(user_id % 6 AS BIGINT) AS pool, user_id AS session, ts AS tm, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens FROM events WHERE event_type NOT IN ('purchase', 'error')),
+  sh AS (SELECT iv.pool, chain, s, session, sum(tokens) AS tokens, max(rise) AS rise FROM iv JOIN us ON us.pool = iv.pool AND us.tm > s AND us.tm <= e GROUP BY ALL),
+  wh AS (SELECT *, CASE WHEN sum(tokens) OVER (PARTITION BY pool, chain, s) > 0 THEN rise * tokens / CAST(sum(tokens) OVER (PARTITION BY pool, chain, s) AS DOUBLE) END AS share FROM sh),
+  la AS (SELECT pool, session, sum(share) AS percent, CAST(sum(tokens) AS BIGINT) AS tokens FROM wh GROUP BY ALL), ac AS (SELECT user_id AS session, max(ts) AS last FROM events GROUP BY 1)"""
+NOW = "2024-01-20"
+
+
+def measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    told = tables.table(spark, sf_dir, "events").withColumn("pool", F.col("user_id") % 6)
+    watched = F.col("event_type").isin("purchase", "error")
+    week = (F.date_trunc("week", "ts").cast("timestamp_ntz") + F.expr("INTERVAL 7 DAY")).alias("resets_at")
+    seen = told.filter(watched).select("pool", F.col("ts").alias("at"), F.floor(F.col("value") / 3).cast("double").alias("percent"), week)
+    uses = told.filter(~watched).select("pool", F.col("user_id").alias("session"), F.col("ts").alias("at"), F.get_json_object("props", "$.k").cast("long").alias("tokens"))
+    return seen, uses, told.groupBy(F.col("user_id").alias("session")).agg(F.max("ts").alias("last_activity"))
+
+
+@register(f"WITH {MEASURED} SELECT pool, session, round(percent, 6) AS percent, tokens, last AS last_activity FROM la JOIN ac USING (session)")
+def measured_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each user took of its pool's observed rises."""
+    seen, uses, sessions = measured(spark, sf_dir)
+    return shares.measured_lanes(shares.quota_chains(seen, ["pool"]), uses, sessions).withColumn("percent", F.round("percent", 6))
+
+
+@register(
+    f"""WITH {MEASURED}, k AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY percent, session) AS i, count(*) OVER (PARTITION BY pool) AS n FROM la JOIN ac USING (session) WHERE last <= TIMESTAMP '{NOW}' - INTERVAL 15 MINUTE AND percent IS NOT NULL),
+  r AS (SELECT pool, avg(percent) FILTER (WHERE i * 2 BETWEEN n AND n + 2) AS low, min(percent) FILTER (WHERE i * 10 >= n * 9) AS high FROM k GROUP BY pool),
+  p AS (SELECT DISTINCT pool, 3 + pool AS lanes FROM us), u AS (SELECT pool, arg_max(percent, (tm, percent)) AS used FROM j WHERE NOT stale GROUP BY pool),
+  m AS (SELECT pool, lanes, used, lanes * low AS need_low, lanes * high AS need_high, greatest(0, 100 - used - CASE WHEN used = floor(used) THEN 0.5::DOUBLE ELSE 0 END) AS left_low, least(100, 100 - used + CASE WHEN used = floor(used) THEN 0.5::DOUBLE ELSE 0 END) AS left_high FROM p JOIN u USING (pool) LEFT JOIN r USING (pool))
+  SELECT pool, lanes, used, round(need_low, 6) AS need_low, round(need_high, 6) AS need_high, left_low, left_high, CASE WHEN need_low IS NULL THEN 'unmeasured' WHEN need_high <= left_low THEN 'yes' WHEN need_low > left_high THEN 'no' ELSE 'maybe' END AS fits FROM m"""
+)
+def measured_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether planned lanes fit, from the pool's own observations to the answer in one chain of operators."""
+    seen, uses, sessions = measured(spark, sf_dir)
+    plans = uses.select("pool").distinct().withColumn("lanes", F.col("pool") + 3)
+    told = shares.measured_forecast(seen, uses, sessions, plans, NOW)
+    return told.withColumns({c: F.round(c, 6) for c in ("need_low", "need_high")})
