@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lagoon.operators import intervals, works
+from lagoon.operators import intervals, partition, works
 from lagoon.plans.registry import register
 from lagoon.sources import tables
 
 TIER = "CASE {} WHEN 0 THEN 'bound' WHEN 1 THEN 'matched' ELSE 'estimated' END"
-#: A customer's orders are spans of work of 200 days, its pending orders events 300 days on; lines are requests, some with an estimate, some made elsewhere.
-DIVIDED = f"""sp AS (SELECT o_custkey AS k, o_orderpriority AS work, o_orderdate AS f, o_orderdate + INTERVAL 200 DAY AS t, CAST(o_orderkey % 3 AS INT) AS tier, 0 AS basis FROM orders
-    UNION ALL SELECT o_custkey, 'pending', min(o_orderdate) + INTERVAL 300 DAY, max(o_orderdate) + INTERVAL 300 DAY + INTERVAL 1 MICROSECOND, CAST(max(o_orderkey % 3) AS INT), 1 FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey),
-  ed AS (SELECT k, f AS e FROM sp UNION SELECT k, t FROM sp), sg AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY e) AS segment, e AS a, lead(e) OVER (PARTITION BY k ORDER BY e) AS b FROM ed UNION ALL SELECT k, 0, NULL, min(e) FROM ed GROUP BY k),
-  c1 AS (SELECT sg.k, segment, work, min(tier * 10 + basis) AS ev FROM sg JOIN sp ON sg.k = sp.k AND sp.f <= sg.a AND sg.b <= sp.t GROUP BY ALL),
+
+
+def layered(before: str) -> str:
+    """CTEs up to ``dv``, every layer's parts, from ``sp`` (k, work, f, t, tier, basis as numbers) and ``rq`` (k, moment, input, output, ew, et, gone) of ``before``."""
+    return f"""{before},
+  ed AS (SELECT k, f AS e FROM sp UNION SELECT k, t FROM sp WHERE t IS NOT NULL), ks AS (SELECT k FROM sp UNION SELECT k FROM rq),
+  sg AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY e) AS segment, e AS a, lead(e) OVER (PARTITION BY k ORDER BY e) AS b FROM ed UNION ALL SELECT ks.k, 0, NULL, min(e) FROM ks LEFT JOIN ed USING (k) GROUP BY ks.k),
+  c1 AS (SELECT sg.k, segment, work, min(tier * 10 + basis) AS ev FROM sg JOIN sp ON sg.k = sp.k AND sp.f <= sg.a AND (sp.t IS NULL OR sg.b <= sp.t) GROUP BY ALL),
   c2 AS (SELECT k, segment, list({{'work': work, 'tier': {TIER.format('ev // 10')}, 'basis': CASE ev % 10 WHEN 0 THEN 'span' ELSE 'event-window' END}} ORDER BY work) AS covers FROM c1 GROUP BY k, segment),
   c3 AS (SELECT sg.*, coalesce(covers, []) AS covers, coalesce(len(covers), 0) AS n FROM sg LEFT JOIN c2 USING (k, segment)),
   cv AS (SELECT *, CASE WHEN n = 1 THEN NULL WHEN n > 1 THEN 'overlap' WHEN min(segment) FILTER (WHERE n > 0) OVER (PARTITION BY k) IS NULL OR segment < min(segment) FILTER (WHERE n > 0) OVER (PARTITION BY k) THEN 'before-first-item'
     WHEN segment > max(segment) FILTER (WHERE n > 0) OVER (PARTITION BY k) THEN 'after-last-item' ELSE 'between-items' END AS reason,
     first(CASE WHEN n = 1 THEN covers[1] END IGNORE NULLS) OVER (PARTITION BY k ORDER BY segment ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM c3),
-  rq AS (SELECT o_custkey AS k, CASE WHEN l_linenumber < 7 THEN l_shipdate END AS moment, CAST(l_quantity AS BIGINT) AS input, l_partkey % 1000 AS output, CASE WHEN l_linenumber % 2 = 0 THEN 'w' || l_linestatus END AS ew, l_returnflag = 'R' AS gone FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
   pl AS (SELECT rq.*, cv.segment, covers, n, reason, nx FROM rq LEFT JOIN cv ON cv.k = rq.k AND rq.moment IS NOT NULL AND (a IS NULL OR moment >= a) AND (b IS NULL OR moment < b)),
-  ow AS (SELECT *, CASE WHEN n = 1 THEN covers[1] END AS al, CASE WHEN n = 0 AND ew IS NOT NULL AND NOT gone THEN {{'work': ew, 'tier': 'matched', 'basis': 'working-stretch'}} END AS su, n = 0 AND ew IS NOT NULL AND gone AS lost FROM pl),
+  ow AS (SELECT *, CASE WHEN n = 1 THEN covers[1] END AS al, CASE WHEN n = 0 AND ew IS NOT NULL AND NOT gone THEN {{'work': ew, 'tier': et, 'basis': 'working-stretch'}} END AS su, n = 0 AND ew IS NOT NULL AND gone AS lost FROM pl),
   lo AS (SELECT k, 'conserving' AS layer, segment, [al] AS owners, CASE WHEN n = 1 THEN NULL ELSE reason END AS reason, moment, input, output FROM ow
     UNION ALL SELECT k, 'estimated', segment, [coalesce(al, su)], CASE WHEN coalesce(al, su) IS NULL THEN CASE WHEN lost THEN 'elsewhere' ELSE reason END END, moment, input, output FROM ow
     UNION ALL SELECT k, 'even', segment, CASE WHEN n > 1 THEN list_transform(covers, lambda c: {{'work': c.work, 'tier': c.tier, 'basis': 'even'}}) ELSE [al] END, CASE WHEN n > 0 THEN NULL ELSE reason END, moment, input, output FROM ow
@@ -33,6 +35,14 @@ DIVIDED = f"""sp AS (SELECT o_custkey AS k, o_orderpriority AS work, o_orderdate
   dv AS (SELECT k, layer, segment, o.work AS work, o.tier AS tier, o.basis AS basis, reason, requests, CAST(input // m + (i < input % m)::BIGINT AS BIGINT) AS input, CAST(output // m + (i < output % m)::BIGINT AS BIGINT) AS output FROM ex)"""
 
 
+#: A customer's orders are spans of work of 200 days, its pending orders events 300 days on; lines are requests, some with an estimate, some made elsewhere.
+DIVIDED = layered(
+    """sp AS (SELECT o_custkey AS k, o_orderpriority AS work, o_orderdate AS f, o_orderdate + INTERVAL 200 DAY AS t, CAST(o_orderkey % 3 AS INT) AS tier, 0 AS basis FROM orders
+    UNION ALL SELECT o_custkey, 'pending', min(o_orderdate) + INTERVAL 300 DAY, max(o_orderdate) + INTERVAL 300 DAY + INTERVAL 1 MICROSECOND, CAST(max(o_orderkey % 3) AS INT), 1 FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey),
+  rq AS (SELECT o_custkey AS k, CASE WHEN l_linenumber < 7 THEN l_shipdate END AS moment, CAST(l_quantity AS BIGINT) AS input, l_partkey % 1000 AS output, CASE WHEN l_linenumber % 2 = 0 THEN 'w' || l_linestatus END AS ew, 'matched' AS et, l_returnflag = 'R' AS gone FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+)
+
+
 def divided(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = tables.table(spark, sf_dir, "orders")
     tier = F.element_at(F.array(*[F.lit(t) for t in works.TIERS]), (F.col("o_orderkey") % 3 + 1).cast("int"))
@@ -130,3 +140,55 @@ def inherited_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = intervals.inherit(mine, lineage).withColumn("inherited", F.coalesce(F.col("basis") == "inherited", F.lit(False)))
     until = F.coalesce("to", F.lit("2030-01-01").cast("timestamp_ntz"))
     return got.groupBy("session", "reason", "work", "inherited").agg(F.sum(intervals.micros(until) - intervals.micros(F.col("from"))).alias("us"))
+
+
+#: A user's views are requests, in stretches of eight hours; signups begin stays, every fifth purchase is a commit it makes, clicks are edits of four lines that commits may hold.
+PARTED = layered(
+    """e AS (SELECT user_id AS k, ts, event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS n FROM events), cm AS (SELECT 'p' || event_id AS sha, k, ts, n FROM e WHERE event_type = 'purchase' AND n % 5 = 0),
+  st AS (SELECT k, ts AS f, lead(ts) OVER (PARTITION BY k ORDER BY ts, event_id) AS t, CASE WHEN event_id % 4 > 0 THEN '/w' || event_id % 3 END AS place FROM e WHERE event_type = 'signup'),
+  mt AS (SELECT x.k, x.ts, cm.sha FROM e x JOIN cm ON abs(x.n - cm.n) <= 2 AND cm.ts >= x.ts - INTERVAL 1 HOUR AND cm.ts <= x.ts + INTERVAL 1 DAY WHERE event_type = 'click' AND x.n % 3 = 0
+    QUALIFY row_number() OVER (PARTITION BY x.event_id ORDER BY abs(x.n - cm.n), abs(epoch_us(cm.ts) - epoch_us(x.ts)), sha) = 1),
+  md AS (SELECT cm.k, sha, cm.ts, f, t, place FROM cm JOIN st ON st.k = cm.k AND st.f <= cm.ts AND (st.t IS NULL OR cm.ts < st.t) AND place IS NOT NULL),
+  ss AS (SELECT k, sha AS work, coalesce(max(ts) OVER (PARTITION BY k, f ORDER BY epoch_us(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + INTERVAL 1 MICROSECOND, f) AS f, ts + INTERVAL 1 MICROSECOND AS t FROM md
+    UNION ALL SELECT k, 'uncommitted:' || place, max(ts) + INTERVAL 1 MICROSECOND, t FROM md GROUP BY k, f, t, place HAVING t IS NULL OR max(ts) + INTERVAL 1 MICROSECOND < t),
+  ev AS (SELECT k, ts, sha AS work, 0 AS tier FROM cm UNION ALL SELECT k, ts, sha, 1 FROM mt),
+  sp AS (SELECT k, work, f, t, 1 AS tier, 0 AS basis FROM ss UNION ALL SELECT k, work, min(ts), max(ts) + INTERVAL 1 MICROSECOND, max(tier), 1 FROM ev GROUP BY k, work),
+  r0 AS (SELECT k, epoch_us(ts) // 28800000000 AS stretch, CASE WHEN n % 17 > 0 THEN ts END AS moment, n AS input, n + 1 AS output, event_id % 7 = 0 AS gone FROM e WHERE event_type = 'view'),
+  cu AS (SELECT DISTINCT r0.k, cm.ts, sha FROM r0 JOIN cm ON r0.moment >= cm.ts - INTERVAL 30 MINUTE AND r0.moment <= cm.ts + INTERVAL 30 MINUTE WHERE NOT gone),
+  b0 AS (SELECT k, stretch, min(moment) AS t FROM r0 WHERE moment IS NOT NULL GROUP BY ALL), mk AS (SELECT k, ts, work, min(tier) AS tier FROM (SELECT * FROM ev UNION ALL SELECT k, ts, sha, 2 FROM cu) GROUP BY ALL),
+  ms AS (SELECT mk.*, coalesce((SELECT max(stretch) FROM b0 WHERE b0.k = mk.k AND b0.t <= mk.ts), (SELECT min(stretch) FROM b0 WHERE b0.k = mk.k)) AS stretch FROM mk),
+  rg AS (SELECT r0.*, coalesce((SELECT arg_min({'work': work, 'tier': tier}, (ms.ts, work)) FROM ms WHERE ms.k = r0.k AND ms.stretch = r0.stretch AND ms.ts >= r0.moment), (SELECT arg_max({'work': work, 'tier': tier}, (ms.ts, work)) FROM ms WHERE ms.k = r0.k AND ms.stretch = r0.stretch AND ms.ts < r0.moment)) AS g FROM r0),
+  rq AS (SELECT k, moment, input, output, g.work AS ew, CASE g.tier WHEN 0 THEN 'bound' WHEN 1 THEN 'matched' ELSE 'estimated' END AS et, gone FROM rg)"""
+)
+KEPT = "(layer = 'estimated' AND NOT (work IS NULL AND reason = 'overlap')) OR (layer = 'even' AND basis = 'even')"
+
+
+def parted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, kind = F.get_json_object("props", "$.k").cast("long"), F.col("event_type")
+    told = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "ts", "event_id", "event_type", n.alias("n"))
+    four = F.sequence(F.col("n"), F.col("n") + 3).alias("digests")
+    made = told.filter((kind == "purchase") & (F.col("n") % 5 == 0)).withColumn("sha", F.concat(F.lit("p"), F.col("event_id").cast("string")))
+    signups = told.filter(kind == "signup").withColumn("to", F.lead("ts").over(Window.partitionBy("session").orderBy("ts", "event_id")))
+    stays = signups.select("session", F.col("ts").alias("from"), "to", F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("/w"), (F.col("event_id") % 3).cast("string"))).alias("place"))
+    requests = told.filter(kind == "view").select(
+        "session", F.expr("unix_micros(cast(ts AS timestamp)) div 28800000000").alias("stretch"), F.when(F.col("n") % 17 > 0, F.col("ts")).alias("at"), F.col("n").alias("input"), (F.col("n") + 1).alias("output"), (F.col("event_id") % 7 == 0).alias("away")
+    )
+    edits = told.filter((kind == "click") & (F.col("n") % 3 == 0)).select(F.col("event_id").alias("edit"), "session", F.col("ts").alias("at"), four)
+    commits = made.select("sha", F.col("ts").alias("author"), four)
+    return partition.session_partition(requests, stays, made.select("session", F.col("ts").alias("at"), "sha"), edits, commits, ("input", "output"), after_s=86_400)
+
+
+@register(f"WITH {PARTED} SELECT k AS session, segment, work, tier, basis, reason, requests, input, output FROM dv WHERE {KEPT}")
+def session_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions divided over commits from their own commits, edits, stays and what was committed close by."""
+    return parted(spark, sf_dir)
+
+
+@register(
+    f"""WITH {PARTED}, v AS (SELECT *, CASE WHEN work IS NULL THEN 'unattributed' WHEN starts_with(work, 'uncommitted:') THEN 'uncommitted' WHEN CAST(substr(work, 2) AS BIGINT) % 2 = 0 THEN 'commit' ELSE 'unselected' END AS share FROM dv WHERE {KEPT})
+  SELECT share, CASE share WHEN 'unattributed' THEN reason WHEN 'unselected' THEN NULL ELSE work END AS work, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output FROM v GROUP BY ALL"""
+)
+def usage_by_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every second commit cost, and where the rest of the whole went."""
+    chosen = tables.table(spark, sf_dir, "events").filter("event_id % 2 = 0").select(F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("sha"))
+    return partition.usage_by_change(parted(spark, sf_dir), chosen, ("input", "output"))
