@@ -22,6 +22,7 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    size_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(rows, quotas)``: the words that the mix takes of each row, whole and by shard, and the block quotas by shard.
 
@@ -40,13 +41,15 @@ def mix_sources(
     One row for each source and shard meets in a single task, and a few candidate seats for each source;
     lines are laid by hash buckets of about 20,000 rows whose totals are summed first, so a source with a third of all
     rows is spread like any other. Null texts and texts without words have size 0 and take 0; an empty table gives no rows.
+    Where ``size_col`` names the sizes, texts aren't read and rows lie on the line by their ids alone.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(text_col), F.lit("")) if size_col is None else F.lit("")
+    words = F.regexp_count(text, F.lit(WORDS)).cast("long") if size_col is None else F.col(size_col)
     sized = materialize(
         docs.select(
             F.col(id_col),
             F.col(source_col).alias("__source"),
-            F.regexp_count(text, F.lit(WORDS)).cast("long").alias("size"),
+            words.alias("size"),
             F.xxhash64(F.lit(seed), F.col(id_col), text).alias("__h"),
         )
     )
@@ -205,9 +208,10 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """
     numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
     same = F.xxhash64(F.col(id_col).isNull(), id_col, F.col(source_col).isNull(), source_col, text_col)
-    apart = occurrences(numbered.select("__row", same.alias("__same"), F.col(text_col).alias("__text"), F.col(source_col).alias("__from")), "__same", "__row", "__nth")
-    apart = materialize(apart.withColumn("__key", F.struct("__same", "__nth")))
-    rows, _ = mix_sources(apart, id_col="__key", text_col="__text", source_col="__from", seed=seed, **options)
+    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORDS)).cast("long")
+    thin = materialize(numbered.select("__row", same.alias("__same"), F.col(source_col).alias("__from"), size.alias("__words")))
+    apart = materialize(occurrences(thin, "__same", "__row", "__nth").withColumn("__key", F.struct("__same", "__nth")))
+    rows, _ = mix_sources(apart, id_col="__key", source_col="__from", size_col="__words", seed=seed, **options)
     chance = F.pmod(F.xxhash64(F.lit(seed + 1), "__key"), F.lit(1_000_000)) / 1_000_000.0
     length = F.greatest("size", F.lit(1))  # of rows that are taken it is above 0
     whole = F.floor(F.col("taken") / length)
