@@ -77,8 +77,9 @@ def recording_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def archives(rows: DataFrame) -> str:
-    """A ZIP archive for each bucket with a JSON member for each of its conversations: lists of lines."""
+    """ZIP archives of some 500 conversations each, with a JSON member for every one: lists of lines."""
     at = folder(rows.sparkSession)
+    many = -(-rows.agg(F.approx_count_distinct("conv_id")).first()[0] // 500) or 1
 
     def pack(table: pa.Table) -> pa.Table:
         b = table.column("b")[0].as_py()
@@ -93,7 +94,7 @@ def archives(rows: DataFrame) -> str:
                 archive.writestr(f"c{name}.json", "[" + ",".join(lines) + "]")
         return pa.table({"b": [b]}, schema=pa.schema([("b", pa.int32())]))
 
-    rows.groupBy("b").applyInArrow(pack, "b int").count()
+    rows.withColumn("b", F.pmod(F.xxhash64("conv_id"), F.lit(many)).cast("int")).groupBy("b").applyInArrow(pack, "b int").count()
     return at
 
 
@@ -105,8 +106,8 @@ def archived_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of up to 600 bytes are read from archives of conversations; larger ones are told and never decoded."""
     ranges.register(spark)
     read = spark.read.format("export_members").options(memberBytes="600", members="100000000").load(archives(line_rows(spark, sf_dir)))
-    session, b = F.regexp_extract("member", r"^c(\d+)\.json$", 1).cast("long"), F.regexp_extract("file", r"/b(\d+)\.zip$", 1).cast("int")
-    return read.groupBy(b.alias("b"), session.alias("session"), "bytes", "reason").agg(F.count("value").alias("records"))
+    session = F.regexp_extract("member", r"^c(\d+)\.json$", 1).cast("long")
+    return read.groupBy((session % BUCKETS).cast("int").alias("b"), session.alias("session"), "bytes", "reason").agg(F.count("value").alias("records"))
 
 
 def later(rows: DataFrame) -> DataFrame:
