@@ -36,6 +36,8 @@ def train_codebooks(rows: DataFrame, dim: int, parts: int, entries: int, rounds:
     """
     width = dim // parts
     first = rows.orderBy(F.col("id").asc_nulls_last(), "q").limit(entries).select("q").collect()
+    if not first:
+        return np.zeros((parts, 0, width), np.int64)
     books = np.array([r["q"] for r in first], np.int64).reshape(len(first), parts, width).transpose(1, 0, 2).copy()
     context = rows.sparkSession.sparkContext
     sums = [f"s{i}" for i in range(width)]
