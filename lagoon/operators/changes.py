@@ -195,9 +195,8 @@ def estimate_windows(requests: DataFrame, events: DataFrame, keys: list[str]) ->
     """
     rows = requests.select(*keys, "at", F.lit(None).cast("string").alias("work"), F.lit(1).alias("__k"), F.struct(*[F.col(c) for c in requests.columns]).alias("__row"))
     marks = events.select(*keys, "at", "work", F.lit(2).alias("__k"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"))
-    by = Window.partitionBy(*keys).orderBy("at", "__k", "work")
-    ahead = F.first("work", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
-    behind = F.last("work", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    by, back = ("at", "__k", "work"), (F.desc("at"), F.desc("__k"), F.desc("work"))
+    behind, ahead = (F.last("work", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)) for o in (by, back))
     both = rows.unionByName(marks).withColumn("__w", F.coalesce(ahead, behind)).filter("__k = 1")
     return both.select("__row.*", F.col("__w").alias("work"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagoon.operators.changes import estimate_windows
@@ -17,12 +17,32 @@ def matched_edits(edits: DataFrame, commits: DataFrame, share: float = 0.5, leas
 
     ``edits``: edit, session, at, digests. ``commits``: sha, author, digests. Of commits that hold as much of an edit the nearest in time counts, then the first by name.
     """
-    met = edit_overlap(edits.select("edit", "digests"), commits.select("sha", "digests"), share, least)
-    timed = met.join(edits.select("edit", "session", "at"), "edit").join(commits.select("sha", "author"), "sha")
-    late = F.unix_micros(F.col("author").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp"))
-    near = timed.withColumn("late", late).filter(F.col("late").between(-before_s * 1_000_000, after_s * 1_000_000))
-    first = Window.partitionBy("edit").orderBy(F.desc("overlap"), F.abs("late"), "sha")
-    return near.withColumn("n", F.row_number().over(first)).filter("n = 1").select("session", "at", F.col("sha").alias("work"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    asked = edits.select("edit", "session", "at", micros("at").alias("us"), _set_of("digests").alias("lines"))
+    # commits of the same lines written at one instant differ by name alone
+    wrote = commits.select(_set_of("digests").alias("adds"), micros("author").alias("us"), "sha").filter("us IS NOT NULL").groupBy("adds", "us").agg(F.min("sha").alias("sha"))
+    of_edits, of_commits = asked.select(F.col("lines").alias("edit"), F.col("lines").alias("digests")).distinct(), wrote.select(F.col("adds").alias("sha"), F.col("adds").alias("digests")).distinct()
+    met = edit_overlap(of_edits, of_commits, share, least).select(F.col("edit").alias("lines"), F.col("sha").alias("adds"), "overlap")
+    # the nearest commit of each set is the last before an edit or the first from it on: an ordered pass by set finds both, spans of time of the wider bound share it out
+    width = max(before_s, after_s, 1) * 1_000_000
+    cell = F.expr(f"us div {width}L")
+    points = asked.join(met, "lines").select("adds", cell.alias("cell"), "us", F.lit(1).alias("turn"), F.lit(None).cast("string").alias("sha"), F.struct("edit", "session", "at", "overlap").alias("x"))
+    own = wrote.join(met.select("adds").distinct(), "adds", "left_semi").withColumn("cell", cell)
+    ends = own.groupBy("adds", "cell").agg(F.min(F.struct("us", "sha")).alias("low"), F.max(F.struct("us", "sha")).alias("high"))
+    lent = ends.select("adds", (F.col("cell") - 1).alias("cell"), "low.*").unionByName(ends.select("adds", (F.col("cell") + 1).alias("cell"), "high.*"))
+    marks = own.select("adds", "cell", "us", "sha").unionByName(lent).select("adds", "cell", "us", F.lit(0).alias("turn"), "sha", F.lit(None).cast(points.schema["x"].dataType).alias("x"))
+    of = Window.partitionBy("adds", "cell")
+    up, down = (of.orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in (("us", "turn"), (F.desc("us"), F.desc("turn"))))  # frames that grow: one that shrinks is read anew for each row
+    mark = F.when(F.col("turn") == 0, F.struct("us", "sha"))
+    found = points.unionByName(marks).withColumns({"behind": F.last(mark, ignorenulls=True).over(up), "ahead": F.last(mark, ignorenulls=True).over(down)}).filter("turn = 1")
+    each = found.select("x.*", F.col("us").alias("mine"), F.explode(F.array("behind", "ahead")).alias("c")).withColumn("late", F.col("c.us") - F.col("mine"))
+    near = each.filter(F.col("late").between(-before_s * 1_000_000, after_s * 1_000_000))
+    best = near.groupBy("edit").agg(F.min_by(F.struct("session", "at", F.col("c.sha").alias("work")), F.struct(-F.col("overlap"), F.abs("late"), F.col("c.sha"))).alias("b"))
+    return best.select("b.*")
+
+
+def _set_of(digests: str) -> Column:
+    return F.array_sort(F.array_distinct(digests))
 
 
 def stay_spans(stays: DataFrame, created: DataFrame) -> DataFrame:
@@ -58,6 +78,40 @@ def near_commits(requests: DataFrame, commits: DataFrame, proximity_s: int = 180
     return met.select("session", F.col("author").alias("at"), F.col("sha").alias("work")).distinct()
 
 
+def guiding_commits(requests: DataFrame, commits: DataFrame, proximity_s: int = 1800) -> DataFrame:
+    """Of ``near_commits`` those that can be next to a request: at most four instants for each, and of an instant the first and the last name.
+
+    ``requests`` with ``away``; requests made elsewhere bring no commits near, but may be followed by those of others. A session's commits close by are those within ``proximity_s`` of its requests at hand. The first of them from any
+    instant on is the first commit of all, unless that isn't close; then none lies between it and the span of a request at hand, and it is the first commit of that span. So the first from and the last before each request,
+    and the first and the last of each request's span, hold every answer, and a row is made for each request, not for each pair.
+    """
+    width = proximity_s * 1_000_000
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    asked = requests.filter("at IS NOT NULL").groupBy("session", micros("at").alias("m")).agg(F.bool_or(~F.coalesce("away", F.lit(False))).alias("here"))
+    wrote = commits.select(micros("author").alias("us"), "sha").filter("us IS NOT NULL").groupBy("us").agg(F.min("sha").alias("low"), F.max("sha").alias("high")).withColumn("cell", F.expr(f"us div {2 * width}L"))
+    # at one instant: questions for the last before it, commits, questions for the first from it on are asked before the commits, for the last up to it after them
+    ask = lambda us, turn, on: F.struct((F.col("m") + us).alias("us"), F.lit(turn).alias("turn"), F.lit(on).alias("onward"))
+    always, close = [ask(0, 0, True), ask(0, 0, False)], [ask(-width, 0, True), ask(width, 2, False)]
+    questions = asked.withColumn("q", F.explode(F.when(F.col("here"), F.array(*always, *close)).otherwise(F.array(*always)))).select("session", "m", "here", "q.*").withColumn("cell", F.expr(f"us div {2 * width}L"))
+    ends = wrote.groupBy("cell").agg(F.min(F.struct("us", "low", "high")).alias("a"), F.max(F.struct("us", "low", "high")).alias("z"))
+    lent = ends.select((F.col("cell") - 1).alias("cell"), "a.*").unionByName(ends.select((F.col("cell") + 1).alias("cell"), "z.*"))
+    marks = wrote.select("cell", "us", "low", "high").unionByName(lent)
+    rows = questions.select("cell", "us", "turn", F.struct("session", "onward").alias("x")).distinct()
+    both = rows.withColumns({"low": F.lit(None).cast("string"), "high": F.lit(None).cast("string")}).unionByName(marks.select("cell", "us", F.lit(1).alias("turn"), F.lit(None).cast(rows.schema["x"].dataType).alias("x"), "low", "high"))
+    of = Window.partitionBy("cell")
+    up, down = (of.orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in (("us", "turn"), (F.desc("us"), F.desc("turn"))))
+    mark = F.when(F.col("turn") == 1, F.struct("us", "low", "high"))
+    found = both.withColumns({"behind": F.last(mark, ignorenulls=True).over(up), "ahead": F.last(mark, ignorenulls=True).over(down)}).filter("turn <> 1").select("x.session", F.when(F.col("x.onward"), F.col("ahead")).otherwise(F.col("behind")).alias("c"))
+    met = found.filter("c IS NOT NULL").select("session", "c.*").distinct()
+    # close: a request at hand lies within the bound
+    there = asked.filter("here").select("session", F.col("m").alias("us"), F.lit(None).cast("string").alias("low"), F.lit(None).cast("string").alias("high"), F.col("m").alias("r"))
+    of = Window.partitionBy("session")
+    sided = met.withColumn("r", F.lit(None).cast("long")).unionByName(there).withColumns({"b": F.last("r", ignorenulls=True).over(of.orderBy("us")), "f": F.last("r", ignorenulls=True).over(of.orderBy(F.desc("us")))})
+    kept = sided.filter(f"low IS NOT NULL AND (us - b <= {width} OR f - us <= {width})")
+    kind = commits.schema["author"].dataType
+    return kept.select("session", F.timestamp_micros("us").cast(kind).alias("at"), F.explode(F.array_distinct(F.array("low", "high"))).alias("work"))
+
+
 def session_partition(
     requests: DataFrame, stays: DataFrame, created: DataFrame, edits: DataFrame, commits: DataFrame, counters: tuple[str, ...], tiers: tuple[str, ...] = TIERS, proximity_s: int = 1800, **matching: object
 ) -> DataFrame:
@@ -71,7 +125,7 @@ def session_partition(
     matched = matched_edits(edits, commits, **matching).withColumn("tier", F.lit("matched"))
     events = bound.unionByName(matched)
     spans = stay_spans(stays, created).withColumn("tier", F.lit("matched"))
-    cues = near_commits(requests.filter("NOT coalesce(away, false)"), commits, proximity_s).withColumn("tier", F.lit("estimated"))
+    cues = guiding_commits(requests, commits, proximity_s).withColumn("tier", F.lit("estimated"))
     # an event speaks in the stretch that its time falls into: the last begun at or before it
     starts = requests.filter("at IS NOT NULL").groupBy("session", "stretch").agg(F.min("at").alias("t")).select("session", "t", F.lit(0).alias("turn"), F.col("stretch"), F.lit(None).cast("string").alias("work"), F.lit(None).cast("string").alias("tier"))
     marks = events.unionByName(cues).select("session", F.col("at").alias("t"), F.lit(1).alias("turn"), F.lit(None).cast("long").alias("stretch"), "work", "tier")

@@ -4,6 +4,8 @@ import datetime as dt
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from lagoon.operators import partition
 
 DAY = dt.datetime(2026, 1, 1)
@@ -63,3 +65,48 @@ def test_tiers_asked_for_and_sums(spark):
         view = partition.usage_by_change(partition.session_partition(*parts, ("input",), tiers=tiers), None, ("input",)).collect()
         assert sum(r["input"] for r in view) == whole
     assert {"tiers-not-asked", "elsewhere", "request-time-unrecorded"} <= reasons
+
+
+def at_hand(requests, commits):
+    return partition.near_commits(requests.filter("NOT away"), commits)
+
+
+def test_guiding_commits_answer_as_all_close_ones_do(spark):
+    rng = random.Random(9)
+    for spread in (300, 1500):
+        asked = [(s, 0, rng.randrange(spread) if rng.random() < 0.95 else None, 1, rng.random() < 0.4) for s in range(12) for _ in range(rng.randrange(1, 9))]
+        commits = [(f"c{i}", rng.randrange(spread) if i % 3 else rng.randrange(0, spread, 20), []) for i in range(90)]
+        requests, _, _, _, made = frames(spark, asked, [], [], [], commits)
+        near, few = ([(r["session"], r["at"], r["work"]) for r in f(requests, made).collect()] for f in (at_hand, partition.guiding_commits))
+        assert set(few) <= set(near) and len(few) == len(set(few))
+        for s, _, t, _, _ in asked:
+            if t is None:
+                continue
+            for held in (near, few):
+                mine = [(a, w) for n, a, w in held if n == s]
+                answer = min((x for x in mine if x[0] >= at(t)), default=None), max((x for x in mine if x[0] < at(t)), default=None)
+                want = answer if held is near else want
+                assert answer == want
+    requests, _, _, _, made = frames(spark, [(s, 0, 10, 1, False) for s in range(50)], [], [], [], [(f"c{i}", i % 40, []) for i in range(400)])
+    assert at_hand(requests, made).count() == 50 * 400
+    assert partition.guiding_commits(requests, made).count() <= 50 * 8
+
+
+def test_edits_meet_commits_of_the_same_lines_once(spark):
+    rng = random.Random(2)
+    sets = [sorted(rng.sample(range(14), 4)) for _ in range(5)]
+    edits = [(i, 1, rng.randrange(-3000, 3000), rng.choice(sets)) for i in range(60)]
+    commits = [(f"c{i:02}", rng.randrange(-3000, 3000), rng.choice(sets)) for i in range(80)]
+    _, _, _, given, made = frames(spark, [], [], [], edits, commits)
+    want = []
+    for _, _, t, mine in edits:
+        met = [(-len(set(mine) & set(d)), abs(c - t), sha) for sha, c, d in commits if len(set(mine) & set(d)) >= 2 and -60 <= c - t <= 300]
+        want += [(at(t), min(met)[2])] if met else []
+    assert sorted((r["at"], r["work"]) for r in partition.matched_edits(given, made, after_s=300 * 60).collect()) == sorted(want)
+    # pairs of all edits and commits of one content would be 1.6 billion here
+    many = spark.range(40_000)
+    lines = F.array(*[F.lit(n).cast("long") for n in range(4)]).alias("digests")
+    given = many.select(F.col("id").alias("edit"), F.lit(1).alias("session"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("at"), lines)
+    made = many.select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("sha"), F.timestamp_seconds(F.col("id") * 60 + 20).cast("timestamp_ntz").alias("author"), lines)
+    got = partition.matched_edits(given, made)
+    assert got.count() == 40_000 and got.filter(F.col("work") != F.concat(F.lit("c"), (F.unix_seconds(F.col("at").cast("timestamp")) / 60).cast("long").cast("string"))).count() == 0
