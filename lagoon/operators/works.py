@@ -134,14 +134,14 @@ def _named(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Re
 def with_reasons(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Segments with ``n`` (works), ``reason`` (null where one work alone covers it) and ``next`` (the cover of the first later segment that has one alone)."""
     by = Window.partitionBy(*keys)
-    ahead = by.orderBy("segment").rowsBetween(1, Window.unboundedFollowing)
+    ahead = by.orderBy(F.desc("segment")).rowsBetween(Window.unboundedPreceding, -1)  # a frame that grows: one that shrinks is read anew for each row
     n = F.size("covers")
     covered = F.when(n > 0, F.col("segment"))
     first, last = F.min(covered).over(by), F.max(covered).over(by)
     reason = (
         F.when(n == 1, None).when(n > 1, "overlap").when(first.isNull() | (F.col("segment") < first), "before-first-item").when(F.col("segment") > last, "after-last-item").otherwise("between-items")
     )
-    return segments.withColumns({"n": n, "reason": reason, "next": F.first(F.when(n == 1, F.element_at("covers", 1)), ignorenulls=True).over(ahead)})
+    return segments.withColumns({"n": n, "reason": reason, "next": F.last(F.when(n == 1, F.element_at("covers", 1)), ignorenulls=True).over(ahead)})
 
 
 def divide(
