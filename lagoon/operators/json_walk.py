@@ -1,14 +1,15 @@
-"""JSON of any shape walked level by level, and what two walks collect: citations and references to artifacts."""
+"""JSON of any shape walked in one pass, and what two walks collect: citations and references to artifacts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagoon.functions.scalars import byte_capped
-from lagoon.storage import materialize
 
 #: Levels below the root that are looked at, references told of one value, bytes of one field of a citation.
 DEPTH, REFERENCES, FIELD_BYTES = 32, 64, 4 << 10
@@ -17,57 +18,81 @@ URI = ("uri", "url", "href")
 START = ("start_idx", "start_index", "start")
 END = ("end_idx", "end_index", "end")
 SOURCES = ("items", "sources", "source")
+DIGEST = ("digest", "sha256", "file_id", "fileId")
+BYTES = ("bytes", "size", "byte_count", "size_bytes")
+ARTIFACT = frozenset((*URI, "asset_pointer", "path", *DIGEST, *BYTES))
 
 
-def kind_of(value: Column) -> Column:
-    """OBJECT, ARRAY, STRING, BIGINT and so on."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
-
-
-def field(value: Column, key: str) -> Column:
-    return F.try_variant_get(value, f"$.{key}", "variant")
+def text_in(value: dict, *keys: str) -> str | None:
+    """The first of the fields that is a text; numbers don't count."""
+    for key in keys:
+        if key in value and isinstance(x := value[key], str):
+            return x if x.isascii() else x.encode("utf-8", "replace").decode()
+    return None
 
 
-def text_in(value: Column, *keys: str) -> Column:
-    """The first of the fields that is a text; numbers don't count."""
-    return F.coalesce(*[F.when(kind_of(field(value, k)) == "STRING", F.try_variant_get(value, f"$.{k}", "string")) for k in keys])
+def count_in(value: dict, *keys: str) -> int | None:
+    """The first of the fields that is an integer of 0 or more and fits a long."""
+    for key in keys:
+        if key in value and type(x := value[key]) is int and 0 <= x < 1 << 63:
+            return x
+    return None
 
 
-def count_in(value: Column, *keys: str) -> Column:
-    """The first of the fields that is an integer of 0 or more."""
-    held = [F.when(kind_of(field(value, k)) == "BIGINT", F.try_variant_get(value, f"$.{k}", "bigint")) for k in keys]
-    return F.coalesce(*[F.when(x >= 0, x) for x in held])
+def in_order(keys: list[str]) -> list[str]:
+    """Keys as Spark's variants have them: by UTF-16 units."""
+    return sorted(keys) if all(map(str.isascii, keys)) else sorted(keys, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
 
 
-def walk(
-    rows: DataFrame, keys: list[str], value: str, state: Column, hit: Callable[[Column, Column, Column], Column], enter: Callable[[Column, Column, Column], Column],
-    follow: Callable[[Column, Column, Column], Column], depth: int = DEPTH,
-) -> DataFrame:
-    """``keys, path, level, key, state, owner, v, kind, hit``: the containers and hits met from each root, one level a round.
+def walk(value: object, state: int, hit: Callable, enter: Callable, follow: Callable, depth: int, level: int = 0) -> Iterator[tuple[int, tuple | None, bool]]:
+    """``(state, found, cut)`` of the containers that ``hit(state, value)`` finds something in, and of those at ``depth`` that would have been entered (``cut``), in the order of a depth-first walk.
 
-    ``value`` is a column of JSON text; texts that aren't JSON give no row. A round opens the containers of its level that ``enter(state, kind, hit)`` lets in (``variant_explode``) and
-    gives each child the state ``follow(state, hit, key)``; ``hit(state, kind, v)`` marks nodes, and ``owner`` is the path of the nearest hit above. ``path`` holds positions
-    (of objects: in the order of their keys), so that paths in order are the order of a depth-first walk. Each level is written once, so plans don't
-    grow with the depth; the walk ends with the last level or at ``depth``, where nodes that would have been entered keep ``cut`` true.
+    Containers that ``enter(state, value, found)`` lets in are opened, objects in the order of their keys; ``follow(state, found, key)`` is the state of a child.
     """
-    parsed = rows.select(*keys, F.try_parse_json(value).alias("v")).filter("v IS NOT NULL")
-    none = F.lit(None).cast("array<int>")
-    level = parsed.select(*keys, F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("key"), state.alias("state"), none.alias("owner"), "v", kind_of(F.col("v")).alias("kind"))
-    out: DataFrame | None = None
-    for n in range(depth + 1):
-        found = level.withColumn("hit", F.coalesce(hit(F.col("state"), F.col("kind"), F.col("v")), F.lit(False)))
-        found = found.withColumn("open", F.col("kind").isin("OBJECT", "ARRAY") & F.coalesce(enter(F.col("state"), F.col("kind"), F.col("hit")), F.lit(False)))
-        kept = materialize(found.filter("hit OR open").withColumns({"level": F.lit(n), "cut": F.col("open") & F.lit(n == depth)}))
-        out = kept if out is None else out.unionByName(kept)
-        opened = kept.filter("open AND NOT cut")
-        if opened.isEmpty():
-            break
-        child = opened.withColumnsRenamed({"key": "above", "v": "within", "hit": "held", "kind": "shape"}).lateralJoin(opened.sparkSession.tvf.variant_explode(F.col("within").outer()))
-        level = child.select(
-            *keys, F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"), "key", follow(F.col("state"), F.col("held"), F.col("key")).alias("state"),
-            F.when(F.col("held"), F.col("path")).otherwise(F.col("owner")).alias("owner"), F.col("value").alias("v"), kind_of(F.col("value")).alias("kind"),
-        )
-    return out.drop("open")
+    shape = type(value)
+    if shape is not dict and shape is not list:
+        return
+    found = hit(state, value) if shape is dict else None
+    opened = enter(state, value, found)
+    cut = opened and level == depth
+    if found is not None or cut:
+        yield state, found, cut
+    if opened and not cut:
+        below = [k for k in value if type(value[k]) in (dict, list)] if shape is dict else range(len(value))
+        for key in in_order(below) if shape is dict else below:
+            yield from walk(value[key], follow(state, found, key), hit, enter, follow, depth, level + 1)
+
+
+def collected(rows: DataFrame, keys: list[str], value: str, collect: Callable[[object], Iterator[tuple]], columns: str) -> DataFrame:
+    """``keys`` and ``columns``: the rows that ``collect`` makes of each JSON text; texts that aren't JSON to Spark give none. A text is parsed and walked once, where it lies; ``keys`` tell texts apart."""
+    given = rows.filter(F.try_parse_json(value).isNotNull()).select(*keys, value)
+    names = [c.split()[0] for c in columns.split(", ")]
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    types = [kinds[c.split()[1]] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # integers beyond a long are numbers of another kind, however many digits they have
+        decoder = json.JSONDecoder(parse_int=lambda x: int(x) if len(x) < 20 else float("inf"))
+        for batch in batches:
+            of, out = [], []
+
+            def made(of: list = of, out: list = out, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                at = pa.array(of, pa.int64())
+                told = [pa.array(c, t) for c, t in zip(zip(*out), types)]
+                of.clear()
+                out.clear()
+                return pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(keys))), *told], names=[*keys, *names])
+
+            for i, text in enumerate(batch.column(len(keys)).to_pylist()):
+                for row in collect(decoder.raw_decode(text.lstrip(" \t\r\n"))[0]):
+                    of.append(i)
+                    out.append(row)
+                    if len(of) >= 8192:
+                        yield made()
+            if of:
+                yield made()
+
+    return given.mapInArrow(run, ", ".join([*[f"`{k}` {given.schema[k].dataType.simpleString()}" for k in keys], columns]))
 
 
 def artifact_references(rows: DataFrame, keys: list[str], value: str, most: int = REFERENCES, depth: int = DEPTH) -> DataFrame:
@@ -76,16 +101,23 @@ def artifact_references(rows: DataFrame, keys: list[str], value: str, most: int
     An object counts if a field names a place (uri, url, href, asset_pointer; path), a digest (digest, sha256, file_id, fileId) or a size (bytes, size, byte_count, size_bytes). Texts
     are never searched for what looks like a path. Objects ``depth`` levels down and below aren't looked at.
     """
-    v = F.col("v")
-    shape = {
-        "uri": text_in(v, *URI, "asset_pointer"), "path": text_in(v, "path"), "digest": text_in(v, "digest", "sha256", "file_id", "fileId"),
-        "bytes": count_in(v, "bytes", "size", "byte_count", "size_bytes"),
-    }
-    some = F.coalesce(*[F.when(c.isNotNull(), True) for c in shape.values()], F.lit(False))
-    nodes = walk(rows, keys, value, F.lit(0), lambda s, k, v: (k == "OBJECT") & some, lambda s, k, h: F.lit(True), lambda s, h, k: s, depth - 1)
-    found = nodes.filter("hit").withColumnRenamed("path", "at").select(*keys, "at", F.lit("recorded-artifact").alias("kind"), *[c.alias(n) for n, c in shape.items()])
-    first = Window.partitionBy(*keys).orderBy("at")
-    return found.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= most).drop("at")
+
+    def hit(state: int, v: dict) -> tuple | None:
+        if ARTIFACT.isdisjoint(v):
+            return None
+        found = (text_in(v, *URI, "asset_pointer"), text_in(v, "path"), text_in(v, *DIGEST), count_in(v, *BYTES))
+        return None if found == (None,) * 4 else found
+
+    def collect(root: object) -> Iterator[tuple]:
+        place = 0
+        for _, found, _ in walk(root, 0, hit, lambda *_: True, lambda state, *_: state, depth - 1):
+            if found is not None:
+                place += 1
+                yield (place, "recorded-artifact", *found)
+            if place == most:
+                return
+
+    return collected(rows, keys, value, collect, "place int, kind string, uri string, path string, digest string, bytes bigint")
 
 
 def citations(rows: DataFrame, keys: list[str], value: str, most: int = REFERENCES, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
@@ -96,27 +128,32 @@ def citations(rows: DataFrame, keys: list[str], value: str, most: int = REFERENC
     objects and lists are entered. Before the first ``content_references`` only objects are entered. The first ``most`` citations are told, and of each the first ``most`` sources; fields are
     cut at 4 KiB. ``told``: keys, citations, omitted, incomplete (something lay deeper than ``depth``).
     """
-    v = F.col("v")
-    shape = {"kind": text_in(v, "type"), "uri": text_in(v, *URI), "title": text_in(v, "title"), "start": count_in(v, *START), "end": count_in(v, *END)}
-    described = F.coalesce(*[F.when(c.isNotNull(), True) for c in shape.values()], F.lit(False))
+
     # states: 0 before the references, 1 in them, 2 an object of sources, 3 a field of a citation that isn't looked at
-    nodes = walk(
-        rows, keys, value, F.lit(0),
-        lambda s, k, v: s.isin(1, 2) & (k == "OBJECT") & described,
-        lambda s, k, h: F.when(s == 0, k == "OBJECT").otherwise(s != 3),
-        lambda s, h, k: F.when(s == 0, (k == "content_references").cast("int")).when(h, F.when(k.isin(*SOURCES), 2).otherwise(3)).otherwise(s),
-        depth - 1,
-    )
-    hits = nodes.filter("hit").withColumns({n: byte_capped(c, FIELD_BYTES) if n in ("kind", "uri", "title") else c for n, c in shape.items()})
-    top = hits.filter("state = 1").withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("path")))
-    outer = top.select(*[F.col(k).alias(f"of_{k}") for k in keys], F.col("path").alias("above"), "place")
-    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]
-    below = hits.filter("state = 2").join(outer, [*same, F.slice("path", 1, F.size("above")) == F.col("above")]).drop(*[f"of_{k}" for k in keys], "above")
-    order = Window.partitionBy(*keys, "place").orderBy("path")
-    sources = below.withColumn("source", F.row_number().over(order)).filter((F.col("source") <= most) & (F.col("place") <= most))
-    fields = [*keys, "place", "source", *shape]
-    found = top.filter(F.col("place") <= most).withColumn("source", F.lit(None).cast("int")).select(*fields).unionByName(sources.select(*fields))
-    cut = nodes.groupBy(*keys).agg(F.bool_or("cut").alias("incomplete"))
-    told = cut.join(top.groupBy(*keys).agg(F.count("*").alias("n")), keys, "left")
-    told = told.select(*keys, F.least(F.coalesce("n", F.lit(0)), F.lit(most)).alias("citations"), F.greatest(F.coalesce("n", F.lit(0)) - most, F.lit(0)).alias("omitted"), "incomplete")
-    return found, told
+    def hit(state: int, v: dict) -> tuple | None:
+        found = (text_in(v, "type"), text_in(v, *URI), text_in(v, "title"), count_in(v, *START), count_in(v, *END)) if state in (1, 2) else (None,) * 5
+        return None if found == (None,) * 5 else found
+
+    def enter(state: int, v: object, found: tuple | None) -> bool:
+        return isinstance(v, dict) if state == 0 else state != 3
+
+    def follow(state: int, found: tuple | None, key: str | int) -> int:
+        if state == 0:
+            return int(key == "content_references")
+        return state if found is None else 2 if key in SOURCES else 3
+
+    def collect(root: object) -> Iterator[tuple]:
+        place, source, incomplete = 0, 0, False
+        for state, found, cut in walk(root, 0, hit, enter, follow, depth - 1):
+            incomplete |= cut
+            if found is not None:
+                place, source = (place + 1, 0) if state == 1 else (place, source + 1)
+                if place <= most and source <= most:
+                    yield (place, source or None, *found, None, None)
+        if isinstance(root, dict):
+            yield (None, None, None, None, None, None, None, place, incomplete)
+
+    told = collected(rows, keys, value, collect, "place int, source int, kind string, uri string, title string, start bigint, end bigint, n bigint, incomplete boolean")
+    found = told.filter("place IS NOT NULL").drop("n", "incomplete").withColumns({c: byte_capped(F.col(c), FIELD_BYTES) for c in ("kind", "uri", "title")})
+    left = F.greatest(F.col("n") - most, F.lit(0))
+    return found, told.filter("place IS NULL").select(*keys, F.least("n", F.lit(most)).alias("citations"), left.alias("omitted"), "incomplete")

@@ -3,6 +3,8 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from lagoon.operators import json_walk
 
 KEYS = ["content_references", "items", "sources", "source", "type", "url", "title", "start_idx", "path", "sha256", "size", "a", "b"]
@@ -108,3 +110,26 @@ def test_depth_ends_the_walk(spark):
     assert [r["doc"] for r in json_walk.artifact_references(rows, ["doc"], "value").collect()] == [2]
     _, told = json_walk.citations(rows, ["doc"], "value")
     assert {r["doc"]: r["incomplete"] for r in told.collect()} == {1: True, 2: False}
+
+
+def test_texts_are_read_as_variants_are(spark):
+    texts = [
+        '{"path": "a", "size": 9223372036854775807}', '{"path": "b", "size": 9223372036854775808}', '{"path": "c", "size": 1.0}', '{"path": "d", "size": ' + "9" * 5000 + "}", '{"path": "e", "size": 1e3}',
+        '{"path": "f", "path": "twice"}', '{"path": NaN}', '  {"path": "\\ud83d\\ude00"}', '{"path": "\\ud83d"}', '{"\ud83d\ude00": {"path": "astral"}, "\uffee": {"path": "wide"}}', '{"path": "g"', '{"path": 3, "bytes": true}',
+    ]
+    rows = spark.createDataFrame(list(enumerate(t.encode("utf-16", "surrogatepass").decode("utf-16") for t in texts)), "doc int, value string")
+    got = sorted(json_walk.artifact_references(rows, ["doc"], "value").select("doc", "place", "path", "bytes").collect(), key=lambda r: r[:2])
+    # what Spark itself makes of them
+    path, size = F.expr("try_variant_get(try_parse_json(value), '$.path', 'string')"), F.expr("try_variant_get(try_parse_json(value), '$.size', 'bigint')")
+    kind = F.expr("schema_of_variant(try_variant_get(try_parse_json(value), '$.size', 'variant'))")
+    plain = rows.filter("doc NOT IN (9, 11) AND try_parse_json(value) IS NOT NULL").select("doc", F.lit(1), path, F.when(kind == "BIGINT", size)).filter(F.col(rows.columns[0]) >= 0)
+    want = sorted([*map(tuple, plain.filter(path.isNotNull()).collect()), (9, 1, "astral", None), (9, 2, "wide", None)])
+    assert [tuple(r) for r in got] == want
+
+
+def test_one_pass_without_rounds(spark, monkeypatch):
+    """A walk is one step of tasks: nothing is written between levels."""
+    monkeypatch.setattr("lagoon.storage.materialize", None)
+    rows = spark.createDataFrame([(1, '{"a":{"b":[{"path":"p"}]}}')], "doc int, value string")
+    plan = json_walk.artifact_references(rows, ["doc"], "value")._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "lagoon-" not in plan and "Exchange" not in plan
