@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagoon.storage import materialize
+
+#: Fixed value: pairs of an edit and a commit that share a line, of one task.
+PAIRS = 1 << 20
+
 
 def edit_overlap(edits: DataFrame, commits: DataFrame, share: float = 0.5, least: int = 2) -> DataFrame:
     """Edits with the commits that add at least ``share`` of their distinct lines, ``least`` lines or more each.
 
     ``edits``: edit, digests. ``commits``: sha, digests. Digests are joined by a shuffle; lines that
-    many commits add are counted, not paired with each other.
+    many commits add are counted, not paired with each other. The pairs that share a line are counted first
+    and dealt over as many tasks as they need, so that a task's part doesn't grow with them.
     """
     lines = edits.withColumn("__n", F.size(F.array_distinct("digests"))).filter(F.col("__n") >= least).select("edit", "__n", F.explode(F.array_distinct("digests")).alias("d"))
     added = commits.select("sha", F.explode(F.array_distinct("digests")).alias("d"))
-    met = lines.join(added, "d").groupBy("edit", "sha", "__n").agg(F.count("*").alias("common"))
+    lines, added = materialize(lines), materialize(added)
+    both = lines.groupBy("d").count().join(added.groupBy("d").agg(F.count("*").alias("m")), "d")
+    pairs = both.agg(F.sum(F.col("count").cast("double") * F.col("m"))).first()[0] or 0
+    n = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs // PAIRS) + 1)
+    met = lines.repartition(n, "d").join(added.repartition(n, "d"), "d").select("edit", "sha", "__n").repartition(n, "edit", "sha").groupBy("edit", "sha", "__n").agg(F.count("*").alias("common"))
     return met.withColumn("overlap", F.col("common") / F.col("__n")).filter(F.col("overlap") >= share).drop("__n")
 
 

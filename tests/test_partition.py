@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from lagoon.operators import partition
+from lagoon.operators import evidence, partition
 
 DAY = dt.datetime(2026, 1, 1)
 CREATED, STAYS = "session int, at timestamp_ntz, sha string", "session int, from timestamp_ntz, to timestamp_ntz, place string"
@@ -110,3 +110,16 @@ def test_edits_meet_commits_of_the_same_lines_once(spark):
     made = many.select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("sha"), F.timestamp_seconds(F.col("id") * 60 + 20).cast("timestamp_ntz").alias("author"), lines)
     got = partition.matched_edits(given, made)
     assert got.count() == 40_000 and got.filter(F.col("work") != F.concat(F.lit("c"), (F.unix_seconds(F.col("at").cast("timestamp")) / 60).cast("long").cast("string"))).count() == 0
+
+
+def test_pairs_of_edits_and_commits_are_dealt_over_tasks(spark, monkeypatch):
+    rng = random.Random(4)
+    edits = [(i, [rng.randrange(30) for _ in range(rng.randrange(6))]) for i in range(60)]
+    commits = [(f"c{i}", [rng.randrange(30) for _ in range(12)]) for i in range(40)]
+    given, made = spark.createDataFrame(edits, "edit int, digests array<long>"), spark.createDataFrame(commits, "sha string, digests array<long>")
+    want = {(e, c): len(set(x) & set(y)) for e, x in edits for c, y in commits if len(set(x)) >= 2 and 2 * len(set(x) & set(y)) >= len(set(x))}
+    for most in (evidence.PAIRS, 100):
+        monkeypatch.setattr(evidence, "PAIRS", most)
+        met = evidence.edit_overlap(given, made)
+        assert {(r["edit"], r["sha"]): r["common"] for r in met.collect()} == want
+    assert met.rdd.getNumPartitions() > 10
