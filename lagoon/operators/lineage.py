@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagoon.operators.components import connected_components
-from lagoon.storage import discard, materialize
+from lagoon.storage import materialize
+
+
+def _linked(sessions: DataFrame) -> DataFrame:
+    """``session, up``: the parent where it is recorded. Sessions without one aren't joined: their keys are null, and one task would get them all."""
+    given = materialize(sessions.select("session", "parent"))
+    known = given.select(F.col("session").alias("__s"))
+    held = given.filter("parent IS NOT NULL").join(known, F.col("parent") == F.col("__s"), "left").select("session", F.col("__s").alias("up"))
+    return held.unionByName(given.filter("parent IS NULL").select("session", F.col("parent").alias("up")))
 
 
 def roots(sessions: DataFrame, levels: int = 32) -> DataFrame:
@@ -15,8 +23,7 @@ def roots(sessions: DataFrame, levels: int = 32) -> DataFrame:
     Pointers double in each round, so five joins follow 32 levels. A chain that meets itself or is
     longer stops at ``levels``; a parent that isn't there ends the chain before it.
     """
-    known = sessions.select(F.col("session").alias("__s"))
-    link = sessions.join(known, F.col("parent") == F.col("__s"), "left").select("session", F.coalesce("__s", "session").alias("root"), F.when(F.col("__s").isNull(), 0).otherwise(1).alias("depth"))
+    link = _linked(sessions).select("session", F.coalesce("up", "session").alias("root"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"))
     step = 1
     while step < levels:
         link = materialize(link)
@@ -31,8 +38,7 @@ def root_of(sessions: DataFrame) -> DataFrame:
 
     Only sessions whose pointer still moves take part in a round. Sessions of a circle keep the session their last pointer met.
     """
-    known = sessions.select(F.col("session").alias("__s"))
-    link = materialize(sessions.join(known, F.col("parent") == F.col("__s"), "left").select("session", F.col("__s").alias("up")))
+    link = materialize(_linked(sessions))
     done = link.filter("up IS NULL").select("session", F.col("session").alias("root"))
     left, finished = link.filter("up IS NOT NULL"), materialize(done)
     while not left.isEmpty():
@@ -49,21 +55,29 @@ def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """``session, depth``: all that descend from the ``start`` sessions, at their least depth, however deep; one parent for each session.
 
     As in ``roots`` pointers double. An ancestor between a session and its start is found in an earlier round or
-    the same, so a round that finds nothing is the last, in circles too.
+    the same, so a round that finds nothing is the last, in circles too. Only sessions whose pointer still moves take
+    part in a round: those found, and those whose chain has ended, have no key to be joined by.
     """
     begun = start.select(F.col("session").alias("__b")).distinct()
     known = edges.select("session", F.col("parent").alias("up")).join(begun, F.col("session") == F.col("__b"), "full")
     link = materialize(known.select(F.coalesce("session", "__b").alias("session"), "up", F.when(F.col("__b").isNotNull(), F.lit(0).cast("long")).alias("depth")))
-    step, seen = 1, -1
-    while (found := link.filter("depth IS NOT NULL").count()) != seen:
-        seen = found
-        above = link.select(F.col("session").alias("__u"), F.col("depth").alias("__d"), F.col("up").alias("__p"))
-        joined = link.join(above, F.when(F.col("depth").isNull(), F.col("up")) == F.col("__u"), "left")
-        far = F.coalesce("depth", F.col("__d") + step)
-        old, link = link, materialize(joined.select("session", F.when(far.isNull(), F.col("__p")).alias("up"), far.alias("depth")))
-        discard(old)
+    finished, left = link.filter("depth IS NOT NULL").drop("up"), link.filter("depth IS NULL AND up IS NOT NULL").drop("depth")
+    step = 1
+    while True:
+        above = _above(finished, left, "depth")
+        met = materialize(left.join(above, F.col("up") == F.col("__u")).select("session", (F.col("__x") + step).alias("depth"), F.col("__p").alias("up")))
+        found = met.filter("depth IS NOT NULL").drop("up")
+        if found.isEmpty():
+            break
+        finished, left = finished.unionByName(found), met.filter("depth IS NULL AND up IS NOT NULL").drop("depth")
         step *= 2
-    return link.filter("depth IS NOT NULL").select("session", F.col("depth").cast("int").alias("depth"))
+    return finished.select("session", F.col("depth").cast("int").alias("depth"))
+
+
+def _above(finished: DataFrame, left: DataFrame, given: str) -> DataFrame:
+    """What a pointer may meet: ``__u``, and what it has found (``__x``) or where its own pointer is (``__p``)."""
+    done = finished.select(F.col("session").alias("__u"), F.col(given).alias("__x"), F.lit(None).cast(left.schema["up"].dataType).alias("__p"))
+    return done.unionByName(left.select(F.col("session").alias("__u"), F.lit(None).cast(finished.schema[given].dataType).alias("__x"), F.col("up").alias("__p")))
 
 
 def lineage_counts(sessions: DataFrame) -> DataFrame:
@@ -111,15 +125,17 @@ def inherited_owner(sessions: DataFrame, owner: str = "owner", levels: int | Non
     """``session, owner``: its own, or that of the nearest ancestor that has one, however far or at most ``levels`` up; null if none has.
 
     As in ``roots`` pointers double: a session without an owner takes what its pointer has found, or its pointer's pointer,
-    until a round finds no owner.
+    until a round finds no owner. Only sessions whose pointer still moves take part in a round.
     """
     link = materialize(sessions.select("session", F.col(owner).alias("owner"), F.col("parent").alias("up")))
-    step, seen = 1, -1
-    while (levels is None or step <= levels) and (found := link.filter("owner IS NOT NULL").count()) != seen:
-        seen = found
-        above = link.select(F.col("session").alias("__u"), F.col("owner").alias("__o"), F.col("up").alias("__p"))
-        joined = link.join(above, F.when(F.col("owner").isNull(), F.col("up")) == F.col("__u"), "left")
-        old, link = link, materialize(joined.select("session", F.coalesce("owner", "__o").alias("owner"), F.when(F.coalesce("owner", "__o").isNull(), F.col("__p")).alias("up")))
-        discard(old)
+    settled, moves = "owner IS NOT NULL OR up IS NULL", "owner IS NULL AND up IS NOT NULL"
+    finished, left = link.filter(settled).drop("up"), link.filter(moves).drop("owner")
+    step = 1
+    while levels is None or step <= levels:
+        above = _above(finished, left, "owner")
+        met = materialize(left.join(above, F.col("up") == F.col("__u"), "left").select("session", F.col("__x").alias("owner"), F.col("__p").alias("up")))
+        if met.filter("owner IS NOT NULL").isEmpty():
+            break
+        finished, left = finished.unionByName(met.filter(settled).drop("up")), met.filter(moves).drop("owner")
         step *= 2
-    return link.select("session", "owner")
+    return finished.unionByName(left.select("session", F.lit(None).cast(link.schema["owner"].dataType).alias("owner")))

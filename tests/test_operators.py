@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lagoon.operators import attribution, endings, lineage, listing, pairing, pricing, shares, spans, turns, usage
 from lagoon.operators.components import connected_components
+from lagoon.storage import materialize
 
 T0 = datetime(2024, 1, 1)
 
@@ -319,3 +320,24 @@ def test_resolve_counts_without_one_task_for_all(spark):
     assert [(r["session"], r["matches"]) for r in found.collect()] == [(12, 1)]
     assert {(r["session"], r["matches"]) for r in listing.resolve(data, "1").union(listing.resolve(data, "13")).collect()} == {(1, 1), (13, 1)}
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rounds_hold_only_sessions_whose_pointer_moves(spark, monkeypatch):
+    """Sessions that are settled have no key to be joined by; in a round they would all meet in one task."""
+    sizes = []
+
+    def counted(df):
+        kept = materialize(df)
+        sizes.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(lineage, "materialize", counted)
+    rows = [(k, None) for k in range(100)] + [(100, 99), (101, 100)]
+    sessions = frame(spark, rows, "session long, parent long")
+    assert lineage.closure(sessions, sessions.filter("parent IS NULL").select("session")).count() == 102
+    assert sizes[0] == 102 and max(sizes[1:]) <= 2
+    sizes.clear()
+    owned = sessions.withColumn("owner", F.when(F.col("parent").isNull(), F.concat(F.lit("k"), F.col("session").cast("string"))))
+    got = {r["session"]: r["owner"] for r in lineage.inherited_owner(owned).collect()}
+    assert got == {k: f"k{min(k, 99)}" for k in range(102)}
+    assert sizes[0] == 102 and max(sizes[1:]) <= 2
