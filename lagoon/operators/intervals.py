@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagoon.operators.lineage import roots
-from lagoon.storage import materialize
+from lagoon.storage import materialize, spread
 
 #: Stand for the beginning and the end of time.
 FIRST, LAST = -(1 << 62), 1 << 62
@@ -16,11 +16,11 @@ def micros(at: Column) -> Column:
     return F.unix_micros(at.cast("timestamp"))
 
 
-def overlay(pieces: DataFrame, covers: DataFrame, keys: list[str], carried: list[str], given: list[str]) -> DataFrame:
+def overlay(pieces: DataFrame, covers: DataFrame, keys: list[str], carried: list[str], given: list[str], rows: int = 0) -> DataFrame:
     """``keys, from, to``, the columns ``carried`` of ``pieces`` and ``given`` of ``covers``, and ``covered``: pieces cut where covers begin and end.
 
     Both have ``from`` and ``to`` (null: open); [from, to) of the pieces of one key don't overlap each other, nor do those of the covers. The parts of a piece make up the piece; touching parts
-    with the same cover, or both without, are one. Empty stretches are left out.
+    with the same cover, or both without, are one. Empty stretches are left out. Some ``rows`` of both together are dealt over as many tasks as they need.
     """
     kind = pieces.schema["from"].dataType
     begin, end = F.coalesce(micros(F.col("from")), F.lit(FIRST)), F.coalesce(micros(F.col("to")), F.lit(LAST))
@@ -34,7 +34,7 @@ def overlay(pieces: DataFrame, covers: DataFrame, keys: list[str], carried: list
         return both.select(*keys, "at", "turn", F.struct("x", "mark").alias(side))
 
     a, b = edges(pieces, "piece", carried), edges(covers, "cover", given)
-    union = a.unionByName(b, allowMissingColumns=True)
+    union = spread(a.unionByName(b, allowMissingColumns=True), rows, *keys)
     # at one instant closings come before openings: the last edge of the instant holds what is open after it
     by = Window.partitionBy(*keys).orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
     state = union.select(*keys, "at", "turn", *[F.last(s, ignorenulls=True).over(by).alias(s) for s in ("piece", "cover")])
@@ -94,17 +94,19 @@ def inherit(owned: DataFrame, lineage: DataFrame, levels: int = 32) -> DataFrame
     ``lineage``: session, parent. Parents are settled before their children, a generation a round, so owners come down from
     any ancestor within ``levels``. Time that is ``elsewhere``, and what the parent leaves unattributed too, stays as it was. The parts of a piece make up the piece.
     """
+    owned = materialize(owned.select("session", "from", "to", *OWNED))
+    rows = owned.count()
     depth = materialize(roots(lineage, levels).select("session", "depth").join(lineage.select("session", "parent"), "session"))
-    settled = materialize(owned.join(depth.filter("depth > 0").select("session"), "session", "left_anti").select("session", "from", "to", *OWNED))
+    settled = owned.join(depth.filter("depth > 0").select("session"), "session", "left_anti").select("session", "from", "to", *OWNED)
     deepest = depth.agg(F.max("depth")).first()[0] or 0
-    before = settled
+    before = settled = materialize(settled)
     for n in range(1, min(deepest, levels) + 1):
         here = owned.join(depth.filter(F.col("depth") == n).select("session", "parent"), "session")
         heir = F.col("work").isNull() & (F.coalesce("reason", F.lit("")) != "elsewhere")
         held = before.filter("work IS NOT NULL").select(F.col("session").alias("parent"), "from", "to", F.col("work").alias("w"), F.col("tier").alias("t"))
         asks = here.filter(heir)
         gives = asks.select("session", "parent").distinct().join(held, "parent").select("session", "from", "to", "w", "t")
-        parts = overlay(asks.select("session", "from", "to", *OWNED), gives, ["session"], OWNED, ["w", "t"])
+        parts = overlay(asks.select("session", "from", "to", *OWNED), gives, ["session"], OWNED, ["w", "t"], 4 * rows)
         taken = parts.select(
             "session", "from", "to", F.col("w").alias("work"), F.col("t").alias("tier"), F.when(F.col("covered"), "inherited").otherwise(F.col("basis")).alias("basis"), F.when(~F.col("covered"), F.col("reason")).alias("reason")
         )

@@ -89,7 +89,7 @@ OWNED = """ev AS (SELECT user_id AS session, ts, event_type, lead(ts) OVER (PART
 
 def owned(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
-    told = tables.table(spark, sf_dir, "events").withColumn("to", F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    told = tables.dealt(spark, sf_dir, "events", "user_id").withColumn("to", F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     mine = kind.isin("view", "click")
     return told.select(
         F.col("user_id").alias("session"), F.col("ts").alias("from"), "to", F.when(mine, kind).alias("work"), F.when(mine, "matched").alias("tier"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lagoon.session import table
+from lagoon.storage import spread
 
 HARNESSES = ("claude", "codex", "pi", "opencode")
 
@@ -14,6 +15,12 @@ def harness_of(column: str):
     return F.element_at(F.array(*[F.lit(h) for h in HARNESSES]), (F.col(column) % 4 + 1).cast("int"))
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    """A table dealt by ``keys``, so that a task's part doesn't grow with it; its rows are counted from the files' footers."""
+    rows = table(spark, sf_dir, name)
+    return spread(rows, rows.count(), *keys)
+
+
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations: no times; users are operators, systems control."""
     return table(spark, sf_dir, "conversations").select(
@@ -51,7 +58,7 @@ def event_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of an order: counters of each line; a cache write is recorded on odd lines only."""
     keys = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *keys, "l_quantity", "l_returnflag", "l_linestatus")
+    lines = dealt(spark, sf_dir, "lineitem", "l_orderkey").select("l_orderkey", *keys, "l_quantity", "l_returnflag", "l_linestatus")
     return lines.select(
         F.col("l_orderkey").alias("session"),
         F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*keys)).cast("long").alias("ordinal"),
