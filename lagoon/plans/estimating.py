@@ -162,7 +162,7 @@ def commit_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def edit_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's lines as lines of a patch."""
-    lines = tables.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(
+    lines = tables.dealt(spark, sf_dir, "lineitem", "l_orderkey").groupBy(F.col("l_orderkey").alias("k")).agg(
         F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l")
     )
     body = F.array_join(F.transform("l", lambda x: F.concat(F.when(x["l_linenumber"] % 2 == 0, "-").otherwise("+"), F.lit("value = "), x["l_partkey"].cast("string"))), "\n")
