@@ -2,45 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagoon.functions.scalars import line_digest
 from lagoon.operators.changes import remote_key
 from lagoon.operators.lineage import closure
+from lagoon.storage import materialize
 
 #: Least length of a revision that names a commit by its beginning, and of one at all.
 PREFIX, SHORTEST = 7, 4
 
 
-def diff_lines(diffs: DataFrame, key: str = "sha", text: str = "diff") -> DataFrame:
-    """``key, line, path, sign, value``: the hunks' lines of unified diffs with the file that they change; places of hunks, modes and object names are left out."""
-    lines = diffs.select(key, F.posexplode(F.split(text, "\n")).alias("line", "value"))
-    by = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    begins = F.col("value").startswith("diff --git ")
-    path = F.when(begins, F.regexp_extract("value", r" b/(.+)$", 1))
-    # a hunk tells how many lines it has, but its first line after the header of a file is enough here: headers end with the first @@
-    place = F.when(begins, "head").when(F.col("value").startswith("@@ "), "hunk")
-    told = lines.withColumns({"path": F.last(path, ignorenulls=True).over(by), "place": F.last(place, ignorenulls=True).over(by)})
-    inside = told.filter("place = 'hunk' AND NOT startswith(value, '@@ ')").withColumn("sign", F.substring("value", 1, 1))
-    return inside.filter(F.col("sign").isin("+", "-", " ")).select(key, "line", "path", "sign", F.expr("substring(value, 2)").alias("value"))
+def _sections(text: Column) -> Column:
+    """The files of a unified diff in their order: ``path`` and ``lines``, the hunks' lines with their signs; places of hunks, modes and object names are left out."""
+    def section(one: Column) -> Column:
+        lines = F.split(one, "\n")
+        path = F.when(one.startswith("diff --git "), F.regexp_extract(F.element_at(lines, 1), r" b/(.+)$", 1))
+        # a hunk tells how many lines it has, but its first line after the header of a file is enough here: headers end with the first @@
+        begun = F.array_position(F.transform(lines, lambda x: x.startswith("@@ ")), True).cast("int")
+        inside = F.when(begun > 0, F.slice(lines, F.greatest(begun, F.lit(1)), F.size(lines))).otherwise(F.slice(lines, 1, 0))
+        return F.struct(path.alias("path"), F.filter(inside, lambda x: F.substring(x, 1, 1).isin("+", "-", " ")).alias("lines"))
+
+    return F.transform(F.split(text, "\n(?=diff --git )"), section)
 
 
 def patch_ids(diffs: DataFrame, key: str = "sha", text: str = "diff") -> DataFrame:
     """``key, patch_id``: a digest of what a diff changes: by file its hunks' lines with their signs, blanks left out; where the hunks stand and in which order the files come doesn't count.
 
-    A diff without a hunk has none.
+    A diff without a hunk has none. Each diff is one value and read in its row: nothing is shuffled.
     """
-    bare = F.concat("sign", F.regexp_replace("value", r"\s+", ""))
-    lines = diff_lines(diffs, key, text).withColumn("x", F.struct("line", F.sha2(bare, 256).alias("d")))
-    files = lines.groupBy(key, "path").agg(F.array_sort(F.collect_list("x")).alias("x"))  # 64 characters for each line of one file's diff
-    one = files.select(key, F.sha2(F.concat_ws("", F.array(F.col("path")), F.col("x.d")), 256).alias("f"))
-    return one.groupBy(key).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("f"))), 256).alias("patch_id"))
+    bare = lambda x: F.sha2(F.concat(F.substring(x, 1, 1), F.regexp_replace(F.substring(x, 2, 1 << 30), r"\s+", "")), 256)
+    held = diffs.select(key, F.filter(_sections(F.col(text)), lambda s: F.size(s["lines"]) > 0).alias("s")).filter(F.size("s") > 0)
+    same = lambda p: F.flatten(F.transform(F.filter("s", lambda s: s["path"].eqNullSafe(p)), lambda s: F.transform(s["lines"], bare)))
+    files = F.transform(F.array_distinct(F.transform("s", lambda s: s["path"])), lambda p: F.sha2(F.concat_ws("", F.array(p), same(p)), 256))
+    return held.select(key, F.sha2(F.concat_ws("", F.array_sort(files)), 256).alias("patch_id"))
 
 
-def added_digests(diffs: DataFrame, key: str = "sha", text: str = "diff") -> DataFrame:
-    """``key, digest``: distinct digests of the lines that a diff adds; lines of punctuation and space alone have none."""
-    return diff_lines(diffs, key, text).filter("sign = '+'").select(key, line_digest(F.col("value")).alias("digest")).filter("digest IS NOT NULL").distinct()
+def added_lines(diffs: DataFrame, key: str = "sha", text: str = "diff") -> DataFrame:
+    """``key, digests``: distinct digests of the lines that a diff adds; lines of punctuation and space alone have none."""
+    lines = F.flatten(F.transform(_sections(F.col(text)), lambda s: s["lines"]))
+    each = F.transform(F.filter(lines, lambda x: x.startswith("+")), lambda x: line_digest(F.substring(x, 2, 1 << 30)))
+    return diffs.select(key, F.array_distinct(F.array_compact(each)).alias("digests"))
 
 
 def resolve_observed(observed: DataFrame, commits: DataFrame, objects: DataFrame, share: float = 0.5) -> DataFrame:
@@ -58,20 +61,25 @@ def resolve_observed(observed: DataFrame, commits: DataFrame, objects: DataFrame
     exact = long.join(known, "k").filter(F.col("sha").startswith(F.col("revision"))).groupBy("revision").agg(F.min("sha").alias("sha"), F.count("*").alias("n"))
     exact = exact.select("revision", F.when(F.col("n") == 1, F.col("sha")).alias("sha"), F.lit("exact").alias("how"), F.when(F.col("n") > 1, "ambiguous").alias("reason"))
 
-    left = sound.join(exact, "revision", "left_anti").withColumn("k", F.substring("revision", 1, SHORTEST))
-    there = objects.select(F.col("sha").alias("object"), "diff", F.substring("sha", 1, SHORTEST).alias("k"))
-    met = left.join(there, "k").filter(F.col("object").startswith(F.col("revision"))).withColumn("m", F.count("*").over(Window.partitionBy("revision")))
-    one = met.filter("m = 1").select("revision", F.col("object").alias("sha"), "diff")
-    several = met.filter("m > 1").select("revision").distinct().select("revision", F.lit(None).cast("string").alias("sha"), F.lit(None).cast("string").alias("how"), F.lit("ambiguous").alias("reason"))
-
-    mine = one.select("revision", F.col("sha").alias("object")).join(patch_ids(one.dropDuplicates(["sha"])).withColumnRenamed("sha", "object"), "object")
-    same = mine.join(patch_ids(commits).withColumnRenamed("sha", "found"), "patch_id").groupBy("revision").agg(F.min("found").alias("sha"), F.count("*").alias("n"))
-    patched = same.select("revision", F.when(F.col("n") == 1, F.col("sha")).alias("sha"), F.lit("patch-equivalent").alias("how"), F.when(F.col("n") > 1, "ambiguous").alias("reason"))
-
-    rest = one.join(patched, "revision", "left_anti")
-    lines = rest.select("revision", F.col("sha").alias("object")).join(added_digests(rest.dropDuplicates(["sha"])).withColumnRenamed("sha", "object"), "object")
-    size = lines.groupBy("revision").agg(F.count("*").alias("all"))
-    votes = lines.join(added_digests(commits).withColumnRenamed("sha", "found"), "digest").groupBy("revision", "found").agg(F.count("*").alias("common")).join(size, "revision").filter(F.col("common") > share * F.col("all"))
+    left = sound.join(exact, "revision", "left_anti")
+    # names meet names by seven characters where they have them: by four, pairs would grow with the square of the names
+    met = None
+    for size, some in ((PREFIX, F.length("revision") >= PREFIX), (SHORTEST, F.length("revision") < PREFIX)):
+        there = objects.select(F.col("sha").alias("object"), F.substring("sha", 1, size).alias("k"))
+        pairs = left.filter(some).withColumn("k", F.substring("revision", 1, size)).join(there, "k").filter(F.col("object").startswith(F.col("revision"))).select("revision", "object")
+        met = pairs if met is None else met.unionByName(pairs)
+    met = materialize(met.groupBy("revision").agg(F.min("object").alias("object"), F.count("*").alias("m")))
+    one = met.filter("m = 1").select("revision", "object")
+    several = met.filter("m > 1").select("revision", F.lit(None).cast("string").alias("sha"), F.lit(None).cast("string").alias("how"), F.lit("ambiguous").alias("reason"))
+
+    mine = one.join(patch_ids(objects).withColumnRenamed("sha", "object"), "object")
+    same = mine.join(patch_ids(commits).withColumnRenamed("sha", "found"), "patch_id").groupBy("revision").agg(F.min("found").alias("sha"), F.count_distinct("found").alias("n"))
+    patched = materialize(same.select("revision", F.when(F.col("n") == 1, F.col("sha")).alias("sha"), F.lit("patch-equivalent").alias("how"), F.when(F.col("n") > 1, "ambiguous").alias("reason")))
+
+    rest = one.join(patched, "revision", "left_anti").join(added_lines(objects).withColumnRenamed("sha", "object"), "object")
+    lines = rest.select("revision", F.size("digests").alias("all"), F.explode("digests").alias("digest"))
+    added = added_lines(commits).select(F.col("sha").alias("found"), F.explode("digests").alias("digest"))
+    votes = lines.join(added, "digest").groupBy("revision", "found", "all").agg(F.count_distinct("digest").alias("common")).filter(F.col("common") > share * F.col("all"))
     best = votes.groupBy("revision").agg(F.max("common").alias("top"))
     first = votes.join(best, "revision").filter("common = top").groupBy("revision").agg(F.min("found").alias("sha"), F.count("*").alias("n"))
     voted = first.select("revision", F.when(F.col("n") == 1, F.col("sha")).alias("sha"), F.lit("line-majority").alias("how"), F.when(F.col("n") > 1, "ambiguous").alias("reason"))

@@ -53,7 +53,7 @@ def observed_commits_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits of a file with a line for each item of an order: seen by the beginning of a name, before a rebase, before one line was amended, lost, and no revision at all."""
     item = F.concat_ws(" ", F.lit("item"), "l_orderkey", "n", "l_partkey")
     by = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
-    lines = tables.table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(by))
+    lines = tables.dealt(spark, sf_dir, "lineitem", "l_orderkey").withColumn("n", F.row_number().over(by))
     made = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("n", item.alias("text")))).alias("x")).withColumn("texts", F.col("x.text"))
     name, key = F.concat(F.lit("f"), F.col("k").cast("string")), F.col("k").cast("string")
     amended = F.concat(F.slice("texts", 1, F.size("texts") - 1), F.array(F.lit("another last line")))

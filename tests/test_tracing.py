@@ -158,3 +158,15 @@ def test_windows_of_families(spark):
         (7, "unclaimed"): ("subagents", 1, 1, 50), (20, "own"): ("window", 1, 1, 5),
     }
     assert sum(v[3] for v in got.values()) == 285
+
+
+def test_patch_ids_and_added_lines_are_read_in_their_row(spark):
+    """A diff is one value: its lines are neither shuffled nor put in order by a window."""
+    text = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n kept\n-old line\n+new line\n+ ;\ndiff --git a/y b/y\nindex 1..2\n"
+    diffs = spark.createDataFrame([("a", text), ("b", text.replace("@@ -1 +1 @@", "@@ -7 +9 @@").replace("new line", "new  line")), ("c", "diff --git a/y b/y\nindex 1..2\n")], "sha string, diff string")
+    ids = commits.patch_ids(diffs)
+    got = {r["sha"]: r["patch_id"] for r in ids.collect()}
+    assert set(got) == {"a", "b"} and got["a"] == got["b"]
+    added = {r["sha"]: len(r["digests"]) for r in commits.added_lines(diffs).collect()}
+    assert added == {"a": 1, "b": 1, "c": 0}
+    assert "Exchange" not in ids._jdf.queryExecution().executedPlan().toString()
