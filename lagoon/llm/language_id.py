@@ -42,8 +42,8 @@ def features(texts: list[bytes]) -> np.ndarray:
         counts += np.bincount((three * np.uint32(2_246_822_519)) >> np.uint32(19), minlength=DIMENSIONS)
         counts[32] = 0
         np.sqrt(counts, out=row)
-    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return out / np.maximum(norm, 1e-12)
+        row /= np.maximum(np.sqrt((row * row).sum()), np.float32(1e-12))
+    return out
 
 
 def _svm(x: np.ndarray, y: np.ndarray, seed: int, epochs: int = 12, penalty: float = 1e-4) -> np.ndarray:
@@ -191,25 +191,24 @@ def identify(
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
-    def run(columns: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
+    def told(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fitted = shared.value
-        for batch in columns:
-            at, n = batch.schema.get_field_index("__text"), len(batch)
-            known = [i for i, x in enumerate(batch.column(batch.schema.get_field_index("__letters")).to_pylist()) if x]
-            langs, scores = ["und"] * n, np.zeros(n)
-            for start in range(0, len(known) if fitted else 0, 256):
-                some = known[start : start + 256]
-                got, score = fitted.predict([batch.column(at)[i].as_py() for i in some])
-                for i, lang in zip(some, got):
+        for texts in columns:
+            langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+            for start in range(0, len(texts) if fitted else 0, 256):
+                some = [(i, x) for i, x in enumerate(texts.slice(start, 256).to_pylist(), start) if x is not None]
+                if not some:
+                    continue
+                got, score = fitted.predict([x for _, x in some])
+                for (i, _), lang in zip(some, got):
                     langs[i] = lang
-                scores[some] = score
-            rest = [i for i in range(batch.num_columns) if batch.schema.field(i).name not in ("__text", "__letters")]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in rest), pa.array(langs, pa.string()), pa.array(scores)],
-                names=[*(batch.schema.field(i).name for i in rest), *names[1:]],
-            )
+                scores[[i for i, _ in some]] = score
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], names=["lang", "score"])
 
     kept = docs.select(*[c for c in docs.columns if c not in names], held.alias(names[0]))
-    given = kept.withColumns({"__text": F.col(text_col).cast("binary"), "__letters": F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))})
-    schema = T.StructType([*kept.schema.fields, T.StructField(names[1], T.StringType()), T.StructField(names[2], T.DoubleType())])
-    return given.mapInArrow(run, schema)
+    # the text alone goes to Python, and its language alone comes back; a filter of the language must not run it twice
+    lettered = F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col).cast("binary"))
+    return kept.withColumn("__told", told.asNondeterministic()(lettered)).select(
+        *kept.columns, F.col("__told.lang").alias(names[1]), F.col("__told.score").alias(names[2])
+    )

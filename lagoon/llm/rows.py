@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,14 @@ def shielded(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a task never holds ten thousand texts as objects beside the batch; what Arrow keeps for later is given back at the end."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def occurrences(rows: DataFrame, key: str, row: str, name: str) -> DataFrame:
     """``rows`` with ``name``: 0, 1, 2... for the rows of each ``key``, the same numbers whatever tasks the rows lie in.
 

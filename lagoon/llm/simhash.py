@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagoon.llm.rows import pieces
 from lagoon.operators.components import connected_components
 from lagoon.storage import materialize
 
@@ -49,7 +50,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = kept.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             fps = np.fromiter((fingerprint(x, words, seed) for x in batch.column(1).to_pylist()), dtype=np.uint64, count=len(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
 

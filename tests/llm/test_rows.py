@@ -3,11 +3,12 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lagoon.llm import mixing, rows
+from lagoon.llm import language_id, mixing, rows
 from lagoon.session import table
 from lagoon.storage import Scope, materialize
 
@@ -78,3 +79,19 @@ def test_two_runs_in_one_driver_keep_their_tables(spark):
         first = corpus_pipeline.run(spark, DATA)
         second = corpus_pipeline.run(spark, DATA)
     assert first.count() == second.count() > 0
+
+
+def test_texts_reach_python_in_pieces():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500))], names=["n"])
+    got = list(rows.pieces(iter([batch, batch]), 1000))
+    assert [len(x) for x in got] == [1000, 1000, 500] * 2 and pa.Table.from_batches(got).column("n").to_pylist() == [*range(2500)] * 2
+
+
+def test_a_language_is_told_once_and_texts_stay_in_the_plan(spark):
+    """Beside the model, one column goes to Python: a filter of the language doesn't run it again, and no text comes back."""
+    frame = spark.createDataFrame([(k, f"some words of text {k}" if k % 5 else None, "en") for k in range(40)], "doc_id long, text string, lang string")
+    told = language_id.identify(frame)
+    kept = told.filter("lang_pred <> 'und' AND score >= 0")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
+    assert kept.count() == 32 and told.filter("lang_pred = 'und' AND score = 0").count() == 8
