@@ -35,11 +35,32 @@ def lines(spark: SparkSession, path: str | list[str], most: int = 64 << 20, **op
     before = F.coalesce(F.sum("__n").over(Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = blocks.withColumn("__before", before).drop("__n")
     numbered = raw.join(placed, ["file", "__block"]).withColumn("line", F.col("__before") + F.col("__at") - F.col("__first")).filter(F.length(F.trim("value")) > 0).select("file", "value", "line")
+    return _judged(numbered, most)
+
+
+def _judged(numbered: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     reason = F.when(F.octet_length("value") > most, "oversize").when(F.try_parse_json("value").isNull(), "malformed")
     judged = numbered.withColumn("reason", reason)
     return judged.filter("reason IS NULL").drop("reason"), judged.filter("reason IS NOT NULL").select("file", "line", "reason", F.octet_length("value").alias("bytes"))
 
 
+def bundle(records: DataFrame, path: str, *order: str) -> None:
+    """Write many small recordings as one bundle: text files whose lines are a recording's name, the line's number in it (from 0, by ``order``) and the line, with tabs between.
+
+    ``records``: name (without tabs), value (one line each), and the columns of ``order``. The bundle has as many files as tasks, however many
+    recordings there are: to make, list and open a file for each costs more than to read what it holds.
+    """
+    line = F.row_number().over(Window.partitionBy("name").orderBy(*order)) - 1
+    records.withColumn("line", line).select(F.concat_ws("\t", "name", F.col("line").cast("string"), "value").alias("value")).write.text(path)
+
+
+def bundled_lines(spark: SparkSession, path: str | list[str], most: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
+    """What ``lines`` gives, of bundles: ``file`` is a recording's name. Lines bring their numbers, so nothing is counted or shuffled."""
+    cut = F.split("value", "\t", 3)
+    told = spark.read.text(path).select(cut[0].alias("file"), cut[2].alias("value"), cut[1].cast("long").alias("line"))
+    return _judged(told.filter(F.length(F.trim("value")) > 0), most)
+
+
 def catalog(spark: SparkSession, root: str, pattern: str = "*.jsonl", limit: int = 5000, modified_after: str | None = None) -> DataFrame:
     """``file, modified, bytes, rank, scan_truncated``: the ``limit`` newest recordings below a folder, newest first, ties by name.
 

@@ -6,6 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from lagoon.operators import pairing, usage
+from lagoon.plans import recorded
 from lagoon.sources import recordings
 
 
@@ -155,3 +156,23 @@ def test_canonical_path(spark):
     frame = spark.createDataFrame(nodes, "session string, id string, parent string, current string")
     got = {(r["session"], r["id"]): r["depth"] for r in recordings.mapping_path(frame, ["session"]).collect()}
     assert got == {("a", "r"): 7, **{("a", f"n{k}"): 6 - k for k in range(7)}, ("b", "x"): 0, ("b", "y"): 1, ("c", "z"): 0}
+
+
+def test_bundled_recordings_read_as_files_do(spark, tmp_path):
+    """Numbers, gaps and blank lines of many recordings are those of files of their own, in few files."""
+    rows = [(f"r{s}", n, "" if n == 3 else "{bad" if n % 4 == 1 else json.dumps({"s": s, "n": n, "tab": "\t"})) for s in range(300) for n in range(6 + s % 3)]
+    recordings.bundle(spark.createDataFrame(rows, "name string, n long, value string").repartition(7), f"{tmp_path}/bundle", "n")
+    assert len(list((tmp_path / "bundle").glob("part-*"))) <= 8
+    for s in range(0, 300, 60):
+        write(tmp_path / "files" / f"r{s}", [v for name, _, v in rows if name == f"r{s}"])
+    (records, gaps), (there, its_gaps) = recordings.bundled_lines(spark, f"{tmp_path}/bundle"), recordings.lines(spark, f"{tmp_path}/files")
+    some = F.col("file").isin(*[f"r{s}" for s in range(0, 300, 60)])
+    own = F.element_at(F.split("file", "/"), -1)
+    for a, b in ((records.filter(some), there), (gaps.filter(some), its_gaps)):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.withColumn("file", own).collect()))
+
+
+def test_the_conversations_recordings_are_few_files(spark):
+    folder = recorded.recorded(spark, "/root/testdata/sf0.001", [F.to_json(F.struct("role"))])
+    files = spark.read.text(folder).inputFiles()
+    assert len(files) <= 8 < spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id").distinct().count()
