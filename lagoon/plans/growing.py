@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lagoon.operators import json_walk
 from lagoon.plans.registry import PAIRS, register
 from lagoon.sources import pins, ranges, tables
-from lagoon.storage import shared_dir
+from lagoon.storage import materialize, shared_dir
 from lagoon.streaming.open_calls import open_calls, pair_stream
 
 BUCKETS = 8
@@ -45,7 +45,7 @@ def bucket() -> Column:
 @register(f"""WITH {PAIRS} SELECT harness, session, ordinal, direction, call_id, name, status, pair, pair_name, pair_status, duration_ms, incomplete FROM pairs""")
 def streamed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events arrive in three loads, the stream stops after each and goes on from its checkpoint; what it never closed is read from its state."""
-    events = tables.event_turns(spark, sf_dir).filter("direction IS NOT NULL").select("harness", "session", "ordinal", "ts", "direction", "call_id", "name", "status")
+    events = materialize(tables.event_turns(spark, sf_dir).filter("direction IS NOT NULL").select("harness", "session", "ordinal", "ts", "direction", "call_id", "name", "status"))
     came, went, kept = folder(spark), folder(spark), folder(spark)
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,21 +26,23 @@ class _Pairing(StatefulProcessor):
         self.seen = handle.getValueState("seen", "ordinal bigint")
 
     def _stack(self, call: str) -> list[tuple]:
-        return list(zip(*(list(x) for x in self.open.getValue((call,))))) if self.open.containsKey((call,)) else []
+        held = self.open.getValue((call,))
+        return list(zip(*(list(x) for x in held))) if held else []
 
-    def _keep(self, call: str, stack: list[tuple]) -> None:
+    def _keep(self, call: str, stack: list[tuple], was: int) -> None:
+        """Write what is open of a call now, where it held ``was`` calls before: each question and change of the state is a message to Spark."""
         if stack:
             self.open.updateValue((call,), tuple(list(x) for x in zip(*stack)))
-        elif self.open.containsKey((call,)):
+        elif was:
             self.open.removeKey((call,))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         out: list[tuple] = []
-        last = self.seen.get()[0] if self.seen.exists() else -1
-        batch = pd.concat(list(rows)).sort_values("ordinal", kind="stable")
-        held: dict[str, list[tuple]] = {}
-        for ordinal, us, direction, call, name, status in batch[["ordinal", "us", "direction", "call_id", "name", "status"]].astype(object).where(batch.notna(), None).itertuples(index=False):
-            ordinal, us = int(ordinal), None if us is None else int(us)  # pandas reads longs beside nulls as doubles
+        seen = self.seen.get()
+        last = seen[0] if seen else -1
+        held: dict[str, tuple[list[tuple], list[tuple]]] = {}
+        for row in sorted(rows, key=lambda r: r["ordinal"]):
+            ordinal, us, direction, call, name, status = row["ordinal"], row["us"], row["direction"], row["call_id"], row["name"], row["status"]
             if ordinal <= last:
                 out.append((*key, ordinal, direction, call, name, status, None, None, None, None, "out-of-order"))
                 continue
@@ -49,7 +51,10 @@ class _Pairing(StatefulProcessor):
                 reason = "no-result-in-read" if direction == "call" else "call-not-recorded"
                 out.append((*key, ordinal, direction, call, name, status, None, None, None, None, reason))
                 continue
-            stack = held.setdefault(call, self._stack(call))
+            if call not in held:
+                before = self._stack(call)
+                held[call] = list(before), before
+            stack = held[call][0]
             if direction == "call":
                 stack.append((ordinal, us, name, status))
                 if self.give_up is not None and us is not None:
@@ -61,12 +66,14 @@ class _Pairing(StatefulProcessor):
                 out.append((*key, ordinal, direction, call, name, status, at, its_name, its_status, None, None))
             else:
                 out.append((*key, ordinal, direction, call, name, status, None, None, None, None, "call-not-recorded"))
-        for call, stack in held.items():
-            self._keep(call, stack)
-        self.seen.update((last,))
-        yield _frame(out)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for call, (stack, before) in held.items():
+            if stack != before:
+                self._keep(call, stack, len(before))
+        if seen is None or last != seen[0]:
+            self.seen.update((last,))
+        yield from _rows(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         """Calls that have waited too long are told as unanswered and forgotten."""
         until = expiredTimerInfo.getExpiryTimeInMs() - self.give_up
         out: list[tuple] = []
@@ -75,16 +82,18 @@ class _Pairing(StatefulProcessor):
             late = [x for x in stack if x[1] is not None and x[1] // 1000 <= until]
             out += [(*key, ordinal, "call", call, name, status, None, None, None, None, "no-result-in-read") for ordinal, _, name, status in late]
             if late:
-                self._keep(call, [x for x in stack if x not in late])
-        yield _frame(out)
+                self._keep(call, [x for x in stack if x not in late], len(stack))
+        yield from _rows(out)
 
     def close(self) -> None:
         pass
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = [x.split()[0] for x in PAIRED.split(", ")]
-    return pd.DataFrame({n: pd.array(c, dtype="Int64") if n in ("ordinal", "pair", "duration_ms") else pd.Series(c, dtype=object) for n, c in zip(names, zip(*rows) if rows else [()] * len(names))})
+_TOLD = Row(*[x.split()[0] for x in PAIRED.split(", ")])
+
+
+def _rows(told: list[tuple]) -> Iterator[Row]:
+    return (_TOLD(*x) for x in told)
 
 
 def pair_stream(events: DataFrame, late: str = "1 hour", give_up: str | None = None) -> DataFrame:
@@ -105,7 +114,7 @@ def pair_stream(events: DataFrame, late: str = "1 hour", give_up: str | None = N
     if give_up is not None:
         rows = rows.withWatermark("ts", late)
         wait = int(pd.Timedelta(give_up).total_seconds() * 1000)
-    return rows.groupBy(*SESSION).transformWithStateInPandas(_Pairing(wait), PAIRED, "Append", "EventTime" if wait is not None else "None")
+    return rows.groupBy(*SESSION).transformWithState(_Pairing(wait), PAIRED, "Append", "EventTime" if wait is not None else "None")
 
 
 def open_calls(spark: SparkSession, checkpoint: str) -> DataFrame:

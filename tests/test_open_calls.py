@@ -4,10 +4,11 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lagoon.operators.pairing import pair_events
-from lagoon.streaming.open_calls import open_calls, pair_stream
+from lagoon.streaming.open_calls import _Pairing, open_calls, pair_stream
 
 DAY = dt.datetime(2026, 1, 1)
 EVENT = "harness string, session string, ordinal long, ts timestamp_ntz, direction string, call_id string, name string, status string"
@@ -65,3 +66,32 @@ def test_calls_are_given_up_when_the_watermark_has_passed(rocks, tmp_path):
     got = {(r["session"], r["ordinal"], r["pair"], r["incomplete"]) for r in rocks.read.parquet(f"{tmp_path}/out").collect()}
     assert ("s", 0, None, "no-result-in-read") in got and ("s", 1, None, "no-result-in-read") not in got
     assert {(r["session"], r["ordinal"]) for r in open_calls(rocks, f"{tmp_path}/at").collect()} == {("s", 1)}
+
+
+def test_state_is_asked_once_for_a_call_and_written_only_where_it_changed():
+    """Each use of the state is a message to Spark: a load asks once for each call id it names, and a call answered inside it leaves no trace."""
+    class Kept(dict):
+        asked = 0
+
+        def getValue(self, key):  # noqa: N802
+            self.asked += 1
+            return self.get(key)
+
+        updateValue, removeKey = dict.__setitem__, dict.__delitem__  # noqa: N815
+
+    class Last:
+        value, written = None, 0
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value, self.written = value, self.written + 1
+
+    pairing = _Pairing(None)
+    pairing.open, pairing.seen = Kept(), Last()
+    row = lambda n, direction, call: Row(ordinal=n, us=n * 1000, direction=direction, call_id=call, name=None, status=None)
+    loads = [[row(1, "result", "a"), row(0, "call", "a"), row(2, "call", "b")], [row(3, "result", "b"), row(4, "result", None)], [row(4, "call", "c")]]
+    got = [[(r["ordinal"], r["pair"], r["incomplete"]) for r in pairing.handleInputRows(("pi", "s"), iter(rows), None)] for rows in loads]
+    assert got == [[(0, 1, None), (1, 0, None)], [(2, 3, None), (3, 2, None), (4, None, "call-not-recorded")], [(4, None, "out-of-order")]]
+    assert pairing.open == {} and pairing.open.asked == 3 and pairing.seen.value == (4,) and pairing.seen.written == 2
