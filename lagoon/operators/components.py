@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,3 +59,13 @@ def _signature(edge: DataFrame) -> tuple:
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.hash("a", "b").cast("long")).alias("s")
     ).first()
     return (row["n"], row["x"], row["s"])
+
+
+def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of the nodes ``0`` to ``n - 1`` that each reaches by the edges ``a``-``b`` of one task: trees hang on lesser neighbours until none moves."""
+    least = np.arange(n)
+    while not np.array_equal(x := least[a], y := least[b]):
+        np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := least[least], least):
+            least = up
+    return least

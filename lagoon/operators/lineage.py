@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagoon.operators.components import connected_components
-from lagoon.storage import materialize
+from lagoon import storage
+from lagoon.operators.components import connected_components, least_reached
+from lagoon.storage import discard, materialize, sent, spread
 
 
 def _linked(sessions: DataFrame) -> DataFrame:
@@ -87,19 +93,76 @@ def lineage_counts(sessions: DataFrame) -> DataFrame:
     return child.groupBy("parent").agg(F.count("*").alias("children"), F.bool_or(F.col("__s").isNotNull()).alias("resolved"))
 
 
+def _tied(sessions: DataFrame) -> DataFrame:
+    """``session, harness, root, up``: the least session tied by parents of the same harness among some ``ROWS`` rows of one task.
+
+    ``up`` is the parent where those rows don't hold it; null where they do, where none is declared or the harness is unknown.
+    """
+    kind = sessions.schema["session"].dataType
+    schema = sessions.select("session", "harness", F.col("session").alias("root"), F.col("session").alias("up")).schema
+    rows = storage.ROWS
+
+    def tie(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        session, harness, parent = (c.combine_chunks() for c in pa.Table.from_batches(held).columns)
+        names, at = np.unique(session.to_numpy(zero_copy_only=False), return_inverse=True)
+        code = pc.fill_null(harness.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.flatnonzero(pc.is_valid(parent).to_numpy(zero_copy_only=False) & (code >= 0))
+        above = parent.take(pa.array(row)).to_numpy(zero_copy_only=False)
+        place, width = np.minimum(np.searchsorted(names, above), len(names) - 1), code.max() + 1
+        here = (names[place] == above) & np.isin(place * width + code[row], (at * width + code)[code >= 0])
+        root = names[least_reached(len(names), at[row[here]], place[here])][at]
+        away = np.zeros(len(at), dtype=bool)
+        away[row[~here]] = True
+        up = pc.if_else(pa.array(away), parent, pa.scalar(None, parent.type))
+        return pa.RecordBatch.from_arrays([session, harness, pa.array(root, session.type), up], names=["session", "harness", "root", "up"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= rows:
+                yield tie(held)
+                held = []
+        if sum(b.num_rows for b in held):
+            yield tie(held)
+
+    return sessions.filter("session IS NOT NULL").select("session", "harness", F.col("parent").cast(kind).alias("parent")).mapInArrow(run, schema)
+
+
+def _sharing(ids: DataFrame) -> DataFrame:
+    """``session, id``: those whose id may be of several sessions, told by its hash alone: ids of one session only, most of all, move as hashes, once."""
+    keyed = ids.filter("session IS NOT NULL AND id IS NOT NULL").select("session", "id", F.xxhash64("id").alias("__h"))
+    ends = spread(keyed.select("__h", "session"), ids.count(), "__h").groupBy("__h").agg(F.min("session").alias("a"), F.max("session").alias("b"))
+    several = materialize(ends.filter("a != b").select("__h"))
+    found = materialize(keyed.join(sent(several, several.count()), "__h").select("session", "id"))
+    discard(several)
+    return found
+
+
 def overlap_groups(sessions: DataFrame, ids: DataFrame) -> DataFrame:
-    """``session, component``: sessions of one harness that share an id of a request, or whose parent is declared.
+    """``session, harness, component``: sessions of one harness that share an id of a request, or whose parent is declared; one row for each session and harness.
 
-    Sessions of one id are tied to the least of them, not to each other, so an id that many share
-    costs one edge for each.
+    Families are tied first inside the tasks that hold them, and only what ties those groups to each other is an edge. Groups
+    of one id are tied to the least of them, not to each other, so an id that many share costs one edge for each.
     """
-    known = ids.join(sessions.select("session", "harness"), "session")
-    first = known.groupBy("harness", "id").agg(F.min("session").alias("__a"))
-    shared = known.join(first, ["harness", "id"]).filter("session != __a").select(F.col("session").alias("src"), F.col("__a").alias("dst")).distinct()
-    other = sessions.select(F.col("session").alias("__s"), F.col("harness").alias("__h"))
-    declared = sessions.join(other, (F.col("parent") == F.col("__s")) & (F.col("harness") == F.col("__h"))).select(F.col("session").alias("src"), F.col("parent").alias("dst"))
-    groups = connected_components(shared.unionByName(declared))
-    return sessions.join(groups, F.col("session") == F.col("node"), "left").select("session", "harness", F.coalesce("component", "session").alias("component"))
+    tied = materialize(_tied(sessions))
+    rows = tied.count()
+    shared = _sharing(ids)
+    met = materialize(tied.join(sent(shared, shared.count()), "session").select("harness", "id", "root").distinct())
+    first = met.groupBy("harness", "id").agg(F.min("root").alias("dst"))
+    same = met.join(first, ["harness", "id"]).filter("root != dst").select(F.col("root").alias("src"), "dst")
+    away = tied.filter("up IS NOT NULL").select(F.col("root").alias("src"), "up", F.col("harness").alias("__h"))
+    declared = tied.drop("up").join(sent(away, away.count()), (F.col("session") == F.col("up")) & (F.col("harness") == F.col("__h"))).select("src", F.col("root").alias("dst"))
+    again = materialize(spread(tied.select("session"), rows, "session").groupBy("session").agg(F.count("*").alias("n")).filter("n > 1").select("session"))
+    repeats = again.count()
+    places = tied.join(sent(again, repeats), "session").select(F.col("session").alias("src"), F.col("root").alias("dst"))
+    groups = connected_components(same.unionByName(declared).unionByName(places))
+    for done in (shared, met):
+        discard(done)
+    found = tied.drop("up").join(sent(groups, groups.count()), F.col("root") == F.col("node"), "left").select("session", "harness", F.coalesce("component", "root").alias("component"))
+    if not repeats:
+        return found
+    return found.join(again, "session", "left_anti").unionByName(found.join(again, "session", "left_semi").distinct())
 
 
 def bottom_k(ids: DataFrame, keys: list[str], k: int = 2048) -> DataFrame:

@@ -552,7 +552,8 @@ def lineage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlap_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line's part, supplier, quantity and discount make its request id; orders that share one, or a customer, overlap."""
     lines = tables.table(spark, sf_dir, "lineitem")
-    id = F.concat_ws("-", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long"), F.round(F.col("l_discount") * 100).cast("long"))
+    dash = F.lit("-")
+    id = F.concat("l_partkey", dash, "l_suppkey", dash, F.col("l_quantity").cast("long"), dash, F.round(F.col("l_discount") * 100).cast("long"))
     return lineage.overlap_groups(tables.order_sessions(spark, sf_dir), lines.select(F.col("l_orderkey").alias("session"), id.alias("id")))
 
 
