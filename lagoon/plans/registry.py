@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lagoon.operators import attribution, endings, evidence, lineage, listing, pairing, pricing, shares, spans, turns, usage
 from lagoon.sources import tables
+from lagoon.storage import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -855,9 +856,12 @@ def edit_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as edits, customers as commits, parts as the digests of lines."""
     lines = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("edit"), F.col("l_partkey").alias("d"))
     orders = tables.table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("sha"))
-    edits = lines.groupBy("edit").agg(F.collect_set("d").alias("digests"))
-    commits = lines.join(orders, F.col("edit") == F.col("o_orderkey")).groupBy("sha").agg(F.collect_set("d").alias("digests"))
-    return evidence.best_edit_commit(evidence.edit_overlap(edits, commits))
+    # an unknown part counts among an order's lines
+    digests = F.when(F.bool_or(F.col("d").isNull()), F.array_append(F.collect_set("d"), F.lit(None))).otherwise(F.collect_set("d"))
+    edits = spread(lines, lines.count(), "edit").groupBy("edit").agg(digests.alias("digests"))
+    owned = edits.join(orders, F.col("edit") == F.col("o_orderkey")).select("sha", "digests")
+    commits = spread(owned, orders.count(), "sha").groupBy("sha").agg(F.array_distinct(F.flatten(F.collect_list("digests"))).alias("digests"))
+    return evidence.best_overlaps(edits, commits)
 
 
 @register(
