@@ -65,7 +65,8 @@ def best_overlaps(edits: DataFrame, commits: DataFrame, share: float = 0.5, leas
     if not held:
         return _best(asked.crossJoin(made).withColumn("common", F.lit(0).cast("long")).filter("false"))
     words = min(WORDS, int(BITS * size) // 64 + 1)
-    made = made.select("*", *_sketch("adds", words, "c"))
+    # a file's commits become many rows: few tasks that read whole files would spill them
+    made = storage.spread(made, held, "c").select("*", *_sketch("adds", words, "c"))
     asked = _rarest_first(asked, made).select("*", *_sketch("lines", words, "e"))
 
     def best(of: DataFrame, lacks: Column, asks: int) -> DataFrame:
